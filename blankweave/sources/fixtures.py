@@ -130,7 +130,7 @@ def locks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def draft_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events -> messages of fill conversations; every fifth message carries a blank."""
+    """events -> messages of fill conversations; every fifth message carries a blank, half of these typed in by hand."""
     value = F.when(F.col("event_id") % 5 == 0, F.lit("")).otherwise(
         F.concat(F.lit("v"), F.get_json_object("props", "$.k"))
     )
@@ -140,6 +140,7 @@ def draft_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ts",
         F.col("event_type").alias("field_name"),
         value.alias("value"),
+        (F.col("event_id") % 10 == 5).alias("is_explicit"),
     )
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blankweave import fixed_values as V
+from blankweave.functions import text as T
+
 
 def html_blocks(pages: DataFrame) -> DataFrame:
     """Web pages -> one block per ``<p>`` element, tags inside it dropped."""
@@ -14,3 +17,167 @@ def html_blocks(pages: DataFrame) -> DataFrame:
         F.col("pos").cast("bigint").alias("block_index"),
         F.regexp_replace("part", "<[^>]*>", "").alias("text"),
     )
+
+
+def read_values(requests: DataFrame, fields: DataFrame) -> DataFrame:
+    """``requests(record_id, template_id, field_values JSON)`` -> a value per template field, '' when absent."""
+    from blankweave.operators.merge import with_template
+
+    parsed = requests.withColumn("_m", F.from_json("field_values", "MAP<STRING,STRING>")).drop("field_values")
+    names = fields.select("template_id", "field_name").distinct()
+    return with_template(parsed, names).select(
+        "record_id", "field_name", F.coalesce(F.try_element_at("_m", F.col("field_name")), F.lit("")).alias("value")
+    )
+
+
+def read_locks(rows: DataFrame, key: str, raw: str) -> tuple[DataFrame, DataFrame]:
+    """JSON lists -> (key, field_name) rows and rejects; no text is an empty list, NULL items are dropped."""
+    text = T.strip(F.col(raw))
+    present = ~T.is_blank(F.col(raw))
+    parsed = rows.where(present).withColumn(
+        "_a", F.when(text.startswith("["), F.from_json(text, "ARRAY<STRING>"))
+    )
+    good = parsed.where("_a IS NOT NULL").select(key, F.explode("_a").alias("field_name")).where("field_name IS NOT NULL")
+    bad = parsed.where("_a IS NULL").select(key, F.col(raw), F.lit("expected a JSON list").alias("reason"))
+    return good, bad
+
+
+def read_requirements(rows: DataFrame, key: str, raw: str) -> DataFrame:
+    """JSON object of lists -> number of wanted fields and their names, duplicates kept."""
+    lists = F.from_json(raw, "MAP<STRING,ARRAY<STRING>>")
+    names = F.flatten(F.filter(F.map_values(lists), lambda names: names.isNotNull()))
+    return rows.select(key, F.coalesce(names, F.array().cast("array<string>")).alias("table_fields")).withColumn(
+        "total_fields", F.size("table_fields").cast("bigint")
+    )
+
+
+EDIT_SCHEMA = (
+    "type STRING, description STRING, block_index BIGINT, para_in_cell BIGINT, field_name STRING, old_name STRING, "
+    "new_name STRING, occurrence_index BIGINT, position STRING, offset BIGINT, old_text STRING, new_text STRING, "
+    "text STRING, start_offset BIGINT, end_offset BIGINT, selected_text STRING, format_config MAP<STRING,STRING>, "
+    "paragraph_format MAP<STRING,STRING>, format_options MAP<STRING,STRING>, table_index BIGINT, row_index BIGINT, "
+    "col_index BIGINT, rows BIGINT, cols BIGINT, image_path STRING, width DOUBLE, url STRING, "
+    "blocks ARRAY<MAP<STRING,BIGINT>>"
+)
+
+# Columns an edit of each type cannot do without.
+REQUIRED = {
+    "rename_placeholder": ("old_name", "new_name"),
+    "delete_placeholder": ("field_name",),
+    "add_placeholder": ("block_index", "field_name"),
+    "add_placeholder_by_offset": ("block_index", "offset", "field_name"),
+    "update_text": ("block_index", "old_text", "new_text"),
+    "delete_text_range": ("block_index", "start_offset", "end_offset"),
+    "format_text": ("block_index", "selected_text", "format_config"),
+    "format_paragraph": ("block_index", "paragraph_format"),
+    "add_paragraph": (),
+    "delete_paragraph": ("block_index",),
+    "delete_multiple_paragraphs": ("blocks",),
+    "add_page_break": ("block_index", "offset"),
+    "add_table_row": ("table_index",),
+    "delete_table_row": ("table_index", "row_index"),
+    "add_table_column": ("table_index",),
+    "delete_table_column": ("table_index", "col_index"),
+    "format_table_cell": ("table_index", "row_index", "col_index", "format_options"),
+    "add_table_at_cursor": ("block_index", "offset"),
+    "add_image_at_cursor": ("block_index", "offset", "image_path"),
+    "add_hyperlink": ("block_index", "start_offset", "end_offset", "url"),
+}
+
+# Allowed positions per type and bounds of numbers.
+POSITIONS = {
+    "add_placeholder": ("left", "right", "new_line"),
+    "add_paragraph": ("after", "before", "end"),
+    "add_table_row": ("above", "below"),
+    "add_table_column": ("left", "right"),
+}
+DEFAULT_POSITION = {
+    "add_placeholder": "right", "add_paragraph": "after", "add_table_row": "below", "add_table_column": "right",
+}
+NOT_NEGATIVE = (
+    "block_index", "para_in_cell", "occurrence_index", "offset", "start_offset", "table_index", "row_index", "col_index",
+)
+BOUNDS = {"rows": (1, 20), "cols": (1, 10), "width": (1, 8)}
+
+
+def read_edits(requests: DataFrame, key: str = "template_id", raw: str = "operations") -> tuple[DataFrame, DataFrame]:
+    """JSON operation lists -> edit rows ``(key, op_index, <wide columns>)`` and rejects with a reason."""
+    parsed = requests.select(key, F.posexplode_outer(F.from_json(raw, f"ARRAY<STRUCT<{_as_struct(EDIT_SCHEMA)}>>")).alias("op_index", "op"))
+    wide = parsed.select(key, F.col("op_index").cast("bigint").alias("op_index"), "op.*")
+    checked = wide.withColumn("reason", edit_problem())
+    defaults = F.create_map(*[F.lit(part) for pair in DEFAULT_POSITION.items() for part in pair])
+    good = (
+        checked.where("reason IS NULL").drop("reason")
+        .withColumn("position", F.coalesce("position", F.try_element_at(defaults, F.col("type"))))
+        .withColumn("rows", F.when(F.col("type") == "add_table_at_cursor", F.coalesce("rows", F.lit(3))).otherwise(F.col("rows")))
+        .withColumn("cols", F.when(F.col("type") == "add_table_at_cursor", F.coalesce("cols", F.lit(3))).otherwise(F.col("cols")))
+        .withColumn("width", F.when(F.col("type") == "add_image_at_cursor", F.coalesce("width", F.lit(4.0))).otherwise(F.col("width")))
+    )
+    bad = checked.where("reason IS NOT NULL").select(key, "op_index", "type", "reason")
+    return good, bad
+
+
+def _as_struct(schema: str) -> str:
+    return ", ".join(part.strip().replace(" ", ": ", 1) for part in _split_columns(schema))
+
+
+def _split_columns(schema: str) -> list[str]:
+    parts, depth, current = [], 0, ""
+    for char in schema:
+        depth += (char == "<") - (char == ">")
+        if char == "," and depth == 0:
+            parts.append(current)
+            current = ""
+        else:
+            current += char
+    return [*parts, current]
+
+
+def edit_problem():
+    """First reason why an edit row is unusable, NULL for a good one."""
+    kind = F.col("type")
+    reasons = [
+        F.when(kind.isNull(), F.lit("no operation")),
+        F.when(~kind.isin(*V.EDIT_TYPES), F.concat(F.lit("unknown type "), kind)),
+    ]
+    for name, columns in REQUIRED.items():
+        for column in columns:
+            reasons.append(F.when((kind == name) & F.col(column).isNull(), F.lit(f"{column} is required")))
+    for name, allowed in POSITIONS.items():
+        reasons.append(
+            F.when((kind == name) & F.col("position").isNotNull() & ~F.col("position").isin(*allowed), F.lit("unknown position"))
+        )
+    for column in NOT_NEGATIVE:
+        reasons.append(F.when(F.col(column) < 0, F.lit(f"{column} is negative")))
+    reasons.append(F.when(F.col("end_offset") <= 0, F.lit("end_offset is not positive")))
+    for column, (low, high) in BOUNDS.items():
+        reasons.append(F.when(~F.col(column).between(low, high), F.lit(f"{column} is out of bounds")))
+    return F.coalesce(*reasons)
+
+
+def scan_templates(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``binaryFile`` rows -> accepted ``.docx`` files within the size limit, and rejects with a reason."""
+    reason = F.when(~F.col("path").endswith(".docx"), F.lit("not a .docx file")).when(
+        F.col("length") > V.MAX_TEMPLATE_BYTES, F.lit("file is too large")
+    )
+    checked = files.withColumn("reason", reason)
+    return checked.where("reason IS NULL").drop("reason"), checked.where("reason IS NOT NULL").drop("content")
+
+
+def page_count(app_xml):
+    """Saved page count of a document's properties, NULL when absent or not a number."""
+    return F.regexp_extract(app_xml, r"<(?:\w+:)?Pages>\s*(\d+)\s*</", 1).try_cast("int")
+
+
+def resolve_artifact(wanted: DataFrame, templates: DataFrame, results: DataFrame, purpose: str) -> DataFrame:
+    """Find ids in two stores; ``download`` looks at templates first, ``preview`` at results first."""
+    first = "template" if purpose == "download" else "result"
+    stores = templates.select("file_id", "path", F.lit("template").alias("store")).unionByName(
+        results.select("file_id", "path", F.lit("result").alias("store"))
+    )
+    best = stores.groupBy("file_id").agg(
+        F.min_by(F.struct("store", "path"), F.when(F.col("store") == first, 0).otherwise(1)).alias("_hit")
+    )
+    return wanted.join(best, "file_id", "left").select(
+        "file_id", F.col("_hit.store").alias("store"), F.col("_hit.path").alias("path")
+    )
