@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from blankweave.plans import block_queries, merge_queries, table_queries, text_queries  # noqa: F401
+from blankweave.plans import (  # noqa: F401
+    block_queries,
+    edit_queries,
+    merge_queries,
+    table_queries,
+    text_queries,
+)
 from blankweave.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -181,6 +181,8 @@ def duck(body: str, *names: str, **extra: str) -> str:
 
     for name in names:
         need(name)
+    if set(done) & set(extra):
+        raise ValueError(f"names used twice: {set(done) & set(extra)}")
     done.update(extra)
     if not done:
         return body
