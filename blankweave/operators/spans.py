@@ -71,16 +71,18 @@ def rename_field(segments: DataFrame, renames: DataFrame, keep_switch: bool = Fa
     without a number. A single rename resets the case switch, the bulk path
     keeps it.
     """
-    fields = segments.where("kind = 'field'").select("doc_id", "field_name").distinct()
+    fields = segments.where("kind = 'field'").groupBy("doc_id", "field_name").agg(F.count(F.lit(1)).alias("_uses"))
     matched = FL.fuzzy_field_match(renames.select("doc_id", F.col("old_name").alias("wanted")).distinct(), fields)
     taken = fields.select("doc_id", F.col("field_name").alias("new_name")).withColumn("_taken", F.lit(True))
     judged = (
         renames.join(matched.withColumnRenamed("wanted", "old_name"), ["doc_id", "old_name"], "left")
         .join(taken, ["doc_id", "new_name"], "left")
+        .join(fields.withColumnRenamed("field_name", "matched"), ["doc_id", "matched"], "left")
         .withColumn(
             "error",
             F.when(F.col("matched").isNull(), F.lit("unknown field"))
-            .when(F.col("_taken") & (F.col("new_name") != F.col("old_name")), F.lit("name in use")),
+            .when(F.col("_taken") & (F.col("new_name") != F.col("old_name")), F.lit("name in use"))
+            .when(F.col("occurrence_index") >= F.col("_uses"), F.lit("no such occurrence")),
         )
     )
     status = judged.select(

@@ -6,6 +6,7 @@ from blankweave.plans import (  # noqa: F401
     block_queries,
     edit_queries,
     merge_queries,
+    stream_queries,
     table_queries,
     text_queries,
 )

@@ -78,8 +78,9 @@ def rename_field(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("rename_field_status", duck("""
-  SELECT doc_id, old_name, new_name, matched, CASE WHEN matched IS NULL OR taken THEN 'failed' ELSE 'executed' END AS status,
-    CASE WHEN matched IS NULL THEN 'unknown field' WHEN taken THEN 'name in use' END AS error FROM matched""", "tseg", "tfields", **_RENAME_SQL))
+  SELECT doc_id, old_name, new_name, matched, CASE WHEN matched IS NULL OR taken OR coalesce(nth >= uses, false) THEN 'failed' ELSE 'executed' END AS status,
+    CASE WHEN matched IS NULL THEN 'unknown field' WHEN taken THEN 'name in use' WHEN nth >= uses THEN 'no such occurrence' END AS error
+  FROM matched LEFT JOIN (SELECT doc_id AS did, field_name AS fname, count(*) AS uses FROM tfields GROUP BY ALL) ON doc_id = did AND matched = fname""", "tseg", "tfields", **_RENAME_SQL))
 def rename_field_status(spark: SparkSession, d: str) -> DataFrame:
     return S.rename_field(segments(spark, d), _renames(spark, d))[1]
 

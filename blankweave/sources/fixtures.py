@@ -131,10 +131,14 @@ def locks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def draft_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events -> messages of fill conversations; every fifth message carries a blank, half of these typed in by hand."""
+    return draft_messages_of(table(spark, sf_dir, "events"))
+
+
+def draft_messages_of(events: DataFrame) -> DataFrame:
     value = F.when(F.col("event_id") % 5 == 0, F.lit("")).otherwise(
         F.concat(F.lit("v"), F.get_json_object("props", "$.k"))
     )
-    return table(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("draft_id"),
         F.col("event_id").alias("seq"),
         "ts",
@@ -202,7 +206,11 @@ def model_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counters per template and step."""
-    return table(spark, sf_dir, "events").select(
+    return usage_of(table(spark, sf_dir, "events"))
+
+
+def usage_of(events: DataFrame) -> DataFrame:
+    return events.select(
         F.col("user_id").alias("template_id"),
         F.col("event_type").alias("step"),
         (F.col("event_id") % 100).alias("prompt_tokens"),
