@@ -235,9 +235,7 @@ class Template:
 
     def _splice(self, block: dict, low: int, high: int, new: str) -> None:
         """Put ``new`` in the place of [low, high); named fields keep what they had."""
-        own = {}
-        for _, seg in reversed(self.fields()):
-            own[seg["field_name"]] = seg
+        own = {s["field_name"]: s for s in reversed(block["segs"]) if s["kind"] == "field"}
         switch = next((s["switch"] for s in block["segs"] if s["kind"] == "field"), V.SWITCH_KEEP)
         attrs = next((s["attrs"] for at, s in _placed(block) if at + len(s["text"]) > low), {})
         fresh = []

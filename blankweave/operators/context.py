@@ -71,24 +71,34 @@ def full_context(blocks: DataFrame) -> DataFrame:
     return lines_by_document(blocks.where(~T.is_blank(F.col("text"))), numbered, "context")
 
 
+def known_fields(fields: DataFrame) -> DataFrame:
+    """One row per document: its field names in template order."""
+    first_use = F.array_sort(F.collect_list(F.struct("block_index", "seg_index", "field_name")))
+    return fields.groupBy("doc_id").agg(first_use.alias("_k")).select(
+        "doc_id", F.array_distinct(F.col("_k.field_name")).alias("_known")
+    )
+
+
+def _fields_here(text: Column, known: Column) -> Column:
+    """Known fields a text shows, in template order."""
+    shown = T.fields_in_text(text)
+    return F.when(F.size(F.array_intersect(shown, known)) > 0, F.array_intersect(known, shown)).otherwise(
+        F.array().cast("array<string>")
+    )
+
+
 def field_context(blocks: DataFrame, fields: DataFrame, forced: DataFrame | None = None) -> DataFrame:
-    """One line per block with fields: fields, position, section, text and neighbours."""
-    wanted = fields.select("doc_id", "field_name", F.struct("block_index", "seg_index").alias("_at"))
+    """One line per block with fields: fields, position, section, text and neighbours.
+
+    Blocks and field lists meet per document, so the windows and the join share
+    one partitioning.
+    """
+    wanted = fields
     if forced is not None:
         renamed = forced.select("doc_id", F.col("old_name").alias("field_name"))
-        wanted = wanted.join(renamed, ["doc_id", "field_name"], "left_anti")
-    first_use = wanted.groupBy("doc_id", "field_name").agg(F.min("_at").alias("_at"))
-    shown = (
-        FL.fields_in_blocks(blocks)
-        .join(first_use, ["doc_id", "field_name"])
-        .groupBy("doc_id", "block_index")
-        .agg(F.array_sort(F.collect_list(F.struct("_at", "field_name"))).alias("_f"))
-        .select(
-            "doc_id", "block_index",
-            F.array_join(F.transform(F.col("_f.field_name"), T.field_mark), ", ").alias("_fields"),
-        )
-    )
-    around = B.with_neighbours(B.with_headings(blocks)).join(shown, ["doc_id", "block_index"])
+        wanted = fields.join(renamed, ["doc_id", "field_name"], "left_anti")
+    around = B.with_neighbours(B.with_headings(blocks)).where(F.col("text").contains("«"))
+    joined = around.join(known_fields(wanted), "doc_id").withColumn("_here", _fields_here(F.col("text"), F.col("_known")))
     kind = _kind(blocks)
     row, col = _cell_position(blocks)
 
@@ -100,11 +110,38 @@ def field_context(blocks: DataFrame, fields: DataFrame, forced: DataFrame | None
     )
     section = F.when(F.col("nearest_heading") == "", F.lit("preamble")).otherwise(F.col("nearest_heading"))
     line = F.concat(
-        F.lit("Fields:["), F.col("_fields"), F.lit("] | block="), F.col("block_index").cast("string"),
-        F.lit(" | "), kind, F.lit(" | Section:["), section, F.lit("] | Text:["),
+        F.lit("Fields:["), F.array_join(F.transform("_here", T.field_mark), ", "), F.lit("] | block="),
+        F.col("block_index").cast("string"), F.lit(" | "), kind, F.lit(" | Section:["), section, F.lit("] | Text:["),
         F.left(flat(F.col("text")), F.lit(V.FIELD_TEXT_CHARS)), F.lit("]"), place,
     )
-    return around.select("doc_id", "block_index", line.alias("line"))
+    return joined.where(F.size("_here") > 0).select("doc_id", "block_index", line.alias("line"))
+
+
+def _flagged_blocks(blocks: DataFrame, fields: DataFrame, requests: DataFrame) -> DataFrame:
+    """Spoken blocks, renumbered, with heading and the flags ``in_halo`` and ``in_request``.
+
+    Blocks without text stay in a group of their own (``_spoken`` false), so
+    that documents without any text are not lost. Everything clusters on
+    ``doc_id``.
+    """
+    numbers = requests.select("doc_id", T.requested_numbers(F.col("user_text")).alias("_wanted"))
+    spoken = blocks.withColumn("_spoken", ~T.is_blank(F.col("text")))
+    group = W.partitionBy("doc_id", "_spoken").orderBy("block_index")
+    headed = B.with_headings(spoken.withColumn("_number", (F.row_number().over(group) - 1).cast("bigint")))
+    joined = headed.join(known_fields(fields), "doc_id", "left").join(numbers, "doc_id", "left")
+    known = F.coalesce("_known", F.array().cast("array<string>"))
+    has = F.when(F.col("text").contains("«"), F.arrays_overlap(T.fields_in_text(F.col("text")), known)).otherwise(F.lit(False))
+    near = F.max("_has").over(group.rowsBetween(-1, 1))
+    return (
+        joined.withColumn("_has", F.coalesce(has, F.lit(False)))
+        .withColumn("in_halo", F.col("_spoken") & near)
+        .withColumn(
+            "in_request",
+            F.col("_spoken") & F.coalesce(F.array_contains("_wanted", F.col("heading_number")), F.lit(False)),
+        )
+        .withColumn("block_index", F.col("_number"))
+        .drop("_number", "_has", "_known", "_wanted")
+    )
 
 
 def selected_blocks(blocks: DataFrame, fields: DataFrame, requests: DataFrame) -> DataFrame:
@@ -113,44 +150,43 @@ def selected_blocks(blocks: DataFrame, fields: DataFrame, requests: DataFrame) -
     ``requests(doc_id, user_text)`` has at most one row per document. Blocks
     without text do not count, not even as neighbours.
     """
-    spoken = B.with_headings(
-        B.number_blocks(blocks.where(~T.is_blank(F.col("text"))), "block_index")
+    return _flagged_blocks(blocks, fields, requests).where("in_halo OR in_request").drop("_spoken")
+
+
+def _contexts(blocks: DataFrame, fields: DataFrame, requests: DataFrame) -> DataFrame:
+    """Both forms of context per document from a single pass: ``full`` and ``compact``."""
+    heading = F.col("nearest_heading")
+    first = F.min("block_index").over(W.partitionBy("doc_id", "_spoken", "nearest_heading"))
+    rows = _flagged_blocks(blocks, fields, requests).withColumn("_first", first)
+    text = T.strip(F.col("text"))
+    section = F.when(heading == "", F.lit("preamble")).otherwise(heading)
+    line = F.concat(F.lit("["), F.col("block_index").cast("string"), F.lit("] Section:["), section, F.lit("] "), text)
+    opens = F.col("_spoken") & (heading != "") & (F.col("_first") == F.col("block_index"))
+
+    def ordered(condition: Column, line_: Column) -> Column:
+        return F.array_sort(F.collect_list(F.when(condition, F.struct("block_index", line_.alias("line")))))
+
+    gathered = rows.groupBy("doc_id").agg(
+        ordered(F.col("_spoken"), text).alias("_full"),
+        ordered(opens, F.concat(F.lit("- "), heading)).alias("_outline"),
+        ordered(F.col("in_halo") | F.col("in_request"), line).alias("_body"),
     )
-    holders = FL.field_blocks(spoken, fields).select("doc_id", "block_index").distinct().withColumn("_has", F.lit(True))
-    numbers = requests.select("doc_id", T.requested_numbers(F.col("user_text")).alias("_wanted"))
-    flagged = spoken.join(holders, ["doc_id", "block_index"], "left").join(numbers, "doc_id", "left")
-    asked = F.coalesce(F.array_contains("_wanted", F.col("heading_number")), F.lit(False))
-    return (
-        B.context_halo(flagged, F.coalesce("_has", F.lit(False)))
-        .withColumn("in_request", asked)
-        .where("in_halo OR in_request")
-        .drop("_has", "_wanted")
+
+    def part(lines: Column) -> Column:
+        return F.when(F.size(lines) > 0, F.concat(F.lit("\n"), F.array_join(lines["line"], "\n"))).otherwise(F.lit(""))
+
+    compact = F.concat(
+        F.lit("SECTION OUTLINE:"), part(F.slice("_outline", 1, V.OUTLINE_LIMIT)),
+        F.lit("\n\nRELEVANT TEMPLATE BLOCKS:"), part(F.col("_body")),
+    )
+    return gathered.select(
+        "doc_id", F.array_join(F.col("_full.line"), "\n").alias("full"), T.strip(compact).alias("compact")
     )
 
 
 def compact_context(blocks: DataFrame, fields: DataFrame, requests: DataFrame) -> DataFrame:
     """Outline plus the selected blocks, as one text per document."""
-    spoken = B.with_headings(B.number_blocks(blocks.where(~T.is_blank(F.col("text"))), "block_index"))
-    outline = section_outline(spoken).select(
-        "doc_id", F.col("rank").alias("block_index"), F.concat(F.lit("- "), F.col("heading")).alias("line")
-    )
-    heading = F.when(F.col("nearest_heading") == "", F.lit("preamble")).otherwise(F.col("nearest_heading"))
-    line = F.concat(
-        F.lit("["), F.col("block_index").cast("string"), F.lit("] Section:["), heading, F.lit("] "), T.strip(F.col("text"))
-    )
-    chosen = selected_blocks(blocks, fields, requests).select("doc_id", "block_index", line.alias("line"))
-    heads = lines_by_document(outline, F.col("line"), "outline")
-    bodies = lines_by_document(chosen, F.col("line"), "body")
-    text = F.concat(
-        F.lit("SECTION OUTLINE:"),
-        F.coalesce(F.concat(F.lit("\n"), F.col("outline")), F.lit("")),
-        F.lit("\n\nRELEVANT TEMPLATE BLOCKS:"),
-        F.coalesce(F.concat(F.lit("\n"), F.col("body")), F.lit("")),
-    )
-    documents = blocks.select("doc_id").distinct()
-    return documents.join(heads, "doc_id", "left").join(bodies, "doc_id", "left").select(
-        "doc_id", T.strip(text).alias("context")
-    )
+    return _contexts(blocks, fields, requests).select("doc_id", F.col("compact").alias("context"))
 
 
 def choose_context(
@@ -158,15 +194,9 @@ def choose_context(
 ) -> DataFrame:
     """Short or uncounted documents give their full text, long ones the compact context."""
     is_long = F.coalesce(F.col("page_count") > V.FULL_CONTEXT_PAGES, F.lit(False))
-    long_ids = pages.where(is_long).select("doc_id")
-    short_ids = pages.where(~is_long).select("doc_id")
-    # Filter before building, so neither form is made for documents that do not use it.
-    compact = compact_context(
-        blocks.join(long_ids, "doc_id", "left_semi"), fields.join(long_ids, "doc_id", "left_semi"), requests
-    )
-    whole = full_text(blocks.join(short_ids, "doc_id", "left_semi")).withColumnRenamed("full_text", "context")
-    texts = compact.unionByName(whole)
-    return pages.join(texts, "doc_id", "left").select("doc_id", F.coalesce("context", F.lit("")).alias("context"))
+    both = _contexts(blocks, fields, requests)
+    context = F.when(is_long, F.col("compact")).otherwise(F.col("full"))
+    return pages.join(both, "doc_id", "left").select("doc_id", F.coalesce(context, F.lit("")).alias("context"))
 
 
 def quoted(text: Column) -> Column:

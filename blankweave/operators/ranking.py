@@ -43,3 +43,18 @@ def previous_value(
         .withColumn(name, F.coalesce(F.last("_v", ignorenulls=True).over(local), F.col("_carry")))
         .drop("_v", "_carry")
     )
+
+
+def top_k(df: DataFrame, keys: list[str], order: list, k: int, name: str = "rank") -> DataFrame:
+    """First ``k`` rows per key. Spark limits each group before the shuffle, so a hot key moves ``k`` rows per task."""
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+    return df.withColumn(name, rank).where(F.col(name) <= k).withColumn(name, F.col(name).cast("bigint"))
+
+
+def argmax_first(df: DataFrame, keys: list[str], score: str, order: str) -> DataFrame:
+    """The row order value with the best positive score per key, the earliest on ties: one aggregate."""
+    return (
+        df.where(F.col(score) > 0).groupBy(*keys)
+        .agg(F.max(F.struct(F.col(score).alias("s"), (-F.col(order)).alias("o"))).alias("_b"))
+        .select(*keys, F.col("_b.s").alias(score), (-F.col("_b.o")).alias(order))
+    )

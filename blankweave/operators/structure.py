@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from blankweave import fixed_values as V
 from blankweave.functions import naming as N
 from blankweave.functions import text as T
-from blankweave.operators import spans as S
-from blankweave.operators.context import shown_blocks
+from blankweave.operators import fields as FL
 from blankweave.operators.skew import salted_join
 
 BLOCK = ["doc_id", "block_index"]
@@ -100,41 +99,56 @@ def find_updates(texts: DataFrame, edits: DataFrame) -> DataFrame:
 def update_text(segments: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Apply text updates; fields named in the new text keep their switch and original text.
 
-    A field new to the block takes the switch of the block's first field.
+    A field new to the block takes the switch of the block's first field. The
+    segments of a block travel as one nested row, so the block is rebuilt
+    without another join.
     """
-    outcome = find_updates(shown_blocks(segments), edits)
+    nested = nested_blocks(segments)
+    outcome = find_updates(nested.select(*BLOCK, "text"), edits)
     changed = outcome.where("how <> 'failed'").groupBy("doc_id", F.col("target_block").alias("block_index")).agg(
-        F.min_by("updated", "block_index").alias("text")
+        F.min_by("updated", "block_index").alias("updated")
     )
-    parts = F.split("text", "«[^»]+»", -1)
-    names = F.regexp_extract_all("text", F.lit("«([^»]+)»"), F.lit(1))
+    joined = nested.join(changed, BLOCK, "left")
+    fields = F.filter("segs", lambda s: s["kind"] == "field")
+    first_switch = F.coalesce(F.get(fields, 0)["switch"], F.lit(V.SWITCH_KEEP))
+    parts = F.split("updated", "«[^»]+»", -1)
+    names = F.regexp_extract_all("updated", F.lit("«([^»]+)»"), F.lit(1))
     none = F.lit(None).cast("string")
 
     def pair(piece: Column, i: Column) -> Column:
         name = F.get(F.col("_names"), i)
+        own = F.get(F.filter("_fields", lambda s: s["field_name"] == name), 0)
         return F.array(
-            F.struct(F.lit("text").alias("kind"), piece.alias("text"), none.alias("field_name")),
-            F.struct(F.lit("field").alias("kind"), T.field_mark(name).alias("text"), name.alias("field_name")),
+            F.struct(F.lit(0).cast("bigint").alias("seg_index"), F.lit("text").alias("kind"), piece.alias("text"),
+                     none.alias("field_name"), none.alias("switch"), none.alias("original_text")),
+            F.struct(F.lit(0).cast("bigint").alias("seg_index"), F.lit("field").alias("kind"),
+                     T.field_mark(name).alias("text"), name.alias("field_name"),
+                     F.coalesce(own["switch"], F.col("_switch")).alias("switch"),
+                     F.coalesce(own["original_text"], F.lit("")).alias("original_text")),
         )
 
-    rows = F.filter(F.flatten(F.transform(parts, pair)), lambda s: s["text"].isNotNull())
-    rebuilt = changed.withColumn("_names", names).select(*BLOCK, F.posexplode(rows).alias("seg_index", "_s")).select(
-        *BLOCK, F.col("seg_index").cast("bigint").alias("seg_index"), "_s.*"
+    # Texts between fields may be empty; a block left without any text keeps one empty segment.
+    rebuilt = F.filter(
+        F.flatten(F.transform("_parts", pair)),
+        lambda s: F.coalesce((s["text"] != "") | ((F.col("updated") == "") & (s["kind"] == "text")), F.lit(False)),
     )
-    fields = segments.where("kind = 'field'")
-    own = fields.groupBy("doc_id", "field_name").agg(
-        F.min_by(F.struct("switch", "original_text"), F.struct("block_index", "seg_index")).alias("_own")
+    prepared = (
+        joined.withColumn("_fields", fields).withColumn("_switch", first_switch)
+        .withColumn("_parts", parts).withColumn("_names", names)
     )
-    first = fields.groupBy(*BLOCK).agg(F.min_by("switch", "seg_index").alias("_first"))
-    is_field = F.col("kind") == "field"
-    filled = rebuilt.join(own, ["doc_id", "field_name"], "left").join(first, BLOCK, "left").select(
-        *BLOCK, "seg_index", "kind", "text", "field_name",
-        F.when(is_field, F.coalesce("_own.switch", "_first", F.lit(V.SWITCH_KEEP))).alias("switch"),
-        F.when(is_field, F.coalesce("_own.original_text", F.lit(""))).alias("original_text"),
-        F.lit(0).cast("bigint").alias("start_pos"), F.lit(0).cast("bigint").alias("end_pos"),
+    rows = F.when(F.col("updated").isNull(), F.col("segs")).otherwise(rebuilt)
+    exploded = prepared.select(*BLOCK, F.posexplode(rows).alias("pos", "_s")).select(
+        *BLOCK, F.col("pos").cast("bigint").alias("seg_index"), "_s.kind", "_s.text", "_s.field_name", "_s.switch", "_s.original_text"
+    )
+    return FL.with_offsets(exploded).select(*segments.columns), outcome.drop("updated")
+
+
+def nested_blocks(segments: DataFrame) -> DataFrame:
+    """One row per block: its shown text and its segments in order."""
+    segment = F.struct("seg_index", "kind", "text", "field_name", "switch", "original_text")
+    return segments.groupBy(*BLOCK).agg(F.array_sort(F.collect_list(segment)).alias("segs")).withColumn(
+        "text", F.array_join(F.col("segs.text"), "")
     )
-    kept = segments.join(changed.select(*BLOCK), BLOCK, "left_anti")
-    return kept.unionByName(S.settle(filled).select(*segments.columns)), outcome.drop("updated")
 
 
 # --- new blocks --------------------------------------------------------------------

@@ -480,3 +480,26 @@ def prune_locks(spark: SparkSession, d: str) -> DataFrame:
         docs.selectExpr("doc_id", "'field'")
     )
     return prune(locked, fields(spark, d), ["doc_id", "field_name"])
+
+
+# --- limits ---------------------------------------------------------------------
+@query("top_k_per_group", """
+  SELECT user_id, event_id, rank FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rank FROM events)
+  WHERE rank <= 8""")
+def top_k_per_group(spark: SparkSession, d: str) -> DataFrame:
+    from blankweave.operators.ranking import top_k
+
+    return top_k(X.table(spark, d, "events").select("user_id", "event_id"), ["user_id"], [F.desc("event_id")], 8)
+
+
+@query("argmax_first", duck(f"""
+  SELECT doc_id, score, block_index FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, block_index) AS rn
+    FROM (SELECT doc_id, block_index, CAST(len(regexp_extract_all(text, '{BLANK}', 0)) AS BIGINT) AS score FROM form_blocks) WHERE score > 0) WHERE rn = 1
+""", "form_blocks"))
+def argmax_first(spark: SparkSession, d: str) -> DataFrame:
+    from blankweave.operators.ranking import argmax_first as best
+
+    scored = X.form_blocks(spark, d).select(
+        "doc_id", "block_index", F.size(T.detect_blanks(F.col("text"))).cast("bigint").alias("score")
+    )
+    return best(scored, ["doc_id"], "score", "block_index")

@@ -572,3 +572,15 @@ _DIFF = r"""
 @query("snapshot_diff", duck(_DIFF, "form_blocks", "form_blocks_new"))
 def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     return diff.snapshot_diff(X.form_blocks(spark, d), X.form_blocks_new(spark, d))
+
+
+@query("diff_edits", duck(f"""
+  SELECT doc_id, 'update_text' AS type, coalesce(block_index, -1) AS block_index, new_text, CAST(NULL AS VARCHAR) AS field_name FROM ({_DIFF})
+  UNION ALL SELECT doc_id, 'delete_placeholder', -1, NULL, field_name FROM (SELECT doc_id, field_name FROM tfields
+    EXCEPT SELECT doc_id, field_name FROM tfields WHERE block_index % 11 <> 10)""", "form_blocks", "form_blocks_new", "tfields"))
+def diff_edits(spark: SparkSession, d: str) -> DataFrame:
+    fields = FL.fields_of(segments(spark, d))
+    edits = diff.diff_edits(
+        X.form_blocks(spark, d), X.form_blocks_new(spark, d), fields, fields.where("block_index % 11 <> 10")
+    )
+    return edits.select("doc_id", "type", F.coalesce("block_index", F.lit(-1)).alias("block_index"), "new_text", "field_name")
