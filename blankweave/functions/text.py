@@ -90,10 +90,14 @@ def is_blank_only(text: Column, tab_leaders: Column | None = None) -> Column:
 
 
 def last_label(text_before: Column) -> Column:
-    """Last non-empty piece between label breaks, trimmed; empty when there is none."""
+    """Last non-empty piece between label breaks, trimmed; empty when there is none.
+
+    Read from the end: the pattern is anchored on the reversed text, so it looks
+    at the label alone and never at the text in front of it.
+    """
     breaks = V.LABEL_BREAKS[1:-1]
-    trimmed = F.regexp_replace(text_before, rf"(?U)(?<![{breaks}\s])[{breaks}\s]++$", "")
-    return strip(F.regexp_extract(trimmed, rf"(?<![^{breaks}])[^{breaks}]*+$", 0))
+    backwards = F.regexp_extract(F.reverse(text_before), rf"(?U)^[{breaks}\s]*+([^{breaks}]*+)", 1)
+    return F.regexp_replace(F.reverse(backwards), r"(?U)^\s++", "")
 
 
 def switch_for(label: Column) -> Column:

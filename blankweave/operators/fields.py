@@ -173,15 +173,19 @@ SEGMENT_COLUMNS = [
 
 
 def convert_blocks(blocks: DataFrame) -> DataFrame:
-    """Blank form blocks -> template segments, one exchange on ``doc_id``."""
-    return label_segments(cut_at_blanks(blocks.repartition("doc_id"))).select(*SEGMENT_COLUMNS)
+    """Blank form blocks -> template segments.
+
+    Names count per document and offsets per block: give blocks clustered by
+    ``doc_id`` (``by_document`` or a bucketed table) and neither needs an exchange.
+    """
+    return label_segments(cut_at_blanks(blocks)).select(*SEGMENT_COLUMNS)
 
 
 def rule_labels(blocks: DataFrame) -> DataFrame:
     """Name every blank from its label, date words or section heading."""
     from blankweave.operators.blocks import with_headings
 
-    headed = with_headings(blocks.repartition("doc_id")).withColumn(
+    headed = with_headings(blocks).withColumn(
         "_only", T.is_blank_only(F.col("text"), _leaders(blocks))
     )
     # One step per column: each costly expression is evaluated once per row.

@@ -442,7 +442,7 @@ def suggestion_key_dedup(spark: SparkSession, d: str) -> DataFrame:
 @query("doc_order", duck("""
   SELECT doc_id, block_index, text FROM form_blocks ORDER BY doc_id, block_index""", "form_blocks"))
 def doc_order(spark: SparkSession, d: str) -> DataFrame:
-    return X.form_blocks(spark, d).orderBy("doc_id", "block_index")
+    return X.form_lines(spark, d).orderBy("doc_id", "block_index")
 
 
 # --- set operations -------------------------------------------------------------
@@ -499,7 +499,7 @@ def top_k_per_group(spark: SparkSession, d: str) -> DataFrame:
 def argmax_first(spark: SparkSession, d: str) -> DataFrame:
     from blankweave.operators.ranking import argmax_first as best
 
-    scored = X.form_blocks(spark, d).select(
+    scored = X.form_lines(spark, d).select(
         "doc_id", "block_index", F.size(T.detect_blanks(F.col("text"))).cast("bigint").alias("score")
     )
     return best(scored, ["doc_id"], "score", "block_index")

@@ -139,7 +139,7 @@ def map_model(spark: SparkSession, d: str) -> DataFrame:
   FROM cut""", "cut"))
 def registered_functions(spark: SparkSession, d: str) -> DataFrame:
     register_functions(spark)
-    return X.form_blocks(spark, d).selectExpr(
+    return X.form_lines(spark, d).selectExpr(
         "doc_id", "block_index", "bigint(size(blank_spans(text))) AS blanks", "slugify_vi(left(text, 60)) AS slug",
         "title_py(left(text, 60)) AS title",
     )

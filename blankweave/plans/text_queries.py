@@ -18,7 +18,7 @@ from blankweave.sources import fixtures as X
   SELECT doc_id, block_index, CAST(i AS BIGINT) AS blank_index, blanks[i + 1] AS blank
   FROM cut, unnest(range(len(blanks))) AS u(i)""", "cut"))
 def detect_blanks(spark: SparkSession, d: str) -> DataFrame:
-    return X.form_blocks(spark, d).select(
+    return X.form_lines(spark, d).select(
         "doc_id", "block_index", F.posexplode(T.detect_blanks(F.col("text"))).alias("blank_index", "blank")
     ).withColumn("blank_index", F.col("blank_index").cast("bigint"))
 
@@ -48,7 +48,7 @@ def has_blank(spark: SparkSession, d: str) -> DataFrame:
 @query("strip_blanks", duck(
     f"SELECT doc_id, block_index, regexp_replace(text, '{BLANK}', ' ', 'g') AS stripped FROM form_blocks", "form_blocks"))
 def strip_blanks(spark: SparkSession, d: str) -> DataFrame:
-    return X.form_blocks(spark, d).select("doc_id", "block_index", T.strip_blanks(F.col("text")).alias("stripped"))
+    return X.form_lines(spark, d).select("doc_id", "block_index", T.strip_blanks(F.col("text")).alias("stripped"))
 
 
 @query("leader_tab_spans", duck(
@@ -67,7 +67,7 @@ def segmentize(spark: SparkSession, d: str) -> DataFrame:
   SELECT doc_id, block_index, seg_index, {switch_of('left(block_text, start_pos)')} AS switch
   FROM segs WHERE kind = 'field'""", "segs"))
 def infer_switch(spark: SparkSession, d: str) -> DataFrame:
-    return FL.cut_at_blanks(X.form_blocks(spark, d)).where("kind = 'field'").select(
+    return FL.cut_at_blanks(X.form_lines(spark, d)).where("kind = 'field'").select(
         "doc_id", "block_index", "seg_index", "switch"
     )
 
@@ -76,7 +76,7 @@ def infer_switch(spark: SparkSession, d: str) -> DataFrame:
   SELECT doc_id, block_index, seg_index, CASE WHEN text = '□' OR text = '■' THEN 'ck_' ELSE '' END AS prefix
   FROM segs WHERE kind = 'field'""", "segs"))
 def checkbox_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return FL.cut_at_blanks(X.form_blocks(spark, d)).where("kind = 'field'").select(
+    return FL.cut_at_blanks(X.form_lines(spark, d)).where("kind = 'field'").select(
         "doc_id", "block_index", "seg_index", T.checkbox_prefix(F.col("text")).alias("prefix")
     )
 
@@ -116,7 +116,7 @@ def _template_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("slugify", duck(f"SELECT doc_id, block_index, {slug('text')} AS slug FROM form_blocks", "form_blocks"))
 def slugify(spark: SparkSession, d: str) -> DataFrame:
-    return X.form_blocks(spark, d).select("doc_id", "block_index", N.slugify(F.col("text")).alias("slug"))
+    return X.form_lines(spark, d).select("doc_id", "block_index", N.slugify(F.col("text")).alias("slug"))
 
 
 @query("base_field_name", duck(rf"""
@@ -125,7 +125,7 @@ def slugify(spark: SparkSession, d: str) -> DataFrame:
     '(_lưu|_ghi_chú|_note)$', ''), 30), '_'), '_+', '_', 'g'), ''), 'field') AS base
   FROM form_blocks""", "form_blocks"))
 def base_field_name(spark: SparkSession, d: str) -> DataFrame:
-    return X.form_blocks(spark, d).select("doc_id", "block_index", N.base_field_name(F.col("text")).alias("base"))
+    return X.form_lines(spark, d).select("doc_id", "block_index", N.base_field_name(F.col("text")).alias("base"))
 
 
 _QUIET = r"regexp_replace(before, '(?i)\((?:nếu có|ghi rõ)[^)]*\)', ' ', 'g')"
@@ -169,7 +169,7 @@ _STYLED = """CASE block_index % 6 WHEN 1 THEN 'Heading 2' WHEN 2 THEN 'Normal' E
     OR (coalesce(lower({_STYLED}) LIKE '%heading%', false) AND regexp_matches(text, '\\S')) AS is_heading
   FROM form_blocks""", "form_blocks"))
 def is_heading(spark: SparkSession, d: str) -> DataFrame:
-    blocks = X.form_blocks(spark, d).withColumn("style", F.expr(_STYLED))
+    blocks = X.form_lines(spark, d).withColumn("style", F.expr(_STYLED))
     return blocks.select("doc_id", "block_index", T.is_heading(F.col("text"), F.col("style")).alias("is_heading"))
 
 
@@ -177,7 +177,7 @@ def is_heading(spark: SparkSession, d: str) -> DataFrame:
   SELECT doc_id, block_index, lower(regexp_extract({strip('text')}, '{HEADING_NO}', 1)) AS number
   FROM form_blocks WHERE regexp_matches({strip('text')}, '{HEADING_NO}')""", "form_blocks"))
 def heading_number(spark: SparkSession, d: str) -> DataFrame:
-    return X.form_blocks(spark, d).select(
+    return X.form_lines(spark, d).select(
         "doc_id", "block_index", T.heading_number(F.col("text")).alias("number")
     ).where("number IS NOT NULL")
 
@@ -281,7 +281,7 @@ def bump_suffix(spark: SparkSession, d: str) -> DataFrame:
 @query("has_content", duck(r"""
   SELECT doc_id, block_index, regexp_replace(text, '[\s._]+', '', 'g') <> '' AS has_content FROM form_blocks""", "form_blocks"))
 def has_content(spark: SparkSession, d: str) -> DataFrame:
-    return X.form_blocks(spark, d).select("doc_id", "block_index", T.has_content(F.col("text")).alias("has_content"))
+    return X.form_lines(spark, d).select("doc_id", "block_index", T.has_content(F.col("text")).alias("has_content"))
 
 
 @query("is_cell_empty", duck(r"""
@@ -304,7 +304,7 @@ def apply_switch(spark: SparkSession, d: str) -> DataFrame:
     switch = F.when(F.col("block_index") % 3 == 0, F.lit(V.SWITCH_UPPER)).when(
         F.col("block_index") % 3 == 1, F.lit(V.SWITCH_CAPS)
     ).otherwise(F.lit(V.SWITCH_KEEP))
-    return X.form_blocks(spark, d).select("doc_id", "block_index", T.apply_switch(F.col("text"), switch).alias("value"))
+    return X.form_lines(spark, d).select("doc_id", "block_index", T.apply_switch(F.col("text"), switch).alias("value"))
 
 
 @query("url_ok", """
@@ -325,7 +325,7 @@ def url_ok(spark: SparkSession, d: str) -> DataFrame:
   FROM (SELECT *, CASE WHEN text = '' THEN 0 ELSE block_index % 17 END AS p FROM form_blocks)""", "form_blocks"))
 def split_at_offset(spark: SparkSession, d: str) -> DataFrame:
     cut = T.split_at_offset(F.col("text"), F.col("block_index") % 17)
-    return X.form_blocks(spark, d).withColumn("cut", cut).select("doc_id", "block_index", "cut.before", "cut.after")
+    return X.form_lines(spark, d).withColumn("cut", cut).select("doc_id", "block_index", "cut.before", "cut.after")
 
 
 _CUES = """concat(left(regexp_replace(text, '[._□■]', ''), 30), CASE block_index % 9 WHEN 0 THEN ' họ và tên ' WHEN 1 THEN ' ngày   tháng '
@@ -338,7 +338,7 @@ _CUES = """concat(left(regexp_replace(text, '[._□■]', ''), 30), CASE block_i
     FROM cues WHERE NOT regexp_matches(text, '«[^»]+»')) WHERE cue IS NOT NULL""", "form_blocks",
   cues=f"SELECT doc_id, block_index, {_CUES.replace("'[._□■]', ''", "'[._□■]', '', 'g'")} AS text FROM form_blocks"))
 def rule_suggestions(spark: SparkSession, d: str) -> DataFrame:
-    return suggest.rule_suggestions(X.form_blocks(spark, d).withColumn("text", F.expr(_CUES)))
+    return suggest.rule_suggestions(X.form_lines(spark, d).withColumn("text", F.expr(_CUES)))
 
 
 @query("usage_value", duck("""
@@ -372,7 +372,7 @@ _KIND_LINES = """
 def type_or_value_prefix(spark: SparkSession, d: str) -> DataFrame:
     text = F.expr("""concat(left(text, 30), CASE block_index % 3 WHEN 0 THEN ' số: ' ELSE ' loại ' END, '......',
       CASE block_index % 2 WHEN 0 THEN ' (Giấy tờ tùy thân)' ELSE ' (khác)' END, ' mã: ......')""")
-    lines = X.form_blocks(spark, d).withColumn("text", text)
+    lines = X.form_lines(spark, d).withColumn("text", text)
     cut = FL.cut_at_blanks(lines).where("kind = 'field'")
     nth = F.row_number().over(FL.in_block()) - 1
     return cut.select(

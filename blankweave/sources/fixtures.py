@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from blankweave.operators.blocks import by_document
 from blankweave.operators.ranking import numbered
 
 
@@ -17,8 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def form_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def form_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> blocks with headings, blanks, check boxes, dates and continuation lines."""
+    return _as_form(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def form_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``form_lines`` clustered by document.
+
+    The exchange moves whole documents, before they become rows; the windows,
+    aggregates and joins per document that follow need no other one.
+    """
+    return _as_form(by_document(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def _as_form(documents: DataFrame) -> DataFrame:
     i, line = F.col("i"), F.col("line")
     body = (
         F.when(
@@ -32,10 +46,8 @@ def form_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .otherwise(F.regexp_replace(line, "[a-z]{9,}", ": ........ "))
     )
-    return (
-        table(spark, sf_dir, "documents")
-        .select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-        .select("doc_id", i.cast("bigint").alias("block_index"), body.alias("text"))
+    return documents.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).select(
+        "doc_id", i.cast("bigint").alias("block_index"), body.alias("text")
     )
 
 
