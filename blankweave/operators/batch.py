@@ -60,6 +60,18 @@ def _settle(block: dict) -> None:
     block["segs"] = [s for s in block["segs"] if s["text"]] or [_text("")]
 
 
+def _rejoin(block: dict) -> None:
+    """One segment for neighbouring texts with the same attributes."""
+    out: list[dict] = []
+    for seg in block["segs"]:
+        if out and seg["kind"] == out[-1]["kind"] == "text" and seg["attrs"] == out[-1]["attrs"]:
+            out[-1] = out[-1] | {"text": out[-1]["text"] + seg["text"]}
+        else:
+            out.append(seg)
+    block["segs"] = out
+    _settle(block)
+
+
 def _paragraph(text: str = "", kind: str = "paragraph", **place) -> dict:
     return dict(type=kind, table_index=None, row=None, col=None, block_attrs={}, segs=[_text(text)]) | place
 
@@ -223,29 +235,33 @@ class Template:
         self._splice(block, low, high, new)
 
     def _set_text(self, block: dict, new: str) -> None:
-        texts = [s for s in block["segs"] if s["kind"] == "text"]
         if not new.strip():
-            for seg in texts:
-                seg["text"] = ""
-        elif texts:
-            texts[0]["text"] = new.lstrip(" ")
-        else:
-            block["segs"].append(_text(new.lstrip(" ")))
-        _settle(block)
-
-    def _splice(self, block: dict, low: int, high: int, new: str) -> None:
-        """Put ``new`` in the place of [low, high); named fields keep what they had."""
+            block["segs"] = [s for s in block["segs"] if s["kind"] == "field"]
+            return _settle(block)
+        at = next((i for i, s in enumerate(block["segs"]) if s["kind"] == "text" and s["text"]), len(block["segs"]))
+        attrs = block["segs"][at]["attrs"] if at < len(block["segs"]) else {}
+        block["segs"][at:at + 1] = self._parsed(block, new.lstrip(" "), attrs)
+        _rejoin(block)
+
+    def _parsed(self, block: dict, new: str, attrs: dict) -> list[dict]:
+        """Segments of a new text; fields the block already has keep what they had."""
         own = {s["field_name"]: s for s in reversed(block["segs"]) if s["kind"] == "field"}
         switch = next((s["switch"] for s in block["segs"] if s["kind"] == "field"), V.SWITCH_KEEP)
-        attrs = next((s["attrs"] for at, s in _placed(block) if at + len(s["text"]) > low), {})
         fresh = []
         for i, part in enumerate(re.split(MARK, new)):
             if i % 2 == 0:
                 fresh.append(_text(part, attrs))
-            elif part in own:
-                fresh.append(dict(own[part]))
             else:
-                fresh.append(_field(part, switch=switch, attrs=attrs))
+                fresh.append(dict(own[part]) if part in own else _field(part, switch=switch, attrs=attrs))
+        return fresh
+
+    def _splice(self, block: dict, low: int, high: int, new: str) -> None:
+        """Put ``new`` in the place of [low, high); a field it cuts into is replaced as a whole."""
+        for start, seg in _placed(block):
+            end = start + len(seg["text"])
+            if seg["kind"] == "field" and start < high and end > low:
+                low, high = min(low, start), max(high, end)
+        attrs = next((s["attrs"] for at, s in _placed(block) if at + len(s["text"]) > low), {})
         before, after = [], []
         for start, seg in _placed(block):
             end = start + len(seg["text"])
@@ -253,8 +269,8 @@ class Template:
                 before.append(seg if end <= low else seg | {"text": seg["text"][:low - start]})
             if end > high:
                 after.append(seg if start >= high else seg | {"text": seg["text"][high - start:]})
-        block["segs"] = before + fresh + after
-        _settle(block)
+        block["segs"] = before + self._parsed(block, new, attrs) + after
+        _rejoin(block)
 
     def delete_text_range(self, op):
         block = self.block(op["block_index"])

@@ -37,8 +37,12 @@ def search_pattern(text: Column) -> Column:
 
 
 def _spliced(text: Column, start: Column, end: Column, new: Column) -> Column:
-    """``text`` with [start, end) replaced."""
-    return F.concat(F.left(text, start.cast("int")), new, F.substring(text, (end + 1).cast("int"), F.length(text)))
+    """``text`` with [start, end) replaced; a field it cuts into is replaced as a whole."""
+    before, upto = F.left(text, start.cast("int")), F.left(text, end.cast("int"))
+    rest = F.substring(text, (end + 1).cast("int"), F.length(text))
+    head = F.regexp_replace(before, "«[^«»]*$", "")
+    tail = F.when(upto.rlike("«[^»]*$"), F.regexp_replace(rest, "^[^«»]*»", "")).otherwise(rest)
+    return F.concat(F.when(before.rlike("«[^»]*$") & text.rlike("«[^»]+»"), head).otherwise(before), new, tail)
 
 
 def find_updates(texts: DataFrame, edits: DataFrame) -> DataFrame:

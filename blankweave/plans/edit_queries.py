@@ -178,9 +178,10 @@ _UPDATE_SQL = dict(
     updated=r"""SELECT doc_id, asked, block_index, CASE WHEN rank = 0 THEN CASE WHEN new_text = '' THEN array_to_string(regexp_extract_all(text, '«[^»]+»', 0), '')
           WHEN regexp_matches(text, '^((?:«[^»]+»)*)[^«]+') THEN regexp_extract(text, '^((?:«[^»]+»)*)[^«]+', 1) || new_text || regexp_replace(text, '^((?:«[^»]+»)*)[^«]+', '')
           ELSE text || new_text END
-        WHEN rank < 10 THEN left(text, a) || new_text || substring(text, a + length(s) + 1)
-        WHEN rank = 10 THEN left(text, a) || new_text || substring(text, CASE WHEN m AND lm >= a THEN greatest(a + length(bare), lc) ELSE a + length(bare) END + 1)
-        ELSE new_text END AS text, CASE WHEN rank = 0 THEN 'set' WHEN rank < 10 THEN 'exact' WHEN rank = 10 THEN 'without fields' ELSE 'rewrite' END AS how FROM spans""",
+        WHEN rank <= 10 THEN left(text, CASE WHEN regexp_matches(left(text, a), '«[^»]*$') THEN a - length(regexp_extract(left(text, a), '«[^«»]*$')) ELSE a END)
+          || new_text || substring(text, 1 + CASE WHEN regexp_matches(left(text, z), '«[^»]*$') THEN z + length(regexp_extract(substring(text, z + 1), '^[^«»]*»')) ELSE z END)
+        ELSE new_text END AS text, CASE WHEN rank = 0 THEN 'set' WHEN rank < 10 THEN 'exact' WHEN rank = 10 THEN 'without fields' ELSE 'rewrite' END AS how
+      FROM (SELECT *, CASE WHEN rank < 10 THEN a + length(s) WHEN m AND lm >= a THEN greatest(a + length(bare), lc) ELSE a + length(bare) END AS z FROM spans)""",
 )
 
 
