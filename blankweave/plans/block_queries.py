@@ -55,11 +55,10 @@ def extract_blocks_from_html(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("block_numbering", duck("""
-  SELECT doc_id, block_index AS first_block, row_number() OVER (PARTITION BY doc_id ORDER BY block_index) - 1 AS block_index
-  FROM form_blocks WHERE block_index % 3 <> 1""", "form_blocks"))
+  SELECT doc_id, block_index * 3 + 1 AS first_block, block_index FROM form_blocks""", "form_blocks"))
 def block_numbering(spark: SparkSession, d: str) -> DataFrame:
-    kept = X.form_blocks(spark, d).where("block_index % 3 <> 1").withColumnRenamed("block_index", "first_block")
-    return B.number_blocks(kept, "first_block").select("doc_id", "first_block", "block_index")
+    gapped = X.form_blocks(spark, d).withColumn("first_block", F.col("block_index") * 3 + 1).drop("block_index")
+    return B.number_blocks(gapped, "first_block").select("doc_id", "first_block", "block_index")
 
 
 @query("nearest_heading", duck("""

@@ -35,10 +35,10 @@ _OUT = "SELECT doc_id, block_index, seg_index, kind, text, field_name, switch, o
 
 @query("overlap_segments", duck("""
   SELECT doc_id, block_index, seg_index, greatest(start_pos, 2) AS overlap_start, least(end_pos, 12) AS overlap_end
-  FROM tseg WHERE doc_id % 3 = 0 AND end_pos > 2 AND start_pos < 12""", "tseg"))
+  FROM tseg WHERE end_pos > 2 AND start_pos < 12""", "tseg"))
 def overlap_segments(spark: SparkSession, d: str) -> DataFrame:
     segs = segments(spark, d)
-    ranges = segs.where("doc_id % 3 = 0").select("doc_id", "block_index").distinct().select(
+    ranges = segs.select("doc_id", "block_index").distinct().select(
         "doc_id", "block_index", F.lit(2).cast("bigint").alias("start_offset"), F.lit(12).cast("bigint").alias("end_offset")
     )
     return S.overlap_segments(segs, ranges).select("doc_id", "block_index", "seg_index", "overlap_start", "overlap_end")
@@ -213,8 +213,8 @@ def update_text_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 _RANGES_SQL = dict(
-    ranges="""SELECT doc_id, block_index, doc_id % 9 AS a, doc_id % 9 + block_index % 7 AS z FROM (SELECT DISTINCT doc_id, block_index FROM tseg) WHERE block_index % 3 = 0
-      UNION ALL SELECT doc_id, block_index, 15, 20 FROM (SELECT DISTINCT doc_id, block_index FROM tseg) WHERE block_index % 6 = 0""",
+    ranges="""SELECT doc_id, block_index, doc_id % 9 AS a, doc_id % 9 + block_index % 7 AS z FROM (SELECT DISTINCT doc_id, block_index FROM tseg)
+      UNION ALL SELECT doc_id, block_index, 15, 20 FROM (SELECT DISTINCT doc_id, block_index FROM tseg)""",
     # Character by character: independent of how the ranges are merged.
     touched="""SELECT t.*, EXISTS (SELECT 1 FROM ranges r WHERE r.doc_id = t.doc_id AND r.block_index = t.block_index AND r.z > r.a AND t.end_pos > r.a AND t.start_pos < r.z) AS hit FROM tseg t""",
     chars="""SELECT doc_id, block_index, seg_index, i, substring(text, i + 1, 1) AS ch, start_pos + i AS p FROM (SELECT *, unnest(range(length(text))) AS i FROM touched WHERE hit AND kind = 'text')""",
@@ -230,10 +230,10 @@ _RANGES_SQL = dict(
 
 def _ranges(segs: DataFrame) -> DataFrame:
     blocks = segs.select("doc_id", "block_index").distinct()
-    first = blocks.where("block_index % 3 = 0").selectExpr(
+    first = blocks.selectExpr(
         "doc_id", "block_index", "doc_id % 9 AS start_offset", "doc_id % 9 + block_index % 7 AS end_offset"
     )
-    second = blocks.where("block_index % 6 = 0").selectExpr(
+    second = blocks.selectExpr(
         "doc_id", "block_index", "cast(15 AS bigint) AS start_offset", "cast(20 AS bigint) AS end_offset"
     )
     return first.unionByName(second)
@@ -292,14 +292,14 @@ def add_block(spark: SparkSession, d: str) -> DataFrame:
 _STRUCTURE_SQL = dict(
     typed="SELECT *, CASE WHEN block_index % 6 = 2 THEN 'table_cell' ELSE 'paragraph' END AS type FROM form_blocks",
     inserts="""SELECT doc_id, block_index, type, text, doc_id % 25 AS off, CASE block_index % 3 WHEN 0 THEN 'page_break' WHEN 1 THEN 'image' ELSE 'table' END AS what,
-        doc_id % 4 AS r, block_index % 3 + 1 AS c FROM typed WHERE block_index % 4 = 2 OR block_index % 5 = 0""",
+        doc_id % 4 AS r, block_index % 3 + 1 AS c FROM typed""",
     judged="""SELECT *, CASE WHEN what = 'page_break' AND type <> 'paragraph' THEN 'page breaks need a paragraph' WHEN length(text) > 0 AND off > length(text) THEN 'offset not found'
         WHEN what = 'table' AND r NOT BETWEEN 1 AND 20 THEN 'table size' WHEN what = 'image' AND doc_id % 10 NOT BETWEEN 1 AND 8 THEN 'image width' END AS error FROM inserts""",
 )
 
 
 def _inserts(typed: DataFrame) -> DataFrame:
-    return typed.where("block_index % 4 = 2 OR block_index % 5 = 0").selectExpr(
+    return typed.selectExpr(
         "doc_id", "block_index", "doc_id % 25 AS offset",
         "CASE block_index % 3 WHEN 0 THEN 'page_break' WHEN 1 THEN 'image' ELSE 'table' END AS what",
         "doc_id % 4 AS rows", "block_index % 3 + 1 AS cols", "concat('anh/', doc_id, '.png') AS image_path",
@@ -337,7 +337,7 @@ def insert_structure_status(spark: SparkSession, d: str) -> DataFrame:
 
 # --- attributes ------------------------------------------------------------------------
 _ATTR_SQL = dict(
-    spans="""SELECT doc_id, block_index, doc_id % 7 AS a, doc_id % 7 + 1 + block_index % 9 AS z, max(end_pos) AS len FROM tseg WHERE block_index % 2 = 0 GROUP BY ALL""",
+    spans="""SELECT doc_id, block_index, doc_id % 7 AS a, doc_id % 7 + 1 + block_index % 9 AS z, max(end_pos) AS len FROM tseg GROUP BY ALL""",
     parts="""SELECT t.*, s.a, s.z, s.doc_id IS NOT NULL AND t.end_pos > s.a AND t.start_pos < s.z AS hit,
         CASE WHEN kind = 'field' THEN 0 ELSE greatest(s.a - start_pos, 0) END AS lo, CASE WHEN kind = 'field' THEN length(text) ELSE least(s.z - start_pos, length(text)) END AS hi,
         seg_index % 2 = 0 AS bold FROM tseg t LEFT JOIN (SELECT * FROM spans WHERE z <= len) s USING (doc_id, block_index)""",
@@ -361,7 +361,7 @@ def _attr_segments(spark: SparkSession, d: str) -> DataFrame:
     bold, CASE WHEN red THEN 'FF0000' END AS color, CASE WHEN red THEN '14' END AS font_size FROM split_up""", "tseg", **_ATTR_SQL))
 def overlay_span_attrs(spark: SparkSession, d: str) -> DataFrame:
     segs = _attr_segments(spark, d)
-    spans = segs.where("block_index % 2 = 0").select("doc_id", "block_index").distinct().select(
+    spans = segs.select("doc_id", "block_index").distinct().select(
         "doc_id", "block_index", (F.col("doc_id") % 7).alias("start_offset"),
         (F.col("doc_id") % 7 + 1 + F.col("block_index") % 9).alias("end_offset"),
         F.expr("map('bold', 'false', 'color', '#ff0000', 'font_size', '14', 'subscript', 'true', 'superscript', 'true')").alias("config"),
@@ -380,7 +380,7 @@ def overlay_span_attrs(spark: SparkSession, d: str) -> DataFrame:
   WHERE t.end_pos > a AND t.start_pos < z AND NOT {blank('t.text')} GROUP BY ALL""", "tseg", **_ATTR_SQL))
 def effective_attrs(spark: SparkSession, d: str) -> DataFrame:
     segs = _attr_segments(spark, d)
-    spans = segs.where("block_index % 2 = 0").select("doc_id", "block_index").distinct().select(
+    spans = segs.select("doc_id", "block_index").distinct().select(
         "doc_id", "block_index", (F.col("doc_id") % 7).alias("start_offset"),
         (F.col("doc_id") % 7 + 1 + F.col("block_index") % 9).alias("end_offset"),
     )
@@ -390,11 +390,11 @@ def effective_attrs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("set_block_attrs", duck("""
-  SELECT doc_id, block_index, CASE WHEN block_index % 3 = 0 AND doc_id % 4 <> 3 THEN CASE doc_id % 4 WHEN 0 THEN 'center' WHEN 1 THEN 'justify' ELSE 'left' END ELSE 'left' END AS alignment,
-    CASE WHEN block_index % 3 = 0 AND doc_id % 4 <> 3 THEN '6' END AS space_after FROM form_blocks""", "form_blocks"))
+  SELECT doc_id, block_index, CASE WHEN doc_id % 4 <> 3 THEN CASE doc_id % 4 WHEN 0 THEN 'center' WHEN 1 THEN 'justify' ELSE 'left' END ELSE 'left' END AS alignment,
+    CASE WHEN doc_id % 4 <> 3 THEN '6' END AS space_after FROM form_blocks""", "form_blocks"))
 def set_block_attrs(spark: SparkSession, d: str) -> DataFrame:
     blocks = X.form_blocks(spark, d).withColumn("attrs", F.expr("map('alignment', 'left')"))
-    formats = blocks.where("block_index % 3 = 0").select(
+    formats = blocks.select(
         "doc_id", "block_index",
         F.expr("""CASE doc_id % 4 WHEN 0 THEN map('alignment', 'center', 'spaceAfter', '6') WHEN 1 THEN map('alignment', 'justify', 'spaceAfter', '6')
           WHEN 2 THEN map('spaceAfter', '6', 'keepTogether', 'true') ELSE map('alignment', 'xiên', 'spaceAfter', '6') END""").alias("paragraph_format"),
@@ -414,16 +414,15 @@ def _bordered(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("set_cell_attrs", duck("""
-  SELECT table_id, "row", col, CASE WHEN "row" % 2 = 0 AND table_id % 3 = 0 THEN 'FFFF00' ELSE '#ffffff' END AS background,
-    CASE WHEN "row" % 2 = 0 THEN 'center' ELSE 'top' END AS v_align, 'left' AS h_align,
-    CASE WHEN "row" % 2 = 0 AND col = 0 THEN 'none' WHEN "row" % 2 = 0 THEN 'single' WHEN ("row" + col) % 3 = 0 THEN 'double' ELSE 'none' END AS top_style
+  SELECT table_id, "row", col, CASE WHEN table_id % 3 = 0 THEN 'FFFF00' ELSE '#ffffff' END AS background, 'center' AS v_align, 'left' AS h_align,
+    CASE WHEN col = 0 THEN 'none' WHEN col = 1 THEN 'single' WHEN ("row" + col) % 3 = 0 THEN 'double' ELSE 'none' END AS top_style
   FROM table_cells""", "table_cells"))
 def set_cell_attrs(spark: SparkSession, d: str) -> DataFrame:
     cells = _bordered(spark, d)
-    formats = cells.where("row % 2 = 0").select(
+    formats = cells.select(
         "table_id", "row", "col", F.expr("CASE WHEN table_id % 3 = 0 THEN '#FFFF00' ELSE 'auto' END").alias("new_background"),
         F.lit("center").alias("new_v_align"), F.lit("xiên").alias("new_h_align"),
-        F.expr("map('top', named_struct('style', CASE WHEN col = 0 THEN 'none' ELSE 'single' END, 'size', bigint(4), 'color', '#000000'))").alias("new_borders"),
+        F.expr("CASE WHEN col < 2 THEN map('top', named_struct('style', CASE WHEN col = 0 THEN 'none' ELSE 'single' END, 'size', bigint(4), 'color', '#000000')) END").alias("new_borders"),
     )
     return S.set_cell_attrs(cells, formats).select(
         "table_id", "row", "col", "background", "v_align", "h_align",
@@ -452,9 +451,9 @@ def effective_borders(spark: SparkSession, d: str) -> DataFrame:
 # --- plans, suggestions, checks -----------------------------------------------------------
 @query("reverse_apply_order", duck("""
   SELECT doc_id, paragraph_index, "order", row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_index DESC, "order" DESC) AS apply_rank
-  FROM (SELECT doc_id, block_index // 2 AS paragraph_index, block_index AS "order" FROM form_blocks WHERE block_index % 3 = 0)""", "form_blocks"))
+  FROM (SELECT doc_id, block_index // 2 AS paragraph_index, block_index AS "order" FROM form_blocks)""", "form_blocks"))
 def reverse_apply_order(spark: SparkSession, d: str) -> DataFrame:
-    targets = X.form_blocks(spark, d).where("block_index % 3 = 0").selectExpr(
+    targets = X.form_blocks(spark, d).selectExpr(
         "doc_id", "block_index DIV 2 AS paragraph_index", "block_index AS order"
     )
     return ST.reverse_apply_order(targets)

@@ -82,7 +82,7 @@ _BATCH = """concat('[{"type":"rename_placeholder","old_name":"field","new_name":
 def _batch(spark: SparkSession, d: str) -> DataFrame:
     from blankweave.sources.readers import read_edits
 
-    requests = X.table(spark, d, "documents").where("doc_id % 2 = 1").select("doc_id", F.expr(_BATCH).alias("operations"))
+    requests = X.table(spark, d, "documents").select("doc_id", F.expr(_BATCH).alias("operations"))
     return read_edits(requests, key="doc_id")[0]
 
 
@@ -91,7 +91,7 @@ def _batch(spark: SparkSession, d: str) -> DataFrame:
       WHEN 2 THEN 'add_paragraph' WHEN 3 THEN 'delete_text_range' ELSE 'update_text' END AS type,
     CASE WHEN op_index = last_op AND last_op < 4 THEN 'validation_failed' ELSE 'executed' END AS status
   FROM (SELECT doc_id, CASE WHEN NOT coalesce(hf, false) THEN 0 WHEN doc_id % 4 = 3 THEN 1 ELSE 4 END AS last_op FROM documents
-    LEFT JOIN (SELECT doc_id, bool_or(field_name = 'field') AS hf FROM tfields GROUP BY doc_id) USING (doc_id) WHERE doc_id % 2 = 1) d,
+    LEFT JOIN (SELECT doc_id, bool_or(field_name = 'field') AS hf FROM tfields GROUP BY doc_id) USING (doc_id)) d,
     unnest(range(5)) AS u(op_index) WHERE op_index <= last_op""", "tfields"))
 def apply_edits(spark: SparkSession, d: str) -> DataFrame:
     """Status of every edit that was reached; a failed check ends the batch of its template."""
@@ -135,13 +135,13 @@ def map_model(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("registered_functions", duck(f"""
-  SELECT doc_id, block_index, CAST(len(blanks) AS BIGINT) AS blanks, {slug('left(block_text, 60)')} AS slug, {title('left(block_text, 60)')} AS title
+  SELECT doc_id, block_index, CAST(len(blanks) AS BIGINT) AS blanks, {slug('block_text')} AS slug, {title('block_text')} AS title
   FROM cut""", "cut"))
 def registered_functions(spark: SparkSession, d: str) -> DataFrame:
     register_functions(spark)
     return X.form_lines(spark, d).selectExpr(
-        "doc_id", "block_index", "bigint(size(blank_spans(text))) AS blanks", "slugify_vi(left(text, 60)) AS slug",
-        "title_py(left(text, 60)) AS title",
+        "doc_id", "block_index", "bigint(size(blank_spans(text))) AS blanks", "slugify_vi(text) AS slug",
+        "title_py(text) AS title",
     )
 
 
