@@ -45,32 +45,40 @@ def _spliced(text: Column, start: Column, end: Column, new: Column) -> Column:
     return F.concat(F.when(before.rlike("«[^»]*$") & text.rlike("«[^»]+»"), head).otherwise(before), new, tail)
 
 
-def find_updates(texts: DataFrame, edits: DataFrame) -> DataFrame:
-    """Where each text update lands and what the block says afterwards.
+def with_updates(blocks: DataFrame, edits: DataFrame) -> DataFrame:
+    """Blocks with the outcome of the text update asked of them: ``_ahead``, ``how`` and ``updated``.
 
-    ``edits(doc_id, block_index, old_text, new_text)``, one per block. The old
-    text is looked for in the block and the three after it, then without fields
-    in the block itself; what is not found replaces a block that has no fields.
-    Blank old text sets or clears the block.
+    ``blocks(doc_id, block_index, text, ...)``; ``edits(doc_id, block_index,
+    old_text, new_text)``, one per block. The edits of a document (one request)
+    come as an array on ``doc_id``, so the corpus keeps its clustering and is
+    passed once.
     """
-    old, new = F.col("old_text"), F.coalesce("new_text", F.lit(""))
-    prepared = edits.select(
-        "doc_id", F.col("block_index").alias("_asked"), "old_text", new.alias("new_text"),
-        T.normalize_text(F.coalesce(old, F.lit(""))).alias("_search"),
-        T.normalize_without_fields(F.coalesce(old, F.lit(""))).alias("_bare"),
-    )
-    tries = (
-        prepared.withColumn("_ahead", F.explode(F.sequence(F.lit(0), F.lit(LOOK_AHEAD))))
-        .withColumn("block_index", F.col("_asked") + F.col("_ahead"))
-        .join(texts, BLOCK)
-    )
-    text, here = F.col("text"), F.col("_ahead") == 0
-    clearing = F.col("_search") == ""
-    exact = F.regexp_substr(text, search_pattern(F.col("_search")))
-    found = tries.withColumn("_exact", F.when(~clearing, exact)).withColumn(
-        "_fuzzy", F.when(here & ~clearing & F.col("_exact").isNull() & (F.col("_bare") != ""), F.regexp_substr(text, search_pattern(F.col("_bare"))))
-    )
-    at = F.instr(text, F.col("_exact")) - 1
+    requests = edits.groupBy("doc_id").agg(
+        F.collect_list(F.struct("block_index", "old_text", F.coalesce("new_text", F.lit("")).alias("new_text"))).alias("_edits")
+    )
+    text = F.col("text")
+    order = W.partitionBy("doc_id").orderBy("block_index")
+    asked = blocks.join(requests, "doc_id", "left").withColumn(
+        "_edit", F.get(F.filter("_edits", lambda e: e["block_index"] == F.col("block_index")), 0)
+    )
+    places = F.array(text, *[F.lead("text", ahead).over(order) for ahead in range(1, LOOK_AHEAD + 1)])
+    old, new = F.coalesce("_edit.old_text", F.lit("")), F.col("_edit.new_text")
+    out = (
+        asked.withColumn("_places", places)
+        .withColumn("_search", F.when(F.col("_edit").isNotNull(), T.normalize_text(old)))
+        .withColumn("_bare", F.when(F.col("_edit").isNotNull(), T.normalize_without_fields(old)))
+        .withColumn("_pattern", F.when(F.col("_search") != "", search_pattern(F.col("_search"))))
+    )
+    hits = F.transform(
+        F.col("_places"),
+        lambda place, i: F.struct(
+            i.alias("ahead"), place.alias("text"), F.regexp_substr(place, F.col("_pattern")).alias("hit")
+        ),
+    )
+    first = F.get(F.filter(hits, lambda h: h["hit"].isNotNull()), 0)
+    out = out.withColumn("_found", F.when(F.col("_pattern").isNotNull(), first))
+    missed = F.col("_pattern").isNotNull() & F.col("_found").isNull() & (F.col("_bare") != "")
+    out = out.withColumn("_fuzzy", F.when(missed, F.regexp_substr(text, search_pattern(F.col("_bare")))))
     fuzzy_at = F.instr(text, F.col("_fuzzy")) - 1
     last_mark = F.length(text) - F.instr(F.reverse(text), F.lit("«"))
     last_close = F.length(text) - F.instr(F.reverse(text), F.lit("»")) + 1
@@ -80,43 +88,60 @@ def find_updates(texts: DataFrame, edits: DataFrame) -> DataFrame:
     stretched = F.when(has_mark & (last_mark >= fuzzy_at), F.greatest(fuzzy_end, last_close)).otherwise(fuzzy_end)
     marks = F.array_join(F.regexp_extract_all(text, F.lit("«[^»]+»"), F.lit(0)), "")
     lead = r"^((?:«[^»]+»)*)[^«]+"
-    setting = F.regexp_replace("new_text", r"(?U)^ +", "")
-    set_text = F.when(text.rlike(lead), F.concat(F.regexp_extract(text, lead, 1), setting, F.regexp_replace(text, lead, ""))).otherwise(
-        F.concat(text, setting)
-    )
+    setting = F.regexp_replace(new, r"^ +", "")
+    set_text = F.when(
+        text.rlike(lead), F.concat(F.regexp_extract(text, lead, 1), setting, F.regexp_replace(text, lead, ""))
+    ).otherwise(F.concat(text, setting))
+
+    def outcome(ahead: Column, how: str, updated: Column) -> Column:
+        return F.struct(ahead.alias("ahead"), F.lit(how).alias("how"), updated.alias("updated"))
+
+    here = F.lit(0)
+    there, hit = F.col("_found.text"), F.col("_found.hit")
+    at = F.instr(there, hit) - 1
     result = (
-        F.when(clearing & here, F.struct(F.lit(0).alias("rank"), F.lit("set").alias("how"), F.when(T.is_blank(F.col("new_text")), marks).otherwise(set_text).alias("updated")))
-        .when(F.col("_exact").isNotNull(), F.struct((F.col("_ahead") + 1).alias("rank"), F.lit("exact").alias("how"), _spliced(text, at, at + F.length("_exact"), F.col("new_text")).alias("updated")))
-        .when(F.col("_fuzzy").isNotNull(), F.struct(F.lit(10).alias("rank"), F.lit("without fields").alias("how"), _spliced(text, fuzzy_at, stretched, F.col("new_text")).alias("updated")))
-        .when(here & ~has_mark & ~clearing, F.struct(F.lit(20).alias("rank"), F.lit("rewrite").alias("how"), F.col("new_text").alias("updated")))
+        F.when(F.col("_search") == "", outcome(here, "set", F.when(T.is_blank(new), marks).otherwise(set_text)))
+        .when(F.col("_found").isNotNull(), outcome(F.col("_found.ahead"), "exact", _spliced(there, at, at + F.length(hit), new)))
+        .when(F.col("_fuzzy").isNotNull(), outcome(here, "without fields", _spliced(text, fuzzy_at, stretched, new)))
+        .when(F.col("_edit").isNotNull() & ~has_mark, outcome(here, "rewrite", new))
     )
-    best = (
-        found.withColumn("_r", result).where("_r IS NOT NULL")
-        .groupBy("doc_id", "_asked").agg(F.min(F.struct("_r.rank", "block_index", "_r.how", "_r.updated")).alias("_b"))
+    done = out.withColumn("_o", result)
+    return done.select(
+        *blocks.columns, F.col("_o.ahead").alias("_ahead"), F.col("_o.how").alias("how"), F.col("_o.updated").alias("updated")
     )
-    return prepared.select("doc_id", "_asked").join(best, ["doc_id", "_asked"], "left").select(
-        "doc_id", F.col("_asked").alias("block_index"), F.col("_b.block_index").alias("target_block"),
-        F.coalesce("_b.how", F.lit("failed")).alias("how"), F.col("_b.updated").alias("updated"),
+
+
+def find_updates(texts: DataFrame, edits: DataFrame) -> DataFrame:
+    """Where each text update lands and how it was found.
+
+    The old text is looked for in the block and the three after it, then
+    without fields in the block itself; what is not found replaces a block that
+    has no fields. Blank old text sets or clears the block.
+    """
+    found = with_updates(texts, edits).where("how IS NOT NULL").select(
+        *BLOCK, (F.col("block_index") + F.col("_ahead")).alias("target_block"), "how"
     )
+    return edits.select(*BLOCK).join(found, BLOCK, "left").withColumn("how", F.coalesce("how", F.lit("failed")))
 
 
 def update_text(segments: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Apply text updates; fields named in the new text keep their switch and original text.
 
     A field new to the block takes the switch of the block's first field. The
-    segments of a block travel as one nested row, so the block is rebuilt
-    without another join.
+    segments of a block travel as one nested row and an outcome reaches the
+    block it is for by a window, so the corpus is passed once and clusters on
+    ``doc_id`` throughout.
     """
     nested = nested_blocks(segments)
-    outcome = find_updates(nested.select(*BLOCK, "text"), edits)
-    changed = outcome.where("how <> 'failed'").groupBy("doc_id", F.col("target_block").alias("block_index")).agg(
-        F.min_by("updated", "block_index").alias("updated")
-    )
-    joined = nested.join(changed, BLOCK, "left")
+    found = with_updates(nested, edits)
+    order = W.partitionBy("doc_id").orderBy("block_index")
+    # Of several outcomes for one block, that of the earliest edit counts.
+    incoming = F.coalesce(*[
+        F.lag(F.when(F.col("_ahead") == ahead, F.col("updated")), ahead).over(order) for ahead in range(LOOK_AHEAD, -1, -1)
+    ])
+    changed = found.withColumn("_text", incoming)
     fields = F.filter("segs", lambda s: s["kind"] == "field")
     first_switch = F.coalesce(F.get(fields, 0)["switch"], F.lit(V.SWITCH_KEEP))
-    parts = F.split("updated", "«[^»]+»", -1)
-    names = F.regexp_extract_all("updated", F.lit("«([^»]+)»"), F.lit(1))
     none = F.lit(None).cast("string")
 
     def pair(piece: Column, i: Column) -> Column:
@@ -134,17 +159,18 @@ def update_text(segments: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataF
     # Texts between fields may be empty; a block left without any text keeps one empty segment.
     rebuilt = F.filter(
         F.flatten(F.transform("_parts", pair)),
-        lambda s: F.coalesce((s["text"] != "") | ((F.col("updated") == "") & (s["kind"] == "text")), F.lit(False)),
+        lambda s: F.coalesce((s["text"] != "") | ((F.col("_text") == "") & (s["kind"] == "text")), F.lit(False)),
     )
     prepared = (
-        joined.withColumn("_fields", fields).withColumn("_switch", first_switch)
-        .withColumn("_parts", parts).withColumn("_names", names)
+        changed.withColumn("_fields", fields).withColumn("_switch", first_switch)
+        .withColumn("_parts", F.split("_text", "«[^»]+»", -1))
+        .withColumn("_names", F.regexp_extract_all("_text", F.lit("«([^»]+)»"), F.lit(1)))
     )
-    rows = F.when(F.col("updated").isNull(), F.col("segs")).otherwise(rebuilt)
+    rows = F.when(F.col("_text").isNull(), F.col("segs")).otherwise(rebuilt)
     exploded = prepared.select(*BLOCK, F.posexplode(rows).alias("pos", "_s")).select(
         *BLOCK, F.col("pos").cast("bigint").alias("seg_index"), "_s.kind", "_s.text", "_s.field_name", "_s.switch", "_s.original_text"
     )
-    return FL.with_offsets(exploded).select(*segments.columns), outcome.drop("updated")
+    return FL.with_offsets(exploded).select(*segments.columns), find_updates(nested.select(*BLOCK, "text"), edits)
 
 
 def nested_blocks(segments: DataFrame) -> DataFrame:
