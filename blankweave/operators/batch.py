@@ -10,6 +10,7 @@ the JVM, and all single-kind edits have set-based forms in ``spans``,
 
 from __future__ import annotations
 
+import json
 import re
 
 import pyarrow as pa
@@ -508,24 +509,31 @@ def _arrow_schema() -> pa.Schema:
 
 
 def _fold_tables(validate_only: bool, stop_on_error: bool):
+    names = edit_fields()
+
     def run(segments: pa.Table, edits: pa.Table) -> pa.Table:
-        rows = fold(segments.to_pylist(), edits.to_pylist(), validate_only, stop_on_error)
+        ops = [dict.fromkeys(names) | json.loads(op) for op in edits.column("op").to_pylist()]
+        rows = fold(segments.to_pylist(), ops, validate_only, stop_on_error)
         for row in rows:
             for key in ("block_attrs", "attrs"):
-                if isinstance(row.get(key), dict):
-                    row[key] = list(row[key].items())
+                value = row.get(key)
+                row[key] = list(value.items()) if isinstance(value, dict) and value else None
         return pa.Table.from_pylist(rows, schema=_arrow_schema())
 
     return run
 
 
+def edit_fields() -> list[str]:
+    """Column names of an edit row."""
+    from blankweave.sources.readers import EDIT_SCHEMA
+
+    return re.findall(r"(\w+) [A-Z]+", re.sub(r"<[^>]*(?:<[^>]*>)?[^>]*>", "", EDIT_SCHEMA))
+
+
 def with_layout(segments: DataFrame) -> DataFrame:
-    """Template segments with all columns of a document under edit."""
-    empty = F.create_map().cast("map<string,string>")
-    defaults = {
-        "type": F.lit("paragraph"), "table_index": F.lit(None), "row": F.lit(None), "col": F.lit(None),
-        "block_attrs": empty, "attrs": empty,
-    }
+    """Template segments with all columns of a document under edit; no attributes are NULL."""
+    none = F.lit(None)
+    defaults = {"type": F.lit("paragraph")} | dict.fromkeys(("table_index", "row", "col", "block_attrs", "attrs"), none)
     columns = []
     for part in re.sub(r"<[^>]*>", "<>", SEGMENT_SCHEMA).split(", "):
         name, kind = part.split(" ")
@@ -543,17 +551,9 @@ def apply_edits(
     that was reached, told apart by ``op_index``. Write or cache this table
     once and take both parts from it.
     """
-    from blankweave.sources.readers import EDIT_SCHEMA
-
-    wide = F.from_json(F.lit("{}"), EDIT_SCHEMA)
-    fields = edits.sparkSession.range(0).select(wide.alias("e")).select("e.*").schema
-    full = edits.select(
-        "doc_id", "op_index",
-        *[
-            (F.col(f.name) if f.name in edits.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in fields
-        ],
-    )
+    # One JSON column per edit: most of the wide columns of an edit are empty.
+    present = [c for c in ("doc_id", "op_index", *edit_fields()) if c in edits.columns]
+    full = edits.select("doc_id", F.to_json(F.struct(*present)).alias("op"))
     touched = with_layout(segments).join(full.select("doc_id").distinct(), "doc_id", "left_semi")
     return (
         touched.groupBy("doc_id").cogroup(full.groupBy("doc_id"))
