@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, shared
+from . import near_dedup, quality_rules, shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,3 +25,8 @@ def query(name: str, sql: str | None = None):
 @query("op10_quality_rules")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
+
+
+@query("op1_near_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(shared.table(spark, sf_dir, "documents"), size=4)
