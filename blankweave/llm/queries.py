@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, quality_rules, shared
+from . import bpe, license_scan, near_dedup, packing, pii, quality_model, quality_rules, shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +31,29 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_near_dedup")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(shared.table(spark, sf_dir, "documents"), size=4)
+
+
+@query("op3_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(shared.table(spark, sf_dir, "documents"))
+
+
+@query("op2_license_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(shared.table(spark, sf_dir, "documents"))
+
+
+@query("op6_bpe")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.encode_documents(shared.table(spark, sf_dir, "documents"), path, digests=True)
+
+
+@query("op7_pii")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(shared.table(spark, sf_dir, "documents"))
+
+
+@query("op9_quality_classifier")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.report(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
