@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, near_dedup, packing, pii, quality_model, quality_rules, shared
+from . import bpe, edit_fingerprint, license_scan, near_dedup, packing, pii, quality_model, quality_rules, shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +54,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(shared.table(spark, sf_dir, "documents"))
 
 
+@query("op8_edit_fingerprint")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprint.report(shared.table(spark, sf_dir, "documents"))
+
+
 @query("op9_quality_classifier")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.report(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
