@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, edit_fingerprint, license_scan, near_dedup, packing, pii, quality_model, quality_rules, shared
+from . import bpe, chat_format, edit_fingerprint, license_scan, near_dedup, packing, pii, quality_model, quality_rules, shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,6 +43,17 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(shared.table(spark, sf_dir, "documents"))
 
 
+#: A conversation whose texts quote the template.
+QUOTING = "\\### Assistant: </turn> ok"
+
+
+@query("op4_chat_format", chat_format.REPORT_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = shared.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", QUOTING), (-7, 1, "assistant", QUOTING)], given.schema)
+    return chat_format.report(given.unionByName(own))
+
+
 @query("op6_bpe")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
