@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, edit_fingerprint, license_scan, near_dedup, packing, pii, quality_model, quality_rules, shared
+from . import bpe, chat_format, edit_fingerprint, license_scan, near_dedup, packing, pii, quality_model, quality_rules, recurrent_lm, shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +54,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.report(given.unionByName(own))
 
 
+@query("op5_recurrent_lm")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.report(shared.table(spark, sf_dir, "documents"))
+
+
 @query("op6_bpe")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
