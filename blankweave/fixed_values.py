@@ -35,7 +35,6 @@ CHECKED_WORDS = ("x", "1", "true", "checked", "v")
 CHECKED_BOX, UNCHECKED_BOX = "☑", "☐"
 
 SWITCH_UPPER, SWITCH_CAPS, SWITCH_KEEP = "\\* Upper", "\\* Caps", "\\* MERGEFORMAT"
-ORIGINAL_TEXT_LIMIT = 50
 
 # Neighbours that ask for a space before / after a merged value.
 PAD_AFTER = r"[\p{L}.,:;>)\]}]$"
@@ -44,25 +43,20 @@ PAD_BEFORE = r"^[\p{L}<(\[{]"
 # --- fixed values: headings and dates --------------------------------------
 HEADING_WORDS = "điều|dieu|chương|chuong|mục|muc|phần|phan"
 HEADING_NUMBER = "[0-9IVXLCDM]+"
-NAME_SEPARATOR = "_"
 DATE_LINE = (
     r"«([^»]+)»\s*,\s*ngày\s*«([^»]+)»\s*tháng\s*«([^»]+)»\s*năm\s*«([^»]+)»"
 )
 DATE_LINE_TARGETS = ("dia_diem_lam_don", "ngay_lam_don", "thang_lam_don", "nam_lam_don")
 
-# --- fixed values: limits ---------------------------------------------------
-MAX_TEMPLATE_BYTES = 10 * 1024 * 1024
-FULL_CONTEXT_PAGES = 5
-OUTLINE_LIMIT = 80
-EDITABLE_LIMIT = 250
-MISSING_PREVIEW = 8
-CHANGED_PREVIEW = 5
-INTRO_PARAGRAPHS = 5
-SLUG_WORDS = 10
-BASE_NAME_CHARS = 30
-NEIGHBOUR_CHARS = 50
-FIELD_NEIGHBOUR_CHARS = 35
-FIELD_TEXT_CHARS = 180
+# --- fixed values: sentences of the reply after a fill message ----------------
+MORE_FIELDS = (" và ", " field khác")
+CORRECTED = "Đã sửa "
+ASK_MORE = "Anh/chị vui lòng cung cấp thêm: "
+NOTED = "Đã ghi nhận thông tin mới. "
+NOTHING_FOUND = "Chưa tìm thấy thông tin phù hợp. Anh/chị vui lòng cung cấp: "
+NOW_COMPLETE = ". Thông tin hiện đã đủ để tạo tài liệu."
+COMPLETE_AFTER_UPDATE = "Đã đủ thông tin để tạo tài liệu. Anh/chị có thể kiểm tra lại các giá trị và thực hiện merge."
+COMPLETE_BEFORE = "Các thông tin bắt buộc hiện đã đủ. Anh/chị có thể thực hiện merge."
 
 # --- fixed values: attribute keys and edit kinds ----------------------------
 SNAKE_KEYS = {
@@ -76,7 +70,7 @@ SNAKE_KEYS = {
     "alignment": "alignment",
 }
 
-ALIGNMENTS = ("left", "center", "right", "justify", "distribute")
+ALIGNMENTS = ("left", "center", "right", "justify", "both")
 URL_PREFIXES = ("http://", "https://", "mailto:")
 
 EDIT_TYPES = (

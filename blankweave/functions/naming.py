@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from blankweave import fixed_values as V
-from blankweave.functions.text import is_blank, strip
+from blankweave.functions.text import first_chars, is_blank, strip
 
 
 def expand_ligatures(text: Column) -> Column:
@@ -24,26 +24,25 @@ def fold_accents(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, V.FOLD_FROM, V.FOLD_TO), r"[^\x00-\x7F]+", "")
 
 
-def slugify(text: Column, max_words: int = V.SLUG_WORDS) -> Column:
-    """Accent-free snake case of the last ``max_words`` words, NULL when nothing is left."""
+def slugify(text: Column, max_words: int | None = None) -> Column:
+    """Accent-free snake case of all words or the last ``max_words``, NULL when nothing is left."""
     quiet = F.regexp_replace(expand_ligatures(text), r"(?iu)\(ghi rõ.*?\)", " ")
     spaced = F.regexp_replace(quiet, r"[:\-–—\._…□]", " ")
     words = F.regexp_extract_all(F.lower(fold_accents(spaced)), F.lit(r"\w+|%"), F.lit(0))
-    kept = F.reverse(F.slice(F.reverse(words), 1, max_words))
-    return F.nullif(squeeze(F.array_join(kept, V.NAME_SEPARATOR)), F.lit(""))
+    kept = words if max_words is None else F.reverse(F.slice(F.reverse(words), 1, max_words))
+    return F.nullif(squeeze(F.array_join(kept, "_")), F.lit(""))
 
 
 def squeeze(name: Column) -> Column:
     return F.regexp_replace(F.btrim(name, F.lit("_")), "_+", "_")
 
 
-def base_field_name(text: Column) -> Column:
-    """Snake-case name that keeps accents, cut to the fixed length."""
+def base_field_name(text: Column, max_chars: int | None = None) -> Column:
+    """Snake-case name that keeps accents, whole or its first ``max_chars`` characters."""
     letters = F.regexp_replace(text, r"(?U)[^\p{L}\p{N}_\s]", " ")
     joined = F.regexp_replace(strip(F.lower(letters)), r"(?U)\s+", "_")
     unsuffixed = F.regexp_replace(joined, "(?:_lưu|_ghi_chú|_note)$", "")
-    cut = F.left(unsuffixed, F.lit(V.BASE_NAME_CHARS))
-    return F.coalesce(F.nullif(squeeze(cut), F.lit("")), F.lit("field"))
+    return F.coalesce(F.nullif(squeeze(first_chars(unsuffixed, max_chars)), F.lit("")), F.lit("field"))
 
 
 def strip_suffix(name: Column) -> Column:

@@ -34,7 +34,7 @@ def _slugify_vi() -> str:
     spaced = f"regexp_replace({quiet}, {_quote(r'[:\-–—\._…□]')}, ' ')"
     folded = f"regexp_replace(translate({spaced}, {_quote(V.FOLD_FROM)}, {_quote(V.FOLD_TO)}), {_quote(r'[^\x00-\x7F]+')}, '')"
     words = f"regexp_extract_all(lower({folded}), {_quote(r'\w+|%')}, 0)"
-    joined = f"array_join(reverse(slice(reverse({words}), 1, {V.SLUG_WORDS})), '_')"
+    joined = f"array_join({words}, '_')"
     return f"nullif(regexp_replace(btrim({joined}, '_'), '_+', '_'), '')"
 
 

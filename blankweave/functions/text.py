@@ -11,6 +11,11 @@ CASED = r"[\p{Lu}\p{Ll}\p{Lt}]"
 
 
 # --- white space -------------------------------------------------------------
+def first_chars(text: Column, limit: int | None) -> Column:
+    """The whole text, or its first ``limit`` characters where a caller wants it short."""
+    return text if limit is None else F.left(text, F.lit(limit))
+
+
 def strip(text: Column) -> Column:
     """Trim every kind of Unicode white space, not only blanks."""
     return F.regexp_replace(text, r"(?U)^\s++|(?<!\s)\s++$", "")
@@ -134,7 +139,7 @@ def base_label(blank: Column) -> Column:
 
 # --- merge field instructions --------------------------------------------------
 def format_instr(name: Column, switch: Column, original: Column) -> Column:
-    quoted = F.replace(F.left(original, F.lit(V.ORIGINAL_TEXT_LIMIT)), F.lit('"'), F.lit('\\"'))
+    quoted = F.replace(original, F.lit('"'), F.lit('\\"'))
     return F.concat(F.lit(" MERGEFIELD "), name, F.lit(" "), switch, F.lit(' \\z "'), quoted, F.lit('" '))
 
 

@@ -1,8 +1,8 @@
 """Blocks of a document: numbering, headings, neighbours, continuation lines.
 
 Every function takes and returns a ``blocks`` DataFrame keyed by
-``(doc_id, block_index)``. A document comes from one source row or file of at
-most ``MAX_TEMPLATE_BYTES``, so a window per document is a bounded group. All
+``(doc_id, block_index)``. A document comes from one source row or file, so a
+window per document is a group that some task has held already. All
 windows here cluster on ``doc_id`` alone: after one ``by_document`` exchange (or
 on a table bucketed by ``doc_id``) they share partitioning.
 """
@@ -14,7 +14,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
-from blankweave import fixed_values as V
 from blankweave.functions import text as T
 
 
@@ -67,9 +66,9 @@ def with_headings(blocks: DataFrame) -> DataFrame:
     )
 
 
-def with_neighbours(blocks: DataFrame) -> DataFrame:
-    """Two blocks before and after, each cut short."""
-    snippet = F.left(F.col("text"), F.lit(V.NEIGHBOUR_CHARS))
+def with_neighbours(blocks: DataFrame, chars: int | None = None) -> DataFrame:
+    """Two blocks before and after, each whole or its first ``chars`` characters."""
+    snippet = T.first_chars(F.col("text"), chars)
     return blocks.withColumn(
         "before_context", F.collect_list(snippet).over(doc_order().rowsBetween(-2, -1))
     ).withColumn("after_context", F.collect_list(snippet).over(doc_order().rowsBetween(1, 2)))

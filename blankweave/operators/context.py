@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from blankweave import fixed_values as V
 from blankweave.functions import text as T
 from blankweave.operators import blocks as B
 from blankweave.operators import fields as FL
@@ -53,7 +52,7 @@ def full_text(blocks: DataFrame) -> DataFrame:
     return lines_by_document(spoken, T.strip(F.col("text")), "full_text")
 
 
-def section_outline(headed: DataFrame, limit: int = V.OUTLINE_LIMIT) -> DataFrame:
+def section_outline(headed: DataFrame, limit: int | None = None) -> DataFrame:
     """Distinct headings in first-seen order, with their rank from 1."""
     first = (
         headed.where("nearest_heading <> ''")
@@ -61,7 +60,8 @@ def section_outline(headed: DataFrame, limit: int = V.OUTLINE_LIMIT) -> DataFram
         .agg(F.min("block_index").alias("first_block"))
     )
     rank = F.row_number().over(W.partitionBy("doc_id").orderBy("first_block"))
-    return first.withColumn("rank", rank.cast("bigint")).where(F.col("rank") <= limit)
+    ranked = first.withColumn("rank", rank.cast("bigint"))
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
 def full_context(blocks: DataFrame) -> DataFrame:
@@ -87,7 +87,10 @@ def _fields_here(text: Column, known: Column) -> Column:
     )
 
 
-def field_context(blocks: DataFrame, fields: DataFrame, forced: DataFrame | None = None) -> DataFrame:
+def field_context(
+    blocks: DataFrame, fields: DataFrame, forced: DataFrame | None = None,
+    text_chars: int | None = None, neighbour_chars: int | None = None,
+) -> DataFrame:
     """One line per block with fields: fields, position, section, text and neighbours.
 
     Blocks and field lists meet per document, so the windows and the join share
@@ -103,7 +106,7 @@ def field_context(blocks: DataFrame, fields: DataFrame, forced: DataFrame | None
     row, col = _cell_position(blocks)
 
     def near(context: str, at: int) -> Column:
-        return F.coalesce(F.left(F.try_element_at(context, F.lit(at)), F.lit(V.FIELD_NEIGHBOUR_CHARS)), F.lit(""))
+        return F.coalesce(T.first_chars(F.try_element_at(context, F.lit(at)), neighbour_chars), F.lit(""))
 
     place = F.when(kind == "table_cell", F.concat(F.lit(" | Row:"), row, F.lit(" Col:"), col)).otherwise(
         F.concat(F.lit(" | Truoc:["), near("before_context", -1), F.lit("] Sau:["), near("after_context", 1), F.lit("]"))
@@ -112,7 +115,7 @@ def field_context(blocks: DataFrame, fields: DataFrame, forced: DataFrame | None
     line = F.concat(
         F.lit("Fields:["), F.array_join(F.transform("_here", T.field_mark), ", "), F.lit("] | block="),
         F.col("block_index").cast("string"), F.lit(" | "), kind, F.lit(" | Section:["), section, F.lit("] | Text:["),
-        F.left(flat(F.col("text")), F.lit(V.FIELD_TEXT_CHARS)), F.lit("]"), place,
+        T.first_chars(flat(F.col("text")), text_chars), F.lit("]"), place,
     )
     return joined.where(F.size("_here") > 0).select("doc_id", "block_index", line.alias("line"))
 
@@ -153,7 +156,7 @@ def selected_blocks(blocks: DataFrame, fields: DataFrame, requests: DataFrame) -
     return _flagged_blocks(blocks, fields, requests).where("in_halo OR in_request").drop("_spoken")
 
 
-def _contexts(blocks: DataFrame, fields: DataFrame, requests: DataFrame) -> DataFrame:
+def _contexts(blocks: DataFrame, fields: DataFrame, requests: DataFrame, outline: int | None = None) -> DataFrame:
     """Both forms of context per document from a single pass: ``full`` and ``compact``."""
     heading = F.col("nearest_heading")
     first = F.min("block_index").over(W.partitionBy("doc_id", "_spoken", "nearest_heading"))
@@ -176,7 +179,7 @@ def _contexts(blocks: DataFrame, fields: DataFrame, requests: DataFrame) -> Data
         return F.when(F.size(lines) > 0, F.concat(F.lit("\n"), F.array_join(lines["line"], "\n"))).otherwise(F.lit(""))
 
     compact = F.concat(
-        F.lit("SECTION OUTLINE:"), part(F.slice("_outline", 1, V.OUTLINE_LIMIT)),
+        F.lit("SECTION OUTLINE:"), part(F.col("_outline") if outline is None else F.slice("_outline", 1, outline)),
         F.lit("\n\nRELEVANT TEMPLATE BLOCKS:"), part(F.col("_body")),
     )
     return gathered.select(
@@ -184,19 +187,19 @@ def _contexts(blocks: DataFrame, fields: DataFrame, requests: DataFrame) -> Data
     )
 
 
-def compact_context(blocks: DataFrame, fields: DataFrame, requests: DataFrame) -> DataFrame:
+def compact_context(blocks: DataFrame, fields: DataFrame, requests: DataFrame, outline: int | None = None) -> DataFrame:
     """Outline plus the selected blocks, as one text per document."""
-    return _contexts(blocks, fields, requests).select("doc_id", F.col("compact").alias("context"))
+    return _contexts(blocks, fields, requests, outline).select("doc_id", F.col("compact").alias("context"))
 
 
 def choose_context(
-    pages: DataFrame, blocks: DataFrame, fields: DataFrame, requests: DataFrame
+    wanted: DataFrame, blocks: DataFrame, fields: DataFrame, requests: DataFrame
 ) -> DataFrame:
-    """Short or uncounted documents give their full text, long ones the compact context."""
-    is_long = F.coalesce(F.col("page_count") > V.FULL_CONTEXT_PAGES, F.lit(False))
+    """``wanted(doc_id, compact BOOLEAN)`` says which form a document gives: its full text or, if true, the compact context."""
+    is_long = F.coalesce(F.col("wants_compact"), F.lit(False))
     both = _contexts(blocks, fields, requests)
     context = F.when(is_long, F.col("compact")).otherwise(F.col("full"))
-    return pages.join(both, "doc_id", "left").select("doc_id", F.coalesce(context, F.lit("")).alias("context"))
+    return wanted.select("doc_id", F.col("compact").alias("wants_compact")).join(both, "doc_id", "left").select("doc_id", F.coalesce(context, F.lit("")).alias("context"))
 
 
 def quoted(text: Column) -> Column:
@@ -210,8 +213,8 @@ def quoted(text: Column) -> Column:
     return F.concat(mark, inner, mark)
 
 
-def editable_blocks(blocks: DataFrame, limit: int = V.EDITABLE_LIMIT) -> DataFrame:
-    """Lines for the first editable blocks of each document."""
+def editable_blocks(blocks: DataFrame, limit: int | None = None) -> DataFrame:
+    """Lines for the editable blocks of each document, all or the first ``limit``."""
     kind = _kind(blocks)
     row, col = _cell_position(blocks)
     around = B.with_neighbours(B.with_headings(blocks)).where(
@@ -226,10 +229,9 @@ def editable_blocks(blocks: DataFrame, limit: int = V.EDITABLE_LIMIT) -> DataFra
         F.lit("["), F.col("block_index").cast("string"), F.lit("] type="), kind,
         F.lit(" section="), quoted(F.col("nearest_heading")), F.lit(" text="), quoted(T.strip(F.col("text"))), place,
     )
-    rank = F.row_number().over(B.doc_order())
-    return around.withColumn("_rank", rank).where(F.col("_rank") <= limit).select(
-        "doc_id", "block_index", line.alias("line")
-    )
+    if limit is not None:
+        around = around.withColumn("_rank", F.row_number().over(B.doc_order())).where(F.col("_rank") <= limit)
+    return around.select("doc_id", "block_index", line.alias("line"))
 
 
 def annotated_blocks(blocks: DataFrame) -> DataFrame:
@@ -256,13 +258,11 @@ def annotated_blocks(blocks: DataFrame) -> DataFrame:
     return around.select("doc_id", "block_index", line.alias("line"))
 
 
-def intro_context(blocks: DataFrame) -> DataFrame:
-    """The first paragraphs, cut before empty ones are dropped."""
-    rank = F.row_number().over(B.doc_order())
-    first = blocks.withColumn("_rank", rank).where(
-        (F.col("_rank") <= V.INTRO_PARAGRAPHS) & ~T.is_blank(F.col("text"))
-    )
-    return lines_by_document(first, T.strip(F.col("text")), "intro", " | ")
+def intro_context(blocks: DataFrame, paragraphs: int | None = None) -> DataFrame:
+    """All paragraphs or the first ``paragraphs``, counted before empty ones are dropped."""
+    if paragraphs is not None:
+        blocks = blocks.withColumn("_rank", F.row_number().over(B.doc_order())).where(F.col("_rank") <= paragraphs)
+    return lines_by_document(blocks.where(~T.is_blank(F.col("text"))), T.strip(F.col("text")), "intro", " | ")
 
 
 def attach_suggestions(suggestions: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -160,7 +160,7 @@ def label_segments(cut: DataFrame, base: Column | None = None) -> DataFrame:
     named = unique_labels(cut, F.when(F.col("kind") == "field", base))
     is_field = F.col("kind") == "field"
     return with_offsets(
-        named.withColumn("original_text", F.when(is_field, F.left(F.col("text"), F.lit(V.ORIGINAL_TEXT_LIMIT))))
+        named.withColumn("original_text", F.when(is_field, F.col("text")))
         .withColumn("field_name", F.when(is_field, F.col("field_name")))
         .withColumn("text", F.when(is_field, T.field_mark(F.col("field_name"))).otherwise(F.col("text")))
     )
@@ -181,8 +181,8 @@ def convert_blocks(blocks: DataFrame) -> DataFrame:
     return label_segments(cut_at_blanks(blocks)).select(*SEGMENT_COLUMNS)
 
 
-def rule_labels(blocks: DataFrame) -> DataFrame:
-    """Name every blank from its label, date words or section heading."""
+def rule_labels(blocks: DataFrame, max_words: int | None = None) -> DataFrame:
+    """Name every blank from its label, date words or section heading; all words or the last ``max_words`` make the name."""
     from blankweave.operators.blocks import with_headings
 
     headed = with_headings(blocks).withColumn(
@@ -193,11 +193,11 @@ def rule_labels(blocks: DataFrame) -> DataFrame:
         cut_at_blanks(headed).where("kind = 'field'")
         .withColumn("_quiet", N.quiet_label(F.col("before")))
         .withColumn("_phrase", N.label_phrase(F.col("_quiet")))
-        .withColumn("_slug", N.slugify(F.col("_phrase"), 4))
+        .withColumn("_slug", N.slugify(F.col("_phrase"), max_words))
         .withColumn("_section", F.when(F.col("_only") & F.col("_slug").isNull(), F.col("nearest_heading")))
         .withColumn(
             "base",
-            F.coalesce(N.date_part(F.col("_quiet")), "_slug", N.slugify(F.col("_section"), 4), F.lit("field")),
+            F.coalesce(N.date_part(F.col("_quiet")), "_slug", N.slugify(F.col("_section"), max_words), F.lit("field")),
         )
     )
     return unique_labels(named, F.col("base")).select(*BLOCK, "seg_index", "base", "field_name")

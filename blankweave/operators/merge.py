@@ -169,32 +169,37 @@ def fields_filled(values: DataFrame) -> DataFrame:
     return values.groupBy("record_id").agg(F.count_if(~T.is_blank(F.col("value"))).alias("fields_filled"))
 
 
-def status_message(missing: Column, updated: Column, corrected: Column) -> Column:
-    """Reply after a fill message; the arrays are in field order."""
-
-    def preview(names: Column, limit: int) -> Column:
+def status_message(
+    missing: Column, updated: Column, corrected: Column,
+    missing_shown: int | None = None, corrected_shown: int | None = None,
+) -> Column:
+    """Reply after a fill message; the arrays are in field order. A shown number shortens a list and says how many are left."""
+
+    def preview(names: Column, limit: int | None) -> Column:
+        marks = F.transform(names, T.field_mark)
+        if limit is None:
+            return F.array_join(marks, ", ")
         rest = F.size(names) - limit
-        more = F.when(rest > 0, F.concat(F.lit(" và "), rest.cast("string"), F.lit(" field khác"))).otherwise(F.lit(""))
-        return F.concat(F.array_join(F.transform(F.slice(names, 1, limit), T.field_mark), ", "), more)
-
-    changed = preview(corrected, V.CHANGED_PREVIEW)
-    wanted = preview(missing, V.MISSING_PREVIEW)
-    some_missing, some_corrected, some_updated = F.size(missing) > 0, F.size(corrected) > 0, F.size(updated) > 0
-    ask_more = F.concat(F.lit("Anh/chị vui lòng cung cấp thêm: "), wanted, F.lit("."))
-    return (
-        F.when(some_missing & some_corrected, F.concat(F.lit("Đã sửa "), changed, F.lit(". "), ask_more))
-        .when(some_missing & some_updated, F.concat(F.lit("Đã ghi nhận thông tin mới. "), ask_more))
-        .when(
-            some_missing,
-            F.concat(F.lit("Chưa tìm thấy thông tin phù hợp. Anh/chị vui lòng cung cấp: "), wanted, F.lit(".")),
-        )
-        .when(some_corrected, F.concat(F.lit("Đã sửa "), changed, F.lit(". Thông tin hiện đã đủ để tạo tài liệu.")))
-        .when(
-            some_updated,
-            F.lit("Đã đủ thông tin để tạo tài liệu. Anh/chị có thể kiểm tra lại các giá trị và thực hiện merge."),
-        )
-        .otherwise(F.lit("Các thông tin bắt buộc hiện đã đủ. Anh/chị có thể thực hiện merge."))
-    )
+        more = F.when(rest > 0, F.concat(F.lit(V.MORE_FIELDS[0]), rest.cast("string"), F.lit(V.MORE_FIELDS[1]))).otherwise(F.lit(""))
+        return F.concat(F.array_join(F.slice(marks, 1, limit), ", "), more)
+
+    changed, wanted = preview(corrected, corrected_shown), preview(missing, missing_shown)
+    kind = F.when(F.size(corrected) > 0, F.lit("corrected")).when(F.size(updated) > 0, F.lit("updated")).otherwise(F.lit("none"))
+    ask = F.concat(F.lit(V.ASK_MORE), wanted, F.lit("."))
+    while_missing = {
+        "corrected": F.concat(F.lit(V.CORRECTED), changed, F.lit(". "), ask),
+        "updated": F.concat(F.lit(V.NOTED), ask),
+        "none": F.concat(F.lit(V.NOTHING_FOUND), wanted, F.lit(".")),
+    }
+    when_complete = {
+        "corrected": F.concat(F.lit(V.CORRECTED), changed, F.lit(V.NOW_COMPLETE)),
+        "updated": F.lit(V.COMPLETE_AFTER_UPDATE),
+        "none": F.lit(V.COMPLETE_BEFORE),
+    }
+    # One sentence for each pair of (something missing?, kind of change).
+    pairs = [F.lit(f"{lack} {name}") for lack in ("missing", "complete") for name in while_missing]
+    sentences = F.create_map(*[part for pair in zip(pairs, [*while_missing.values(), *when_complete.values()]) for part in pair])
+    return sentences[F.concat(F.when(F.size(missing) > 0, F.lit("missing ")).otherwise(F.lit("complete ")), kind)]
 
 
 def fill_status(states: DataFrame) -> DataFrame:

@@ -70,8 +70,8 @@ def nearest_heading(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("neighbour_context", duck("""
-  SELECT doc_id, block_index, concat_ws(' | ', lag(left(text, 50), 2) OVER d, lag(left(text, 50), 1) OVER d) AS before_context,
-    concat_ws(' | ', lead(left(text, 50), 1) OVER d, lead(left(text, 50), 2) OVER d) AS after_context
+  SELECT doc_id, block_index, concat_ws(' | ', lag(text, 2) OVER d, lag(text, 1) OVER d) AS before_context,
+    concat_ws(' | ', lead(text, 1) OVER d, lead(text, 2) OVER d) AS after_context
   FROM form_blocks WINDOW d AS (PARTITION BY doc_id ORDER BY block_index)""", "form_blocks"))
 def neighbour_context(spark: SparkSession, d: str) -> DataFrame:
     return B.with_neighbours(X.form_blocks(spark, d)).select(
@@ -149,7 +149,7 @@ def segment_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 
 _TYPED = """CASE WHEN block_index % 6 = 2 THEN 'table_cell' ELSE 'paragraph' END"""
-_CELL_TEXT = """CASE WHEN block_index % 6 = 2 THEN '... ' || chr(10) || ' ' || left(text, 10) || chr(10) || ' ..' ELSE text END"""
+_CELL_TEXT = """CASE WHEN block_index % 6 = 2 THEN '... ' || chr(10) || ' ' || text || chr(10) || ' ..' ELSE text END"""
 
 
 def typed_blocks(spark: SparkSession, d: str) -> DataFrame:
@@ -226,7 +226,7 @@ def full_text(spark: SparkSession, d: str) -> DataFrame:
   SELECT doc_id, heading, first_block, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first_block) AS rank
     FROM (SELECT doc_id, nearest_heading AS heading, min(block_index) AS first_block FROM headed
-      WHERE nearest_heading <> '' GROUP BY ALL)) WHERE rank <= 80""", "headed"))
+      WHERE nearest_heading <> '' GROUP BY ALL))""", "headed"))
 def section_outline(spark: SparkSession, d: str) -> DataFrame:
     return C.section_outline(B.with_headings(X.form_blocks(spark, d)))
 
@@ -240,8 +240,8 @@ def full_context(spark: SparkSession, d: str) -> DataFrame:
 
 @query("field_context", duck("""
   SELECT t.doc_id, t.block_index, concat('Fields:[', f.names, '] | block=', t.block_index, ' | paragraph | Section:[',
-    CASE WHEN nearest_heading = '' THEN 'preamble' ELSE nearest_heading END, '] | Text:[', left(replace(text, chr(10), ' '), 180),
-    '] | Truoc:[', coalesce(left(b1, 35), ''), '] Sau:[', coalesce(left(a1, 35), ''), ']') AS line
+    CASE WHEN nearest_heading = '' THEN 'preamble' ELSE nearest_heading END, '] | Text:[', replace(text, chr(10), ' '),
+    '] | Truoc:[', coalesce(b1, ''), '] Sau:[', coalesce(a1, ''), ']') AS line
   FROM tctx t JOIN (SELECT doc_id, block_index, string_agg('«' || field_name || '»', ', ' ORDER BY seg_index) AS names
     FROM tfields GROUP BY ALL) f ON t.doc_id = f.doc_id AND t.block_index = f.block_index""", "tctx", "tfields"))
 def field_context(spark: SparkSession, d: str) -> DataFrame:
@@ -262,7 +262,7 @@ _SPOKEN = dict(
         ELSE nearest_heading END || '] ' || text, chr(10) ORDER BY block_index) AS body FROM chosen GROUP BY doc_id""",
     heads="""SELECT doc_id, string_agg('- ' || heading, chr(10) ORDER BY fb) AS outline FROM (
         SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY fb) AS rk FROM (SELECT doc_id, nearest_heading AS heading,
-          min(block_index) AS fb FROM spoken WHERE nearest_heading <> '' GROUP BY ALL)) WHERE rk <= 80 GROUP BY doc_id""",
+          min(block_index) AS fb FROM spoken WHERE nearest_heading <> '' GROUP BY ALL)) GROUP BY doc_id""",
     compact="""SELECT doc_id, concat('SECTION OUTLINE:', coalesce(chr(10) || outline, ''), chr(10), chr(10),
         'RELEVANT TEMPLATE BLOCKS:', coalesce(chr(10) || body, '')) AS context
       FROM (SELECT DISTINCT doc_id FROM tblocks) LEFT JOIN heads USING (doc_id) LEFT JOIN bodies USING (doc_id)""",
@@ -290,10 +290,10 @@ def compact_context(spark: SparkSession, d: str) -> DataFrame:
 """, "tctx", **_SPOKEN))
 def choose_context(spark: SparkSession, d: str) -> DataFrame:
     segs = segments(spark, d)
-    pages = X.table(spark, d, "documents").select(
-        "doc_id", F.when(F.col("doc_id") % 4 != 0, F.col("doc_id") % 9).alias("page_count")
+    wanted = X.table(spark, d, "documents").select(
+        "doc_id", F.when(F.col("doc_id") % 4 != 0, F.col("doc_id") % 9 > 5).alias("compact")
     )
-    return C.choose_context(pages, C.shown_blocks(segs), FL.fields_of(segs), requests(spark, d))
+    return C.choose_context(wanted, C.shown_blocks(segs), FL.fields_of(segs), requests(spark, d))
 
 
 def _repr(x: str) -> str:
@@ -307,8 +307,7 @@ def _repr(x: str) -> str:
 @query("editable_blocks", duck(f"""
   SELECT doc_id, block_index, concat('[', block_index, '] type=paragraph section=', {_repr('nearest_heading')}, ' text=',
     {_repr(strip('text'))}, ' before=', {_repr("concat_ws(' | ', b2, b1)")}, ' after=', {_repr("concat_ws(' | ', a1, a2)")}) AS line
-  FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_index) AS rk FROM tctx WHERE NOT {blank('text')})
-  WHERE rk <= 250""", "tctx"))
+  FROM tctx WHERE NOT {blank('text')}""", "tctx"))
 def editable_blocks(spark: SparkSession, d: str) -> DataFrame:
     return C.editable_blocks(shown(spark, d))
 
@@ -325,9 +324,8 @@ def annotated_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("intro_context", duck(f"""
-  SELECT doc_id, string_agg({strip('text')}, ' | ' ORDER BY block_index) AS intro FROM (
-    SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_index) AS rk FROM form_blocks)
-  WHERE rk <= 5 AND NOT {blank('text')} GROUP BY doc_id""", "form_blocks"))
+  SELECT doc_id, string_agg({strip('text')}, ' | ' ORDER BY block_index) AS intro FROM form_blocks
+  WHERE NOT {blank('text')} GROUP BY doc_id""", "form_blocks"))
 def intro_context(spark: SparkSession, d: str) -> DataFrame:
     return C.intro_context(X.form_blocks(spark, d))
 

@@ -24,12 +24,12 @@ def normalize(x: str) -> str:
     return rf"trim(replace(replace(regexp_replace({x}, '\s+', ' ', 'g'), '…', '...'), '‥', '..'))"
 
 
-def slug(x: str, words: int = 10) -> str:
+def slug(x: str) -> str:
     quiet = rf"regexp_replace({x}, '(?i)\(ghi rõ.*?\)', ' ', 'g')"
     spaced = rf"regexp_replace({quiet}, '[:\-–—\._…□]', ' ', 'g')"
     ascii_ = rf"regexp_replace(strip_accents(translate({spaced}, 'đĐ', 'dD')), '[^\x00-\x7F]', '', 'g')"
     found = rf"regexp_extract_all(lower({ascii_}), '\w+|%', 0)"
-    joined = f"array_to_string(({found})[-{words}:], '_')"
+    joined = f"array_to_string({found}, '_')"
     return f"nullif(regexp_replace(trim({joined}, '_'), '_+', '_', 'g'), '')"
 
 
@@ -68,15 +68,15 @@ def merged(original: str, value: str, locked: str) -> str:
 CTES: dict[str, tuple[list[str], str]] = {
     "form_blocks": ([], f"""
       SELECT doc_id, CAST(i AS BIGINT) AS block_index,
-        CASE WHEN i % 7 = 0 THEN 'Mục ' || CAST(i // 7 + 1 AS VARCHAR) || ' ' || left(line, 20)
-             WHEN i % 7 = 4 THEN '..........'
-             WHEN i % 7 = 5 THEN '□ ' || left(line, 40) || ' ■ Ngày ... tháng ... năm 20...'
+        CASE WHEN i % 7 = 0 THEN 'Mục ' || CAST(i // 7 + 1 AS VARCHAR) || ' ' || line
+             WHEN i % 7 = 4 THEN '.......... ' || line
+             WHEN i % 7 = 5 THEN '□ ' || line || ' ■ Ngày ... tháng ... năm 20...'
              ELSE regexp_replace(line, '[a-z]{{9,}}', ': ........ ', 'g') END AS text
       FROM {LINES}"""),
     "tab_blocks": ([], rf"""
       SELECT doc_id, CAST(i AS BIGINT) AS block_index,
-        CASE WHEN i % 5 = 4 THEN chr(9) || ' ' || chr(9)
-             ELSE regexp_replace(left(line, 120), ' [a-zA-Z]{{1,2}} ', chr(9) || chr(9), 'g') END AS text,
+        CASE WHEN i % 5 = 4 THEN chr(9) || ' ' || chr(9) ELSE '' END
+          || regexp_replace(line, ' [a-zA-Z]{{1,2}} ', chr(9) || chr(9), 'g') AS text,
         CASE i % 4 WHEN 0 THEN ['dot', 'none', 'underscore'] WHEN 1 THEN ['heavy', 'middleDot', 'dot', 'hyphen']
                    WHEN 2 THEN ['none', 'dot'] ELSE CAST([] AS VARCHAR[]) END AS tab_leaders
       FROM {LINES}"""),
@@ -134,7 +134,7 @@ CTES: dict[str, tuple[list[str], str]] = {
     "tseg": (["named"], f"""
       SELECT doc_id, block_index, seg_index, kind, shown AS text, field_name,
         CASE WHEN kind = 'field' THEN {switch_of('left(block_text, start_pos)')} END AS switch,
-        CASE WHEN kind = 'field' THEN left(text, 50) END AS original_text,
+        CASE WHEN kind = 'field' THEN text END AS original_text,
         CAST(new_start AS BIGINT) AS start_pos, CAST(new_start + length(shown) AS BIGINT) AS end_pos
       FROM (SELECT *, coalesce(sum(length(shown)) OVER (PARTITION BY doc_id, block_index ORDER BY seg_index
               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS new_start
@@ -155,8 +155,8 @@ CTES: dict[str, tuple[list[str], str]] = {
     # Template blocks with section and neighbours, for the context builders.
     "tctx": (["tblocks"], f"""
       SELECT doc_id, block_index, text, coalesce(heading, '') AS nearest_heading,
-        lag(left(text, 50), 1) OVER d AS b1, lag(left(text, 50), 2) OVER d AS b2,
-        lead(left(text, 50), 1) OVER d AS a1, lead(left(text, 50), 2) OVER d AS a2, heading_number
+        lag(text, 1) OVER d AS b1, lag(text, 2) OVER d AS b2,
+        lead(text, 1) OVER d AS a1, lead(text, 2) OVER d AS a2, heading_number
       FROM (SELECT *,
           last_value(CASE WHEN regexp_matches({strip('text')}, '{HEADING}') THEN {strip('text')} END IGNORE NULLS)
             OVER (PARTITION BY doc_id ORDER BY block_index ROWS UNBOUNDED PRECEDING) AS heading,

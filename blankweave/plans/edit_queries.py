@@ -462,14 +462,14 @@ def reverse_apply_order(spark: SparkSession, d: str) -> DataFrame:
 @query("plan_to_edits", duck("""
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY plan_order) - 1 AS op_index, 'update_text' AS type, block_index, trim(old_text) AS old_text, new_text
   FROM (SELECT doc_id, block_index AS plan_order, CASE block_index % 4 WHEN 0 THEN block_index WHEN 1 THEN block_index + 1 WHEN 2 THEN block_index + 1000 END AS target,
-      CASE WHEN block_index % 5 = 4 THEN ' ' ELSE left(text, 8) || ' ' END AS old_text, 'x' AS new_text FROM form_blocks) p
+      CASE WHEN block_index % 5 = 4 THEN ' ' ELSE text || ' ' END AS old_text, 'x' AS new_text FROM form_blocks) p
   JOIN (SELECT doc_id AS did, block_index FROM form_blocks) b ON p.doc_id = b.did AND p.target = b.block_index WHERE trim(old_text) <> ''""", "form_blocks"))
 def plan_to_edits(spark: SparkSession, d: str) -> DataFrame:
     blocks = X.form_blocks(spark, d)
     plans = blocks.selectExpr(
         "doc_id", "block_index AS plan_order",
         "CASE block_index % 4 WHEN 0 THEN string(block_index) WHEN 1 THEN string(block_index + 1) WHEN 2 THEN string(block_index + 1000) ELSE 'ba' END AS raw_index",
-        "CASE WHEN block_index % 5 = 4 THEN ' ' ELSE concat(left(text, 8), ' ') END AS old_text", "'x' AS new_text",
+        "CASE WHEN block_index % 5 = 4 THEN ' ' ELSE concat(text, ' ') END AS old_text", "'x' AS new_text",
     )
     return ST.plan_to_edits(plans, blocks)
 

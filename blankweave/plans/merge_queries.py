@@ -102,8 +102,8 @@ _STATES = dict(
         coalesce(list('«' || field_name || '»' ORDER BY first_use) FILTER (status = 'updated'), []) AS u,
         coalesce(list('«' || field_name || '»' ORDER BY first_use) FILTER (status = 'corrected'), []) AS c
       FROM states GROUP BY record_id""",
-    previews="""SELECT *, array_to_string(m[:8], ', ') || CASE WHEN len(m) > 8 THEN ' và ' || (len(m) - 8) || ' field khác' ELSE '' END AS mp,
-        array_to_string(c[:5], ', ') || CASE WHEN len(c) > 5 THEN ' và ' || (len(c) - 5) || ' field khác' ELSE '' END AS cp FROM lists""",
+    previews="""SELECT *, array_to_string(m, ', ') AS mp,
+        array_to_string(c, ', ') AS cp FROM lists""",
 )
 
 

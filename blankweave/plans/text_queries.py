@@ -120,9 +120,9 @@ def slugify(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("base_field_name", duck(rf"""
-  SELECT doc_id, block_index, coalesce(nullif(regexp_replace(trim(left(regexp_replace(regexp_replace(
+  SELECT doc_id, block_index, coalesce(nullif(regexp_replace(trim(regexp_replace(regexp_replace(
     {strip(r"lower(regexp_replace(text, '[^\p{L}\p{N}_\s]', ' ', 'g'))")}, '\s+', '_', 'g'),
-    '(_lưu|_ghi_chú|_note)$', ''), 30), '_'), '_+', '_', 'g'), ''), 'field') AS base
+    '(_lưu|_ghi_chú|_note)$', ''), '_'), '_+', '_', 'g'), ''), 'field') AS base
   FROM form_blocks""", "form_blocks"))
 def base_field_name(spark: SparkSession, d: str) -> DataFrame:
     return X.form_lines(spark, d).select("doc_id", "block_index", N.base_field_name(F.col("text")).alias("base"))
@@ -136,8 +136,8 @@ _RULES = dict(
     words=r"""SELECT *, lower(regexp_extract(q, '(?i)(ngày|tháng|năm)\s*(?:20)?\s*$', 1)) AS dw,
         string_split(q, ':') AS colons, string_split(q, '-') AS dashes FROM lines""",
     based=f"""SELECT *, coalesce(CASE dw WHEN 'ngày' THEN 'ngay' WHEN 'tháng' THEN 'thang' WHEN 'năm' THEN 'nam' END,
-        {slug(r"(CASE WHEN len(colons) > 1 AND regexp_matches(colons[-2], '\S') THEN colons[-2] WHEN len(dashes) > 1 AND regexp_matches(dashes[-2], '\S') THEN dashes[-2] ELSE q END)", 4)},
-        CASE WHEN only_blanks THEN {slug('nearest_heading', 4)} END, 'field') AS base FROM words""",
+        {slug(r"(CASE WHEN len(colons) > 1 AND regexp_matches(colons[-2], '\S') THEN colons[-2] WHEN len(dashes) > 1 AND regexp_matches(dashes[-2], '\S') THEN dashes[-2] ELSE q END)")},
+        CASE WHEN only_blanks THEN {slug('nearest_heading')} END, 'field') AS base FROM words""",
 )
 
 
@@ -328,7 +328,7 @@ def split_at_offset(spark: SparkSession, d: str) -> DataFrame:
     return X.form_lines(spark, d).withColumn("cut", cut).select("doc_id", "block_index", "cut.before", "cut.after")
 
 
-_CUES = """concat(left(regexp_replace(text, '[._□■]', ''), 30), CASE block_index % 9 WHEN 0 THEN ' họ và tên ' WHEN 1 THEN ' ngày   tháng '
+_CUES = """concat(regexp_replace(text, '[._□■]', ''), CASE block_index % 9 WHEN 0 THEN ' họ và tên ' WHEN 1 THEN ' ngày   tháng '
   WHEN 2 THEN ' Địa chỉ' WHEN 3 THEN ' mã số ' WHEN 4 THEN '   [ ]' WHEN 5 THEN ' __ ' WHEN 6 THEN ' a   b' WHEN 7 THEN ' «x» ngày tháng' ELSE '' END)"""
 
 
@@ -358,7 +358,7 @@ def usage_value(spark: SparkSession, d: str) -> DataFrame:
 
 
 _KIND_LINES = """
-  SELECT doc_id, block_index, concat(left(text, 30), CASE block_index % 3 WHEN 0 THEN ' số: ' ELSE ' loại ' END, '......',
+  SELECT doc_id, block_index, concat(text, CASE block_index % 3 WHEN 0 THEN ' số: ' ELSE ' loại ' END, '......',
     CASE block_index % 2 WHEN 0 THEN ' (Giấy tờ tùy thân)' ELSE ' (khác)' END, ' mã: ......') AS text FROM form_blocks"""
 
 
@@ -370,7 +370,7 @@ _KIND_LINES = """
   FROM (SELECT doc_id, block_index, string_split_regex(text, '{BLANK}') AS pieces FROM kind_lines),
     unnest(range(len(pieces) - 1)) AS u(i)""", "form_blocks", kind_lines=_KIND_LINES))
 def type_or_value_prefix(spark: SparkSession, d: str) -> DataFrame:
-    text = F.expr("""concat(left(text, 30), CASE block_index % 3 WHEN 0 THEN ' số: ' ELSE ' loại ' END, '......',
+    text = F.expr("""concat(text, CASE block_index % 3 WHEN 0 THEN ' số: ' ELSE ' loại ' END, '......',
       CASE block_index % 2 WHEN 0 THEN ' (Giấy tờ tùy thân)' ELSE ' (khác)' END, ' mã: ......')""")
     lines = X.form_lines(spark, d).withColumn("text", text)
     cut = FL.cut_at_blanks(lines).where("kind = 'field'")

@@ -1,8 +1,7 @@
 """Word files -> blocks.
 
 The one place where file bytes meet Python: each file becomes block rows inside
-a ``mapInPandas`` batch, everything after that is Catalyst. A file is at most
-``MAX_TEMPLATE_BYTES``; ``spark.sql.execution.arrow.maxBytesPerBatch`` bounds
+a ``mapInPandas`` batch, everything after that is Catalyst. ``spark.sql.execution.arrow.maxBytesPerBatch`` bounds
 what one batch holds.
 """
 
@@ -109,7 +108,7 @@ def parse_docx(path: str, content: bytes) -> list[dict]:
                 for style in ElementTree.fromstring(archive.read("word/styles.xml")).iter(f"{WORD}style"):
                     styles[style.get(f"{WORD}styleId")] = _val(style, f"{WORD}name")
     except (zipfile.BadZipFile, KeyError, ElementTree.ParseError) as error:
-        return [dict(path=path, error=str(error)[:200])]
+        return [dict(path=path, error=str(error))]
     rows, tables = [], 0
     for child in body:
         if child.tag == f"{WORD}p":
@@ -135,14 +134,14 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({name: pd.Series([row.get(name) for row in rows], dtype=object) for name in COLUMNS})
 
 
-def read_docx(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_docx(spark: SparkSession, path: str, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Folder or glob of templates -> (blocks, rejects with a reason).
 
-    Rejected are other file types, files over the limit and files that do not
-    parse. Blocks keep ``path`` as the document key.
+    Rejected are other file types, files over ``max_bytes`` if given and files that
+    do not parse. Blocks keep ``path`` as the document key.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    good, bad = scan_templates(files)
+    good, bad = scan_templates(files, max_bytes)
     parsed = good.select("path", "content").mapInPandas(_parse_batches, BLOCK_SCHEMA)
     broken = parsed.where("error IS NOT NULL").select("path", F.concat(F.lit("unreadable: "), F.col("error")).alias("reason"))
     return parsed.where("error IS NULL").drop("error"), bad.select("path", "reason").unionByName(broken)

@@ -37,12 +37,12 @@ def _as_form(documents: DataFrame) -> DataFrame:
     body = (
         F.when(
             i % 7 == 0,
-            F.concat(F.lit("Mục "), (F.floor(i / 7) + 1).cast("string"), F.lit(" "), F.left(line, F.lit(20))),
+            F.concat(F.lit("Mục "), (F.floor(i / 7) + 1).cast("string"), F.lit(" "), line),
         )
-        .when(i % 7 == 4, F.lit(".........."))
+        .when(i % 7 == 4, F.concat(F.lit(".......... "), line))
         .when(
             i % 7 == 5,
-            F.concat(F.lit("□ "), F.left(line, F.lit(40)), F.lit(" ■ Ngày ... tháng ... năm 20...")),
+            F.concat(F.lit("□ "), line, F.lit(" ■ Ngày ... tháng ... năm 20...")),
         )
         .otherwise(F.regexp_replace(line, "[a-z]{9,}", ": ........ "))
     )
@@ -54,9 +54,8 @@ def _as_form(documents: DataFrame) -> DataFrame:
 def tab_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents -> lines with tabs and the leaders of their tab stops."""
     i, line = F.col("i"), F.col("line")
-    text = F.when(i % 5 == 4, F.lit("\t \t")).otherwise(
-        F.regexp_replace(F.left(line, F.lit(120)), " [a-zA-Z]{1,2} ", "\t\t")
-    )
+    tabbed = F.regexp_replace(line, " [a-zA-Z]{1,2} ", "\t\t")
+    text = F.when(i % 5 == 4, F.concat(F.lit("\t \t"), tabbed)).otherwise(tabbed)
     leaders = (
         F.when(i % 4 == 0, F.array(F.lit("dot"), F.lit("none"), F.lit("underscore")))
         .when(i % 4 == 1, F.array(F.lit("heavy"), F.lit("middleDot"), F.lit("dot"), F.lit("hyphen")))

@@ -97,7 +97,8 @@ DEFAULT_POSITION = {
 NOT_NEGATIVE = (
     "block_index", "para_in_cell", "occurrence_index", "offset", "start_offset", "table_index", "row_index", "col_index",
 )
-BOUNDS = {"rows": (1, 20), "cols": (1, 10), "width": (1, 8)}
+#: Least sizes; a request of any larger size is good.
+LEAST = {"rows": 1, "cols": 1, "width": 1}
 
 
 def read_edits(requests: DataFrame, key: str = "template_id", raw: str = "operations") -> tuple[DataFrame, DataFrame]:
@@ -150,16 +151,16 @@ def edit_problem():
     for column in NOT_NEGATIVE:
         reasons.append(F.when(F.col(column) < 0, F.lit(f"{column} is negative")))
     reasons.append(F.when(F.col("end_offset") <= 0, F.lit("end_offset is not positive")))
-    for column, (low, high) in BOUNDS.items():
-        reasons.append(F.when(~F.col(column).between(low, high), F.lit(f"{column} is out of bounds")))
+    for column, low in LEAST.items():
+        reasons.append(F.when(F.col(column) < low, F.lit(f"{column} is out of bounds")))
     return F.coalesce(*reasons)
 
 
-def scan_templates(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``binaryFile`` rows -> accepted ``.docx`` files within the size limit, and rejects with a reason."""
-    reason = F.when(~F.col("path").endswith(".docx"), F.lit("not a .docx file")).when(
-        F.col("length") > V.MAX_TEMPLATE_BYTES, F.lit("file is too large")
-    )
+def scan_templates(files: DataFrame, max_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``binaryFile`` rows -> accepted ``.docx`` files, of ``max_bytes`` at most if given, and rejects with a reason."""
+    reason = F.when(~F.col("path").endswith(".docx"), F.lit("not a .docx file"))
+    if max_bytes is not None:
+        reason = reason.when(F.col("length") > max_bytes, F.lit("file is too large"))
     checked = files.withColumn("reason", reason)
     return checked.where("reason IS NULL").drop("reason"), checked.where("reason IS NOT NULL").drop("content")
 
