@@ -215,7 +215,7 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored.select("doc_id", (~learned()).alias("held_out"), score.alias("score"), (score >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents predicted to have label 1, with their own columns."""
-    model = train(docs, labels, learned())
+def filter_documents(docs: DataFrame, labels: DataFrame, learn_from: DataFrame | None = None) -> DataFrame:
+    """The documents predicted to have label 1, with their own columns; the model learns from ``learn_from`` or from them."""
+    model = train(docs if learn_from is None else learn_from, labels, learned())
     return score_documents(docs, model, docs.columns).where(F.col(f"{_PREFIX}score") >= THRESHOLD).select(*docs.columns)

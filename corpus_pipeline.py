@@ -17,8 +17,9 @@ def by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier gives label 0 go."""
-    return quality_model.filter_documents(docs, shared.table(spark, sf_dir, "labels"))
+    """Documents that the classifier gives label 0 go. It learns from the labelled rows of the whole table ``documents``:
+    of those that earlier stages kept, hardly any has label 0."""
+    return quality_model.filter_documents(docs, shared.table(spark, sf_dir, "labels"), shared.table(spark, sf_dir, "documents"))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
