@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from blankweave.session import share_package
+
 # Bytes of one Arrow batch and of one numpy slice of it; a single longer text makes a slice of its own.
 BATCH_BYTES = "16m"
 SLICE_BYTES = 1 << 20
@@ -32,7 +34,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches are bounded by bytes, so that long texts don't fill a worker."""
+    """Arrow batches are bounded by bytes, so that long texts don't fill a worker; workers find this package."""
+    share_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
