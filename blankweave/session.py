@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 # Static advice, applied only where the caller has not set the key already.
@@ -25,4 +27,16 @@ def build_session(app_name: str = "blankweave", master: str | None = None, **con
     settings = {**DEFAULTS, **{key.replace("__", "."): value for key, value in conf.items()}}
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return share_package(builder.getOrCreate())
+
+
+def share_package(spark: SparkSession) -> SparkSession:
+    """Python workers find this package where the driver has it, whatever folder the driver was started in.
+
+    That serves local sessions and clusters whose machines share the folder; elsewhere install the wheel on the
+    executors or pass it with ``--py-files``.
+    """
+    folder, known = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if folder not in known.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{folder}:{known}".rstrip(":")
+    return spark
