@@ -13,6 +13,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def with_op_index(edits: DataFrame) -> DataFrame:
+    """Edits with their place in the request, ``op_index``; without one all count as simultaneous."""
+    return edits if "op_index" in edits.columns else edits.withColumn("op_index", F.lit(0).cast("bigint"))
+
+
+def by_op_index(edits: Column) -> Column:
+    """An array of structs in the order of ``op_index``; the structs may hold maps, which have no order of their own."""
+    return F.array_sort(
+        edits, lambda a, b: F.when(a["op_index"] < b["op_index"], -1).when(a["op_index"] > b["op_index"], 1).otherwise(0)
+    )
+
+
 def numbered(df: DataFrame, keys: list[str], band: list[str], order: list[str], name: str) -> DataFrame:
     """Exact 1-based row number per key; ``order`` has to start with the band order."""
     sizes = df.groupBy(*keys, *band).agg(F.count(F.lit(1)).alias("_n"))

@@ -4,7 +4,10 @@ Segments are those of ``convert_blocks``. An edit names a block and a character
 range or point in its shown text; the equi-join on ``(doc_id, block_index)``
 comes first, the range test after it. A removed segment stays as an empty one
 until ``settle`` drops it, so a block that loses all its text keeps its place.
-All offsets are those before the edit, so edits need no order among themselves.
+All offsets are those before the request, so one request may hold any number of
+edits for a block: they are gathered per target and folded inside the row, in the
+order of ``op_index``, which also decides which of two edits fails where both
+can't hold.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from blankweave import fixed_values as V
 from blankweave.functions import text as T
 from blankweave.operators import fields as FL
 from blankweave.operators.context import shown_blocks
+from blankweave.operators.ranking import by_op_index, with_op_index
 
 BLOCK = ["doc_id", "block_index"]
 FIELD_PROPS = ["field_name", "switch", "original_text"]
@@ -65,15 +69,21 @@ def overlap_segments(segments: DataFrame, ranges: DataFrame) -> DataFrame:
 
 # --- fields -----------------------------------------------------------------
 def rename_field(segments: DataFrame, renames: DataFrame, keep_switch: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``renames(doc_id, old_name, new_name, occurrence_index)`` -> segments and a status per rename.
+    """``renames(doc_id, op_index, old_name, new_name, occurrence_index)`` -> segments and a status per rename.
 
     All occurrences, or only the given one. The name falls back to its base
-    without a number. A single rename resets the case switch, the bulk path
-    keeps it.
+    without a number. Of two renames to one new name, or of one occurrence, the
+    earlier holds. A single rename resets the case switch, the bulk path keeps it.
     """
+    renames = with_op_index(renames)
     fields = segments.where("kind = 'field'").groupBy("doc_id", "field_name").agg(F.count(F.lit(1)).alias("_uses"))
     matched = FL.fuzzy_field_match(renames.select("doc_id", F.col("old_name").alias("wanted")).distinct(), fields)
     taken = fields.select("doc_id", F.col("field_name").alias("new_name")).withColumn("_taken", F.lit(True))
+    good = F.col("error").isNull()
+    same_name = W.partitionBy("doc_id", "new_name", good).orderBy("op_index")
+    earlier = W.partitionBy("doc_id", "matched", good).orderBy("op_index").rowsBetween(W.unboundedPreceding, -1)
+    # Occurrences renamed before this edit; -1 stands for all of them.
+    done = F.collect_list(F.coalesce("occurrence_index", F.lit(-1))).over(earlier)
     judged = (
         renames.join(matched.withColumnRenamed("wanted", "old_name"), ["doc_id", "old_name"], "left")
         .join(taken, ["doc_id", "new_name"], "left")
@@ -84,25 +94,31 @@ def rename_field(segments: DataFrame, renames: DataFrame, keep_switch: bool = Fa
             .when(F.col("_taken") & (F.col("new_name") != F.col("old_name")), F.lit("name in use"))
             .when(F.col("occurrence_index") >= F.col("_uses"), F.lit("no such occurrence")),
         )
+        .withColumn("error", F.when(good & (F.row_number().over(same_name) > 1), F.lit("name in use")).otherwise(F.col("error")))
+        .withColumn("_done", done)
+        .withColumn("error", F.when(
+            good & (F.array_contains("_done", -1) | F.array_contains("_done", F.coalesce("occurrence_index", F.lit(-1)))),
+            F.lit("renamed before"),
+        ).otherwise(F.col("error")))
     )
     status = judged.select(
-        "doc_id", "old_name", "new_name", "matched",
-        F.when(F.col("error").isNull(), F.lit("executed")).otherwise(F.lit("failed")).alias("status"), "error",
+        "doc_id", "op_index", "old_name", "new_name", "matched",
+        F.when(good, F.lit("executed")).otherwise(F.lit("failed")).alias("status"), "error",
     )
-    good = judged.where("error IS NULL").select(
-        "doc_id", F.col("matched").alias("field_name"), F.col("new_name").alias("_new"), F.col("occurrence_index").alias("_nth")
+    per_field = judged.where(good).groupBy("doc_id", F.col("matched").alias("field_name")).agg(
+        F.array_sort(F.collect_list(F.struct("op_index", F.col("occurrence_index").alias("nth"), F.col("new_name").alias("name")))).alias("_renames")
     )
     occurrence = F.row_number().over(W.partitionBy("doc_id", "kind", "field_name").orderBy("block_index", "seg_index")) - 1
-    joined = segments.withColumn("_occ", occurrence).join(good, ["doc_id", "field_name"], "left")
-    hit = F.coalesce((F.col("kind") == "field") & F.col("_new").isNotNull() & (F.col("_nth").isNull() | (F.col("_nth") == F.col("_occ"))), F.lit(False))
+    joined = segments.withColumn("_occ", occurrence).join(per_field, ["doc_id", "field_name"], "left")
+    first = F.get(F.filter("_renames", lambda r: r["nth"].isNull() | (r["nth"] == F.col("_occ"))), 0)["name"]
     renamed = (
-        joined.withColumn("_hit", hit)
-        .withColumn("field_name", F.when(F.col("_hit"), F.col("_new")).otherwise(F.col("field_name")))
-        .withColumn("text", F.when(F.col("_hit"), T.field_mark(F.col("_new"))).otherwise(F.col("text")))
+        joined.withColumn("_new", F.when(F.col("kind") == "field", first))
+        .withColumn("field_name", F.coalesce("_new", "field_name"))
+        .withColumn("text", F.when(F.col("_new").isNotNull(), T.field_mark(F.col("_new"))).otherwise(F.col("text")))
     )
     if not keep_switch:
-        renamed = renamed.withColumn("switch", F.when(F.col("_hit"), F.lit(V.SWITCH_KEEP)).otherwise(F.col("switch")))
-    return FL.with_offsets(renamed.drop("_hit", "_new", "_nth", "_occ")).select(*segments.columns), status
+        renamed = renamed.withColumn("switch", F.when(F.col("_new").isNotNull(), F.lit(V.SWITCH_KEEP)).otherwise(F.col("switch")))
+    return FL.with_offsets(renamed.drop("_new", "_occ", "_renames")).select(*segments.columns), status
 
 
 def delete_field(segments: DataFrame, deletes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -127,7 +143,9 @@ def _new_field(name: Column, original: Column) -> list[Column]:
 
 
 def _name_errors(adds: DataFrame, segments: DataFrame) -> DataFrame:
-    """Adds with the block they hit and an error for unknown blocks and used names."""
+    """Adds with the block they hit and an error for unknown blocks and used names; of two equal names the earlier holds."""
+    good = F.col("error").isNull()
+    same_name = W.partitionBy("doc_id", "field_name", good).orderBy("op_index", "block_index")
     fields = segments.where("kind = 'field'").select("doc_id", "field_name").distinct().withColumn("_taken", F.lit(True))
     blocks = segments.groupBy(*BLOCK).agg(F.max("end_pos").alias("_length"))
     return (
@@ -138,25 +156,28 @@ def _name_errors(adds: DataFrame, segments: DataFrame) -> DataFrame:
             .when(T.is_blank(F.col("field_name")), F.lit("no field name"))
             .when(F.col("_taken"), F.lit("name in use")),
         )
+        .withColumn("error", F.when(good & (F.row_number().over(same_name) > 1), F.lit("name in use")).otherwise(F.col("error")))
         .drop("_taken")
     )
 
 
 def add_field(segments: DataFrame, adds: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``adds(doc_id, block_index, field_name, position)``, one per block.
+    """``adds(doc_id, op_index, block_index, field_name, position)``.
 
-    left, right or new_line. A blank that ends the last text of the block is
-    cut off and becomes the original text of the field.
+    left, right or new_line; fields added at one side stand in the order of the
+    request. A blank that ends the last text of the block is cut off and becomes
+    the original text of the block's first added field.
     """
-    judged = _name_errors(adds, segments)
-    good = judged.where("error IS NULL").select(*BLOCK, F.col("field_name").alias("_name"), "position")
+    judged = _name_errors(with_op_index(adds), segments)
+    nth = F.row_number().over(W.partitionBy(*BLOCK).orderBy("op_index", "field_name"))
+    good = judged.where("error IS NULL").select(*BLOCK, F.col("field_name").alias("_name"), "position", nth.alias("_nth"))
     is_text = (F.col("kind") == "text") & (F.col("text") != "")
     last_text = F.max(F.when(is_text, F.col("seg_index"))).over(W.partitionBy(*BLOCK))
     pieces = F.split("text", V.BLANK, -1)
     # One blank, nothing behind it.
     trailing = (F.size(pieces) == 2) & (F.get(pieces, 1) == "")
     joined = (
-        segments.withColumn("_last", last_text).join(good, BLOCK, "left")
+        segments.withColumn("_last", last_text).join(good.where("_nth = 1").select(*BLOCK, "_name"), BLOCK, "left")
         .withColumn("_cut", F.col("_name").isNotNull() & (F.col("seg_index") == F.col("_last")) & trailing)
         .withColumn("_blank", F.when(F.col("_cut"), F.regexp_extract("text", V.BLANK, 0)))
     )
@@ -167,10 +188,10 @@ def add_field(segments: DataFrame, adds: DataFrame) -> tuple[DataFrame, DataFram
     position = F.col("position")
     fresh = good.join(originals, BLOCK, "left").select(
         *BLOCK,
-        F.when(position == "left", F.lit(-1)).otherwise(F.lit(2**40)).cast("bigint").alias("seg_index"),
-        *_new_field(F.col("_name"), F.coalesce("_blank", F.lit(""))),
+        (F.when(position == "left", F.lit(-(2**40))).otherwise(F.lit(2**40)) + F.col("_nth")).cast("bigint").alias("seg_index"),
+        *_new_field(F.col("_name"), F.coalesce(F.when(F.col("_nth") == 1, F.col("_blank")), F.lit(""))),
         F.lit(0).cast("bigint").alias("start_pos"), F.lit(0).cast("bigint").alias("end_pos"),
-        F.when(position == "new_line", 1).otherwise(0).alias("_sub"),
+        F.when(position == "new_line", F.col("_nth")).otherwise(0).alias("_sub"),
     )
     everything = kept.unionByName(fresh)
     renumbered = everything.withColumn(
@@ -178,47 +199,52 @@ def add_field(segments: DataFrame, adds: DataFrame) -> tuple[DataFrame, DataFram
         (F.dense_rank().over(W.partitionBy("doc_id").orderBy("block_index", "_sub")) - 1).cast("bigint"),
     ).drop("_sub")
     status = judged.select(
-        *BLOCK, "field_name",
+        *BLOCK, "op_index", "field_name",
         F.when(F.col("error").isNull(), F.lit("executed")).otherwise(F.lit("failed")).alias("status"), "error",
     )
     return settle(renumbered).select(*segments.columns), status
 
 
 def add_field_at(segments: DataFrame, adds: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``adds(doc_id, block_index, field_name, offset, insert_after)``, one per block.
+    """``adds(doc_id, op_index, block_index, field_name, offset, insert_after)``.
 
     The point is a character offset, or the end of the first ``insert_after``
-    in the shown text. It has to touch a text segment.
+    in the shown text. It has to touch a text segment; fields at one point stand
+    in the order of the request.
     """
     texts = shown_blocks(segments).select(*BLOCK, F.col("text").alias("_shown"))
     found = F.instr(F.col("_shown"), F.col("insert_after"))
     after = F.when(found > 0, found - 1 + F.length("insert_after"))
-    placed = _name_errors(adds, segments).join(texts, BLOCK, "left").withColumn(
+    placed = _name_errors(with_op_index(adds), segments).join(texts, BLOCK, "left").withColumn(
         "_point", F.when(F.col("insert_after").isNotNull(), after).otherwise(F.col("offset")).cast("bigint")
     ).drop("_shown")
-    joined = segments.join(
-        placed.where("error IS NULL AND _point >= 0").select(
-            *BLOCK, F.col("field_name").alias("_name"), "_point", "_length"
-        ),
-        BLOCK, "left",
-    )
-    touches = (F.col("kind") == "text") & (
-        F.col("_point").between(F.col("start_pos"), F.col("end_pos")) | (F.col("_length") == 0)
+    good = placed.where("error IS NULL AND _point >= 0").select(*BLOCK, "op_index", F.col("field_name").alias("_name"), "_point", "_length")
+    touches = F.col("_point").between(F.col("start_pos"), F.col("end_pos")) | (F.col("_length") == 0)
+    # The first text segment at the point of each add; names are unique among them by now.
+    hits = (
+        segments.where("kind = 'text'").select(*BLOCK, "seg_index", "start_pos", "end_pos").join(good, BLOCK).where(touches)
+        .groupBy(*BLOCK, "_name").agg(
+            F.min(F.struct("seg_index", F.greatest(F.col("_point") - F.col("start_pos"), F.lit(0)).alias("local"), "op_index")).alias("_h")
+        )
     )
-    first = F.min(F.when(touches, F.col("seg_index"))).over(W.partitionBy(*BLOCK))
-    target = joined.withColumn("_first", first).withColumn("_hit", F.coalesce(F.col("seg_index") == F.col("_first"), F.lit(False)))
-    local = (F.col("_point") - F.col("start_pos")).cast("int")
-    same = [F.col(c) for c in ("kind", "text", *FIELD_PROPS)]
-    left = F.struct(F.lit(0).alias("_part"), F.col("kind"), F.left(F.col("text"), local).alias("text"), *[F.col(c) for c in FIELD_PROPS])
-    right = F.struct(
-        F.lit(2).alias("_part"), F.col("kind"), F.substring(F.col("text"), local + 1, F.length("text")).alias("text"),
-        *[F.col(c) for c in FIELD_PROPS],
+    inserts = hits.groupBy(*BLOCK, F.col("_h.seg_index").alias("seg_index")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("_h.local").cast("int").alias("local"), F.col("_h.op_index").alias("op_index"), F.col("_name").alias("name")))).alias("_ins")
     )
-    middle = F.struct(F.lit(1).alias("_part"), *_new_field(F.col("_name"), F.lit("")))
-    parts = F.when(F.col("_hit"), F.array(left, middle, right)).otherwise(F.array(F.struct(F.lit(0).alias("_part"), *same)))
-    split = target.select(*BLOCK, "seg_index", F.explode(parts).alias("_p")).select(*BLOCK, "seg_index", "_p.*")
-    hits = target.where("_hit").select(*BLOCK, F.lit(True).alias("_done")).distinct()
-    status = placed.join(hits, BLOCK, "left").withColumn(
+    joined = segments.join(inserts, [*BLOCK, "seg_index"], "left")
+    props = [F.col(c) for c in FIELD_PROPS]
+
+    def around(i: Column) -> Column:
+        """Text before insert i, and the field it inserts; after the last one only the rest of the text."""
+        low = F.when(i == 0, F.lit(0)).otherwise(F.get("_ins", i - 1)["local"])
+        high = F.coalesce(F.get("_ins", i)["local"], F.length("text"))
+        piece = F.struct(F.col("kind"), F.substring(F.col("text"), low + 1, high - low).alias("text"), *props)
+        field = F.struct(*_new_field(F.get("_ins", i)["name"], F.lit("")))
+        return F.when(i == F.size("_ins"), F.array(piece)).otherwise(F.array(piece, field))
+
+    whole = F.array(F.struct(F.col("kind"), F.col("text"), *props))
+    parts = F.when(F.col("_ins").isNull(), whole).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.size("_ins")), around)))
+    split = joined.select(*BLOCK, "seg_index", F.posexplode(parts).alias("_part", "_p")).select(*BLOCK, "seg_index", "_part", "_p.*")
+    status = placed.join(hits.select(*BLOCK, F.col("_name").alias("field_name"), F.lit(True).alias("_done")), [*BLOCK, "field_name"], "left").withColumn(
         "error",
         F.coalesce(
             F.col("error"),
@@ -227,7 +253,7 @@ def add_field_at(segments: DataFrame, adds: DataFrame) -> tuple[DataFrame, DataF
             ),
         ),
     ).select(
-        *BLOCK, "field_name",
+        *BLOCK, "op_index", "field_name",
         F.when(F.col("error").isNull(), F.lit("executed")).otherwise(F.lit("failed")).alias("status"), "error",
     )
     return settle(split, "seg_index", "_part").select(*segments.columns), status
@@ -237,17 +263,20 @@ def apply_suggestions(segments: DataFrame, suggestions: DataFrame) -> tuple[Data
     """Suggestions applied one by one, without rollback; per document counts and the applied names.
 
     ``suggestions(doc_id, suggestion_id, block_index, suggested_name, position,
-    insert_after)``, at most one usable suggestion per block.
+    insert_after)``, any number per block.
     """
     usable = suggestions.where(F.col("block_index").isNotNull() & ~T.is_blank(F.col("suggested_name")))
-    named = usable.withColumnRenamed("suggested_name", "field_name")
+    named = usable.withColumnRenamed("suggested_name", "field_name").withColumn("op_index", F.col("suggestion_id").cast("bigint"))
     inline = named.where("position = 'inline'").withColumn("offset", F.lit(None).cast("bigint"))
     # A missing insertion text must miss, not fall back to an offset.
     inline = inline.withColumn("insert_after", F.coalesce("insert_after", F.lit("\x00")))
-    first, inline_status = add_field_at(segments, inline.select(*BLOCK, "field_name", "offset", "insert_after"))
-    second, outer_status = add_field(first, named.where("position <> 'inline'").select(*BLOCK, "field_name", "position"))
-    outcome = inline_status.unionByName(outer_status).select(*BLOCK, F.col("field_name").alias("suggested_name"), "status")
-    judged = suggestions.join(outcome, [*BLOCK, "suggested_name"], "left")
+    first, inline_status = add_field_at(segments, inline.select(*BLOCK, "op_index", "field_name", "offset", "insert_after"))
+    second, outer_status = add_field(first, named.where("position <> 'inline'").select(*BLOCK, "op_index", "field_name", "position"))
+    outcome = inline_status.unionByName(outer_status).select("doc_id", F.col("op_index").alias("_id"), "status")
+    judged = suggestions.join(
+        outcome.withColumnRenamed("doc_id", "_doc"),
+        (F.col("doc_id") == F.col("_doc")) & (F.col("suggestion_id").cast("bigint") == F.col("_id")), "left",
+    ).drop("_doc", "_id")
     done = F.coalesce(F.col("status") == "executed", F.lit(False))
     report = judged.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("total"), F.count_if(done).alias("successful"), F.count_if(~done).alias("failed"),
@@ -348,15 +377,15 @@ def changed_attrs(old: Column, config: Column) -> Column:
 
 
 def overlay_span_attrs(segments: DataFrame, spans: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Set attributes (or a ``url``) on [start, end): touched segments split in up to three.
+    """Set attributes (or a ``url``) on [start, end): touched segments split at the ends of the spans.
 
-    ``segments`` carry ``attrs MAP<STRING,STRING>``; ``spans(doc_id,
-    block_index, start_offset, end_offset, config MAP)``, one per block.
-    Offsets are mandatory and have to lie within the text. A touched field
-    changes as a whole.
+    ``segments`` carry ``attrs MAP<STRING,STRING>``; ``spans(doc_id, op_index,
+    block_index, start_offset, end_offset, config MAP)``; where several cover a
+    piece they are applied in the order of the request. Offsets are mandatory and
+    have to lie within the text. A touched field changes as a whole.
     """
     lengths = segments.groupBy(*BLOCK).agg(F.max("end_pos").alias("_length"))
-    judged = spans.join(lengths, BLOCK, "left").withColumn(
+    judged = with_op_index(spans).join(lengths, BLOCK, "left").withColumn(
         "_ok",
         F.coalesce(
             (F.col("start_offset") >= 0) & (F.col("start_offset") < F.col("end_offset"))
@@ -364,36 +393,42 @@ def overlay_span_attrs(segments: DataFrame, spans: DataFrame) -> tuple[DataFrame
             F.lit(False),
         ),
     )
-    good = judged.where("_ok").select(
-        *BLOCK, F.col("start_offset").alias("_from"), F.col("end_offset").alias("_to"), "config"
-    )
+    good = judged.where("_ok").groupBy(*BLOCK).agg(by_op_index(F.collect_list(
+        F.struct("op_index", F.col("start_offset").alias("low"), F.col("end_offset").alias("high"), "config")
+    )).alias("_all"))
+    size, text = F.length("text").cast("bigint"), F.col("text")
+
+    def local(s: Column) -> Column:
+        inside = F.col("kind") == "text"
+        return F.struct(
+            F.when(inside, F.greatest(s["low"] - F.col("start_pos"), F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("low"),
+            F.when(inside, F.least(s["high"] - F.col("start_pos"), size)).otherwise(size).alias("high"), s["config"].alias("config"),
+        )
+
     joined = segments.join(good, BLOCK, "left").withColumn(
-        "_hit", F.coalesce(overlap(F.col("_from"), F.col("_to")), F.lit(False))
+        "_spans", F.transform(F.filter("_all", lambda s: (F.col("end_pos") > s["low"]) & (F.col("start_pos") < s["high"])), local)
+    )
+    ends = F.array_sort(F.array_distinct(F.concat(
+        F.array(F.lit(0).cast("bigint"), size), F.transform("_spans", lambda s: s["low"]), F.transform("_spans", lambda s: s["high"])
+    )))
+
+    def piece(i: Column) -> Column:
+        low, high = F.get("_ends", i), F.get("_ends", i + 1)
+        covering = F.filter("_spans", lambda s: (s["low"] < high) & (s["high"] > low))
+        return F.struct(
+            F.substring(text, (low + 1).cast("int"), (high - low).cast("int")).alias("text"),
+            F.aggregate(covering, F.col("attrs"), lambda attrs, s: changed_attrs(attrs, s["config"])).alias("attrs"),
+        )
+
+    touched = F.coalesce(F.size("_spans") > 0, F.lit(False)) & (text != "")
+    pieces = F.when(touched, F.transform(F.sequence(F.lit(0), F.size("_ends") - 2), piece)).otherwise(
+        F.array(F.struct(text.alias("text"), F.col("attrs").alias("attrs")))
     )
-    is_field = F.col("kind") == "field"
-    low = F.when(is_field, 0).otherwise(F.greatest(F.col("_from") - F.col("start_pos"), F.lit(0))).cast("int")
-    high = F.when(is_field, F.length("text")).otherwise(
-        F.least(F.col("_to") - F.col("start_pos"), F.length("text").cast("bigint"))
-    ).cast("int")
-    text, attrs = F.col("text"), F.col("attrs")
-
-    def piece(part: int, of_text: Column, of_attrs: Column) -> Column:
-        return F.struct(F.lit(part).alias("_part"), of_text.alias("text"), of_attrs.alias("attrs"))
-
-    pieces = F.when(
-        F.col("_hit"),
-        F.array(
-            piece(0, F.left(text, low), attrs),
-            piece(1, F.substring(text, low + 1, high - low), changed_attrs(attrs, F.col("config"))),
-            piece(2, F.substring(text, high + 1, F.length(text)), attrs),
-        ),
-    ).otherwise(F.array(piece(0, text, attrs)))
     others = [c for c in segments.columns if c not in ("text", "attrs")]
-    # Empty side pieces of a touched segment go; the untouched ones stay as they are.
-    split = joined.select(*others, "_hit", F.explode(pieces).alias("_p")).where("NOT _hit OR _p.text <> ''").select(
-        *others, "_p.text", "_p.attrs", "_p._part"
+    split = joined.withColumn("_ends", ends).select(*others, F.posexplode(pieces).alias("_part", "_p")).select(
+        *others, "_p.text", "_p.attrs", "_part"
     )
-    status = judged.select(*BLOCK, F.when(F.col("_ok"), F.lit("executed")).otherwise(F.lit("failed")).alias("status"))
+    status = judged.select(*BLOCK, "op_index", F.when(F.col("_ok"), F.lit("executed")).otherwise(F.lit("failed")).alias("status"))
     return settle(split, "seg_index", "_part").select(*segments.columns), status
 
 
@@ -423,7 +458,8 @@ def effective_attrs(segments: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def set_block_attrs(blocks: DataFrame, formats: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Paragraph settings over ``blocks.attrs`` maps; an unknown alignment refuses the whole request."""
+    """Paragraph settings over ``blocks.attrs`` maps, in the order of the request; an unknown alignment refuses its edit."""
+    formats = with_op_index(formats)
     alignment = F.try_element_at("paragraph_format", F.lit("alignment"))
     refused = alignment.isNotNull() & (alignment != "") & ~alignment.isin(*V.ALIGNMENTS)
     known = ("alignment", "line_spacing", "space_before", "space_after", "first_line_indent")
@@ -432,12 +468,14 @@ def set_block_attrs(blocks: DataFrame, formats: DataFrame) -> tuple[DataFrame, D
     )
     exists = blocks.select(*BLOCK, F.lit(True).alias("_there"))
     judged = formats.join(exists, BLOCK, "left").withColumn("_ok", F.coalesce(F.col("_there") & ~F.coalesce(refused, F.lit(False)), F.lit(False)))
-    good = judged.where("_ok").select(*BLOCK, wanted.alias("_set"))
+    good = judged.where("_ok").groupBy(*BLOCK).agg(by_op_index(F.collect_list(F.struct("op_index", wanted.alias("attrs")))).alias("_sets"))
     joined = blocks.join(good, BLOCK, "left")
-    merged = F.when(F.col("_set").isNull(), F.col("attrs")).otherwise(
-        F.map_concat(F.map_filter("attrs", lambda key, _: ~F.map_contains_key(F.col("_set"), key)), F.col("_set"))
-    )
-    status = judged.select(*BLOCK, F.when(F.col("_ok"), F.lit("executed")).otherwise(F.lit("failed")).alias("status"))
+
+    def over(attrs: Column, edit: Column) -> Column:
+        return F.map_concat(F.map_filter(attrs, lambda key, _: ~F.map_contains_key(edit["attrs"], key)), edit["attrs"])
+
+    merged = F.when(F.col("_sets").isNull(), F.col("attrs")).otherwise(F.aggregate("_sets", F.col("attrs"), over))
+    status = judged.select(*BLOCK, "op_index", F.when(F.col("_ok"), F.lit("executed")).otherwise(F.lit("failed")).alias("status"))
     return joined.withColumn("attrs", merged).select(*blocks.columns), status
 
 
@@ -449,27 +487,41 @@ def set_cell_attrs(cells: DataFrame, formats: DataFrame) -> DataFrame:
 
     ``cells`` carry ``background``, ``v_align``, ``h_align`` and ``borders
     MAP<side, STRUCT<style,size,color>>``; ``formats`` the same under
-    ``new_*`` names. A border of style none is removed; unknown alignments and
+    ``new_*`` names, folded per cell in the order of ``op_index``. A border of style none is removed; unknown alignments and
     an ``auto`` fill change nothing.
     """
-    fill = F.regexp_replace("new_background", "^#+", "")
-    styled = F.transform_values(
-        F.map_filter(F.col("new_borders"), lambda _, b: ~b["style"].isin("none", "")),
-        lambda _, b: F.struct(
-            b["style"].alias("style"), F.coalesce(b["size"], F.lit(4)).cast("bigint").alias("size"),
-            F.regexp_replace(F.coalesce(b["color"], F.lit("auto")), "^#+", "").alias("color"),
-        ),
-    )
-    kept = F.map_filter(F.col("borders"), lambda side, _: ~F.map_contains_key(F.col("new_borders"), side))
-    joined = cells.join(formats, ["table_id", "row", "col"], "left")
-    return (
-        joined.withColumn(
-            "background",
-            F.when(F.col("new_background").isNotNull() & ~F.col("new_background").isin("", "auto"), fill).otherwise(F.col("background")),
+    edits = with_op_index(formats).groupBy("table_id", "row", "col").agg(by_op_index(F.collect_list(
+        F.struct("op_index", "new_background", "new_v_align", "new_h_align", "new_borders")
+    )).alias("_edits"))
+
+    def folded(column: str, change) -> Column:
+        return F.when(F.col("_edits").isNull(), F.col(column)).otherwise(F.aggregate("_edits", F.col(column), change))
+
+    def fill(old: Column, edit: Column) -> Column:
+        new = edit["new_background"]
+        return F.when(new.isNotNull() & ~new.isin("", "auto"), F.regexp_replace(new, "^#+", "")).otherwise(old)
+
+    def aligned(name: str, allowed: tuple[str, ...]):
+        return lambda old, edit: F.when(edit[name].isin(*allowed), edit[name]).otherwise(old)
+
+    def bordered(old: Column, edit: Column) -> Column:
+        new = edit["new_borders"]
+        styled = F.transform_values(
+            F.map_filter(new, lambda _, b: ~b["style"].isin("none", "")),
+            lambda _, b: F.struct(
+                b["style"].alias("style"), F.coalesce(b["size"], F.lit(4)).cast("bigint").alias("size"),
+                F.regexp_replace(F.coalesce(b["color"], F.lit("auto")), "^#+", "").alias("color"),
+            ),
         )
-        .withColumn("v_align", F.when(F.col("new_v_align").isin("top", "center", "bottom"), F.col("new_v_align")).otherwise(F.col("v_align")))
-        .withColumn("h_align", F.when(F.col("new_h_align").isin(*V.ALIGNMENTS), F.col("new_h_align")).otherwise(F.col("h_align")))
-        .withColumn("borders", F.when(F.col("new_borders").isNull(), F.col("borders")).otherwise(F.map_concat(kept, styled)))
+        kept = F.map_filter(old, lambda side, _: ~F.map_contains_key(new, side))
+        return F.when(new.isNull(), old).otherwise(F.map_concat(kept, styled))
+
+    joined = cells.join(edits, ["table_id", "row", "col"], "left")
+    return (
+        joined.withColumn("background", folded("background", fill))
+        .withColumn("v_align", folded("v_align", aligned("new_v_align", ("top", "center", "bottom"))))
+        .withColumn("h_align", folded("h_align", aligned("new_h_align", V.ALIGNMENTS)))
+        .withColumn("borders", folded("borders", bordered))
         .select(*cells.columns)
     )
 

@@ -10,6 +10,7 @@ from blankweave import fixed_values as V
 from blankweave.functions import naming as N
 from blankweave.functions import text as T
 from blankweave.operators import fields as FL
+from blankweave.operators.ranking import with_op_index
 from blankweave.operators.skew import salted_join
 
 BLOCK = ["doc_id", "block_index"]
@@ -182,35 +183,60 @@ def nested_blocks(segments: DataFrame) -> DataFrame:
 
 
 # --- new blocks --------------------------------------------------------------------
+def _cut_at(text: Column, cuts: Column) -> Column:
+    """(piece number, text) between sorted offsets; blank pieces after the first are dropped."""
+    bounds = F.concat(F.array(F.lit(0).cast("bigint")), cuts, F.array(F.length(text).cast("bigint")))
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.size(cuts)),
+        lambda i: F.struct(
+            i.alias("piece"),
+            F.substring(text, (F.get(bounds, i) + 1).cast("int"), (F.get(bounds, i + 1) - F.get(bounds, i)).cast("int")).alias("text"),
+        ),
+    )
+    return F.filter(pieces, lambda p: (p["piece"] == 0) | ~T.is_blank(p["text"]))
+
+
+def _offsets(edits: DataFrame) -> DataFrame:
+    """The distinct offsets asked of each block, ascending."""
+    return edits.groupBy(*BLOCK).agg(F.array_sort(F.collect_set("offset")).alias("_cuts"))
+
+
 def add_block(blocks: DataFrame, adds: DataFrame) -> DataFrame:
     """``adds(doc_id, add_id, block_index, position, text, offset, para_in_cell)``.
 
     after or before a block, at the end of the document, as a paragraph of a
-    cell (``para_in_cell`` set), or splitting the block at ``offset``. Adds to
-    unknown blocks change nothing. At most one split or cell add per block.
+    cell (``para_in_cell`` set), or splitting the block at ``offset``. Any number
+    per block: offsets and paragraphs are those before the request, adds at one
+    place stand in the order of ``add_id``. Adds to unknown blocks change nothing.
     """
-    inner = adds.where("offset IS NOT NULL OR para_in_cell IS NOT NULL").select(
-        *BLOCK, "offset", F.col("para_in_cell").alias("_para"), F.col("text").alias("_new")
+    sizes = blocks.select(*BLOCK, F.length("text").cast("bigint").alias("_length"))
+    cuts = _offsets(
+        adds.where("offset IS NOT NULL AND para_in_cell IS NULL").join(sizes, BLOCK)
+        .withColumn("offset", F.when(F.col("_length") == 0, F.lit(0)).otherwise(F.col("offset")).cast("bigint"))
+        .where("offset BETWEEN 0 AND _length")
     )
-    joined = blocks.join(inner, BLOCK, "left")
-    lines = F.split("text", "\n", -1)
-    after = F.least(F.col("_para"), F.size(lines) - 1).cast("int") + 1
-    in_cell = F.array_join(
-        F.concat(F.slice(lines, F.lit(1), after), F.array("_new"), F.slice(lines, after + 1, F.size(lines))), "\n"
+    inner = adds.where("para_in_cell IS NOT NULL").groupBy(*BLOCK).agg(
+        F.array_sort(F.collect_list(F.struct("add_id", F.col("para_in_cell").alias("para"), "text"))).alias("_paras")
     )
-    fits = F.col("offset").between(0, F.length("text")) | (F.col("text") == "")
-    cut = T.split_at_offset(F.col("text"), F.col("offset"))
-    parts = (
-        F.when(F.col("_para").isNotNull(), F.array(in_cell))
-        .when(F.col("offset").isNotNull() & fits, F.array(cut["before"], cut["after"]))
-        .otherwise(F.array("text"))
+    joined = blocks.join(cuts, BLOCK, "left").join(inner, BLOCK, "left")
+    lines = F.split("text", "\n", -1)
+
+    def with_adds(line: Column, i: Column) -> Column:
+        here = F.filter("_paras", lambda a: F.least(a["para"], F.size(lines) - 1) == i)
+        return F.concat(F.array(line), F.transform(here, lambda a: a["text"]))
+
+    grown = joined.withColumn("_grown", F.when(
+        F.col("_paras").isNotNull(), F.array_join(F.flatten(F.transform(lines, with_adds)), "\n")
+    ).otherwise(F.col("text")))
+    parts = F.when(F.col("_cuts").isNull(), F.array(F.struct(F.lit(0).alias("piece"), F.col("_grown").alias("text")))).otherwise(
+        _cut_at(F.col("text"), F.col("_cuts"))
     )
-    split = joined.select(*BLOCK, F.posexplode(parts).alias("_sub", "text")).where("text IS NOT NULL").select(
-        *BLOCK, "text", F.col("_sub").cast("int").alias("_sub"), F.lit(0).cast("bigint").alias("_add")
+    split = grown.select(*BLOCK, F.explode(parts).alias("_p")).select(
+        *BLOCK, "_p.text", F.col("_p.piece").alias("_sub"), F.lit(0).cast("bigint").alias("_add")
     )
     outer = adds.where("offset IS NULL AND para_in_cell IS NULL")
     beside = outer.where("position <> 'end'").join(blocks.select(*BLOCK), BLOCK, "left_semi").select(
-        *BLOCK, "text", F.when(F.col("position") == "before", -1).otherwise(2).alias("_sub"), F.col("add_id").alias("_add")
+        *BLOCK, "text", F.when(F.col("position") == "before", -1).otherwise(2**30).alias("_sub"), F.col("add_id").alias("_add")
     )
     known = blocks.select("doc_id").distinct()
     ending = outer.where("position = 'end'").join(known, "doc_id", "left_semi").select(
@@ -220,52 +246,58 @@ def add_block(blocks: DataFrame, adds: DataFrame) -> DataFrame:
 
 
 def insert_structure(blocks: DataFrame, inserts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Page breaks, image references or empty tables between the halves of a split block.
+    """Page breaks, image references or empty tables between the pieces of a split block.
 
-    ``blocks(doc_id, block_index, type, text)``; ``inserts(doc_id, block_index,
-    offset, what, rows, cols, image_path, width)``, one per block. A blank
-    second half is dropped; a page break splits paragraphs only.
+    ``blocks(doc_id, block_index, type, text)``; ``inserts(doc_id, op_index,
+    block_index, offset, what, rows, cols, image_path, width)``, any number per
+    block, at offsets before the request. Blank pieces after the first are
+    dropped; a page break splits paragraphs only.
     """
-    sized = inserts.join(blocks.select(*BLOCK, "type", F.length("text").alias("_length")), BLOCK, "left")
+    sized = with_op_index(inserts).join(blocks.select(*BLOCK, "type", F.length("text").alias("_length")), BLOCK, "left")
     what = F.col("what")
     error = (
         F.when(F.col("type").isNull(), F.lit("unknown block"))
         .when((what == "page_break") & (F.col("type") != "paragraph"), F.lit("page breaks need a paragraph"))
         .when((F.col("_length") > 0) & ~F.col("offset").between(0, F.col("_length")), F.lit("offset not found"))
         .when((what == "table") & ((F.col("rows") < 1) | (F.col("cols") < 1)), F.lit("table size"))
-        .when((what == "image") & ~F.col("width").between(1, 8), F.lit("image width"))
+        .when((what == "image") & (F.col("width") < 1), F.lit("image width"))
     )
     judged = sized.withColumn("error", error)
-    good = judged.where("error IS NULL").select(*BLOCK, "offset", "what", "rows", "cols", "image_path", "width")
-    none = lambda kind: F.lit(None).cast(kind)
-
-    joined = blocks.join(good.select(*BLOCK, "offset"), BLOCK, "left")
-    cut = T.split_at_offset(F.col("text"), F.col("offset"))
-    parts = F.when(F.col("offset").isNull(), F.array("text")).otherwise(F.array(cut["before"], cut["after"]))
-    halves = joined.select(*BLOCK, "type", F.posexplode(parts).alias("_sub", "text")).where("text IS NOT NULL").select(
-        *BLOCK, (F.col("_sub") * 2).alias("_sub"), "type", "text", none("bigint").alias("row"), none("bigint").alias("col"),
-        none("string").alias("image_path"), none("double").alias("width"),
+    good = judged.where("error IS NULL").select(
+        *BLOCK, "op_index", F.when(F.col("_length") == 0, F.lit(0)).otherwise(F.col("offset")).cast("bigint").alias("offset"),
+        "what", "rows", "cols", "image_path", "width",
     )
-    marks = good.where("what <> 'table'").select(
-        *BLOCK, F.lit(1).alias("_sub"), F.col("what").alias("type"), F.lit("").alias("text"),
+    none = lambda kind: F.lit(None).cast(kind)
+    cuts = _offsets(good)
+    pieces = F.when(F.col("_cuts").isNull(), F.array(F.struct(F.lit(0).alias("piece"), F.col("text").alias("text")))).otherwise(
+        _cut_at(F.col("text"), F.col("_cuts"))
+    )
+    halves = blocks.join(cuts, BLOCK, "left").select(*BLOCK, "type", F.explode(pieces).alias("_p")).select(
+        *BLOCK, (F.col("_p.piece") * 2).alias("_sub"), F.lit(0).cast("bigint").alias("_op"), "type", "_p.text",
+        none("bigint").alias("row"), none("bigint").alias("col"), none("string").alias("image_path"), none("double").alias("width"),
+    )
+    # An insert stands between the pieces that its offset parts.
+    between = good.join(cuts, BLOCK).withColumn("_sub", (2 * F.array_position("_cuts", F.col("offset")) - 1).cast("int"))
+    marks = between.where("what <> 'table'").select(
+        *BLOCK, "_sub", F.col("op_index").alias("_op"), F.col("what").alias("type"), F.lit("").alias("text"),
         none("bigint").alias("row"), none("bigint").alias("col"),
         F.when(what == "image", F.col("image_path")).alias("image_path"), F.when(what == "image", F.col("width")).alias("width"),
     )
     cells = (
-        good.where("what = 'table'")
+        between.where("what = 'table'")
         .withColumn("row", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rows") - 1)))
         .withColumn("col", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("cols") - 1)))
         .select(
-            *BLOCK, F.lit(1).alias("_sub"), F.lit("table_cell").alias("type"), F.lit("").alias("text"), "row", "col",
+            *BLOCK, "_sub", F.col("op_index").alias("_op"), F.lit("table_cell").alias("type"), F.lit("").alias("text"), "row", "col",
             none("string").alias("image_path"), none("double").alias("width"),
         )
     )
     everything = halves.unionByName(marks).unionByName(cells)
     numbered = everything.withColumn("_r", F.col("row")).withColumn("_c", F.col("col"))
     status = judged.select(
-        *BLOCK, F.when(F.col("error").isNull(), F.lit("executed")).otherwise(F.lit("failed")).alias("status"), "error"
+        *BLOCK, "op_index", F.when(F.col("error").isNull(), F.lit("executed")).otherwise(F.lit("failed")).alias("status"), "error"
     )
-    return _renumber(numbered, "_sub", "_r", "_c"), status
+    return _renumber(numbered, "_sub", "_op", "_r", "_c"), status
 
 
 def reverse_apply_order(targets: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from blankweave.functions import naming as N
 from blankweave.functions import text as T
-from blankweave.operators.ranking import numbered
+from blankweave.operators.ranking import numbered, with_op_index
 from blankweave.operators.skew import salted_join
 
 ROW_BAND = 4096
@@ -234,43 +234,63 @@ def best_matching_cell(cells: DataFrame, hints: DataFrame) -> DataFrame:
 
 # --- grid edits ---------------------------------------------------------------------
 def _edit_lines(cells: DataFrame, edits: DataFrame, axis: str, other: str, after: str) -> tuple[DataFrame, DataFrame]:
-    """One insert or delete of a grid line per table; returns new cells and a status per edit.
+    """Inserts and deletes of grid lines, one after the other per table; returns new cells and a status per edit.
 
-    ``edits(table_id, action, at, position)``; ``at`` NULL inserts at the end.
-    The last line of a table is protected.
+    ``edits(table_id, op_index, action, at, position)``; ``at`` NULL inserts at
+    the end. Positions are those after the edits before. The last line of a
+    table is protected. The edits of a table travel as one array: they move the
+    position of each cell inside its row, so a table may hold any share of all cells.
     """
     sizes = cells.groupBy("table_id").agg(
         (F.max(axis) + 1).alias("_lines"), (F.max(other) + 1).alias("_others")
     )
-    at = F.coalesce(F.col("at"), F.col("_lines"))
-    target = F.when((F.col("action") == "insert") & F.col("at").isNotNull() & (F.col("position") == after), at + 1).otherwise(at)
-    fits = F.when(F.col("action") == "insert", F.col("target").between(0, F.col("_lines"))).otherwise(
-        (F.col("target") >= 0) & (F.col("target") < F.col("_lines"))
-    )
-    error = (
-        F.when(F.col("_lines").isNull(), F.lit("unknown table"))
-        .when((F.col("action") == "delete") & (F.col("_lines") <= 1), F.lit(f"the last {axis} stays"))
-        .when(~fits, F.lit(f"{axis} is out of range"))
+    requests = with_op_index(edits).groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("op_index", "action", "at", "position"))).alias("_edits"))
+
+    def judged(state: Column, edit: Column) -> Column:
+        lines, inserting = state["lines"], edit["action"] == "insert"
+        at = F.coalesce(edit["at"], lines)
+        target = F.when(inserting & edit["at"].isNotNull() & (edit["position"] == after), at + 1).otherwise(at).cast("bigint")
+        last = F.when(inserting, lines).otherwise(lines - 1)
+        error = (
+            F.when(lines.isNull(), F.lit("unknown table"))
+            .when(~inserting & (lines <= 1), F.lit(f"the last {axis} stays"))
+            .when(~target.between(0, last), F.lit(f"{axis} is out of range"))
+        )
+        step = F.when(error.isNotNull(), 0).when(inserting, 1).otherwise(-1)
+        done = F.struct(edit["op_index"].alias("op_index"), edit["action"].alias("action"), target.alias("target"), error.alias("error"))
+        return F.struct((lines + step).cast("bigint").alias("lines"), F.concat(state["done"], F.array(done)).alias("done"))
+
+    empty = F.struct(
+        F.col("_lines").cast("bigint").alias("lines"),
+        F.array().cast("array<struct<op_index:bigint,action:string,target:bigint,error:string>>").alias("done"),
     )
-    planned = edits.join(sizes, "table_id", "left").withColumn("target", target).withColumn("error", error)
-    status = planned.select(
-        "table_id", F.when(F.col("error").isNull(), F.lit("executed")).otherwise(F.lit("failed")).alias("status"), "error"
+    planned = requests.join(sizes, "table_id", "left").select(
+        "table_id", "_others", F.aggregate("_edits", empty, judged)["done"].alias("_done")
     )
-    good = planned.where("error IS NULL").select("table_id", "action", "target", "_others")
-    moved = salted_join(
-        cells, good.select("table_id", "action", "target"), ["table_id"], F.struct("row", "col"), how="left"
+    status = planned.select("table_id", F.explode("_done").alias("e")).select(
+        "table_id", "e.op_index", F.when(F.col("e.error").isNull(), F.lit("executed")).otherwise(F.lit("failed")).alias("status"), "e.error"
     )
-    inserting, deleting = F.col("action") == "insert", F.col("action") == "delete"
-    shift = F.when(inserting & (F.col(axis) >= F.col("target")), 1).when(
-        deleting & (F.col(axis) > F.col("target")), -1
-    ).otherwise(0)
-    kept = moved.where(~F.coalesce(deleting & (F.col(axis) == F.col("target")), F.lit(False))).withColumn(
-        axis, (F.col(axis) + shift).cast("bigint")
-    ).select("table_id", "row", "col", "text")
-    fresh = good.where(inserting).select(
-        "table_id", F.col("target").alias(axis),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_others") - 1)).alias(other), F.lit("").alias("text"),
+    good = planned.select("table_id", "_others", F.filter("_done", lambda e: e["error"].isNull()).alias("_good")).where(F.size("_good") > 0)
+
+    def moved(position: Column, edit: Column) -> Column:
+        target = edit["target"]
+        return (
+            F.when(edit["action"] == "insert", F.when(position >= target, position + 1).otherwise(position))
+            .when(position > target, position - 1).when(position < target, position)
+        )
+
+    joined = salted_join(cells, good.select("table_id", "_good"), ["table_id"], F.struct("row", "col"), how="left")
+    start = F.col(axis).cast("bigint")
+    kept = joined.withColumn(axis, F.when(F.col("_good").isNull(), start).otherwise(F.aggregate("_good", start, moved))).where(
+        F.col(axis).isNotNull()
     ).select("table_id", "row", "col", "text")
+    later = F.slice("_good", F.col("_i") + 2, F.size("_good"))
+    fresh = (
+        good.select("table_id", "_others", "_good", F.posexplode("_good").alias("_i", "e")).where("e.action = 'insert'")
+        .withColumn(axis, F.aggregate(later, F.col("e.target"), moved)).where(F.col(axis).isNotNull())
+        .select("table_id", axis, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_others") - 1)).alias(other), F.lit("").alias("text"))
+        .select("table_id", "row", "col", "text")
+    )
     return kept.unionByName(fresh), status
 
 

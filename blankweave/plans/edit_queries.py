@@ -44,28 +44,41 @@ def overlap_segments(spark: SparkSession, d: str) -> DataFrame:
     return S.overlap_segments(segs, ranges).select("doc_id", "block_index", "seg_index", "overlap_start", "overlap_end")
 
 
-_RENAMES = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'field' WHEN 1 THEN 'field_2' WHEN 2 THEN 'ck_field_999' ELSE 'mat' END AS old_name,
-  CASE doc_id % 5 WHEN 0 THEN 'field_3' ELSE 'ten_moi' END AS new_name, CASE WHEN doc_id % 7 = 0 THEN 1 WHEN doc_id % 7 = 1 THEN 0 END AS nth FROM documents"""
+# Two renames per document, some of one field, some to one new name.
+_RENAMES = """SELECT doc_id, 0 AS op_index, CASE doc_id % 4 WHEN 0 THEN 'field' WHEN 1 THEN 'field_2' WHEN 2 THEN 'ck_field_999' ELSE 'mat' END AS old_name,
+    CASE doc_id % 5 WHEN 0 THEN 'field_3' ELSE 'ten_moi' END AS new_name, CASE WHEN doc_id % 7 = 0 THEN 1 WHEN doc_id % 7 = 1 THEN 0 END AS nth FROM documents
+  UNION ALL SELECT doc_id, 1, 'field', CASE WHEN doc_id % 6 = 0 THEN 'ten_moi' ELSE 'ten_hai' END, CASE WHEN doc_id % 2 = 0 THEN 0 END FROM documents"""
 
 
 def _renames(spark: SparkSession, d: str) -> DataFrame:
-    return _documents(spark, d).select(
-        "doc_id",
-        F.expr("CASE doc_id % 4 WHEN 0 THEN 'field' WHEN 1 THEN 'field_2' WHEN 2 THEN 'ck_field_999' ELSE 'mat' END").alias("old_name"),
-        F.expr("CASE doc_id % 5 WHEN 0 THEN 'field_3' ELSE 'ten_moi' END").alias("new_name"),
-        F.expr("CASE WHEN doc_id % 7 = 0 THEN 1 WHEN doc_id % 7 = 1 THEN 0 END").alias("occurrence_index"),
+    documents = _documents(spark, d)
+    first = documents.selectExpr(
+        "doc_id", "0L AS op_index",
+        "CASE doc_id % 4 WHEN 0 THEN 'field' WHEN 1 THEN 'field_2' WHEN 2 THEN 'ck_field_999' ELSE 'mat' END AS old_name",
+        "CASE doc_id % 5 WHEN 0 THEN 'field_3' ELSE 'ten_moi' END AS new_name",
+        "CASE WHEN doc_id % 7 = 0 THEN 1 WHEN doc_id % 7 = 1 THEN 0 END AS occurrence_index",
     )
+    return first.unionByName(documents.selectExpr(
+        "doc_id", "1L AS op_index", "'field' AS old_name", "CASE WHEN doc_id % 6 = 0 THEN 'ten_moi' ELSE 'ten_hai' END AS new_name",
+        "CASE WHEN doc_id % 2 = 0 THEN 0 END AS occurrence_index",
+    ))
 
 
 _RENAME_SQL = dict(
     renames=_RENAMES,
-    names="SELECT DISTINCT doc_id, field_name FROM tfields",
-    matched=r"""SELECT r.*, coalesce(e.field_name, b.field_name) AS matched, u.field_name IS NOT NULL AND new_name <> old_name AS taken
+    names="SELECT doc_id, field_name, count(*) AS uses FROM tfields GROUP BY ALL",
+    matched=r"""SELECT r.*, coalesce(e.field_name, b.field_name) AS matched, coalesce(e.uses, b.uses) AS uses, u.field_name IS NOT NULL AND new_name <> old_name AS taken
       FROM renames r LEFT JOIN names e ON r.doc_id = e.doc_id AND r.old_name = e.field_name
       LEFT JOIN names b ON r.doc_id = b.doc_id AND regexp_replace(r.old_name, '_\d+$', '') = b.field_name
       LEFT JOIN names u ON r.doc_id = u.doc_id AND r.new_name = u.field_name""",
-    hits="""SELECT s.*, m.new_name AS nn FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, field_name ORDER BY block_index, seg_index) - 1 AS occ FROM tseg) s
-      LEFT JOIN matched m ON s.doc_id = m.doc_id AND s.field_name = m.matched AND NOT m.taken AND coalesce(m.nth, s.occ) = s.occ""",
+    alone="""SELECT *, CASE WHEN matched IS NULL THEN 'unknown field' WHEN taken THEN 'name in use' WHEN nth >= uses THEN 'no such occurrence' END AS e1 FROM matched""",
+    named_once="""SELECT a.*, coalesce(e1, CASE WHEN EXISTS (SELECT 1 FROM alone b WHERE b.doc_id = a.doc_id AND b.new_name = a.new_name AND b.op_index < a.op_index AND b.e1 IS NULL)
+        THEN 'name in use' END) AS e2 FROM alone a""",
+    judged="""SELECT a.*, coalesce(e2, CASE WHEN EXISTS (SELECT 1 FROM named_once b WHERE b.doc_id = a.doc_id AND b.matched = a.matched AND b.op_index < a.op_index AND b.e2 IS NULL
+        AND (b.nth IS NULL OR b.nth = a.nth)) THEN 'renamed before' END) AS error FROM named_once a""",
+    hits="""SELECT s.*, (SELECT arg_min(m.new_name, m.op_index) FROM judged m WHERE s.kind = 'field' AND s.doc_id = m.doc_id AND s.field_name = m.matched
+        AND m.error IS NULL AND coalesce(m.nth, s.occ) = s.occ) AS nn
+      FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, field_name ORDER BY block_index, seg_index) - 1 AS occ FROM tseg) s""",
     pieces=r"""SELECT doc_id, block_index, seg_index AS ord, kind, CASE WHEN nn IS NULL THEN text ELSE '«' || nn || '»' END AS text,
         coalesce(nn, field_name) AS field_name, CASE WHEN nn IS NULL THEN switch ELSE '\* MERGEFORMAT' END AS switch, original_text FROM hits""",
     settled=_SETTLED,
@@ -78,9 +91,8 @@ def rename_field(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("rename_field_status", duck("""
-  SELECT doc_id, old_name, new_name, matched, CASE WHEN matched IS NULL OR taken OR coalesce(nth >= uses, false) THEN 'failed' ELSE 'executed' END AS status,
-    CASE WHEN matched IS NULL THEN 'unknown field' WHEN taken THEN 'name in use' WHEN nth >= uses THEN 'no such occurrence' END AS error
-  FROM matched LEFT JOIN (SELECT doc_id AS did, field_name AS fname, count(*) AS uses FROM tfields GROUP BY ALL) ON doc_id = did AND matched = fname""", "tseg", "tfields", **_RENAME_SQL))
+  SELECT doc_id, CAST(op_index AS BIGINT) AS op_index, old_name, new_name, matched, CASE WHEN error IS NULL THEN 'executed' ELSE 'failed' END AS status, error
+  FROM judged""", "tseg", "tfields", **_RENAME_SQL))
 def rename_field_status(spark: SparkSession, d: str) -> DataFrame:
     return S.rename_field(segments(spark, d), _renames(spark, d))[1]
 
@@ -101,19 +113,24 @@ def delete_field(spark: SparkSession, d: str) -> DataFrame:
     return S.delete_field(segments(spark, d), deletes)[0]
 
 
+_ADDS = """SELECT doc_id, 0 AS op_index, doc_id % 6 AS block_index, CASE WHEN doc_id % 11 = 0 THEN 'field' ELSE 'moi' END AS nn,
+    CASE doc_id % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' ELSE 'new_line' END AS position FROM documents
+  UNION ALL SELECT doc_id, 1, doc_id % 6, CASE WHEN doc_id % 5 = 0 THEN 'moi' ELSE 'moi_hai' END, CASE WHEN doc_id % 2 = 0 THEN 'left' ELSE 'right' END FROM documents
+  UNION ALL SELECT doc_id, 2, block_index, 'moi_' || block_index, CASE WHEN block_index % 2 = 0 THEN 'new_line' ELSE 'right' END FROM form_blocks WHERE block_index % 3 = 1"""
 _ADD_SQL = dict(
-    adds="""SELECT doc_id, doc_id % 6 AS block_index, CASE WHEN doc_id % 11 = 0 THEN 'field' ELSE 'moi' END AS nn,
-        CASE doc_id % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' ELSE 'new_line' END AS position FROM documents""",
-    good="""SELECT a.* FROM adds a JOIN (SELECT DISTINCT doc_id, block_index FROM tseg) USING (doc_id, block_index)
+    adds=_ADDS,
+    free="""SELECT a.*, row_number() OVER (PARTITION BY doc_id, nn ORDER BY op_index) AS same FROM adds a JOIN (SELECT DISTINCT doc_id, block_index FROM tseg) USING (doc_id, block_index)
       WHERE NOT EXISTS (SELECT 1 FROM tfields f WHERE f.doc_id = a.doc_id AND f.field_name = a.nn)""",
-    lasts="""SELECT t.doc_id, t.block_index, max(seg_index) FILTER (kind = 'text' AND text <> '') AS last_text FROM tseg t JOIN good USING (doc_id, block_index) GROUP BY ALL""",
+    good="""SELECT *, row_number() OVER (PARTITION BY doc_id, block_index ORDER BY op_index) AS nth FROM free WHERE same = 1""",
+    lasts="""SELECT t.doc_id, t.block_index, max(seg_index) FILTER (kind = 'text' AND text <> '') AS last_text FROM tseg t
+      JOIN (SELECT DISTINCT doc_id, block_index FROM good) USING (doc_id, block_index) GROUP BY ALL""",
     tails=r"""SELECT t.doc_id, t.block_index, t.seg_index, regexp_extract(text, '^(.*?)((?:\s*[._](?:\s*[._])+\s*)|[□■]+)$', 1) AS head,
         regexp_extract(text, '^(.*?)((?:\s*[._](?:\s*[._])+\s*)|[□■]+)$', 2) AS tail
       FROM tseg t JOIN lasts l ON t.doc_id = l.doc_id AND t.block_index = l.block_index AND t.seg_index = l.last_text""",
     rows_in="""SELECT t.doc_id, t.block_index, 0 AS sub, t.seg_index AS ord0, kind, CASE WHEN tail <> '' THEN head ELSE text END AS text, field_name, switch, original_text
       FROM tseg t LEFT JOIN tails USING (doc_id, block_index, seg_index)
-      UNION ALL SELECT g.doc_id, g.block_index, CASE WHEN position = 'new_line' THEN 1 ELSE 0 END, CASE WHEN position = 'left' THEN -1 ELSE 1000000 END,
-        'field', '«' || nn || '»', nn, '\\* MERGEFORMAT', coalesce(tail, '') FROM good g LEFT JOIN tails USING (doc_id, block_index)""".replace("\\\\", "\\"),
+      UNION ALL SELECT g.doc_id, g.block_index, CASE WHEN position = 'new_line' THEN nth ELSE 0 END, CASE WHEN position = 'left' THEN -1000000 ELSE 1000000 END + nth,
+        'field', '«' || nn || '»', nn, '\\* MERGEFORMAT', CASE WHEN nth = 1 THEN coalesce(tail, '') ELSE '' END FROM good g LEFT JOIN tails USING (doc_id, block_index)""".replace("\\\\", "\\"),
     pieces="""SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY block_index, sub) - 1 AS block_index, ord0 AS ord, kind, text, field_name, switch, original_text FROM rows_in""",
     settled=_SETTLED,
 )
@@ -121,38 +138,58 @@ _ADD_SQL = dict(
 
 @query("add_field", duck(_OUT, "tseg", "tfields", **_ADD_SQL))
 def add_field(spark: SparkSession, d: str) -> DataFrame:
-    adds = _documents(spark, d).select(
-        "doc_id", (F.col("doc_id") % 6).alias("block_index"),
-        F.expr("CASE WHEN doc_id % 11 = 0 THEN 'field' ELSE 'moi' END").alias("field_name"),
-        F.expr("CASE doc_id % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' ELSE 'new_line' END").alias("position"),
-    )
+    documents, blocks = _documents(spark, d), X.form_blocks(spark, d)
+    adds = documents.selectExpr(
+        "doc_id", "0L AS op_index", "doc_id % 6 AS block_index", "CASE WHEN doc_id % 11 = 0 THEN 'field' ELSE 'moi' END AS field_name",
+        "CASE doc_id % 3 WHEN 0 THEN 'left' WHEN 1 THEN 'right' ELSE 'new_line' END AS position",
+    ).unionByName(documents.selectExpr(
+        "doc_id", "1L AS op_index", "doc_id % 6 AS block_index", "CASE WHEN doc_id % 5 = 0 THEN 'moi' ELSE 'moi_hai' END AS field_name",
+        "CASE WHEN doc_id % 2 = 0 THEN 'left' ELSE 'right' END AS position",
+    )).unionByName(blocks.where("block_index % 3 = 1").selectExpr(
+        "doc_id", "2L AS op_index", "block_index", "concat('moi_', block_index) AS field_name",
+        "CASE WHEN block_index % 2 = 0 THEN 'new_line' ELSE 'right' END AS position",
+    ))
     return S.add_field(segments(spark, d), adds)[0]
 
 
 _AT_SQL = dict(
-    adds="""SELECT doc_id, doc_id % 5 AS block_index, CASE WHEN doc_id % 13 = 0 THEN 'field' ELSE 'moi' END AS nn,
-        CASE WHEN doc_id % 2 = 0 THEN doc_id % 37 END AS off, CASE WHEN doc_id % 2 = 1 THEN CASE doc_id % 3 WHEN 0 THEN 'e ' WHEN 1 THEN 'n' ELSE 'zzqq' END END AS ia FROM documents""",
+    adds="""SELECT doc_id, 0 AS op_index, doc_id % 5 AS block_index, CASE WHEN doc_id % 13 = 0 THEN 'field' ELSE 'moi' END AS nn,
+        CASE WHEN doc_id % 2 = 0 THEN doc_id % 37 END AS off, CASE WHEN doc_id % 2 = 1 THEN CASE doc_id % 3 WHEN 0 THEN 'e ' WHEN 1 THEN 'n' ELSE 'zzqq' END END AS ia FROM documents
+      UNION ALL SELECT doc_id, 1, block_index, CASE WHEN block_index = 0 THEN 'moi' ELSE 'them_' || block_index END, doc_id % 23, NULL FROM form_blocks
+      UNION ALL SELECT doc_id, 2, block_index, 'nua_' || block_index, doc_id % 29, NULL FROM form_blocks WHERE block_index % 2 = 0""",
     lens="""SELECT doc_id, block_index, max(end_pos) AS len FROM tseg GROUP BY ALL""",
-    points="""SELECT a.*, len, CASE WHEN ia IS NULL THEN off ELSE CASE WHEN strpos(b.text, ia) > 0 THEN strpos(b.text, ia) - 1 + length(ia) END END AS p
-      FROM adds a JOIN lens USING (doc_id, block_index) JOIN tblocks b USING (doc_id, block_index)
+    free="""SELECT a.*, len, row_number() OVER (PARTITION BY doc_id, nn ORDER BY op_index) AS same FROM adds a JOIN lens USING (doc_id, block_index)
       WHERE NOT EXISTS (SELECT 1 FROM tfields f WHERE f.doc_id = a.doc_id AND f.field_name = a.nn)""",
-    targets="""SELECT t.doc_id, t.block_index, min(seg_index) AS seg_index, any_value(p) AS p, any_value(nn) AS nn FROM tseg t JOIN points USING (doc_id, block_index)
-      WHERE kind = 'text' AND ((p >= start_pos AND p <= end_pos) OR len = 0) AND p IS NOT NULL GROUP BY ALL""",
-    joined="SELECT t.*, g.p, g.nn FROM tseg t LEFT JOIN targets g USING (doc_id, block_index, seg_index)",
-    pieces=r"""SELECT doc_id, block_index, seg_index * 3 AS ord, kind, CASE WHEN nn IS NULL THEN text ELSE left(text, p - start_pos) END AS text, field_name, switch, original_text FROM joined
-      UNION ALL SELECT doc_id, block_index, seg_index * 3 + 1, 'field', '«' || nn || '»', nn, '\* MERGEFORMAT', '' FROM joined WHERE nn IS NOT NULL
-      UNION ALL SELECT doc_id, block_index, seg_index * 3 + 2, kind, substring(text, p - start_pos + 1), field_name, switch, original_text FROM joined WHERE nn IS NOT NULL""",
+    points="""SELECT a.*, CASE WHEN ia IS NULL THEN off ELSE CASE WHEN strpos(b.text, ia) > 0 THEN strpos(b.text, ia) - 1 + length(ia) END END AS p
+      FROM free a JOIN tblocks b USING (doc_id, block_index) WHERE same = 1""",
+    targets="""SELECT t.doc_id, t.block_index, nn, any_value(op_index) AS op_index, min(seg_index) AS seg_index, any_value(p) AS p FROM tseg t JOIN points USING (doc_id, block_index)
+      WHERE kind = 'text' AND ((p >= start_pos AND p <= end_pos) OR len = 0) AND p IS NOT NULL GROUP BY t.doc_id, t.block_index, nn""",
+    placed="""SELECT g.*, p - start_pos AS local, text, lag(p - start_pos, 1, 0) OVER w AS before, row_number() OVER w AS n, count(*) OVER (PARTITION BY g.doc_id, g.block_index, g.seg_index) AS total
+      FROM targets g JOIN tseg t USING (doc_id, block_index, seg_index) WINDOW w AS (PARTITION BY g.doc_id, g.block_index, g.seg_index ORDER BY p, op_index)""",
+    pieces=r"""SELECT doc_id, block_index, seg_index * 1000 AS ord, kind, text, field_name, switch, original_text FROM tseg t WHERE NOT EXISTS (
+        SELECT 1 FROM placed g WHERE g.doc_id = t.doc_id AND g.block_index = t.block_index AND g.seg_index = t.seg_index)
+      UNION ALL SELECT doc_id, block_index, seg_index * 1000 + 2 * n - 1, 'text', substring(text, before + 1, local - before), NULL, NULL, NULL FROM placed
+      UNION ALL SELECT doc_id, block_index, seg_index * 1000 + 2 * n, 'field', '«' || nn || '»', nn, '\* MERGEFORMAT', '' FROM placed
+      UNION ALL SELECT doc_id, block_index, seg_index * 1000 + 2 * n + 1, 'text', substring(text, local + 1), NULL, NULL, NULL FROM placed WHERE n = total""",
     settled=_SETTLED,
 )
 
 
 def _adds_at(spark: SparkSession, d: str) -> DataFrame:
-    return _documents(spark, d).select(
-        "doc_id", (F.col("doc_id") % 5).alias("block_index"),
-        F.expr("CASE WHEN doc_id % 13 = 0 THEN 'field' ELSE 'moi' END").alias("field_name"),
-        F.expr("CASE WHEN doc_id % 2 = 0 THEN doc_id % 37 END").alias("offset"),
-        F.expr("CASE WHEN doc_id % 2 = 1 THEN CASE doc_id % 3 WHEN 0 THEN 'e ' WHEN 1 THEN 'n' ELSE 'zzqq' END END").alias("insert_after"),
+    first = _documents(spark, d).selectExpr(
+        "doc_id", "0L AS op_index", "doc_id % 5 AS block_index", "CASE WHEN doc_id % 13 = 0 THEN 'field' ELSE 'moi' END AS field_name",
+        "CASE WHEN doc_id % 2 = 0 THEN doc_id % 37 END AS offset",
+        "CASE WHEN doc_id % 2 = 1 THEN CASE doc_id % 3 WHEN 0 THEN 'e ' WHEN 1 THEN 'n' ELSE 'zzqq' END END AS insert_after",
     )
+    blocks = X.form_blocks(spark, d)
+    second = blocks.selectExpr(
+        "doc_id", "1L AS op_index", "block_index", "CASE WHEN block_index = 0 THEN 'moi' ELSE concat('them_', block_index) END AS field_name",
+        "doc_id % 23 AS offset", "cast(NULL AS string) AS insert_after",
+    )
+    third = blocks.where("block_index % 2 = 0").selectExpr(
+        "doc_id", "2L AS op_index", "block_index", "concat('nua_', block_index) AS field_name", "doc_id % 29 AS offset", "cast(NULL AS string) AS insert_after"
+    )
+    return first.unionByName(second).unionByName(third)
 
 
 @query("add_field_at", duck(_OUT, "tseg", "tfields", "tblocks", **_AT_SQL))
@@ -266,14 +303,18 @@ def delete_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("add_block", duck(f"""
-  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_index, sub) - 1 AS block_index, text FROM (
-    SELECT doc_id, block_index, 0 AS sub, CASE WHEN block_index % 9 = 1 AND (doc_id % 20) <= length(text) THEN left(text, doc_id % 20)
-      WHEN block_index % 9 = 2 THEN text || chr(10) || 'thêm' ELSE text END AS text FROM form_blocks
-    UNION ALL SELECT doc_id, block_index, 1, substring(text, doc_id % 20 + 1) FROM form_blocks
-      WHERE block_index % 9 = 1 AND (doc_id % 20) <= length(text) AND NOT {blank('substring(text, doc_id % 20 + 1)')}
-    UNION ALL SELECT doc_id, block_index, -1, 'trước' FROM form_blocks WHERE block_index % 9 = 3
-    UNION ALL SELECT doc_id, block_index, 2, 'sau' FROM form_blocks WHERE block_index % 9 = 4
-    UNION ALL SELECT doc_id, 99999999, 0, 'cuối' FROM documents)""", "form_blocks"))
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_index, sub, add_id) - 1 AS block_index, text FROM (
+    SELECT doc_id, block_index, 0 AS sub, 0 AS add_id, CASE WHEN k = 1 AND o <= length(text) THEN left(text, o)
+      WHEN k = 2 THEN text || chr(10) || 'thêm' || chr(10) || 'đầu' ELSE text END AS text FROM k_blocks
+    UNION ALL SELECT doc_id, block_index, 1, 0, p FROM (SELECT *, CASE WHEN o + 5 <= length(text) THEN substring(text, o + 1, 5) ELSE substring(text, o + 1) END AS p FROM k_blocks)
+      WHERE k = 1 AND o <= length(text) AND NOT {blank('p')}
+    UNION ALL SELECT doc_id, block_index, 2, 0, substring(text, o + 6) FROM k_blocks WHERE k = 1 AND o + 5 <= length(text) AND NOT {blank('substring(text, o + 6)')}
+    UNION ALL SELECT doc_id, block_index, -1, 0, 'trước' FROM k_blocks WHERE k = 3
+    UNION ALL SELECT doc_id, block_index, -1, 1, 'trước' FROM k_blocks WHERE k = 3
+    UNION ALL SELECT doc_id, block_index, 3, 0, 'sau' FROM k_blocks WHERE k = 4
+    UNION ALL SELECT doc_id, block_index, 3, 1, 'sau nữa' FROM k_blocks WHERE k = 4
+    UNION ALL SELECT doc_id, 99999999, 0, 0, 'cuối' FROM documents)""", "form_blocks",
+    k_blocks="SELECT *, block_index % 9 AS k, doc_id % 20 AS o FROM form_blocks"))
 def add_block(spark: SparkSession, d: str) -> DataFrame:
     blocks = X.form_blocks(spark, d)
     k = "block_index % 9"
@@ -282,29 +323,43 @@ def add_block(spark: SparkSession, d: str) -> DataFrame:
         f"CASE {k} WHEN 3 THEN 'trước' WHEN 4 THEN 'sau' ELSE 'thêm' END AS text",
         f"CASE WHEN {k} = 1 THEN doc_id % 20 END AS offset", f"CASE WHEN {k} = 2 THEN cast(5 AS bigint) END AS para_in_cell",
     )
+    again = inner.withColumn("add_id", F.col("add_id") + 1_000_000).withColumn("offset", F.col("offset") + 5).withColumn(
+        "para_in_cell", F.col("para_in_cell") - 5
+    ).withColumn("text", F.expr(f"CASE {k} WHEN 2 THEN 'đầu' WHEN 4 THEN 'sau nữa' ELSE text END"))
     ends = _documents(spark, d).selectExpr(
         "doc_id", "cast(0 AS bigint) AS add_id", "cast(NULL AS bigint) AS block_index", "'end' AS position", "'cuối' AS text",
         "cast(NULL AS bigint) AS offset", "cast(NULL AS bigint) AS para_in_cell",
     )
-    return ST.add_block(blocks, inner.unionByName(ends))
+    return ST.add_block(blocks, inner.unionByName(again).unionByName(ends))
 
 
 _STRUCTURE_SQL = dict(
     typed="SELECT *, CASE WHEN block_index % 6 = 2 THEN 'table_cell' ELSE 'paragraph' END AS type FROM form_blocks",
-    inserts="""SELECT doc_id, block_index, type, text, doc_id % 25 AS off, CASE block_index % 3 WHEN 0 THEN 'page_break' WHEN 1 THEN 'image' ELSE 'table' END AS what,
-        doc_id % 4 AS r, block_index % 3 + 1 AS c FROM typed""",
+    inserts="""SELECT doc_id, 0 AS op_index, block_index, type, text, doc_id % 25 AS off, CASE block_index % 3 WHEN 0 THEN 'page_break' WHEN 1 THEN 'image' ELSE 'table' END AS what,
+        doc_id % 4 AS r, block_index % 3 + 1 AS c FROM typed
+      UNION ALL SELECT doc_id, 1, block_index, type, text, doc_id % 25 + CASE WHEN block_index % 2 = 0 THEN 4 ELSE 0 END, 'page_break', NULL, NULL FROM typed""",
     judged="""SELECT *, CASE WHEN what = 'page_break' AND type <> 'paragraph' THEN 'page breaks need a paragraph' WHEN length(text) > 0 AND off > length(text) THEN 'offset not found'
-        WHEN what = 'table' AND r NOT BETWEEN 1 AND 20 THEN 'table size' WHEN what = 'image' AND doc_id % 10 NOT BETWEEN 1 AND 8 THEN 'image width' END AS error FROM inserts""",
+        WHEN what = 'table' AND r < 1 THEN 'table size' WHEN what = 'image' AND doc_id % 10 < 1 THEN 'image width' END AS error FROM inserts""",
+    good="SELECT *, CASE WHEN text = '' THEN 0 ELSE off END AS o FROM judged WHERE error IS NULL",
+    cut_lists="SELECT doc_id, block_index, list_sort(list(DISTINCT o)) AS cuts FROM good GROUP BY ALL",
+    cut_blocks="SELECT t.*, coalesce(cuts, []) AS cuts, unnest(range(len(coalesce(cuts, [])) + 1)) AS i FROM typed t LEFT JOIN cut_lists USING (doc_id, block_index)",
+    cut_pieces="""SELECT *, CASE WHEN i = len(cuts) THEN substring(text, CASE WHEN i = 0 THEN 0 ELSE cuts[i] END + 1)
+        ELSE substring(text, CASE WHEN i = 0 THEN 0 ELSE cuts[i] END + 1, cuts[i + 1] - CASE WHEN i = 0 THEN 0 ELSE cuts[i] END) END AS piece FROM cut_blocks""",
+    between_pieces="SELECT g.*, 2 * list_position(cuts, o) - 1 AS sub FROM good g JOIN cut_lists USING (doc_id, block_index)",
 )
 
 
 def _inserts(typed: DataFrame) -> DataFrame:
-    return typed.selectExpr(
-        "doc_id", "block_index", "doc_id % 25 AS offset",
+    first = typed.selectExpr(
+        "doc_id", "0L AS op_index", "block_index", "doc_id % 25 AS offset",
         "CASE block_index % 3 WHEN 0 THEN 'page_break' WHEN 1 THEN 'image' ELSE 'table' END AS what",
         "doc_id % 4 AS rows", "block_index % 3 + 1 AS cols", "concat('anh/', doc_id, '.png') AS image_path",
         "cast(doc_id % 10 AS double) AS width",
     )
+    return first.unionByName(typed.selectExpr(
+        "doc_id", "1L AS op_index", "block_index", "doc_id % 25 + CASE WHEN block_index % 2 = 0 THEN 4 ELSE 0 END AS offset", "'page_break' AS what",
+        "cast(NULL AS bigint) AS rows", "cast(NULL AS bigint) AS cols", "cast(NULL AS string) AS image_path", "cast(NULL AS double) AS width",
+    ))
 
 
 def _typed(spark: SparkSession, d: str) -> DataFrame:
@@ -312,13 +367,11 @@ def _typed(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("insert_structure", duck(f"""
-  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_index, sub, rr, cc) - 1 AS block_index, type, text,
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block_index, sub, op_index, rr NULLS FIRST, cc NULLS FIRST) - 1 AS block_index, type, text,
     coalesce(rr, -1) AS "row", coalesce(cc, -1) AS col, image_path FROM (
-    SELECT t.doc_id, t.block_index, 0 AS sub, t.type, CASE WHEN j.doc_id IS NULL THEN t.text ELSE left(t.text, off) END AS text, NULL AS rr, NULL AS cc, NULL AS image_path
-      FROM typed t LEFT JOIN (SELECT * FROM judged WHERE error IS NULL) j USING (doc_id, block_index)
-    UNION ALL SELECT doc_id, block_index, 2, type, substring(text, off + 1), NULL, NULL, NULL FROM judged WHERE error IS NULL AND NOT {blank('substring(text, off + 1)')}
-    UNION ALL SELECT doc_id, block_index, 1, what, '', NULL, NULL, CASE WHEN what = 'image' THEN 'anh/' || doc_id || '.png' END FROM judged WHERE error IS NULL AND what <> 'table'
-    UNION ALL SELECT doc_id, block_index, 1, 'table_cell', '', r0, unnest(range(c)), NULL FROM (SELECT *, unnest(range(r)) AS r0 FROM judged WHERE error IS NULL AND what = 'table'))
+    SELECT doc_id, block_index, 2 * i AS sub, 0 AS op_index, type, piece AS text, NULL AS rr, NULL AS cc, NULL AS image_path FROM cut_pieces WHERE i = 0 OR NOT {blank('piece')}
+    UNION ALL SELECT doc_id, block_index, sub, op_index, what, '', NULL, NULL, CASE WHEN what = 'image' THEN 'anh/' || doc_id || '.png' END FROM between_pieces WHERE what <> 'table'
+    UNION ALL SELECT doc_id, block_index, sub, op_index, 'table_cell', '', r0, unnest(range(c)), NULL FROM (SELECT *, unnest(range(r)) AS r0 FROM between_pieces WHERE what = 'table'))
 """, "form_blocks", **_STRUCTURE_SQL))
 def insert_structure(spark: SparkSession, d: str) -> DataFrame:
     typed = _typed(spark, d)
@@ -329,7 +382,7 @@ def insert_structure(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("insert_structure_status", duck("""
-  SELECT doc_id, block_index, CASE WHEN error IS NULL THEN 'executed' ELSE 'failed' END AS status, error FROM judged""", "form_blocks", **_STRUCTURE_SQL))
+  SELECT doc_id, block_index, CAST(op_index AS BIGINT) AS op_index, CASE WHEN error IS NULL THEN 'executed' ELSE 'failed' END AS status, error FROM judged""", "form_blocks", **_STRUCTURE_SQL))
 def insert_structure_status(spark: SparkSession, d: str) -> DataFrame:
     typed = _typed(spark, d)
     return ST.insert_structure(typed, _inserts(typed))[1]
@@ -338,13 +391,18 @@ def insert_structure_status(spark: SparkSession, d: str) -> DataFrame:
 # --- attributes ------------------------------------------------------------------------
 _ATTR_SQL = dict(
     spans="""SELECT doc_id, block_index, doc_id % 7 AS a, doc_id % 7 + 1 + block_index % 9 AS z, max(end_pos) AS len FROM tseg GROUP BY ALL""",
-    parts="""SELECT t.*, s.a, s.z, s.doc_id IS NOT NULL AND t.end_pos > s.a AND t.start_pos < s.z AS hit,
-        CASE WHEN kind = 'field' THEN 0 ELSE greatest(s.a - start_pos, 0) END AS lo, CASE WHEN kind = 'field' THEN length(text) ELSE least(s.z - start_pos, length(text)) END AS hi,
-        seg_index % 2 = 0 AS bold FROM tseg t LEFT JOIN (SELECT * FROM spans WHERE z <= len) s USING (doc_id, block_index)""",
-    split_up="""SELECT doc_id, block_index, seg_index * 3 AS ord, text, bold, false AS red FROM parts WHERE NOT hit
-      UNION ALL SELECT doc_id, block_index, seg_index * 3, left(text, lo), bold, false FROM parts WHERE hit AND lo > 0
-      UNION ALL SELECT doc_id, block_index, seg_index * 3 + 1, substring(text, lo + 1, hi - lo), false, true FROM parts WHERE hit
-      UNION ALL SELECT doc_id, block_index, seg_index * 3 + 2, substring(text, hi + 1), bold, false FROM parts WHERE hit AND hi < length(text)""",
+    greens="""SELECT doc_id, block_index, doc_id % 5 + 3 AS a, doc_id % 5 + 3 + block_index % 4 AS z, len FROM spans""",
+    asked="""SELECT 0 AS op, * FROM spans WHERE z > a AND z <= len UNION ALL SELECT 1, * FROM greens WHERE z > a AND z <= len""",
+    covers="""SELECT t.doc_id, t.block_index, t.seg_index, op, CASE WHEN kind = 'field' THEN 0 ELSE greatest(a - start_pos, 0) END AS lo,
+        CASE WHEN kind = 'field' THEN length(text) ELSE least(z - start_pos, length(text)) END AS hi
+      FROM tseg t JOIN asked USING (doc_id, block_index) WHERE end_pos > a AND start_pos < z""",
+    bounds="""SELECT doc_id, block_index, seg_index, 0 AS b FROM tseg UNION SELECT doc_id, block_index, seg_index, length(text) FROM tseg
+      UNION SELECT doc_id, block_index, seg_index, lo FROM covers UNION SELECT doc_id, block_index, seg_index, hi FROM covers""",
+    steps="""SELECT *, coalesce(lead(b) OVER (PARTITION BY doc_id, block_index, seg_index ORDER BY b), CASE WHEN b = 0 THEN 0 END) AS e FROM bounds""",
+    split_up="""SELECT s.doc_id, s.block_index, s.seg_index, b, substring(text, b + 1, e - b) AS text, s.seg_index % 2 = 0 AND NOT red AS bold, red, green FROM (
+        SELECT s.*, EXISTS (SELECT 1 FROM covers c WHERE c.doc_id = s.doc_id AND c.block_index = s.block_index AND c.seg_index = s.seg_index AND op = 0 AND lo < e AND hi > b) AS red,
+          EXISTS (SELECT 1 FROM covers c WHERE c.doc_id = s.doc_id AND c.block_index = s.block_index AND c.seg_index = s.seg_index AND op = 1 AND lo < e AND hi > b) AS green
+        FROM steps s WHERE e IS NOT NULL) s JOIN tseg USING (doc_id, block_index, seg_index)""",
 )
 
 
@@ -357,20 +415,25 @@ def _attr_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("overlay_span_attrs", duck("""
-  SELECT doc_id, block_index, row_number() OVER (PARTITION BY doc_id, block_index ORDER BY ord) - 1 AS seg_index, text,
-    bold, CASE WHEN red THEN 'FF0000' END AS color, CASE WHEN red THEN '14' END AS font_size FROM split_up""", "tseg", **_ATTR_SQL))
+  SELECT doc_id, block_index, row_number() OVER (PARTITION BY doc_id, block_index ORDER BY seg_index, b) - 1 AS seg_index, text,
+    bold, CASE WHEN green THEN '00FF00' WHEN red THEN 'FF0000' END AS color, CASE WHEN red THEN '14' END AS font_size, green AS italic FROM split_up""", "tseg", **_ATTR_SQL))
 def overlay_span_attrs(spark: SparkSession, d: str) -> DataFrame:
     segs = _attr_segments(spark, d)
-    spans = segs.select("doc_id", "block_index").distinct().select(
-        "doc_id", "block_index", (F.col("doc_id") % 7).alias("start_offset"),
-        (F.col("doc_id") % 7 + 1 + F.col("block_index") % 9).alias("end_offset"),
-        F.expr("map('bold', 'false', 'color', '#ff0000', 'font_size', '14', 'subscript', 'true', 'superscript', 'true')").alias("config"),
+    blocks = segs.select("doc_id", "block_index").distinct()
+    red = blocks.selectExpr(
+        "doc_id", "block_index", "0L AS op_index", "doc_id % 7 AS start_offset", "doc_id % 7 + 1 + block_index % 9 AS end_offset",
+        "map('bold', 'false', 'color', '#ff0000', 'font_size', '14', 'subscript', 'true', 'superscript', 'true') AS config",
     )
-    out, _ = S.overlay_span_attrs(segs, spans)
+    green = blocks.selectExpr(
+        "doc_id", "block_index", "1L AS op_index", "doc_id % 5 + 3 AS start_offset", "doc_id % 5 + 3 + block_index % 4 AS end_offset",
+        "map('italic', 'true', 'color', '#00ff00') AS config",
+    )
+    out, _ = S.overlay_span_attrs(segs, red.unionByName(green))
     return out.select(
         "doc_id", "block_index", "seg_index", "text",
         F.coalesce(F.try_element_at("attrs", F.lit("bold")) == "true", F.lit(False)).alias("bold"),
         F.try_element_at("attrs", F.lit("color")).alias("color"), F.try_element_at("attrs", F.lit("font_size")).alias("font_size"),
+        F.coalesce(F.try_element_at("attrs", F.lit("italic")) == "true", F.lit(False)).alias("italic"),
     )
 
 
@@ -390,18 +453,20 @@ def effective_attrs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("set_block_attrs", duck("""
-  SELECT doc_id, block_index, CASE WHEN doc_id % 4 <> 3 THEN CASE doc_id % 4 WHEN 0 THEN 'center' WHEN 1 THEN 'justify' ELSE 'left' END ELSE 'left' END AS alignment,
-    CASE WHEN doc_id % 4 <> 3 THEN '6' END AS space_after FROM form_blocks""", "form_blocks"))
+  SELECT doc_id, block_index, CASE WHEN doc_id % 2 = 0 THEN 'both' WHEN doc_id % 4 = 1 THEN 'justify' ELSE 'left' END AS alignment,
+    CASE WHEN doc_id % 4 <> 3 THEN '6' END AS space_after, CASE WHEN doc_id % 2 = 0 THEN '1.5' END AS line_spacing FROM form_blocks""", "form_blocks"))
 def set_block_attrs(spark: SparkSession, d: str) -> DataFrame:
     blocks = X.form_blocks(spark, d).withColumn("attrs", F.expr("map('alignment', 'left')"))
-    formats = blocks.select(
-        "doc_id", "block_index",
-        F.expr("""CASE doc_id % 4 WHEN 0 THEN map('alignment', 'center', 'spaceAfter', '6') WHEN 1 THEN map('alignment', 'justify', 'spaceAfter', '6')
-          WHEN 2 THEN map('spaceAfter', '6', 'keepTogether', 'true') ELSE map('alignment', 'xiên', 'spaceAfter', '6') END""").alias("paragraph_format"),
+    formats = blocks.selectExpr(
+        "doc_id", "block_index", "0L AS op_index",
+        """CASE doc_id % 4 WHEN 0 THEN map('alignment', 'center', 'spaceAfter', '6') WHEN 1 THEN map('alignment', 'justify', 'spaceAfter', '6')
+          WHEN 2 THEN map('spaceAfter', '6', 'keepTogether', 'true') ELSE map('alignment', 'xiên', 'spaceAfter', '6') END AS paragraph_format""",
+    )
+    second = blocks.where("doc_id % 2 = 0").selectExpr(
+        "doc_id", "block_index", "1L AS op_index", "map('alignment', 'both', 'lineSpacing', '1.5') AS paragraph_format"
     )
-    return S.set_block_attrs(blocks, formats)[0].select(
-        "doc_id", "block_index", F.try_element_at("attrs", F.lit("alignment")).alias("alignment"),
-        F.try_element_at("attrs", F.lit("space_after")).alias("space_after"),
+    return S.set_block_attrs(blocks, formats.unionByName(second))[0].select(
+        "doc_id", "block_index", *[F.try_element_at("attrs", F.lit(key)).alias(key) for key in ("alignment", "space_after", "line_spacing")]
     )
 
 
@@ -414,17 +479,22 @@ def _bordered(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("set_cell_attrs", duck("""
-  SELECT table_id, "row", col, CASE WHEN table_id % 3 = 0 THEN 'FFFF00' ELSE '#ffffff' END AS background, 'center' AS v_align, 'left' AS h_align,
+  SELECT table_id, "row", col, CASE WHEN twice THEN '00ff00' WHEN table_id % 3 = 0 THEN 'FFFF00' ELSE '#ffffff' END AS background,
+    CASE WHEN twice THEN 'bottom' ELSE 'center' END AS v_align, CASE WHEN twice THEN 'both' ELSE 'left' END AS h_align,
     CASE WHEN col = 0 THEN 'none' WHEN col = 1 THEN 'single' WHEN ("row" + col) % 3 = 0 THEN 'double' ELSE 'none' END AS top_style
-  FROM table_cells""", "table_cells"))
+  FROM (SELECT *, ("row" + table_id) % 2 = 0 AS twice FROM table_cells)""", "table_cells"))
 def set_cell_attrs(spark: SparkSession, d: str) -> DataFrame:
     cells = _bordered(spark, d)
-    formats = cells.select(
-        "table_id", "row", "col", F.expr("CASE WHEN table_id % 3 = 0 THEN '#FFFF00' ELSE 'auto' END").alias("new_background"),
-        F.lit("center").alias("new_v_align"), F.lit("xiên").alias("new_h_align"),
-        F.expr("CASE WHEN col < 2 THEN map('top', named_struct('style', CASE WHEN col = 0 THEN 'none' ELSE 'single' END, 'size', bigint(4), 'color', '#000000')) END").alias("new_borders"),
+    formats = cells.selectExpr(
+        "table_id", "row", "col", "0L AS op_index", "CASE WHEN table_id % 3 = 0 THEN '#FFFF00' ELSE 'auto' END AS new_background",
+        "'center' AS new_v_align", "'xiên' AS new_h_align",
+        "CASE WHEN col < 2 THEN map('top', named_struct('style', CASE WHEN col = 0 THEN 'none' ELSE 'single' END, 'size', bigint(4), 'color', '#000000')) END AS new_borders",
+    )
+    second = cells.where("(row + table_id) % 2 = 0").select(
+        "table_id", "row", "col", F.lit(1).cast("bigint").alias("op_index"), F.lit("#00ff00").alias("new_background"),
+        F.lit("bottom").alias("new_v_align"), F.lit("both").alias("new_h_align"), F.lit(None).cast(formats.schema["new_borders"].dataType).alias("new_borders"),
     )
-    return S.set_cell_attrs(cells, formats).select(
+    return S.set_cell_attrs(cells, formats.unionByName(second)).select(
         "table_id", "row", "col", "background", "v_align", "h_align",
         F.coalesce(F.try_element_at("borders", F.lit("top"))["style"], F.lit("none")).alias("top_style"),
     )

@@ -192,32 +192,48 @@ def best_matching_cell(spark: SparkSession, d: str) -> DataFrame:
     return G.best_matching_cell(cells, hints)
 
 
-_GRID_EDITS = """SELECT table_id, CASE WHEN table_id % 3 = 0 THEN 'delete' ELSE 'insert' END AS action,
-  CASE WHEN table_id % 7 = 0 THEN NULL ELSE table_id % 4 END AS place, table_id % 2 = 0 AS after FROM requirements"""
+# Two edits per table, the second at positions after the first.
+_GRID_EDITS = """SELECT table_id, 0 AS op_index, CASE WHEN table_id % 3 = 0 THEN 'delete' ELSE 'insert' END AS action,
+    CASE WHEN table_id % 7 = 0 THEN NULL ELSE table_id % 4 END AS place, table_id % 2 = 0 AS after FROM requirements
+  UNION ALL SELECT table_id, 1, CASE WHEN table_id % 4 = 0 THEN 'delete' ELSE 'insert' END, table_id % 3, table_id % 5 = 0 FROM requirements"""
 
 
 def _grid_edits(spark: SparkSession, d: str, after: str, before: str) -> DataFrame:
-    return X.requirements(spark, d).select(
-        "table_id",
-        F.expr("CASE WHEN table_id % 3 = 0 THEN 'delete' ELSE 'insert' END").alias("action"),
-        F.expr("CASE WHEN table_id % 7 = 0 THEN NULL ELSE table_id % 4 END").alias("at"),
-        F.when(F.col("table_id") % 2 == 0, F.lit(after)).otherwise(F.lit(before)).alias("position"),
+    tables = X.requirements(spark, d)
+    first = tables.selectExpr(
+        "table_id", "0L AS op_index", "CASE WHEN table_id % 3 = 0 THEN 'delete' ELSE 'insert' END AS action",
+        "CASE WHEN table_id % 7 = 0 THEN NULL ELSE table_id % 4 END AS at",
+        f"CASE WHEN table_id % 2 = 0 THEN '{after}' ELSE '{before}' END AS position",
     )
+    return first.unionByName(tables.selectExpr(
+        "table_id", "1L AS op_index", "CASE WHEN table_id % 4 = 0 THEN 'delete' ELSE 'insert' END AS action", "table_id % 3 AS at",
+        f"CASE WHEN table_id % 5 = 0 THEN '{after}' ELSE '{before}' END AS position",
+    ))
+
+
+def _grid_step(axis: str, number: int, cells: str, sizes: str) -> dict[str, str]:
+    """One edit of every table, over the cells (a along the axis, o across) and sizes before it."""
+    k = str(number)
+    return {
+        "planned" + k: f"""SELECT *, CASE WHEN action = 'insert' AND place IS NOT NULL AND after THEN place + 1 ELSE coalesce(place, n) END AS t
+          FROM edits JOIN {sizes} USING (table_id) WHERE op_index = {number}""",
+        "judged" + k: f"""SELECT *, CASE WHEN action = 'delete' AND n <= 1 THEN 'the last {axis} stays' WHEN action = 'insert' AND NOT t BETWEEN 0 AND n
+          THEN '{axis} is out of range' WHEN action = 'delete' AND NOT t BETWEEN 0 AND n - 1 THEN '{axis} is out of range' END AS error FROM planned{k}""",
+        "good" + k: f"SELECT table_id, action, t, m FROM judged{k} WHERE error IS NULL",
+        "sizes" + k: f"SELECT table_id, n + CASE WHEN error IS NOT NULL THEN 0 WHEN action = 'insert' THEN 1 ELSE -1 END AS n, m FROM judged{k}",
+        "result" + k: f"""SELECT c.table_id, o, a + CASE WHEN action = 'insert' AND a >= t THEN 1 WHEN action = 'delete' AND a > t THEN -1 ELSE 0 END AS a, c.text
+          FROM {cells} c LEFT JOIN good{k} g USING (table_id) WHERE NOT coalesce(action = 'delete' AND a = t, false)
+          UNION ALL SELECT table_id, unnest(range(m)), t, '' FROM good{k} WHERE action = 'insert'""",
+    }
 
 
 def _grid_sql(axis: str, other: str) -> dict[str, str]:
     return dict(
         edits=_GRID_EDITS,
         sizes=f'SELECT table_id, max("{axis}") + 1 AS n, max("{other}") + 1 AS m FROM table_cells GROUP BY table_id',
-        planned="""SELECT *, CASE WHEN action = 'insert' AND place IS NOT NULL AND after THEN place + 1 ELSE coalesce(place, n) END AS t
-          FROM edits JOIN sizes USING (table_id)""",
-        judged=f"""SELECT *, CASE WHEN action = 'delete' AND n <= 1 THEN 'the last {axis} stays' WHEN action = 'insert' AND NOT t BETWEEN 0 AND n
-          THEN '{axis} is out of range' WHEN action = 'delete' AND NOT t BETWEEN 0 AND n - 1 THEN '{axis} is out of range' END AS error FROM planned""",
-        good="SELECT table_id, action, t, m FROM judged WHERE error IS NULL",
-        result=f"""SELECT c.table_id, c."{other}" AS o, c."{axis}" + CASE WHEN action = 'insert' AND c."{axis}" >= t THEN 1
-            WHEN action = 'delete' AND c."{axis}" > t THEN -1 ELSE 0 END AS a, c.text
-          FROM table_cells c LEFT JOIN good g USING (table_id) WHERE NOT coalesce(action = 'delete' AND c."{axis}" = t, false)
-          UNION ALL SELECT table_id, unnest(range(m)), t, '' FROM good WHERE action = 'insert'""",
+        given=f'SELECT table_id, "{other}" AS o, "{axis}" AS a, text FROM table_cells',
+        **_grid_step(axis, 0, "given", "sizes"), **_grid_step(axis, 1, "result0", "sizes0"),
+        judged="SELECT * FROM judged0 UNION ALL BY NAME SELECT * FROM judged1", result="SELECT * FROM result1",
     )
 
 
@@ -227,7 +243,7 @@ def edit_table_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("edit_table_rows_status", duck("""
-  SELECT table_id, CASE WHEN error IS NULL THEN 'executed' ELSE 'failed' END AS status, error FROM judged""", *_PLAN_NEEDS, **_grid_sql("row", "col")))
+  SELECT table_id, CAST(op_index AS BIGINT) AS op_index, CASE WHEN error IS NULL THEN 'executed' ELSE 'failed' END AS status, error FROM judged""", *_PLAN_NEEDS, **_grid_sql("row", "col")))
 def edit_table_rows_status(spark: SparkSession, d: str) -> DataFrame:
     return G.edit_table_rows(X.table_cells(spark, d), _grid_edits(spark, d, "below", "above"))[1]
 

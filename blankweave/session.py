@@ -15,6 +15,9 @@ DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Files of up to 10 MB travel to Python in batches of bounded size; streams keep their state on disk.
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
+    # Spark 4.1.2 takes a union of two inputs that are clustered alike for clustered, but adaptive execution may coalesce
+    # the partitions of each in its own way; a grouping on top then returns a key twice.
+    "spark.sql.unionOutputPartitioning": "false",
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
@@ -39,4 +42,6 @@ def share_package(spark: SparkSession) -> SparkSession:
     folder, known = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment.get("PYTHONPATH", "")
     if folder not in known.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{folder}:{known}".rstrip(":")
+    # Decides results, so it holds in sessions that others have built, too.
+    spark.conf.set("spark.sql.unionOutputPartitioning", DEFAULTS["spark.sql.unionOutputPartitioning"])
     return spark
