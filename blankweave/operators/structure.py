@@ -14,7 +14,6 @@ from blankweave.operators.ranking import with_op_index
 from blankweave.operators.skew import salted_join
 
 BLOCK = ["doc_id", "block_index"]
-LOOK_AHEAD = 3
 DOCUMENT_END = 2**40
 
 
@@ -46,101 +45,135 @@ def _spliced(text: Column, start: Column, end: Column, new: Column) -> Column:
     return F.concat(F.when(before.rlike("«[^»]*$") & text.rlike("«[^»]+»"), head).otherwise(before), new, tail)
 
 
-def with_updates(blocks: DataFrame, edits: DataFrame) -> DataFrame:
-    """Blocks with the outcome of the text update asked of them: ``_ahead``, ``how`` and ``updated``.
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
-    ``blocks(doc_id, block_index, text, ...)``; ``edits(doc_id, block_index,
-    old_text, new_text)``, one per block. The edits of a document (one request)
-    come as an array on ``doc_id``, so the corpus keeps its clustering and is
-    passed once.
-    """
-    requests = edits.groupBy("doc_id").agg(
-        F.collect_list(F.struct("block_index", "old_text", F.coalesce("new_text", F.lit("")).alias("new_text"))).alias("_edits")
-    )
-    text = F.col("text")
-    order = W.partitionBy("doc_id").orderBy("block_index")
-    asked = blocks.join(requests, "doc_id", "left").withColumn(
-        "_edit", F.get(F.filter("_edits", lambda e: e["block_index"] == F.col("block_index")), 0)
-    )
-    places = F.array(text, *[F.lead("text", ahead).over(order) for ahead in range(1, LOOK_AHEAD + 1)])
-    old, new = F.coalesce("_edit.old_text", F.lit("")), F.col("_edit.new_text")
-    out = (
-        asked.withColumn("_places", places)
-        .withColumn("_search", F.when(F.col("_edit").isNotNull(), T.normalize_text(old)))
-        .withColumn("_bare", F.when(F.col("_edit").isNotNull(), T.normalize_without_fields(old)))
-        .withColumn("_pattern", F.when(F.col("_search") != "", search_pattern(F.col("_search"))))
-    )
-    hits = F.transform(
-        F.col("_places"),
-        lambda place, i: F.struct(
-            i.alias("ahead"), place.alias("text"), F.regexp_substr(place, F.col("_pattern")).alias("hit")
-        ),
+
+def _prepared(edits: DataFrame) -> DataFrame:
+    """One array per document: its edits in order, each with the patterns it searches for."""
+    old = F.coalesce("old_text", F.lit(""))
+    search, bare = T.normalize_text(old), T.normalize_without_fields(old)
+    rows = with_op_index(edits).withColumn("_search", search).withColumn("_bare", bare)
+    edit = F.struct(
+        "op_index", "block_index", F.coalesce("new_text", F.lit("")).alias("new"), (F.col("_search") == "").alias("sets"),
+        F.when(F.col("_search") != "", search_pattern(F.col("_search"))).alias("pattern"),
+        F.when((F.col("_search") != "") & (F.col("_bare") != ""), search_pattern(F.col("_bare"))).alias("loose"),
     )
-    first = F.get(F.filter(hits, lambda h: h["hit"].isNotNull()), 0)
-    out = out.withColumn("_found", F.when(F.col("_pattern").isNotNull(), first))
-    missed = F.col("_pattern").isNotNull() & F.col("_found").isNull() & (F.col("_bare") != "")
-    out = out.withColumn("_fuzzy", F.when(missed, F.regexp_substr(text, search_pattern(F.col("_bare")))))
-    fuzzy_at = F.instr(text, F.col("_fuzzy")) - 1
-    last_mark = F.length(text) - F.instr(F.reverse(text), F.lit("«"))
-    last_close = F.length(text) - F.instr(F.reverse(text), F.lit("»")) + 1
-    has_mark = text.rlike("«[^»]+»")
-    fuzzy_end = fuzzy_at + F.length("_fuzzy")
-    # Without its fields the old text ends before them: take in those that follow.
-    stretched = F.when(has_mark & (last_mark >= fuzzy_at), F.greatest(fuzzy_end, last_close)).otherwise(fuzzy_end)
+    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(edit)).alias("_edits"))
+
+
+def _set_text(text: Column, new: Column) -> Column:
+    """A block whose text before its first field is set, or which keeps only its fields if the new text is blank."""
     marks = F.array_join(F.regexp_extract_all(text, F.lit("«[^»]+»"), F.lit(0)), "")
     lead = r"^((?:«[^»]+»)*)[^«]+"
     setting = F.regexp_replace(new, r"^ +", "")
-    set_text = F.when(
-        text.rlike(lead), F.concat(F.regexp_extract(text, lead, 1), setting, F.regexp_replace(text, lead, ""))
-    ).otherwise(F.concat(text, setting))
+    before = F.regexp_extract(text, lead, 1)
+    set_text = F.when(text.rlike(lead), F.concat(before, setting, F.regexp_replace(text, lead, ""))).otherwise(F.concat(text, setting))
+    return F.when(T.is_blank(new), marks).otherwise(set_text)
 
-    def outcome(ahead: Column, how: str, updated: Column) -> Column:
-        return F.struct(ahead.alias("ahead"), F.lit(how).alias("how"), updated.alias("updated"))
 
-    here = F.lit(0)
-    there, hit = F.col("_found.text"), F.col("_found.hit")
-    at = F.instr(there, hit) - 1
-    result = (
-        F.when(F.col("_search") == "", outcome(here, "set", F.when(T.is_blank(new), marks).otherwise(set_text)))
-        .when(F.col("_found").isNotNull(), outcome(F.col("_found.ahead"), "exact", _spliced(there, at, at + F.length(hit), new)))
-        .when(F.col("_fuzzy").isNotNull(), outcome(here, "without fields", _spliced(text, fuzzy_at, stretched, new)))
-        .when(F.col("_edit").isNotNull() & ~has_mark, outcome(here, "rewrite", new))
-    )
-    done = out.withColumn("_o", result)
-    return done.select(
-        *blocks.columns, F.col("_o.ahead").alias("_ahead"), F.col("_o.how").alias("how"), F.col("_o.updated").alias("updated")
-    )
+def _replaced(text: Column, hit: Column, new: Column) -> Column:
+    return _let(F.instr(text, hit) - 1, lambda at: _spliced(text, at, at + F.length(hit), new))
 
 
-def find_updates(texts: DataFrame, edits: DataFrame) -> DataFrame:
-    """Where each text update lands and how it was found.
+def _loosely_replaced(text: Column, hit: Column, new: Column) -> Column:
+    """Found without its fields, the old text ends before them: those that follow are taken in."""
+    def spliced(at: Column) -> Column:
+        end = at + F.length(hit)
+        last_mark = F.length(text) - F.instr(F.reverse(text), F.lit("«"))
+        last_close = F.length(text) - F.instr(F.reverse(text), F.lit("»")) + 1
+        stretched = F.when(text.rlike("«[^»]+»") & (last_mark >= at), F.greatest(end, last_close)).otherwise(end)
+        return _spliced(text, at, stretched, new)
+
+    return _let(F.instr(text, hit) - 1, spliced)
 
-    The old text is looked for in the block and the three after it, then
-    without fields in the block itself; what is not found replaces a block that
-    has no fields. Blank old text sets or clears the block.
+
+def updated_texts(texts: DataFrame, edits: DataFrame, look_ahead: int | None = None) -> DataFrame:
+    """Per edited document ``_texts`` before and after, their block numbers, and the outcome of each edit.
+
+    ``texts(doc_id, block_index, text)``; ``edits(doc_id, op_index, block_index,
+    old_text, new_text)``, any number per block. The edits of a document are one
+    request and are applied one after the other inside its row; only documents
+    with edits are gathered. An edit reads its own block, and later ones only
+    where it isn't found there.
     """
-    found = with_updates(texts, edits).where("how IS NOT NULL").select(
-        *BLOCK, (F.col("block_index") + F.col("_ahead")).alias("target_block"), "how"
+    documents = texts.join(edits.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("block_index", "text"))).alias("_blocks")
     )
-    return edits.select(*BLOCK).join(found, BLOCK, "left").withColumn("how", F.coalesce("how", F.lit("failed")))
+    requests = _prepared(edits).join(documents, "doc_id").withColumn("_numbers", F.col("_blocks.block_index"))
+
+    def outcome(ahead: Column, how: str, updated: Column) -> Column:
+        return F.struct(ahead.cast("int").alias("ahead"), F.lit(how).alias("how"), updated.alias("updated"))
+
+    def judged(text: Column, later: Column, edit: Column) -> Column:
+        here = F.regexp_substr(text, edit["pattern"])
+        loose = F.regexp_substr(text, edit["loose"])
+        hits = F.transform(later, lambda t, i: F.struct(i.alias("i"), t.alias("text"), F.regexp_substr(t, edit["pattern"]).alias("hit")))
+        ahead = F.get(F.filter(hits, lambda h: h["hit"].isNotNull()), 0)
+        elsewhere = _let(ahead, lambda found: (
+            F.when(found.isNotNull(), outcome(found["i"] + 1, "exact", _replaced(found["text"], found["hit"], edit["new"])))
+            .when(loose.isNotNull(), outcome(F.lit(0), "without fields", _loosely_replaced(text, loose, edit["new"])))
+            .when(~text.rlike("«[^»]+»"), outcome(F.lit(0), "rewrite", edit["new"]))
+        ))
+        return F.when(edit["sets"], outcome(F.lit(0), "set", _set_text(text, edit["new"]))).when(
+            here.isNotNull(), outcome(F.lit(0), "exact", _replaced(text, here, edit["new"]))
+        ).otherwise(elsewhere)
+
+    def step(state: Column, edit: Column) -> Column:
+        def applied(at: Column) -> Column:
+            reach = F.size(state["texts"]) if look_ahead is None else F.lit(look_ahead)
+            later = F.slice(state["texts"], at + 2, reach)
+            found = F.when(at >= 0, judged(F.get(state["texts"], at), later, edit))
+            return _let(found, lambda o: F.struct(
+                F.when(o.isNull(), state["texts"]).otherwise(
+                    F.transform(state["texts"], lambda t, i: F.when(i == at + o["ahead"], o["updated"]).otherwise(t))
+                ).alias("texts"),
+                F.concat(state["done"], F.array(F.struct(
+                    edit["op_index"].alias("op_index"), edit["block_index"].alias("block_index"),
+                    F.when(o.isNotNull(), F.get("_numbers", at + o["ahead"])).alias("target_block"), F.coalesce(o["how"], F.lit("failed")).alias("how"),
+                ))).alias("done"),
+            ))
+
+        return _let((F.array_position("_numbers", edit["block_index"]) - 1).cast("int"), applied)
+
+    start = F.struct(
+        F.col("_blocks.text").alias("texts"),
+        F.array().cast("array<struct<op_index:bigint,block_index:bigint,target_block:bigint,how:string>>").alias("done"),
+    )
+    return requests.withColumn("_end", F.aggregate("_edits", start, step)).select("doc_id", "_numbers", F.col("_blocks.text").alias("_before"), "_end")
+
+
+def find_updates(texts: DataFrame, edits: DataFrame, look_ahead: int | None = None) -> DataFrame:
+    """Where each text update lands and how it was found.
 
+    The old text is looked for in the block and the ``look_ahead`` ones after it,
+    by default all, then without fields in the block itself; what is not found
+    replaces a block that has no fields. Blank old text sets or clears the block.
+    """
+    return _outcomes(updated_texts(texts, edits, look_ahead), edits)
+
+
+def _outcomes(updated: DataFrame, edits: DataFrame) -> DataFrame:
+    found = updated.select("doc_id", F.explode("_end.done").alias("d")).select("doc_id", "d.*")
+    asked = with_op_index(edits).select(*BLOCK, "op_index")
+    return asked.join(found, [*BLOCK, "op_index"], "left").withColumn("how", F.coalesce("how", F.lit("failed")))
 
-def update_text(segments: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataFrame]:
+
+def update_text(segments: DataFrame, edits: DataFrame, look_ahead: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Apply text updates; fields named in the new text keep their switch and original text.
 
     A field new to the block takes the switch of the block's first field. The
-    segments of a block travel as one nested row and an outcome reaches the
-    block it is for by a window, so the corpus is passed once and clusters on
-    ``doc_id`` throughout.
+    segments of a block travel as one nested row; blocks whose text changed get
+    theirs cut anew. Everything clusters on ``doc_id``.
     """
     nested = nested_blocks(segments)
-    found = with_updates(nested, edits)
-    order = W.partitionBy("doc_id").orderBy("block_index")
-    # Of several outcomes for one block, that of the earliest edit counts.
-    incoming = F.coalesce(*[
-        F.lag(F.when(F.col("_ahead") == ahead, F.col("updated")), ahead).over(order) for ahead in range(LOOK_AHEAD, -1, -1)
-    ])
-    changed = found.withColumn("_text", incoming)
+    updated = updated_texts(nested.select(*BLOCK, "text"), edits, look_ahead)
+    pairs = F.arrays_zip(F.col("_numbers").alias("block_index"), F.col("_before").alias("before"), F.col("_end.texts").alias("text"))
+    new_texts = updated.select("doc_id", F.explode(pairs).alias("p")).where("p.text <> p.before").select(
+        "doc_id", "p.block_index", F.col("p.text").alias("_text")
+    )
+    changed = nested.join(new_texts, BLOCK, "left")
     fields = F.filter("segs", lambda s: s["kind"] == "field")
     first_switch = F.coalesce(F.get(fields, 0)["switch"], F.lit(V.SWITCH_KEEP))
     none = F.lit(None).cast("string")
@@ -171,7 +204,7 @@ def update_text(segments: DataFrame, edits: DataFrame) -> tuple[DataFrame, DataF
     exploded = prepared.select(*BLOCK, F.posexplode(rows).alias("pos", "_s")).select(
         *BLOCK, F.col("pos").cast("bigint").alias("seg_index"), "_s.kind", "_s.text", "_s.field_name", "_s.switch", "_s.original_text"
     )
-    return FL.with_offsets(exploded).select(*segments.columns), find_updates(nested.select(*BLOCK, "text"), edits)
+    return FL.with_offsets(exploded).select(*segments.columns), _outcomes(updated, edits)
 
 
 def nested_blocks(segments: DataFrame) -> DataFrame:

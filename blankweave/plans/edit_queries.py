@@ -197,51 +197,69 @@ def add_field_at(spark: SparkSession, d: str) -> DataFrame:
     return S.add_field_at(segments(spark, d), _adds_at(spark, d))[0]
 
 
-# Six kinds of text update over the second block of each document.
+# Three edits per document and more: six kinds of update of its second block, a second edit of that block, and one word of
+# every fifth block. The first two see the texts that the edits before them left.
 _UPDATE_CASES = """CASE doc_id % 6 WHEN 0 THEN substring(t2, 3, 10) WHEN 1 THEN replace(substring(t2, 3, 12), ' ', '   ')
   WHEN 2 THEN substring(t3, 2, 15) WHEN 3 THEN 'không hề có' WHEN 4 THEN ' ' ELSE concat(substring(t2, 3, 4), '«la»', substring(t2, 7, 5)) END"""
 _UPDATE_NEW = """CASE WHEN doc_id % 5 = 0 THEN '' ELSE concat('MỚI «them» ', doc_id % 3) END"""
-_UPDATE_SQL = dict(
-    pair=f"""SELECT doc_id, max(text) FILTER (block_index = 1) AS t2, coalesce(max(text) FILTER (block_index = 2), 'x y z') AS t3 FROM tblocks GROUP BY doc_id""",
-    edits=f"""SELECT doc_id, CAST(1 AS BIGINT) AS block_index, {_UPDATE_CASES} AS old_text, {_UPDATE_NEW} AS new_text FROM pair WHERE t2 IS NOT NULL""",
-    looked="""SELECT e.doc_id, e.block_index AS asked, b.block_index, b.text, e.new_text, b.block_index - e.block_index AS ahead, regexp_matches(b.text, '«[^»]+»') AS m,
-        trim(regexp_replace(old_text, '\\s+', ' ', 'g')) AS s, trim(regexp_replace(regexp_replace(old_text, '\\s+', ' ', 'g'), '«[^»]+»', '', 'g')) AS bare
-      FROM edits e JOIN tblocks b ON e.doc_id = b.doc_id AND b.block_index BETWEEN e.block_index AND e.block_index + 3""".replace("\\\\", "\\"),
-    cases="""SELECT *, CASE WHEN s = '' AND ahead = 0 THEN 0 WHEN s = '' THEN NULL WHEN strpos(text, s) > 0 THEN 1 + ahead
-        WHEN ahead = 0 AND bare <> '' AND strpos(text, bare) > 0 THEN 10 WHEN ahead = 0 AND NOT m THEN 20 END AS rank FROM looked""",
-    best="""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank) AS rn FROM cases WHERE rank IS NOT NULL) WHERE rn = 1""",
-    spans="""SELECT *, CASE WHEN rank < 10 THEN strpos(text, s) ELSE strpos(text, bare) END - 1 AS a,
-        length(text) - strpos(reverse(text), '«') AS lm, length(text) - strpos(reverse(text), '»') + 1 AS lc FROM best""",
-    updated=r"""SELECT doc_id, asked, block_index, CASE WHEN rank = 0 THEN CASE WHEN new_text = '' THEN array_to_string(regexp_extract_all(text, '«[^»]+»', 0), '')
-          WHEN regexp_matches(text, '^((?:«[^»]+»)*)[^«]+') THEN regexp_extract(text, '^((?:«[^»]+»)*)[^«]+', 1) || new_text || regexp_replace(text, '^((?:«[^»]+»)*)[^«]+', '')
-          ELSE text || new_text END
-        WHEN rank <= 10 THEN left(text, CASE WHEN regexp_matches(left(text, a), '«[^»]*$') THEN a - length(regexp_extract(left(text, a), '«[^«»]*$')) ELSE a END)
-          || new_text || substring(text, 1 + CASE WHEN regexp_matches(left(text, z), '«[^»]*$') THEN z + length(regexp_extract(substring(text, z + 1), '^[^«»]*»')) ELSE z END)
-        ELSE new_text END AS text, CASE WHEN rank = 0 THEN 'set' WHEN rank < 10 THEN 'exact' WHEN rank = 10 THEN 'without fields' ELSE 'rewrite' END AS how
-      FROM (SELECT *, CASE WHEN rank < 10 THEN a + length(s) WHEN m AND lm >= a THEN greatest(a + length(bare), lc) ELSE a + length(bare) END AS z FROM spans)""",
+_LAST_WORD, _FIRST_WORD = "regexp_extract(t2, '([A-Za-z]{4,})[^A-Za-z]*$', 1)", "regexp_extract(text, '[A-Za-z]{3,}', 0)"
+_UPDATE_EDITS = dict(
+    pair="SELECT doc_id, max(text) FILTER (block_index = 1) AS t2, coalesce(max(text) FILTER (block_index = 2), 'x y z') AS t3 FROM tblocks GROUP BY doc_id",
+    edits=f"""SELECT doc_id, 0 AS op_index, 1 AS block_index, {_UPDATE_CASES} AS old_text, {_UPDATE_NEW} AS new_text FROM pair WHERE t2 IS NOT NULL
+      UNION ALL SELECT doc_id, 1, 1, {_LAST_WORD}, 'hai «hai» x' FROM pair WHERE t2 IS NOT NULL
+      UNION ALL SELECT doc_id, 2, block_index, {_FIRST_WORD}, 'NHIỀU' FROM tblocks WHERE block_index % 5 = 3 AND {_FIRST_WORD} <> ''""",
 )
 
 
+def _update_step(number: int, texts: str) -> dict[str, str]:
+    """The edits with one op_index applied to ``texts(doc_id, block_index, text)``."""
+    k = str(number)
+    return {
+        "looked" + k: f"""SELECT e.doc_id, e.op_index, e.block_index AS asked, b.block_index, b.text, e.new_text, b.block_index - e.block_index AS ahead, regexp_matches(b.text, '«[^»]+»') AS m,
+          trim(regexp_replace(old_text, '\\s+', ' ', 'g')) AS s, trim(regexp_replace(regexp_replace(old_text, '\\s+', ' ', 'g'), '«[^»]+»', '', 'g')) AS bare
+        FROM edits e JOIN {texts} b ON e.doc_id = b.doc_id AND b.block_index >= e.block_index WHERE e.op_index = {k}""",
+        "cases" + k: f"""SELECT *, CASE WHEN s = '' AND ahead = 0 THEN 0 WHEN s = '' THEN NULL WHEN strpos(text, s) > 0 THEN 1 + ahead
+          WHEN ahead = 0 AND bare <> '' AND strpos(text, bare) > 0 THEN 1000000 WHEN ahead = 0 AND NOT m THEN 2000000 END AS rank FROM looked{k}""",
+        "best" + k: f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, asked ORDER BY rank) AS rn FROM cases{k} WHERE rank IS NOT NULL) WHERE rn = 1",
+        "spans" + k: f"""SELECT *, CASE WHEN rank < 1000000 THEN strpos(text, s) ELSE strpos(text, bare) END - 1 AS a,
+          length(text) - strpos(reverse(text), '«') AS lm, length(text) - strpos(reverse(text), '»') + 1 AS lc FROM best{k}""",
+        "updated" + k: rf"""SELECT doc_id, op_index, asked, block_index, CASE WHEN rank = 0 THEN CASE WHEN new_text = '' THEN array_to_string(regexp_extract_all(text, '«[^»]+»', 0), '')
+            WHEN regexp_matches(text, '^((?:«[^»]+»)*)[^«]+') THEN regexp_extract(text, '^((?:«[^»]+»)*)[^«]+', 1) || new_text || regexp_replace(text, '^((?:«[^»]+»)*)[^«]+', '')
+            ELSE text || new_text END
+          WHEN rank <= 1000000 THEN left(text, CASE WHEN regexp_matches(left(text, a), '«[^»]*$') THEN a - length(regexp_extract(left(text, a), '«[^«»]*$')) ELSE a END)
+            || new_text || substring(text, 1 + CASE WHEN regexp_matches(left(text, z), '«[^»]*$') THEN z + length(regexp_extract(substring(text, z + 1), '^[^«»]*»')) ELSE z END)
+          ELSE new_text END AS text, CASE WHEN rank = 0 THEN 'set' WHEN rank < 1000000 THEN 'exact' WHEN rank = 1000000 THEN 'without fields' ELSE 'rewrite' END AS how
+        FROM (SELECT *, CASE WHEN rank < 1000000 THEN a + length(s) WHEN m AND lm >= a THEN greatest(a + length(bare), lc) ELSE a + length(bare) END AS z FROM spans{k})""",
+        "texts" + k: f"SELECT b.doc_id, b.block_index, coalesce(u.text, b.text) AS text FROM {texts} b LEFT JOIN updated{k} u USING (doc_id, block_index)",
+    }
+
+
+_UPDATE_SQL = dict(**_UPDATE_EDITS, **_update_step(0, "tblocks"), **_update_step(1, "texts0"), **_update_step(2, "texts1"))
+
+
 def _updates(spark: SparkSession, d: str, shown: DataFrame) -> DataFrame:
     pair = shown.groupBy("doc_id").agg(
         F.max(F.when(F.col("block_index") == 1, F.col("text"))).alias("t2"),
         F.coalesce(F.max(F.when(F.col("block_index") == 2, F.col("text"))), F.lit("x y z")).alias("t3"),
     ).where("t2 IS NOT NULL")
-    return pair.select(
-        "doc_id", F.lit(1).cast("bigint").alias("block_index"), F.expr(_UPDATE_CASES).alias("old_text"), F.expr(_UPDATE_NEW).alias("new_text")
+    first = pair.selectExpr("doc_id", "0L AS op_index", "1L AS block_index", f"{_UPDATE_CASES} AS old_text", f"{_UPDATE_NEW} AS new_text")
+    second = pair.selectExpr("doc_id", "1L AS op_index", "1L AS block_index", f"{_LAST_WORD} AS old_text", "'hai «hai» x' AS new_text")
+    third = shown.where(f"block_index % 5 = 3 AND {_FIRST_WORD} <> ''").selectExpr(
+        "doc_id", "2L AS op_index", "block_index", f"{_FIRST_WORD} AS old_text", "'NHIỀU' AS new_text"
     )
+    return first.unionByName(second).unionByName(third)
 
 
-@query("update_text", duck("""
-  SELECT b.doc_id, b.block_index, coalesce(u.text, b.text) AS text FROM tblocks b LEFT JOIN updated u USING (doc_id, block_index)""", "tblocks", **_UPDATE_SQL))
+@query("update_text", duck("SELECT doc_id, block_index, text FROM texts2", "tblocks", **_UPDATE_SQL))
 def update_text(spark: SparkSession, d: str) -> DataFrame:
     segs = segments(spark, d)
     return C.shown_blocks(ST.update_text(segs, _updates(spark, d, C.shown_blocks(segs)))[0])
 
 
 @query("update_text_status", duck("""
-  SELECT e.doc_id, e.block_index, coalesce(u.how, 'failed') AS how, coalesce(u.block_index, -1) AS target_block
-  FROM edits e LEFT JOIN updated u USING (doc_id)""", "tblocks", **_UPDATE_SQL))
+  SELECT e.doc_id, e.block_index, CAST(e.op_index AS BIGINT) AS op_index, coalesce(u.how, 'failed') AS how, coalesce(u.block_index, -1) AS target_block
+  FROM edits e LEFT JOIN (SELECT * FROM updated0 UNION ALL SELECT * FROM updated1 UNION ALL SELECT * FROM updated2) u
+    ON u.doc_id = e.doc_id AND u.op_index = e.op_index AND u.asked = e.block_index""", "tblocks", **_UPDATE_SQL))
 def update_text_status(spark: SparkSession, d: str) -> DataFrame:
     segs = segments(spark, d)
     return ST.update_text(segs, _updates(spark, d, C.shown_blocks(segs)))[1].withColumn(
