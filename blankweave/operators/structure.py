@@ -90,18 +90,18 @@ def _loosely_replaced(text: Column, hit: Column, new: Column) -> Column:
 
 
 def updated_texts(texts: DataFrame, edits: DataFrame, look_ahead: int | None = None) -> DataFrame:
-    """Per edited document ``_texts`` before and after, their block numbers, and the outcome of each edit.
+    """Per document ``_blocks`` as given and ``_end``: their texts after all edits, and the outcome of each edit.
 
-    ``texts(doc_id, block_index, text)``; ``edits(doc_id, op_index, block_index,
-    old_text, new_text)``, any number per block. The edits of a document are one
-    request and are applied one after the other inside its row; only documents
-    with edits are gathered. An edit reads its own block, and later ones only
-    where it isn't found there.
+    ``texts(doc_id, block_index, text, ...)``; ``edits(doc_id, op_index,
+    block_index, old_text, new_text)``, any number per block. The edits of a
+    document are one request and are applied one after the other inside its row,
+    so the corpus is passed once. An edit reads its own block, and later ones
+    only where it isn't found there.
     """
-    documents = texts.join(edits.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("block_index", "text"))).alias("_blocks")
+    documents = texts.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("block_index", *[c for c in texts.columns if c not in BLOCK]))).alias("_blocks")
     )
-    requests = _prepared(edits).join(documents, "doc_id").withColumn("_numbers", F.col("_blocks.block_index"))
+    requests = documents.join(_prepared(edits), "doc_id", "left").withColumn("_numbers", F.col("_blocks.block_index"))
 
     def outcome(ahead: Column, how: str, updated: Column) -> Column:
         return F.struct(ahead.cast("int").alias("ahead"), F.lit(how).alias("how"), updated.alias("updated"))
@@ -141,7 +141,8 @@ def updated_texts(texts: DataFrame, edits: DataFrame, look_ahead: int | None = N
         F.col("_blocks.text").alias("texts"),
         F.array().cast("array<struct<op_index:bigint,block_index:bigint,target_block:bigint,how:string>>").alias("done"),
     )
-    return requests.withColumn("_end", F.aggregate("_edits", start, step)).select("doc_id", "_numbers", F.col("_blocks.text").alias("_before"), "_end")
+    end = F.when(F.col("_edits").isNull(), start).otherwise(F.aggregate("_edits", start, step))
+    return requests.withColumn("_end", end).select("doc_id", "_blocks", "_end")
 
 
 def find_updates(texts: DataFrame, edits: DataFrame, look_ahead: int | None = None) -> DataFrame:
@@ -168,12 +169,9 @@ def update_text(segments: DataFrame, edits: DataFrame, look_ahead: int | None =
     theirs cut anew. Everything clusters on ``doc_id``.
     """
     nested = nested_blocks(segments)
-    updated = updated_texts(nested.select(*BLOCK, "text"), edits, look_ahead)
-    pairs = F.arrays_zip(F.col("_numbers").alias("block_index"), F.col("_before").alias("before"), F.col("_end.texts").alias("text"))
-    new_texts = updated.select("doc_id", F.explode(pairs).alias("p")).where("p.text <> p.before").select(
-        "doc_id", "p.block_index", F.col("p.text").alias("_text")
-    )
-    changed = nested.join(new_texts, BLOCK, "left")
+    updated = updated_texts(nested, edits, look_ahead)
+    pairs = F.zip_with("_blocks", F.col("_end.texts"), lambda b, text: F.struct(b.alias("b"), F.nullif(text, b["text"]).alias("_text")))
+    changed = updated.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.b.block_index", "p.b.segs", "p._text")
     fields = F.filter("segs", lambda s: s["kind"] == "field")
     first_switch = F.coalesce(F.get(fields, 0)["switch"], F.lit(V.SWITCH_KEEP))
     none = F.lit(None).cast("string")

@@ -237,23 +237,23 @@ def _update_step(number: int, texts: str) -> dict[str, str]:
 _UPDATE_SQL = dict(**_UPDATE_EDITS, **_update_step(0, "tblocks"), **_update_step(1, "texts0"), **_update_step(2, "texts1"))
 
 
-def _updates(spark: SparkSession, d: str, shown: DataFrame) -> DataFrame:
-    pair = shown.groupBy("doc_id").agg(
-        F.max(F.when(F.col("block_index") == 1, F.col("text"))).alias("t2"),
-        F.coalesce(F.max(F.when(F.col("block_index") == 2, F.col("text"))), F.lit("x y z")).alias("t3"),
-    ).where("t2 IS NOT NULL")
-    first = pair.selectExpr("doc_id", "0L AS op_index", "1L AS block_index", f"{_UPDATE_CASES} AS old_text", f"{_UPDATE_NEW} AS new_text")
-    second = pair.selectExpr("doc_id", "1L AS op_index", "1L AS block_index", f"{_LAST_WORD} AS old_text", "'hai «hai» x' AS new_text")
-    third = shown.where(f"block_index % 5 = 3 AND {_FIRST_WORD} <> ''").selectExpr(
-        "doc_id", "2L AS op_index", "block_index", f"{_FIRST_WORD} AS old_text", "'NHIỀU' AS new_text"
+def _updates(shown: DataFrame) -> DataFrame:
+    """The edits of all documents from one pass over their blocks."""
+    block = lambda n: F.get(F.filter("blocks", lambda b: b["block_index"] == n), 0)["text"]
+    documents = shown.groupBy("doc_id").agg(F.collect_list(F.struct("block_index", "text")).alias("blocks")).select(
+        "doc_id", "blocks", block(1).alias("t2"), F.coalesce(block(2), F.lit("x y z")).alias("t3")
     )
-    return first.unionByName(second).unionByName(third)
+    edit = "named_struct('op_index', {}, 'block_index', {}, 'old_text', {}, 'new_text', {})"
+    words = edit.format("2L", "b.block_index", _FIRST_WORD.replace("text", "b.text"), "'NHIỀU'")
+    own = f"array({edit.format('0L', '1L', _UPDATE_CASES, _UPDATE_NEW)}, {edit.format('1L', '1L', _LAST_WORD, repr('hai «hai» x'))})"
+    many = f"transform(filter(blocks, b -> b.block_index % 5 = 3 AND {_FIRST_WORD.replace('text', 'b.text')} <> ''), b -> {words})"
+    return documents.select("doc_id", F.explode(F.expr(f"concat(CASE WHEN t2 IS NOT NULL THEN {own} ELSE array() END, {many})")).alias("e")).select("doc_id", "e.*")
 
 
 @query("update_text", duck("SELECT doc_id, block_index, text FROM texts2", "tblocks", **_UPDATE_SQL))
 def update_text(spark: SparkSession, d: str) -> DataFrame:
     segs = segments(spark, d)
-    return C.shown_blocks(ST.update_text(segs, _updates(spark, d, C.shown_blocks(segs)))[0])
+    return C.shown_blocks(ST.update_text(segs, _updates(C.shown_blocks(segs)))[0])
 
 
 @query("update_text_status", duck("""
@@ -262,7 +262,7 @@ def update_text(spark: SparkSession, d: str) -> DataFrame:
     ON u.doc_id = e.doc_id AND u.op_index = e.op_index AND u.asked = e.block_index""", "tblocks", **_UPDATE_SQL))
 def update_text_status(spark: SparkSession, d: str) -> DataFrame:
     segs = segments(spark, d)
-    return ST.update_text(segs, _updates(spark, d, C.shown_blocks(segs)))[1].withColumn(
+    return ST.update_text(segs, _updates(C.shown_blocks(segs)))[1].withColumn(
         "target_block", F.coalesce("target_block", F.lit(-1))
     )
 
