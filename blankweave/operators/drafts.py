@@ -2,7 +2,9 @@
 
 ``messages(draft_id, seq, ts, field_name, value, is_explicit)``: an explicit
 value always counts, also a blank one; an extracted value counts only when it
-shows something. One draft may hold any share of all messages.
+shows something and, where ``drafts(draft_id, fields ARRAY, locked ARRAY)`` are
+given, belongs to a field of the draft that isn't locked. One draft may hold any
+share of all messages.
 """
 
 from __future__ import annotations
@@ -12,43 +14,59 @@ from pyspark.sql import functions as F
 
 from blankweave.functions import text as T
 from blankweave.operators.ranking import previous_value
+from blankweave.operators.skew import salted_join
 
 
 def effective_value() -> Column:
     """The value a message leaves behind, NULL when it leaves the field alone."""
     value = F.coalesce("value", F.lit(""))
-    return F.when(F.col("is_explicit"), value).when(~T.is_blank(value), T.strip(value))
+    return F.when(F.col("is_explicit"), value).when(F.col("_open") & ~T.is_blank(value), T.strip(value))
 
 
-def latest_values(messages: DataFrame) -> DataFrame:
+def with_open_fields(messages: DataFrame, drafts: DataFrame | None) -> DataFrame:
+    """Messages with ``_open``: whether their field may be extracted. Messages of unknown drafts go.
+
+    A draft may hold most of all messages, so the join is salted.
+    """
+    if drafts is None:
+        return messages.withColumn("_open", F.lit(True))
+    lists = drafts.select("draft_id", F.col("fields").alias("_fields"), F.coalesce("locked", F.array().cast("array<string>")).alias("_locked"))
+    return (
+        salted_join(messages, lists, ["draft_id"], F.col("seq"))
+        .withColumn("_open", F.array_contains("_fields", F.col("field_name")) & ~F.array_contains("_locked", F.col("field_name")))
+        .drop("_fields", "_locked")
+    )
+
+
+def latest_values(messages: DataFrame, drafts: DataFrame | None = None) -> DataFrame:
     """Final value per draft and field: an aggregate, combined before the shuffle."""
     return (
-        messages.withColumn("_v", effective_value()).where("_v IS NOT NULL")
+        with_open_fields(messages, drafts).withColumn("_v", effective_value()).where("_v IS NOT NULL")
         .groupBy("draft_id", "field_name")
         .agg(F.max_by("_v", F.struct("ts", "seq")).alias("value"))
     )
 
 
-def classify(old: Column, value: Column, is_explicit: Column) -> Column:
+def classify(old: Column, value: Column, is_explicit: Column, is_open: Column) -> Column:
     return (
         F.when(is_explicit, F.lit("explicit"))
-        .when(T.is_blank(value), F.lit("ignored"))
+        .when(T.is_blank(value) | ~is_open, F.lit("ignored"))
         .when(T.is_blank(old), F.lit("updated"))
         .when(T.strip(old) != T.strip(value), F.lit("corrected"))
         .otherwise(F.lit("same"))
     )
 
 
-def message_changes(messages: DataFrame) -> DataFrame:
-    """Each message with the value before it and what it did."""
-    banded = messages.withColumn("_hour", F.date_trunc("hour", "ts"))
+def message_changes(messages: DataFrame, drafts: DataFrame | None = None, band: str = "hour") -> DataFrame:
+    """Each message with the value before it and what it did; ``band`` is the unit of time that one task may hold of a draft."""
+    banded = with_open_fields(messages, drafts).withColumn("_band", F.date_trunc(band, "ts"))
     seen = previous_value(
-        banded, ["draft_id", "field_name"], "_hour", ["ts", "seq"], effective_value(), "old_value"
-    ).drop("_hour")
+        banded, ["draft_id", "field_name"], "_band", ["ts", "seq"], effective_value(), "old_value"
+    ).drop("_band")
     old = F.coalesce("old_value", F.lit(""))
     return seen.withColumn("old_value", old).withColumn(
-        "change", classify(F.col("old_value"), F.col("value"), F.col("is_explicit"))
-    )
+        "change", classify(F.col("old_value"), F.col("value"), F.col("is_explicit"), F.col("_open"))
+    ).drop("_open")
 
 
 COUNTERS = ("prompt_tokens", "completion_tokens", "total_tokens")

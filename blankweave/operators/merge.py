@@ -2,7 +2,9 @@
 
 Long form inside: ``records(record_id, template_id)``, ``fields(template_id,
 block_index, seg_index, field_name, switch, original_text)`` and
-``values(record_id, field_name, value)``, one row per record and field.
+``values(record_id, field_name, value)``. Where a record has several values for
+a field, the last one holds: by ``value_order`` if the values have it, else the
+greatest.
 """
 
 from __future__ import annotations
@@ -20,10 +22,19 @@ def with_template(records: DataFrame, rows: DataFrame, salts: int = SALTS) -> Da
     return salted_join(records, rows, ["template_id"], F.col("record_id"), salts)
 
 
+def _value_order(values: DataFrame) -> Column:
+    return F.col("value_order") if "value_order" in values.columns else F.col("value")
+
+
+def last_values(values: DataFrame) -> DataFrame:
+    """One value per record and field: an aggregate, combined before the shuffle that the join by these keys needs anyway."""
+    return values.groupBy("record_id", "field_name").agg(F.max_by("value", F.struct(_value_order(values), "value")).alias("value"))
+
+
 def merge_values(records: DataFrame, fields: DataFrame, values: DataFrame, locks: DataFrame | None = None) -> DataFrame:
     """Each field occurrence of each record with the text it shows. Extra values are ignored."""
     keys = ["record_id", "field_name"]
-    rows = with_template(records, fields).join(values, keys, "left")
+    rows = with_template(records, fields).join(last_values(values), keys, "left")
     if locks is None:
         rows = rows.withColumn("_locked", F.lit(False))
     else:
@@ -102,16 +113,17 @@ def records_with_values(records: DataFrame, values: DataFrame, locks: DataFrame
 
     Values and locks go through one aggregation, so the values are shuffled once.
     """
-    entries = values.select("record_id", F.struct("field_name", "value").alias("_e"), F.lit(None).cast("string").alias("_l"))
+    entries = values.select("record_id", F.struct(_value_order(values).alias("o"), "field_name", "value").alias("_e"), F.lit(None).cast("string").alias("_l"))
     if locks is not None:
         entries = entries.unionByName(
             locks.select(
                 "record_id", F.lit(None).cast(entries.schema["_e"].dataType).alias("_e"), F.col("field_name").alias("_l")
             )
         )
-    gathered = entries.groupBy("record_id").agg(
-        F.map_from_entries(F.collect_list("_e")).alias("values"), F.collect_set("_l").alias("locked")
-    )
+    listed = entries.groupBy("record_id").agg(F.array_sort(F.collect_list("_e")).alias("_all"), F.collect_set("_l").alias("locked"))
+    names = F.array_distinct(F.col("_all.field_name"))
+    last = F.transform(names, lambda n: F.element_at(F.filter("_all", lambda e: e["field_name"] == n), -1)["value"])
+    gathered = listed.select("record_id", F.map_from_arrays(names, last).alias("values"), "locked")
     empty_map, empty_list = F.create_map().cast("map<string,string>"), F.array().cast("array<string>")
     return records.join(gathered, "record_id", "left").select(
         "record_id", "template_id",

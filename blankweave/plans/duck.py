@@ -94,7 +94,9 @@ CTES: dict[str, tuple[list[str], str]] = {
     "draft_messages": ([], """
       SELECT user_id AS draft_id, event_id AS seq, ts, event_type AS field_name,
         CASE WHEN event_id % 5 = 0 THEN '' ELSE 'v' || (props->>'$.k') END AS value,
-        event_id % 10 = 5 AS is_explicit FROM events"""),
+        event_id % 10 = 5 AS is_explicit,
+        -- extracted values count only for unlocked fields of the draft
+        NOT (user_id % 10 = 0 AND event_type = 'view') AND NOT (user_id % 7 = 3 AND event_type = 'signup') AS is_open FROM events"""),
     "table_cells": ([], """
       SELECT table_id, "row", CAST(col AS BIGINT) AS col,
         CASE col WHEN 0 THEN CAST(l_linenumber AS VARCHAR) WHEN 1 THEN l_returnflag

@@ -227,19 +227,19 @@ def resolve_artifact(spark: SparkSession, d: str) -> DataFrame:
 @query("latest_value", duck("""
   SELECT draft_id, field_name, value FROM (
     SELECT *, row_number() OVER (PARTITION BY draft_id, field_name ORDER BY ts DESC, seq DESC) AS rn FROM draft_messages
-    WHERE is_explicit OR trim(value) <> '') WHERE rn = 1""", "draft_messages"))
+    WHERE is_explicit OR (trim(value) <> '' AND is_open)) WHERE rn = 1""", "draft_messages"))
 def latest_value(spark: SparkSession, d: str) -> DataFrame:
-    return D.latest_values(X.draft_messages(spark, d))
+    return D.latest_values(X.draft_messages(spark, d), X.drafts(spark, d))
 
 
 @query("message_changes", duck("""
-  SELECT draft_id, seq, field_name, coalesce(old, '') AS old_value, CASE WHEN is_explicit THEN 'explicit' WHEN trim(value) = '' THEN 'ignored'
+  SELECT draft_id, seq, field_name, coalesce(old, '') AS old_value, CASE WHEN is_explicit THEN 'explicit' WHEN trim(value) = '' OR NOT is_open THEN 'ignored'
     WHEN coalesce(trim(old), '') = '' THEN 'updated' WHEN old <> value THEN 'corrected' ELSE 'same' END AS change
-  FROM (SELECT *, last_value(CASE WHEN is_explicit OR trim(value) <> '' THEN value END IGNORE NULLS) OVER (
+  FROM (SELECT *, last_value(CASE WHEN is_explicit OR (trim(value) <> '' AND is_open) THEN value END IGNORE NULLS) OVER (
       PARTITION BY draft_id, field_name ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old FROM draft_messages)
 """, "draft_messages"))
 def message_changes(spark: SparkSession, d: str) -> DataFrame:
-    return D.message_changes(X.draft_messages(spark, d)).select("draft_id", "seq", "field_name", "old_value", "change")
+    return D.message_changes(X.draft_messages(spark, d), X.drafts(spark, d)).select("draft_id", "seq", "field_name", "old_value", "change")
 
 
 @query("usage_rollup", duck("""

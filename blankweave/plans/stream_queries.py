@@ -23,18 +23,15 @@ def _changes(spark: SparkSession, d: str) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", runs.ROCKSDB)
     events = runs.stream_table(spark, d, "events")
     messages = X.draft_messages_of(events)
-    drafts = X.table(spark, d, "events").select(F.col("user_id").alias("draft_id")).distinct().select(
-        "draft_id", F.expr("array('click', 'error', 'purchase', 'scroll', 'view')").alias("fields"),
-        F.expr("CASE WHEN draft_id % 10 = 0 THEN array('view') ELSE array() END").alias("locked"),
-    )
+    drafts = X.drafts(spark, d)
     # The end of input moves the watermark past every draft, so keep them beyond it here.
     return runs.run_append(SD.draft_state(messages, drafts, ttl_ms=100 * 365 * SD.DAY_MS), "draft-state")
 
 
 @query("draft_state", duck("""
-  SELECT draft_id, seq, field_name, coalesce(old, '') AS old_value, CASE WHEN is_explicit THEN 'explicit' WHEN trim(value) = '' THEN 'ignored'
+  SELECT draft_id, seq, field_name, coalesce(old, '') AS old_value, CASE WHEN is_explicit THEN 'explicit' WHEN trim(value) = '' OR NOT is_open THEN 'ignored'
     WHEN coalesce(trim(old), '') = '' THEN 'updated' WHEN old <> value THEN 'corrected' ELSE 'same' END AS change
-  FROM (SELECT *, last_value(CASE WHEN is_explicit OR trim(value) <> '' THEN value END IGNORE NULLS) OVER (
+  FROM (SELECT *, last_value(CASE WHEN is_explicit OR (trim(value) <> '' AND is_open) THEN value END IGNORE NULLS) OVER (
       PARTITION BY draft_id, field_name ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS old FROM draft_messages)
 """, "draft_messages"))
 def draft_state(spark: SparkSession, d: str) -> DataFrame:

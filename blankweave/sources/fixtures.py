@@ -159,6 +159,15 @@ def draft_messages_of(events: DataFrame) -> DataFrame:
     )
 
 
+def drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """events -> drafts with their fields and locks; every tenth locks one, every seventh lacks one."""
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("draft_id")).distinct().select(
+        "draft_id",
+        F.expr("CASE WHEN draft_id % 7 = 3 THEN array('click', 'error', 'purchase', 'view') ELSE array('click', 'error', 'purchase', 'signup', 'view') END").alias("fields"),
+        F.expr("CASE WHEN draft_id % 10 = 0 THEN array('view') ELSE array() END").alias("locked"),
+    )
+
+
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem -> three-column tables, one per order.
 

@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder the session names; a local one only where none is named, as in tests."""
+    """The folder the session names in ``spark.checkpoint.dir``, which driver and executors share."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
-    root = tempfile.mkdtemp(prefix="blankweave-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share, or pass a folder")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -26,7 +26,7 @@ OUT_SCHEMA = (
 
 
 class DraftProcessor(StatefulProcessor):
-    """Overlay explicit values, then extracted ones that show something."""
+    """Overlay explicit values, then extracted ones that show something and may be extracted: those of unlocked fields of the draft."""
 
     def __init__(self, ttl_ms: int = DAY_MS):
         self.ttl_ms = ttl_ms
@@ -36,9 +36,6 @@ class DraftProcessor(StatefulProcessor):
         self.values = handle.getMapState("values", "field_name string", "value string")
         self.last = handle.getValueState("last", "ms bigint")
 
-    def _get(self, name: str) -> str:
-        return self.values.getValue((name,))[0] if self.values.containsKey((name,)) else ""
-
     def _touch(self, ms: int) -> None:
         """Move the expiry timer to a time to live after the newest message."""
         known = self.last.get()[0] if self.last.exists() else None
@@ -52,23 +49,29 @@ class DraftProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(rows, ignore_index=True).sort_values(["ts", "seq"])
         out = []
+        # The state is read once for all messages, and written once for each field that changed.
+        values = {name: value for (name,), (value,) in self.values.iterator()}
+        touched = set()
         for row in batch.to_dict("records"):
             name, value = row["field_name"], row["value"]
             value = "" if value is None or value != value else str(value)
-            old, change = self._get(name), "ignored"
+            old, change = values.get(name, ""), "ignored"
+            locked = set(row["locked"]) if row["locked"] is not None else set()
             if row["is_explicit"]:
                 change = "explicit"
-                self.values.updateValue((name,), (value,))
-            elif value.strip():
+            elif value.strip() and name not in locked and name in set(row["fields"]):
                 change = "updated" if not old.strip() else "corrected" if old.strip() != value.strip() else "same"
                 value = value.strip()
-                self.values.updateValue((name,), (value,))
-            locked = set(row["locked"]) if row["locked"] is not None else set()
-            missing = [f for f in row["fields"] if f not in locked and not self._get(f).strip()]
+            if change != "ignored":
+                values[name] = value
+                touched.add(name)
+            missing = [f for f in row["fields"] if f not in locked and not values.get(f, "").strip()]
             out.append((
                 key[0], "message", row["seq"], row["ts"], name, value, old, change, missing,
                 [name] if change == "updated" else [], [name] if change == "corrected" else [],
             ))
+        for name in touched:
+            self.values.updateValue((name,), (values[name],))
         self._touch(int(batch["ts"].iloc[-1].value // 1_000_000))
         yield _frame(out)
 
