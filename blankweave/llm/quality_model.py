@@ -110,14 +110,17 @@ def index_vectors(seed: int = 11) -> np.ndarray:
 
 
 def _train_vectors(model: Model, texts: pa.Array) -> None:
-    words, shapes, first, _, _ = _units(texts)
+    # In slices: the work arrays of a slice take many times the bytes of its texts.
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    parts = [_units(part.column("text")) for part in shared.slices(iter([batch]))]
+    words, shapes = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    text_of = np.repeat(np.arange(len(texts)), np.concatenate([np.diff(p[2]) for p in parts]))
     slot = (words % np.uint64(_SLOTS)).astype(np.int64)
     counts = np.bincount(slot, minlength=_SLOTS)
     often = np.argsort(-counts, kind="stable")[:WORDS]
     often = often[counts[often] > 2]
     model.slots[often] = np.arange(len(often))
     ids, index = model.ids(words, shapes), index_vectors()
-    text_of = np.repeat(np.arange(len(first) - 1), np.diff(first))
     total, step = np.zeros((_SIZE, WIDTH)), 1 << 17
     for away in (1, 2):
         for at in range(0, max(0, len(ids) - away), step):
