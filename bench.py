@@ -22,7 +22,8 @@ HEADLINE = (
     "render_documents",
     "field_context",
     "update_text",
-    "apply_edits",
+    "add_field_at",
+    "edit_table_rows",
     "expansion_plan",
     "message_changes",
 )

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from blankweave import fixed_values as V
+from blankweave.functions import naming as N
 from blankweave.functions import text as T
 from blankweave.operators import fields as FL
 from blankweave.operators.context import shown_blocks
@@ -75,50 +76,47 @@ def rename_field(segments: DataFrame, renames: DataFrame, keep_switch: bool = Fa
     without a number. Of two renames to one new name, or of one occurrence, the
     earlier holds. A single rename resets the case switch, the bulk path keeps it.
     """
-    renames = with_op_index(renames)
-    fields = segments.where("kind = 'field'").groupBy("doc_id", "field_name").agg(F.count(F.lit(1)).alias("_uses"))
-    matched = FL.fuzzy_field_match(renames.select("doc_id", F.col("old_name").alias("wanted")).distinct(), fields)
-    taken = fields.select("doc_id", F.col("field_name").alias("new_name")).withColumn("_taken", F.lit(True))
-    good = F.col("error").isNull()
-    same_name = W.partitionBy("doc_id", "new_name", good).orderBy("op_index")
-    earlier = W.partitionBy("doc_id", "matched", good).orderBy("op_index").rowsBetween(W.unboundedPreceding, -1)
-    # Occurrences renamed before this edit; -1 stands for all of them.
-    done = F.collect_list(F.coalesce("occurrence_index", F.lit(-1))).over(earlier)
-    judged = (
-        renames.join(matched.withColumnRenamed("wanted", "old_name"), ["doc_id", "old_name"], "left")
-        .join(taken, ["doc_id", "new_name"], "left")
-        .join(fields.withColumnRenamed("field_name", "matched"), ["doc_id", "matched"], "left")
-        .withColumn(
-            "error",
-            F.when(F.col("matched").isNull(), F.lit("unknown field"))
-            .when(F.col("_taken") & (F.col("new_name") != F.col("old_name")), F.lit("name in use"))
-            .when(F.col("occurrence_index") >= F.col("_uses"), F.lit("no such occurrence")),
-        )
-        .withColumn("error", F.when(good & (F.row_number().over(same_name) > 1), F.lit("name in use")).otherwise(F.col("error")))
-        .withColumn("_done", done)
-        .withColumn("error", F.when(
-            good & (F.array_contains("_done", -1) | F.array_contains("_done", F.coalesce("occurrence_index", F.lit(-1)))),
-            F.lit("renamed before"),
-        ).otherwise(F.col("error")))
+    names = segments.where("kind = 'field'").groupBy("doc_id").agg(F.collect_list("field_name").alias("_names"))
+    requests = with_op_index(renames).groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("op_index", "old_name", "new_name", F.col("occurrence_index").cast("bigint").alias("nth")))).alias("_edits")
     )
-    status = judged.select(
-        "doc_id", "op_index", "old_name", "new_name", "matched",
-        F.when(good, F.lit("executed")).otherwise(F.lit("failed")).alias("status"), "error",
+
+    def judged(done: Column, edit: Column) -> Column:
+        """The edit with the field it matches and an error, decided from the document's names and the edits before it."""
+        has = lambda name: F.array_contains(F.col("_names"), name)
+        base = N.strip_suffix(edit["old_name"])
+        matched = F.when(has(edit["old_name"]), edit["old_name"]).when(has(base), base)
+        same_name = F.exists(done, lambda e: e["error"].isNull() & (e["new_name"] == edit["new_name"]))
+        same_place = F.exists(done, lambda e: e["error"].isNull() & (e["matched"] == matched) & (e["nth"].isNull() | (e["nth"] == edit["nth"])))
+        error = (
+            F.when(matched.isNull(), F.lit("unknown field"))
+            .when(has(edit["new_name"]) & (edit["new_name"] != edit["old_name"]), F.lit("name in use"))
+            .when(edit["nth"] >= F.size(F.filter("_names", lambda n: n == matched)), F.lit("no such occurrence"))
+            .when(same_name, F.lit("name in use"))
+            .when(same_place, F.lit("renamed before"))
+        )
+        fields = [edit[c].alias(c) for c in ("op_index", "old_name", "new_name", "nth")]
+        return F.concat(done, F.array(F.struct(*fields, matched.alias("matched"), error.alias("error"))))
+
+    nothing = F.array().cast("array<struct<op_index:bigint,old_name:string,new_name:string,nth:bigint,matched:string,error:string>>")
+    outcome = requests.join(names, "doc_id", "left").withColumn("_names", F.coalesce("_names", F.array().cast("array<string>"))).select(
+        "doc_id", F.aggregate("_edits", nothing, judged).alias("_done")
     )
-    per_field = judged.where(good).groupBy("doc_id", F.col("matched").alias("field_name")).agg(
-        F.array_sort(F.collect_list(F.struct("op_index", F.col("occurrence_index").alias("nth"), F.col("new_name").alias("name")))).alias("_renames")
+    status = outcome.select("doc_id", F.explode("_done").alias("e")).select(
+        "doc_id", "e.op_index", "e.old_name", "e.new_name", "e.matched",
+        F.when(F.col("e.error").isNull(), F.lit("executed")).otherwise(F.lit("failed")).alias("status"), "e.error",
     )
     occurrence = F.row_number().over(W.partitionBy("doc_id", "kind", "field_name").orderBy("block_index", "seg_index")) - 1
-    joined = segments.withColumn("_occ", occurrence).join(per_field, ["doc_id", "field_name"], "left")
-    first = F.get(F.filter("_renames", lambda r: r["nth"].isNull() | (r["nth"] == F.col("_occ"))), 0)["name"]
+    joined = segments.withColumn("_occ", occurrence).join(outcome, "doc_id", "left")
+    hits = F.filter("_done", lambda e: e["error"].isNull() & (e["matched"] == F.col("field_name")) & (e["nth"].isNull() | (e["nth"] == F.col("_occ"))))
     renamed = (
-        joined.withColumn("_new", F.when(F.col("kind") == "field", first))
+        joined.withColumn("_new", F.when(F.col("kind") == "field", F.get(hits, 0)["new_name"]))
         .withColumn("field_name", F.coalesce("_new", "field_name"))
         .withColumn("text", F.when(F.col("_new").isNotNull(), T.field_mark(F.col("_new"))).otherwise(F.col("text")))
     )
     if not keep_switch:
         renamed = renamed.withColumn("switch", F.when(F.col("_new").isNotNull(), F.lit(V.SWITCH_KEEP)).otherwise(F.col("switch")))
-    return FL.with_offsets(renamed.drop("_new", "_occ", "_renames")).select(*segments.columns), status
+    return FL.with_offsets(renamed.drop("_new", "_occ", "_done")).select(*segments.columns), status
 
 
 def delete_field(segments: DataFrame, deletes: DataFrame) -> tuple[DataFrame, DataFrame]:

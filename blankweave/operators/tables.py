@@ -208,7 +208,9 @@ def _words(text: Column) -> Column:
 
 
 def best_matching_cell(cells: DataFrame, hints: DataFrame) -> DataFrame:
-    """``hints(table_id, hint, name)`` -> the cell whose words fit best, first one on ties, none at score 0.
+    """``hints(table_id, hint, name)`` -> the cell and the paragraph in it whose words fit best, first one on ties, none at score 0.
+
+    Every paragraph of a cell counts by itself.
 
     The pieces of a hint stay an array on the row, so no pairs are emitted; the
     pick is a max over a struct, combined before the shuffle.
@@ -217,8 +219,9 @@ def best_matching_cell(cells: DataFrame, hints: DataFrame) -> DataFrame:
     prepared = hints.select(
         "table_id", F.transform(pieces, _words).alias("_pieces"), F.split(F.lower("name"), "_", -1).alias("_parts")
     )
-    spoken = cells.where(~T.is_blank(F.col("text"))).withColumn("_words", _words(F.col("text")))
-    paired = salted_join(spoken, prepared, ["table_id"], F.struct("row", "col"))
+    lines = cells.select("table_id", "row", "col", F.posexplode(F.split("text", "\n", -1)).alias("para_in_cell", "text"))
+    spoken = lines.where(~T.is_blank(F.col("text"))).withColumn("_words", _words(F.col("text")))
+    paired = salted_join(spoken, prepared, ["table_id"], F.struct("row", "col", "para_in_cell"))
     bonus = F.size(F.array_intersect(F.array_distinct("_parts"), "_words")) * F.lit(0.2)
     usable = F.filter(F.col("_pieces"), lambda piece: F.size(piece) > 0)
     scores = F.transform(
@@ -228,8 +231,8 @@ def best_matching_cell(cells: DataFrame, hints: DataFrame) -> DataFrame:
         paired.where(F.size("_words") > 0).withColumn("_bonus", bonus).withColumn("score", F.array_max(scores)).where("score > 0")
     )
     return scored.groupBy("table_id").agg(
-        F.max(F.struct("score", (-F.col("row")).alias("r"), (-F.col("col")).alias("c"))).alias("_b")
-    ).select("table_id", (-F.col("_b.r")).alias("row"), (-F.col("_b.c")).alias("col"))
+        F.max(F.struct("score", (-F.col("row")).alias("r"), (-F.col("col")).alias("c"), (-F.col("para_in_cell")).alias("p"))).alias("_b")
+    ).select("table_id", (-F.col("_b.r")).alias("row"), (-F.col("_b.c")).alias("col"), (-F.col("_b.p")).cast("bigint").alias("para_in_cell"))
 
 
 # --- grid edits ---------------------------------------------------------------------

@@ -45,9 +45,11 @@ def extract_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("extract_blocks_from_html", r"""
-  SELECT page_id AS doc_id, CAST(i AS BIGINT) AS block_index, parts[i + 1] AS text
-  FROM (SELECT page_id, list_transform(regexp_extract_all(html, '(?s)<p>(.*?)</p>', 1),
-      lambda p: regexp_replace(p, '<[^>]*>', '', 'g')) AS parts FROM pages), unnest(range(len(parts))) AS u(i)""")
+  WITH bare AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', '', 'g'),
+      '(?is)<style.*?</style>', '', 'g'), '(?is)<!--.*?-->', '', 'g'), '(?i)</?(a|b|i|em|strong|span)(\s[^>]*)?>', '', 'g') AS h FROM pages),
+  runs AS (SELECT page_id, list_filter(list_transform(string_split_regex(h, '<[^>]*>'), lambda r: trim(regexp_replace(
+      replace(replace(replace(replace(r, '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda r: r <> '') AS parts FROM bare)
+  SELECT page_id AS doc_id, CAST(i AS BIGINT) AS block_index, parts[i + 1] AS text FROM runs, unnest(range(len(parts))) AS u(i)""")
 def extract_blocks_from_html(spark: SparkSession, d: str) -> DataFrame:
     from blankweave.sources.readers import html_blocks
 

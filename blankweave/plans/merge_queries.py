@@ -17,25 +17,26 @@ def letter_fields(spark: SparkSession, d: str) -> DataFrame:
     return X.letter_templates(spark, d).where("kind = 'field'").drop("kind", "text")
 
 
-_MERGED = dict(
+FILLED_SQL = f"""SELECT *, CASE WHEN kind = 'text' THEN text ELSE {merged('original_text', 'value', 'is_locked')} END AS shown FROM joined"""
+MERGED_SQL = dict(
     joined="""SELECT r.record_id, r.template_id, l.block_index, l.seg_index, l.kind, l.text, l.field_name, l.switch, l.original_text,
         v.value, k.record_id IS NOT NULL AS is_locked
       FROM records r JOIN letters l ON r.template_id = l.template_id
       LEFT JOIN merge_values v ON v.record_id = r.record_id AND v.field_name = l.field_name
       LEFT JOIN locks k ON k.record_id = r.record_id AND k.field_name = l.field_name""",
-    filled=f"""SELECT *, CASE WHEN kind = 'text' THEN text ELSE {merged('original_text', 'value', 'is_locked')} END AS shown FROM joined""",
+    filled=FILLED_SQL,
 )
-_MERGE_NEEDS = ("records", "letters", "merge_values", "locks")
+MERGE_NEEDS = ("records", "letters", "merge_values", "locks")
 
 
 @query("merge_values", duck("""
   SELECT record_id, template_id, CAST(block_index AS BIGINT) AS block_index, CAST(seg_index AS BIGINT) AS seg_index, field_name, shown
-  FROM filled WHERE kind = 'field'""", *_MERGE_NEEDS, **_MERGED))
+  FROM filled WHERE kind = 'field'""", *MERGE_NEEDS, **MERGED_SQL))
 def merge_values(spark: SparkSession, d: str) -> DataFrame:
     return M.merge_values(X.records(spark, d), letter_fields(spark, d), X.merge_values(spark, d), X.locks(spark, d))
 
 
-_PADDED = dict(
+PADDED_SQL = dict(
     near=r"""SELECT *, coalesce(last_value(nullif(right(shown, 1), '') IGNORE NULLS) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS prev,
         coalesce(lead(CASE WHEN kind = 'field' THEN '«' ELSE left(text, 1) END) OVER b, '') AS nxt
       FROM filled WINDOW b AS (PARTITION BY record_id, block_index ORDER BY seg_index)""",
@@ -48,7 +49,7 @@ _PADDED = dict(
 
 @query("pad_spaces", duck(
     "SELECT record_id, template_id, CAST(block_index AS BIGINT) AS block_index, text FROM block_texts",
-    *_MERGE_NEEDS, **_MERGED, **_PADDED))
+    *MERGE_NEEDS, **MERGED_SQL, **PADDED_SQL))
 def pad_spaces(spark: SparkSession, d: str) -> DataFrame:
     return M.render_blocks(
         X.records(spark, d), X.letter_templates(spark, d), X.merge_values(spark, d), X.locks(spark, d)
@@ -57,7 +58,7 @@ def pad_spaces(spark: SparkSession, d: str) -> DataFrame:
 
 @query("render_documents", duck(
     "SELECT record_id, template_id, string_agg(text, chr(10) ORDER BY block_index) AS text FROM block_texts GROUP BY ALL",
-    *_MERGE_NEEDS, **_MERGED, **_PADDED))
+    *MERGE_NEEDS, **MERGED_SQL, **PADDED_SQL))
 def render_documents(spark: SparkSession, d: str) -> DataFrame:
     return M.render_documents(
         X.records(spark, d), X.letter_templates(spark, d), X.merge_values(spark, d), X.locks(spark, d)
@@ -72,7 +73,7 @@ _WANTED = dict(wanted="""SELECT DISTINCT r.record_id, r.template_id, l.field_nam
   SELECT record_id, field_name FROM wanted w WHERE NOT EXISTS (SELECT 1 FROM merge_values v WHERE v.record_id = w.record_id
       AND v.field_name = w.field_name AND trim(v.value) <> '')
     AND NOT EXISTS (SELECT 1 FROM locks k WHERE k.record_id = w.record_id AND k.field_name = w.field_name)
-""", *_MERGE_NEEDS, **_WANTED))
+""", *MERGE_NEEDS, **_WANTED))
 def missing_fields(spark: SparkSession, d: str) -> DataFrame:
     wanted = M.record_fields(X.records(spark, d), letter_fields(spark, d))
     return M.missing_fields(wanted, X.merge_values(spark, d), X.locks(spark, d)).select("record_id", "field_name")

@@ -6,11 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blankweave.functions.register import register_functions
-from blankweave.operators import batch as BT
-from blankweave.operators import fields as FL
-from blankweave.operators import model
-from blankweave.operators import structure as ST
 from blankweave.plans.duck import duck, slug, title
+from blankweave.plans.merge_queries import FILLED_SQL, MERGE_NEEDS, MERGED_SQL, PADDED_SQL
 from blankweave.plans.registry import query
 from blankweave.sources import fixtures as X
 from blankweave.sources.writers import write_results
@@ -45,7 +42,18 @@ def usage_meter(spark: SparkSession, d: str) -> DataFrame:
     return runs.run_complete(meter(X.usage_of(runs.stream_table(spark, d, "events"))), "usage-meter")
 
 
-@query("draft_merge")
+@query("draft_merge", duck("""
+  SELECT record_id, template_id, text, missing FROM (SELECT record_id, template_id, string_agg(text, chr(10) ORDER BY block_index) AS text FROM block_texts GROUP BY ALL)
+  LEFT JOIN (SELECT record_id, string_agg(field_name, ',' ORDER BY first_use) AS missing FROM (
+      SELECT record_id, field_name, min(block_index * 1000 + seg_index) AS first_use FROM joined WHERE kind = 'field' AND coalesce(trim(value), '') = '' GROUP BY ALL) GROUP BY record_id)
+    USING (record_id)""", "letters", "draft_messages",
+  held="""SELECT draft_id, field_name, value FROM (SELECT *, row_number() OVER (PARTITION BY draft_id, field_name ORDER BY ts DESC, seq DESC) AS rn
+      FROM draft_messages WHERE is_explicit OR (trim(value) <> '' AND is_open)) WHERE rn = 1""",
+  asked="SELECT DISTINCT user_id AS record_id, user_id % 3 AS template_id FROM events",
+  renamed="SELECT * REPLACE (CASE field_name WHEN 'ho_ten' THEN 'click' WHEN 'nam' THEN 'view' ELSE field_name END AS field_name) FROM letters",
+  joined="""SELECT a.record_id, a.template_id, l.block_index, l.seg_index, l.kind, l.text, l.field_name, l.switch, l.original_text, h.value, false AS is_locked
+      FROM asked a JOIN renamed l USING (template_id) LEFT JOIN held h ON h.draft_id = a.record_id AND h.field_name = l.field_name""",
+  filled=FILLED_SQL, **PADDED_SQL))
 def draft_merge(spark: SparkSession, d: str) -> DataFrame:
     """Requests arrive as a stream and are merged with the values the drafts hold."""
     from blankweave.sources.paths import fresh_path
@@ -68,69 +76,7 @@ def draft_merge(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-# --- edit batches ---------------------------------------------------------------------
-_BATCH = """concat('[{"type":"rename_placeholder","old_name":"field","new_name":"ten"},',
-  '{"type":"delete_placeholder","field_name":"', CASE WHEN doc_id % 4 = 3 THEN 'field' ELSE 'ten' END, '"},',
-  '{"type":"add_paragraph","block_index":0,"position":"after","text":"mới"},',
-  '{"type":"delete_text_range","block_index":1,"start_offset":0,"end_offset":2},',
-  '{"type":"update_text","block_index":0,"old_text":"Mục 1","new_text":"Mục «so»"}]')"""
-
-
-def _batch(spark: SparkSession, d: str) -> DataFrame:
-    from blankweave.sources.readers import read_edits
-
-    requests = X.table(spark, d, "documents").select("doc_id", F.expr(_BATCH).alias("operations"))
-    return read_edits(requests, key="doc_id")[0]
-
-
-@query("apply_edits", duck("""
-  SELECT d.doc_id AS template_id, op_index, CASE op_index WHEN 0 THEN 'rename_placeholder' WHEN 1 THEN 'delete_placeholder'
-      WHEN 2 THEN 'add_paragraph' WHEN 3 THEN 'delete_text_range' ELSE 'update_text' END AS type,
-    CASE WHEN op_index = last_op AND last_op < 4 THEN 'validation_failed' ELSE 'executed' END AS status
-  FROM (SELECT doc_id, CASE WHEN NOT coalesce(hf, false) THEN 0 WHEN doc_id % 4 = 3 THEN 1 ELSE 4 END AS last_op FROM documents
-    LEFT JOIN (SELECT doc_id, bool_or(field_name = 'field') AS hf FROM tfields GROUP BY doc_id) USING (doc_id)) d,
-    unnest(range(5)) AS u(op_index) WHERE op_index <= last_op""", "tfields"))
-def apply_edits(spark: SparkSession, d: str) -> DataFrame:
-    """Status of every edit that was reached; a failed check ends the batch of its template."""
-    applied = BT.apply_edits(FL.convert_blocks(X.form_blocks(spark, d)), _batch(spark, d))
-    return BT.edit_results(applied).select("template_id", "op_index", "type", "status")
-
-
-@query("apply_edits_outcome")
-def apply_edits_outcome(spark: SparkSession, d: str) -> DataFrame:
-    applied = BT.apply_edits(FL.convert_blocks(X.form_blocks(spark, d)), _batch(spark, d), stop_on_error=False)
-    return ST.batch_outcome(BT.edit_results(applied))
-
-
-@query("apply_edits_segments")
-def apply_edits_segments(spark: SparkSession, d: str) -> DataFrame:
-    """The corpus after the batches: changed templates and all others."""
-    segments = FL.convert_blocks(X.form_blocks(spark, d))
-    edits = _batch(spark, d)
-    return BT.full_result(segments, edits, BT.apply_edits(segments, edits)).select(
-        "doc_id", "block_index", "seg_index", "kind", "text", "field_name", "switch", "original_text"
-    )
-
-
-# --- model hook and functions ----------------------------------------------------------------
-def _echo_model():
-    """A stand-in for a hosted model: answers with the length and first letter of each prompt."""
-    import json
-
-    return lambda prompts: [
-        "Answer:\n" + json.dumps({"length": len(p), "first": p[:1]}, ensure_ascii=False) + "\nend" for p in prompts
-    ]
-
-
-@query("map_model", """SELECT doc_id AS prompt_id, CAST(length(text) AS VARCHAR) AS length, left(text, 1) AS first FROM documents""")
-def map_model(spark: SparkSession, d: str) -> DataFrame:
-    prompts = X.table(spark, d, "documents").select(F.col("doc_id").alias("prompt_id"), F.col("text").alias("prompt"))
-    replies = model.map_model(prompts, _echo_model)
-    return replies.select(
-        "prompt_id", F.try_element_at("reply", F.lit("length")).alias("length"), F.try_element_at("reply", F.lit("first")).alias("first")
-    )
-
-
+# --- functions ---------------------------------------------------------------------------------
 @query("registered_functions", duck(f"""
   SELECT doc_id, block_index, CAST(len(blanks) AS BIGINT) AS blanks, {slug('block_text')} AS slug, {title('block_text')} AS title
   FROM cut""", "cut"))
@@ -142,7 +88,9 @@ def registered_functions(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("write_results")
+@query("write_results", duck("""
+  SELECT sha256(template_id || chr(31) || record_id) AS result_id, record_id, template_id, string_agg(text, chr(10) ORDER BY block_index) AS text
+  FROM block_texts GROUP BY record_id, template_id""", *MERGE_NEEDS, **MERGED_SQL, **PADDED_SQL))
 def write_merged(spark: SparkSession, d: str) -> DataFrame:
     """Merged documents written per template under keys that a rerun repeats."""
     from blankweave.operators.merge import render_documents
@@ -151,4 +99,4 @@ def write_merged(spark: SparkSession, d: str) -> DataFrame:
     merged = render_documents(X.records(spark, d), X.letter_templates(spark, d), X.merge_values(spark, d), X.locks(spark, d))
     path = fresh_path(spark, "results")
     write_results(merged, path)
-    return spark.read.parquet(path).select("result_id", "record_id", "template_id", "text")
+    return spark.read.parquet(path).select("result_id", "record_id", F.col("template_id").cast("bigint").alias("template_id"), "text")

@@ -171,16 +171,17 @@ def fill_proposed_cells(spark: SparkSession, d: str) -> DataFrame:
     return G.fill_proposed_cells(cells, inside.unionByName(outside))
 
 
-_CELL_TEXT = """CASE col WHEN 0 THEN 'Dòng ' || text || ' số' WHEN 1 THEN 'Loại ' || text || ' ký' ELSE text END"""
+_CELL_TEXT = """CASE col WHEN 0 THEN 'Dòng ' || text || chr(10) || ' ' || chr(10) || 'số dòng ' || text WHEN 1 THEN 'Loại ' || text || ' ký' ELSE text END"""
 
 
 @query("best_matching_cell", duck(rf"""
-  SELECT table_id, "row", col FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY score DESC, "row", col) AS rn FROM (
-    SELECT table_id, "row", col, max(len(list_intersect(p, w)) / len(p) + len(list_intersect(parts, w)) * 0.2::DOUBLE) AS score
-    FROM (SELECT table_id, "row", col, w, ['chu', 'ký', CAST(table_id % 5 AS VARCHAR)] AS parts,
+  SELECT table_id, "row", col, para_in_cell FROM (SELECT *, row_number() OVER (PARTITION BY table_id ORDER BY score DESC, "row", col, para_in_cell) AS rn FROM (
+    SELECT table_id, "row", col, para_in_cell, max(len(list_intersect(p, w)) / len(p) + len(list_intersect(parts, w)) * 0.2::DOUBLE) AS score
+    FROM (SELECT table_id, "row", col, para_in_cell, w, ['chu', 'ký', CAST(table_id % 5 AS VARCHAR)] AS parts,
         unnest([['dòng', CAST(table_id % 4 AS VARCHAR)], ['loại', 'r', 'x' || table_id % 3]]) AS p
       FROM (SELECT *, list_distinct(regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}_]+', 0)) AS w
-        FROM (SELECT table_id, "row", col, {_CELL_TEXT} AS t FROM table_cells)) WHERE len(w) > 0)
+        FROM (SELECT table_id, "row", col, CAST(i AS BIGINT) AS para_in_cell, string_split(cell, chr(10))[i + 1] AS t
+          FROM (SELECT table_id, "row", col, {_CELL_TEXT} AS cell FROM table_cells), unnest(range(len(string_split(cell, chr(10))))) AS u(i))) WHERE len(w) > 0)
     GROUP BY ALL) WHERE score > 0) WHERE rn = 1""", "table_cells"))
 def best_matching_cell(spark: SparkSession, d: str) -> DataFrame:
     cells = X.table_cells(spark, d).withColumn("text", F.expr(_CELL_TEXT))

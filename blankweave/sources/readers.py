@@ -2,20 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blankweave import fixed_values as V
 from blankweave.functions import text as T
 
 
+# Elements that begin and end a block of text, and named characters.
+BLOCK_TAGS = (
+    "address article aside blockquote body br caption dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header "
+    "hr html li link main meta nav ol option p pre section table tbody td tfoot th thead title tr ul"
+).split()
+ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·"}
+_BREAK = "\x1e"
+
+
+def decode_entities(text: Column) -> Column:
+    """Named and decimal characters; the ampersand last, so that nothing is decoded twice."""
+    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d{1,7});"), F.lit(1)))
+
+    def put(done: Column, number: Column) -> Column:
+        char = F.decode(F.unhex(F.lpad(F.hex(number.cast("int")), F.lit(8), F.lit("0"))), "UTF-32")
+        return F.replace(done, F.concat(F.lit("&#"), number, F.lit(";")), char)
+
+    text = F.when(text.contains("&#"), F.aggregate(numbers, text, put)).otherwise(text)
+    for name, char in ENTITIES.items():
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+
+
 def html_blocks(pages: DataFrame) -> DataFrame:
-    """Web pages -> one block per ``<p>`` element, tags inside it dropped."""
-    parts = F.regexp_extract_all("html", F.lit(r"(?s)<p>(.*?)</p>"), F.lit(1))
-    return pages.select(F.col("page_id").alias("doc_id"), F.posexplode(parts).alias("pos", "part")).select(
-        "doc_id",
-        F.col("pos").cast("bigint").alias("block_index"),
-        F.regexp_replace("part", "<[^>]*>", "").alias("text"),
+    """Web pages -> one block for each run of text between block elements, whatever their case and attributes.
+
+    Comments, scripts and styles are no text; inline tags vanish; white space is
+    squeezed, as a browser shows it; runs without text are dropped.
+    """
+    silent = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!doctype[^>]*>"
+    breaks = rf"(?i)</?(?:{'|'.join(BLOCK_TAGS)})(?:\s[^>]*|/)?>"
+    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace("html", silent, ""), breaks, _BREAK), "<[^>]*>", "")
+    runs = F.transform(F.split(marked, _BREAK, -1), lambda run: T.strip(F.regexp_replace(decode_entities(run), r"(?U)\s+", " ")))
+    return pages.select(F.col("page_id").alias("doc_id"), F.posexplode(F.filter(runs, lambda run: run != "")).alias("pos", "text")).select(
+        "doc_id", F.col("pos").cast("bigint").alias("block_index"), "text"
     )
 
 

@@ -1,202 +1,154 @@
-"""Edit batches: each kind alone, order dependence, all-or-nothing, equality with the set-based forms."""
+"""Several edits of one block, field, cell or table in one request."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from blankweave import fixed_values as V
-from blankweave.operators import batch as BT
 from blankweave.operators import context as C
 from blankweave.operators import fields as FL
+from blankweave.operators import merge as M
 from blankweave.operators import spans as S
 from blankweave.operators import structure as ST
-from blankweave.plans import edit_queries as Q
-from blankweave.sources import fixtures as X
-from blankweave.sources.readers import EDIT_SCHEMA, _split_columns, read_edits
+from blankweave.operators import tables as G
+from blankweave.sources.readers import html_blocks, read_edits
 
-FIELDS = [part.strip().split(" ")[0] for part in _split_columns(EDIT_SCHEMA)]
-COLUMNS = ["doc_id", "block_index", "seg_index", "kind", "text", "field_name", "switch", "original_text"]
+SEGMENTS = "doc_id bigint, block_index bigint, seg_index bigint, kind string, text string, field_name string, switch string, original_text string"
 
 
-def document(*blocks):
-    """Each block is a list of texts; ``«x»`` stands for a field. A dict adds columns."""
+def template(spark, *blocks):
+    """Each block is a list of texts; ``«x»`` stands for a field."""
     rows = []
     for i, block in enumerate(blocks):
-        parts, extra = (block if isinstance(block, tuple) else (block, {}))
-        for j, part in enumerate(parts):
+        for j, part in enumerate(block):
             name = part[1:-1] if part.startswith("«") else None
-            rows.append(
-                dict(
-                    doc_id=1, block_index=i, seg_index=j, kind="field" if name else "text", text=part, field_name=name,
-                    switch=V.SWITCH_UPPER if name else None, original_text="...." if name else None, attrs={},
-                    type="paragraph", table_index=None, row=None, col=None, block_attrs={},
-                )
-                | extra
-            )
-    return rows
-
-
-def cell(text, row, col):
-    return [text], dict(type="table_cell", table_index=0, row=row, col=col)
-
-
-def run(doc, *ops, **options):
-    edits = [dict.fromkeys(FIELDS) | dict(doc_id=1, op_index=i) | op for i, op in enumerate(ops)]
-    out = BT.fold(doc, edits, **options)
-    blocks = {}
-    for row in out:
-        if row.get("op_index") is None:
-            blocks.setdefault(row["block_index"], []).append(row)
-    texts = ["".join(s["text"] for s in blocks[i]) for i in sorted(blocks)]
-    return texts, [(r["status"], r["error"]) for r in out if r.get("op_index") is not None], out
-
-
-FORM = document(["Tên: ", "«ten»", " tuổi ", "«tuoi»"], ["Lớp ......"], ["hết"])
-OK = [("executed", None)]
-
-
-@pytest.mark.parametrize(
-    "op, texts",
-    [
-        (dict(type="rename_placeholder", old_name="ten_7", new_name="ho"), ["Tên: «ho» tuổi «tuoi»", "Lớp ......", "hết"]),
-        (dict(type="delete_placeholder", field_name="ten"), ["Tên:  tuổi «tuoi»", "Lớp ......", "hết"]),
-        (dict(type="add_placeholder", block_index=1, field_name="lop", position="right"), ["Tên: «ten» tuổi «tuoi»", "Lớp«lop»", "hết"]),
-        (dict(type="add_placeholder", block_index=2, field_name="x", position="left"), ["Tên: «ten» tuổi «tuoi»", "Lớp ......", "«x»hết"]),
-        (dict(type="add_placeholder", block_index=1, field_name="x", position="new_line"), ["Tên: «ten» tuổi «tuoi»", "Lớp", "«x»", "hết"]),
-        (dict(type="add_placeholder_by_offset", block_index=2, offset=1, field_name="x"), ["Tên: «ten» tuổi «tuoi»", "Lớp ......", "h«x»ết"]),
-        (dict(type="update_text", block_index=0, old_text="Tên:  «ten»", new_text="Họ «ten» và «moi»"), ["Họ «ten» và «moi» tuổi «tuoi»", "Lớp ......", "hết"]),
-        (dict(type="update_text", block_index=0, old_text="hết", new_text="xong"), ["Tên: «ten» tuổi «tuoi»", "Lớp ......", "xong"]),
-        (dict(type="update_text", block_index=2, old_text="không có", new_text="thay"), ["Tên: «ten» tuổi «tuoi»", "Lớp ......", "thay"]),
-        (dict(type="update_text", block_index=1, old_text=" ", new_text=""), ["Tên: «ten» tuổi «tuoi»", "", "hết"]),
-        (dict(type="delete_text_range", block_index=0, start_offset=2, end_offset=6), ["Tê tuổi «tuoi»", "Lớp ......", "hết"]),
-        (dict(type="add_paragraph", block_index=0, position="before", text="đầu"), ["đầu", "Tên: «ten» tuổi «tuoi»", "Lớp ......", "hết"]),
-        (dict(type="add_paragraph", position="end", text="cuối"), ["Tên: «ten» tuổi «tuoi»", "Lớp ......", "hết", "cuối"]),
-        (dict(type="add_paragraph", block_index=2, offset=1, position="after"), ["Tên: «ten» tuổi «tuoi»", "Lớp ......", "h", "ết"]),
-        (dict(type="delete_paragraph", block_index=1), ["Tên: «ten» tuổi «tuoi»", "hết"]),
-        (dict(type="delete_multiple_paragraphs", blocks=[dict(block_index=1), dict(block_index=2, start_offset=0, end_offset=1)]), ["Tên: «ten» tuổi «tuoi»", "ết"]),
-        (dict(type="add_page_break", block_index=2, offset=3), ["Tên: «ten» tuổi «tuoi»", "Lớp ......", "hết", ""]),
-        (dict(type="add_image_at_cursor", block_index=2, offset=1, image_path="a.png", width=2.0), ["Tên: «ten» tuổi «tuoi»", "Lớp ......", "h", "", "ết"]),
-        (dict(type="add_table_at_cursor", block_index=2, offset=3, rows=1, cols=2), ["Tên: «ten» tuổi «tuoi»", "Lớp ......", "hết", "", ""]),
-    ],
-)
-def test_single_edits(op, texts):
-    got, status, _ = run(FORM, op)
-    assert status == OK and got == texts
-
-
-@pytest.mark.parametrize(
-    "op, status",
-    [
-        (dict(type="rename_placeholder", old_name="la", new_name="x"), "validation_failed"),
-        (dict(type="rename_placeholder", old_name="ten", new_name="tuoi"), "validation_failed"),
-        (dict(type="add_placeholder", block_index=9, field_name="x", position="left"), "validation_failed"),
-        (dict(type="add_placeholder_by_offset", block_index=2, offset=99, field_name="x"), "failed"),
-        (dict(type="update_text", block_index=0, old_text="không có", new_text="x"), "failed"),
-        (dict(type="delete_text_range", block_index=0, start_offset=4, end_offset=4), "validation_failed"),
-        (dict(type="add_hyperlink", block_index=0, start_offset=0, end_offset=2, url="ftp://a"), "validation_failed"),
-        (dict(type="format_paragraph", block_index=0, paragraph_format={"alignment": "xiên"}), "failed"),
-        (dict(type="delete_table_row", table_index=0, row_index=0), "validation_failed"),
-    ],
-)
-def test_refused_edits_change_nothing(op, status):
-    got, states, out = run(FORM, op)
-    assert [s for s, _ in states] == [status]
-    assert got == run(FORM)[0]
-
-
-def test_each_edit_sees_the_state_before_it():
-    first = dict(type="rename_placeholder", old_name="ten", new_name="ho")
-    second = dict(type="delete_placeholder", field_name="ho")
-    assert run(FORM, first, second)[0][0] == "Tên:  tuổi «tuoi»"
-    texts, states, _ = run(FORM, second, first)
-    assert states[0][0] == "validation_failed" and texts == run(FORM)[0]
-
-
-def test_stop_and_go_on():
-    good = dict(type="delete_paragraph", block_index=2)
-    broken = dict(type="update_text", block_index=0, old_text="không có", new_text="x")
-    assert run(FORM, broken, good)[0] == run(FORM)[0]
-    texts, states, _ = run(FORM, broken, good, stop_on_error=False)
-    assert [s for s, _ in states] == ["failed", "executed"] and len(texts) == 2
-    texts, states, _ = run(FORM, good, validate_only=True)
-    assert [s for s, _ in states] == ["validated"] and len(texts) == 3
-    invalid = dict(type="delete_paragraph", block_index=50)
-    texts, states, _ = run(FORM, good, invalid, stop_on_error=False)
-    assert len(texts) == 3 and states[1][0] == "validation_failed"
-
-
-def test_grid_edits():
-    grid = document(cell("a", 0, 0), cell("b", 0, 1), cell("c", 1, 0), cell("d", 1, 1))
-    assert run(grid, dict(type="add_table_row", table_index=0, row_index=0, position="below"))[0] == ["a", "b", "", "", "c", "d"]
-    assert run(grid, dict(type="add_table_column", table_index=0, position="right"))[0] == ["a", "b", "", "c", "d", ""]
-    assert run(grid, dict(type="delete_table_row", table_index=0, row_index=0))[0] == ["c", "d"]
-    assert run(grid, dict(type="delete_table_column", table_index=0, col_index=1))[0] == ["a", "c"]
-    twice = dict(type="delete_table_row", table_index=0, row_index=0)
-    assert [s for s, _ in run(grid, twice, twice)[1]] == ["executed", "validation_failed"]
-    new = dict(type="add_paragraph", table_index=0, row_index=0, col_index=1, para_in_cell=0, text="e")
-    assert run(grid, new)[0][1] == "b\ne"
-    gone = dict(type="delete_paragraph", block_index=1, para_in_cell=1)
-    assert run(grid, new, gone)[0][1] == "b"
-    fmt = dict(type="format_table_cell", table_index=0, row_index=1, col_index=1, format_options={"background_color": "FFFF00"})
-    assert run(grid, fmt)[2][3]["block_attrs"] == {"background_color": "FFFF00"}
-
-
-def test_character_attributes():
-    op = dict(type="format_text", block_index=2, start_offset=1, end_offset=3, format_config={"bold": "true", "fontSize": "14", "color": "#aa0000"})
-    _, status, out = run(FORM, op, dict(type="add_hyperlink", block_index=2, start_offset=0, end_offset=2, url="https://a"))
-    assert [s for s, _ in status] == ["executed"] * 2
-    last = [r for r in out if r.get("block_index") == 2]
-    assert [(r["text"], r["attrs"].get("bold"), r["attrs"].get("url")) for r in last] == [
-        ("h", None, "https://a"), ("ế", "true", "https://a"), ("t", "true", None),
-    ]
-
-
-@pytest.fixture(scope="module")
-def segments(spark, data_dir):
-    cached = FL.convert_blocks(X.form_blocks(spark, data_dir)).cache()
-    yield cached
-    cached.unpersist()
-
-
-def as_edits(rows, kind):
-    return rows.withColumn("op_index", F.lit(0).cast("bigint")).withColumn("type", F.lit(kind))
-
-
-def same(left, right):
-    a, b = left.select(COLUMNS), right.select(COLUMNS)
-    return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
-
-
-def test_fold_equals_set_based_rename_and_update(spark, data_dir, segments):
-    renames = Q._renames(spark, data_dir)
-    edits = as_edits(renames, "rename_placeholder")
-    assert same(S.rename_field(segments, renames)[0], BT.full_result(segments, edits, BT.apply_edits(segments, edits)))
-    updates = Q._updates(spark, data_dir, C.shown_blocks(segments))
-    edits = as_edits(updates, "update_text")
-    assert same(ST.update_text(segments, updates)[0], BT.full_result(segments, edits, BT.apply_edits(segments, edits)))
-
-
-def test_fold_equals_set_based_insertions_and_cuts(spark, data_dir, segments):
-    adds = Q._adds_at(spark, data_dir).where("insert_after IS NULL").withColumn("offset", F.col("offset"))
-    edits = as_edits(adds.drop("insert_after"), "add_placeholder_by_offset")
-    assert same(S.add_field_at(segments, adds)[0], BT.full_result(segments, edits, BT.apply_edits(segments, edits)))
-    one = Q._ranges(segments).where("block_index = 0 AND start_offset <> 15")
-    edits = as_edits(one, "delete_text_range")
-    assert same(S.delete_ranges(segments, one)[0], BT.full_result(segments, edits, BT.apply_edits(segments, edits)))
-    places = segments.where("block_index = 1").select("doc_id", "block_index").distinct().withColumn("field_name", F.lit("moi"))
-    for position in ("left", "right", "new_line"):
-        adds = places.withColumn("position", F.lit(position))
-        edits = as_edits(adds, "add_placeholder")
-        assert same(S.add_field(segments, adds)[0], BT.full_result(segments, edits, BT.apply_edits(segments, edits)))
+            rows.append((1, i, j, "field" if name else "text", part, name, V.SWITCH_UPPER if name else None, "...." if name else None))
+    return FL.with_offsets(spark.createDataFrame(rows, SEGMENTS))
+
+
+def texts(segments):
+    return [r.text for r in C.shown_blocks(segments).orderBy("block_index").collect()]
+
+
+def statuses(status):
+    return [r.status for r in status.orderBy("op_index").collect()]
+
+
+def edits(spark, columns, *rows):
+    return spark.createDataFrame([(1, i, *r) for i, r in enumerate(rows)], "doc_id bigint, op_index bigint, " + columns)
+
+
+def test_two_spans_of_a_block_keep_its_text(spark):
+    segments = template(spark, ["first"], ["second block here"]).withColumn("attrs", F.create_map().cast("map<string,string>"))
+    spans = edits(spark, "block_index bigint, start_offset bigint, end_offset bigint, config map<string,string>",
+                  (1, 0, 9, {"bold": "true"}), (1, 7, 12, {"italic": "true"}), (1, 5, 99, {"bold": "true"}))
+    out, status = S.overlay_span_attrs(segments, spans)
+    assert texts(out) == ["first", "second block here"] and statuses(status) == ["executed", "executed", "failed"]
+    parts = [(r.text, sorted(r.attrs)) for r in out.where("block_index = 1").orderBy("seg_index").collect()]
+    assert parts == [("second ", ["bold"]), ("bl", ["bold", "italic"]), ("ock", ["italic"]), (" here", [])]
+
+
+def test_adds_on_both_sides_and_one_name_twice(spark):
+    adds = edits(spark, "block_index bigint, field_name string, position string",
+                 (1, "f1", "left"), (1, "f2", "right"), (0, "f1", "right"), (1, "f3", "new_line"), (1, "f4", "right"))
+    out, status = S.add_field(template(spark, ["first"], ["second block here"]), adds)
+    assert texts(out) == ["first", "«f1»second block here«f2»«f4»", "«f3»"]
+    assert statuses(status) == ["executed", "executed", "failed", "executed", "executed"]
+
+
+def test_several_points_of_a_block(spark):
+    adds = edits(spark, "block_index bigint, field_name string, offset bigint, insert_after string",
+                 (0, "a", 3, None), (0, "b", 1, None), (0, "c", 3, None), (0, "a", 0, None), (0, "d", None, "ef"), (0, "e", None, "zz"))
+    out, status = S.add_field_at(template(spark, ["abcdef"]), adds)
+    assert texts(out) == ["a«b»bc«a»«c»def«d»"]
+    assert statuses(status) == ["executed", "executed", "executed", "failed", "executed", "failed"]
+
+
+def test_renames_of_single_occurrences(spark):
+    segments = template(spark, ["«x»", " mid ", "«x»"], ["«y»"])
+    renames = edits(spark, "old_name string, new_name string, occurrence_index bigint",
+                    ("x", "p", 0), ("x", "q", 1), ("x", "r", 0), ("y", "p", None))
+    out, status = S.rename_field(segments, renames)
+    assert texts(out) == ["«p» mid «q»", "«y»"] and statuses(status) == ["executed", "executed", "failed", "failed"]
+
+
+def test_updates_of_a_block_follow_each_other(spark):
+    updates = edits(spark, "block_index bigint, old_text string, new_text string",
+                    (0, "second", "2nd"), (0, "2nd block", "B"), (0, "far away", "near"), (0, "nowhere", "all new"), (9, "x", "y"))
+    out, status = ST.update_text(template(spark, ["second block here"], ["a"], ["b"], ["c"], ["d"], ["e far away"]), updates)
+    assert texts(out) == ["all new", "a", "b", "c", "d", "e near"]
+    assert [(r.how, r.target_block) for r in status.orderBy("op_index").collect()] == [
+        ("exact", 0), ("exact", 0), ("exact", 5), ("rewrite", 0), ("failed", None)]
+    near, _ = ST.update_text(template(spark, ["a"], ["b"], ["c"]), edits(spark, "block_index bigint, old_text string, new_text string", (0, "c", "x")), look_ahead=1)
+    assert texts(near) == ["x", "b", "c"]
+
+
+def test_two_page_breaks_and_splits_of_a_block(spark):
+    blocks = spark.createDataFrame([(1, 0, "paragraph", "abcdef"), (1, 1, "paragraph", "")], "doc_id bigint, block_index bigint, type string, text string")
+    inserts = edits(spark, "block_index bigint, offset bigint, what string, rows bigint, cols bigint, image_path string, width double",
+                    (0, 4, "page_break", None, None, None, None), (0, 2, "page_break", None, None, None, None), (1, 0, "image", None, None, "p", 2.0), (0, 2, "table", 30, 1, None, None))
+    out, status = ST.insert_structure(blocks, inserts)
+    rows = [(r.type, r.text) for r in out.orderBy("block_index").collect()]
+    assert rows == [("paragraph", "ab"), ("page_break", ""), *[("table_cell", "")] * 30, ("paragraph", "cd"), ("page_break", ""), ("paragraph", "ef"), ("paragraph", ""), ("image", "")]
+    assert statuses(status) == ["executed"] * 4
+    adds = spark.createDataFrame([(1, 1, 0, "after", "x", 2, None), (1, 2, 0, "after", "y", 4, None), (1, 3, 0, "after", "n", None, None), (1, 4, 0, "after", "m", None, None)],
+                                 "doc_id bigint, add_id bigint, block_index bigint, position string, text string, offset bigint, para_in_cell bigint")
+    got = ST.add_block(blocks.where("block_index = 0"), adds).orderBy("block_index").collect()
+    assert [r.text for r in got] == ["ab", "cd", "ef", "n", "m"]
+
+
+def test_two_row_edits_of_a_table(spark):
+    cells = spark.createDataFrame([(7, r, c, f"{r}{c}") for r in range(3) for c in range(2)], "table_id bigint, row bigint, col bigint, text string")
+    rows = [(7, 0, "delete", 0, None), (7, 1, "delete", 0, None), (7, 2, "delete", 0, None), (7, 3, "insert", 0, "below"), (8, 0, "insert", 0, "below")]
+    out, status = G.edit_table_rows(cells, spark.createDataFrame(rows, "table_id bigint, op_index bigint, action string, at bigint, position string"))
+    assert sorted((r.row, r.col, r.text) for r in out.collect()) == [(0, 0, "20"), (0, 1, "21"), (1, 0, ""), (1, 1, "")]
+    assert [(r.table_id, r.status, r.error) for r in status.orderBy("table_id", "op_index").collect()] == [
+        (7, "executed", None), (7, "executed", None), (7, "failed", "the last row stays"), (7, "executed", None), (8, "failed", "unknown table")]
+
+
+def test_formats_fold_in_order(spark):
+    blocks = spark.createDataFrame([(1, 0, {"alignment": "left"})], "doc_id bigint, block_index bigint, attrs map<string,string>")
+    formats = edits(spark, "block_index bigint, paragraph_format map<string,string>",
+                    (0, {"alignment": "center", "spaceAfter": "6"}), (0, {"alignment": "distribute"}), (0, {"alignment": "both"}))
+    out, status = S.set_block_attrs(blocks, formats)
+    assert out.first().attrs == {"alignment": "both", "space_after": "6"} and statuses(status) == ["executed", "failed", "executed"]
+
+
+def test_repeated_values_leave_one_row(spark):
+    records = spark.createDataFrame([(1, 5)], "record_id bigint, template_id bigint")
+    letter = template(spark, ["Tên: ", "«a»"]).withColumn("template_id", F.lit(5).cast("bigint"))
+    values = spark.createDataFrame([(1, "a", "old", 1), (1, "a", "new", 2), (1, "a", "mid", 1)], "record_id bigint, field_name string, value string, value_order int")
+    assert [r.text for r in M.render_documents(records, letter, values).collect()] == ["Tên: NEW"]
+    assert [r.shown for r in M.merge_values(records, letter.where("kind = 'field'"), values).collect()] == ["NEW"]
+
+
+def test_a_long_blank_comes_back_whole(spark):
+    blocks = spark.createDataFrame([(5, 0, "Tên: " + "." * 80)], "doc_id bigint, block_index bigint, text string")
+    segments = FL.convert_blocks(blocks).withColumn("template_id", F.col("doc_id"))
+    records = spark.createDataFrame([(1, 5)], "record_id bigint, template_id bigint")
+    empty = spark.createDataFrame([], "record_id bigint, field_name string, value string")
+    assert M.render_documents(records, segments, empty).first().text == "Tên: " + "." * 80
+
+
+def test_best_paragraph_of_a_cell(spark):
+    cells = spark.createDataFrame([(1, 0, 0, "a b\nc d"), (1, 1, 0, "x\na c")], "table_id bigint, row bigint, col bigint, text string")
+    hints = spark.createDataFrame([(1, "a c", "n")], "table_id bigint, hint string, name string")
+    assert [tuple(r) for r in G.best_matching_cell(cells, hints).collect()] == [(1, 1, 0, 1)]
+
+
+def test_html_of_any_element(spark):
+    html = '<H1 id="a">Head &amp; &#233;&lt;</H1><P class=x>one <b>two</b><br>three</P><ul><LI>item<script>var t="</p>";</script></LI></ul><!-- <p>no</p> -->tail'
+    rows = html_blocks(spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id bigint, html string")).orderBy("block_index").collect()
+    assert [r.text for r in rows] == ["Head & é<", "one two", "three", "item", "tail"]
 
 
 def test_read_edits_rejects(spark):
     raw = (
         '[{"type":"add_placeholder","block_index":1,"field_name":"a"},{"type":"fly"},{"type":"add_placeholder","block_index":1},'
-        '{"type":"add_table_at_cursor","block_index":1,"offset":0,"rows":21},{"type":"add_table_row","table_index":0,"position":"up"}]'
+        '{"type":"add_table_at_cursor","block_index":1,"offset":0,"rows":0},{"type":"add_table_row","table_index":0,"position":"up"},'
+        '{"type":"add_table_at_cursor","block_index":1,"offset":0,"rows":21,"cols":40}]'
     )
     df = spark.createDataFrame([(1, raw), (2, "not json")], "template_id bigint, operations string")
     good, bad = read_edits(df)
-    assert [(r.op_index, r.position) for r in good.collect()] == [(0, "right")]
+    assert [(r.op_index, r.position, r.rows) for r in good.orderBy("op_index").collect()] == [(0, "right", None), (5, None, 21)]
     reasons = {(r.template_id, r.op_index): r.reason for r in bad.collect()}
     assert reasons == {
         (1, 1): "unknown type fly", (1, 2): "field_name is required", (1, 3): "rows is out of bounds",

@@ -1,7 +1,11 @@
 """Fill conversations as a stream."""
 
+import os
+import subprocess
+import sys
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
 
 
 from blankweave.operators import drafts as D
@@ -46,6 +50,29 @@ def test_changes_and_final_values(spark, tmp_path):
     assert sorted(SD.state_values(out).collect()) == sorted(D.latest_values(batch).collect())
 
 
+def test_locked_and_unknown_fields_stay_as_they_are(spark, tmp_path):
+    rows = [message(9, 1, 1, "b", "no"), message(9, 2, 2, "zz", "no"), message(9, 3, 3, "a", "yes"), message(9, 4, 4, "b", "typed", True)]
+    out = run_append(SD.draft_state(feed(spark, tmp_path / "in", rows[:2], rows[2:]), drafts(spark, 9), ttl_ms=10**12), "test").where("kind = 'message'")
+    assert {r.seq: r.change for r in out.collect()} == {1: "ignored", 2: "ignored", 3: "updated", 4: "explicit"}
+    batch = spark.createDataFrame(rows, MESSAGES)
+    assert sorted((r.field_name, r.value) for r in D.latest_values(batch, drafts(spark, 9)).collect()) == [("a", "yes"), ("b", "typed")]
+    assert sorted(SD.state_values(out.withColumn("kind", F.lit("message"))).collect()) == sorted(D.latest_values(batch, drafts(spark, 9)).collect())
+
+
+def test_python_workers_find_the_package_from_any_folder(tmp_path):
+    code = (
+        "import sys; sys.path.insert(0, {repo!r})\n"
+        "from blankweave.session import build_session\n"
+        "from blankweave.operators import model\n"
+        "s = build_session('elsewhere', 'local[1]', spark__ui__enabled='false')\n"
+        "out = model.map_model(s.createDataFrame([(1, 'a')], 'prompt_id bigint, prompt string'), lambda: (lambda prompts: ['{{\"k\": 1}}' for _ in prompts]))\n"
+        "print('ROWS', out.count())\n"
+    ).format(repo=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
+    assert "ROWS 1" in done.stdout, done.stderr[-800:]
+
+
 def test_silent_drafts_expire_and_late_messages_are_dropped(spark, tmp_path):
     stream = feed(
         spark, tmp_path / "in",
