@@ -52,7 +52,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: computed once, safe from lost executors, of known size."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
