@@ -9,8 +9,9 @@ length has, so texts of nearly the same length are compared at the same blocks.
 fingerprint is the numbers of these blocks with a 16-bit sample of what the walk wrote in
 each; likeness is the share of places of the one that the other has alike.
 
-Near texts: bands of BAND_PLACES places from one stretch of the text meet in buckets,
-candidates come from each bucket's pivot, and likeness, then the edit distance itself, verify.
+Near texts: the places of a fingerprint, in the shared order, are sampled into BANDS bands of
+BAND_PLACES; texts that share a band meet, and the edit distance of the whole texts verifies
+them, in the groups and blocks of the near-duplicate search.
 
 Defined results: null or empty text has the empty fingerprint, and two empty texts are
 alike; equal texts have equal fingerprints; of rows with one doc_id the one with the lesser
@@ -30,9 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import shared
+from . import near_dedup, shared
 
 STEPS, PLACES = 8, 64
+BANDS, BAND_PLACES = 21, 3
 #: Rows that are read together, in characters, and rows of one range of ids.
 SLICE_CHARS, RANGE_ROWS = 12 << 20, 4000
 _ALPHABET = 64
@@ -122,6 +124,93 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.isin(a, b, assume_unique=True).sum() / max(len(a), len(b)))
 
 
+def bands_of(places: np.ndarray, number: int) -> np.ndarray:
+    """BANDS keys: runs of places in the shared order; where there are too few, keys that no other text has."""
+    order = np.argsort(shared.mix((places >> 16).astype(np.uint64) + np.uint64(0x51ED270B)), kind="stable")
+    ranked = places[order].astype(np.uint64)
+    keys = shared.mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(number % (1 << 40)) * np.uint64(BANDS) + np.uint64(1 << 62))
+    runs = min(BANDS, len(ranked) // BAND_PLACES)
+    if runs:
+        keys[:runs] = shared.window_hashes(shared.mix(ranked), BAND_PLACES)[: runs * BAND_PLACES : BAND_PLACES]
+    elif len(ranked):
+        keys[0] = shared.mix(ranked).sum(dtype=np.uint64)
+    return keys.view(np.int64)
+
+
+def edit_distance(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
+    """Insertions, deletions and replacements that turn ``a`` into ``b``; None if there are more than ``most``."""
+    n = min(len(a), len(b))
+    same = np.flatnonzero(a[:n] != b[:n])
+    head = int(same[0]) if len(same) else n
+    a, b = a[head:], b[head:]
+    n = min(len(a), len(b))
+    same = np.flatnonzero(a[len(a) - n :][::-1] != b[len(b) - n :][::-1])
+    tail = int(same[0]) if len(same) else n
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if abs(len(a) - len(b)) > most:
+        return None
+    if not len(a) or not len(b):
+        return max(len(a), len(b))
+    # Row i holds the cells of columns i - most .. i + most.
+    far, width = len(a) + len(b) + 1, 2 * most + 1
+    shift = np.arange(width)
+    columns = shift - most
+    row = np.where((columns >= 0) & (columns <= len(b)), columns, far)
+    for i in range(1, len(a) + 1):
+        columns = columns + 1
+        inside = (columns >= 1) & (columns <= len(b))
+        cost = b[np.clip(columns - 1, 0, len(b) - 1)] != a[i - 1]
+        new = np.where(inside, np.minimum(row + cost, np.append(row[1:], far) + 1), far)
+        new[columns == 0] = i
+        # Insertions: the least of what stands to the left, one more for each column.
+        row = np.where((columns >= 0) & (columns <= len(b)), np.minimum.accumulate(new - shift) + shift, far)
+        if row.min() > most:
+            return None
+    found = int(row[len(b) - len(a) + most])
+    return found if found <= most else None
+
+
+class TextBlock(near_dedup._Block):
+    """A block whose items are the characters of texts; linked are texts of at least ``percent`` likeness by edits."""
+
+    def linked(self, other: np.ndarray, among: np.ndarray, percent: int) -> np.ndarray:
+        out = []
+        for i in among:
+            longest = max(int(self.sizes[i]), len(other))
+            most = longest * (100 - percent) // 100
+            if longest and edit_distance(self.set(i), other, most) is not None:
+                out.append(i)
+        return np.array(out, np.int64)
+
+
+def near_texts(docs: DataFrame, percent: int = 90) -> DataFrame:
+    """(doc_id, n_chars, component_id, kept): texts of which at least ``percent`` of the longer one's characters stay under edits.
+
+    The embedding keeps few edits apart from many: bands find texts with some edits in a
+    hundred characters, and those that share no band with any other of their group are missed.
+    An empty text is linked with nothing; equal texts are one class and never become pairs.
+    """
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.text_or_empty().alias("text"))
+    schema = shared.fields(("doc_id", T.LongType()), ("n", T.LongType()), ("key_a", T.LongType()), ("key_b", T.LongType()), ("bands", T.ArrayType(T.LongType())))
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in shared.slices(batches, most=SLICE_CHARS):
+            texts = part.column("text").to_pylist()
+            digests = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts]
+            keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            bands = [bands_of(p, int(k) & 0xFFFFFFFFFF).tolist() for p, k in zip(walk([letters_of(t) for t in texts]), keys[:, 0], strict=True)]
+            yield pa.RecordBatch.from_arrays([
+                part.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(bands, pa.list_(pa.int64())),
+            ], names=schema.names)
+
+    signatures = shared.cut(source.mapInArrow(sign, schema), "edit-signatures")
+    characters = F.transform(F.split("text", ""), lambda c: F.ascii(c).cast("long"))
+    classes, found = near_dedup.linked_classes(
+        signatures, lambda wanted: near_dedup.texts_of(source, wanted).select("doc_id", characters.alias("items")), percent, TextBlock
+    )
+    return near_dedup.labelled(signatures, classes, found).withColumnRenamed("n_shingles", "n_chars")
+
+
 def edited(text: str, following: str) -> str:
     """The text with its last half replaced by as many first characters of ``following``."""
     half = len(text) // 2

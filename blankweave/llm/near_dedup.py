@@ -26,7 +26,7 @@ that has another id; an empty table gives an empty result; other columns are ign
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,8 +123,8 @@ def signed(docs: DataFrame, size: int, id_column: str = "doc_id", text: str = "t
     return source.mapInArrow(sign, schema)
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, size: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, items) for at least the documents whose id is in ``wanted`` (id).
+def texts_of(docs: DataFrame, wanted: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, text) for at least the documents whose id is in ``wanted`` (id).
 
     A fixed-size bit filter, built by aggregation, goes to all tasks, so that texts of
     other documents are neither shuffled nor cut into words.
@@ -138,9 +138,13 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int, id_column: str = "doc
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), shared.text_or_empty(text).alias("text"))
     at = source.withColumn("p", place("doc_id")).withColumn("bucket", F.bitmap_bucket_number("p")).withColumn("bit", F.bitmap_bit_position("p"))
     # At most FILTER_BITS / 32768 rows of 4 KB each.
-    found = at.join(F.broadcast(bits), "bucket").where(
+    return at.join(F.broadcast(bits), "bucket").where(
         F.expr("(cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int) >> cast(bit % 8 as int)) & 1 = 1")
     ).select("doc_id", "text")
+
+
+def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """(doc_id, items): the shingle sets of ``texts_of``."""
     schema = shared.fields(("doc_id", T.LongType()), ("items", T.ArrayType(T.LongType())))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +154,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, size: int, id_column: str = "doc
             items = pa.array(np.concatenate(sets).view(np.int64))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), items)], names=["doc_id", "items"])
 
-    return found.mapInArrow(read, schema)
+    return texts_of(docs, wanted).mapInArrow(read, schema)
 
 
 class _Block:
@@ -163,7 +167,7 @@ class _Block:
         self.items = items.flatten().to_numpy().view(np.uint64)
         self.sizes = np.diff(self.offsets)
         bands = rows["bands"].combine_chunks()
-        self.bands = bands.flatten().to_numpy().reshape(len(self.ids), BANDS)
+        self.bands = bands.flatten().to_numpy().reshape(len(self.ids), -1)
 
     def set(self, i: int) -> np.ndarray:
         return self.items[self.offsets[i] : self.offsets[i + 1]]
@@ -191,10 +195,10 @@ def _edges(found: list[tuple[int, int]]) -> pa.Table:
     return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
 
 
-def _within(percent: int):
+def _within(percent: int, kind: type[_Block]):
     def links(rows: pa.Table) -> pa.Table:
         """The links of one block: with the pivot, then between members in different trees that share a band."""
-        block, found = _Block(rows), []
+        block, found = kind(rows), []
         pivots = np.flatnonzero(rows["is_pivot"].to_numpy(zero_copy_only=False))
         n, parent = len(block.ids), list(range(len(block.ids)))
         if not len(pivots):
@@ -219,14 +223,14 @@ def _within(percent: int):
     return links
 
 
-def _across(percent: int):
+def _across(percent: int, kind: type[_Block]):
     def links(rows: pa.Table) -> pa.Table:
         """The links between visitors and the members of a block; one for each component a visitor meets."""
         found = []
         visiting = rows["visitor"].to_numpy(zero_copy_only=False)
         members, visitors = rows.filter(pa.array(~visiting)), rows.filter(pa.array(visiting))
         if members.num_rows and visitors.num_rows:
-            block, guests = _Block(members), _Block(visitors)
+            block, guests = kind(members), kind(visitors)
             own, theirs = members["component"].to_numpy(), visitors["component"].to_numpy()
             for i in range(len(guests.ids)):
                 others = np.flatnonzero((own != theirs[i]) & (block.bands == guests.bands[i]).any(axis=1))
@@ -238,8 +242,11 @@ def _across(percent: int):
     return links
 
 
-def linked_classes(docs: DataFrame, signatures: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(key_a, key_b, n, rep) of every class of equal sets, and (node, component) of the linked representatives."""
+def linked_classes(signatures: DataFrame, items_of: Callable[[DataFrame], DataFrame], percent: int, block: type[_Block] = _Block) -> tuple[DataFrame, DataFrame]:
+    """(key_a, key_b, n, rep) of every class of equal documents, and (node, component) of the linked representatives.
+
+    ``items_of`` gives (doc_id, items) for the ids of a table (id); ``block`` decides which items are linked.
+    """
     classes = shared.cut(
         signatures.where("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes"
     ).where("rep is not null")
@@ -261,10 +268,10 @@ def linked_classes(docs: DataFrame, signatures: DataFrame, size: int, percent: i
     dealt = dealt.select("pivot", "rep", "blocks", "block").unionByName(heads.select("pivot", "rep", "blocks", "block"))
     wanted = grouped.select(F.col("rep").alias("id")).union(grouped.select("pivot")).distinct()
     bands = classes.select(F.col("rep").alias("doc_id"), "bands")
-    sets = shared.cut(sets_of(docs, wanted, size).dropDuplicates(["doc_id"]).join(bands, "doc_id"), "sets")
+    sets = shared.cut(items_of(wanted).dropDuplicates(["doc_id"]).join(bands, "doc_id"), "sets")
     rows = dealt.withColumnRenamed("rep", "doc_id").join(sets, "doc_id").withColumn("is_pivot", F.expr("doc_id = pivot"))
     schema = shared.fields(("a", T.LongType()), ("b", T.LongType()))
-    links = shared.cut(rows.groupBy("pivot", "block").applyInArrow(_within(percent), schema), "pivot-links")
+    links = shared.cut(rows.groupBy("pivot", "block").applyInArrow(_within(percent, block), schema), "pivot-links")
     found = components(links)
 
     split = dealt.where("blocks > 1")
@@ -276,7 +283,7 @@ def linked_classes(docs: DataFrame, signatures: DataFrame, size: int, percent: i
         visits = guests.withColumn("own", F.col("block")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).where("block <> own")
         both = at.select("pivot", "block", "rep", "component", F.lit(False).alias("visitor")).union(visits.select("pivot", "block", "rep", "component", F.lit(True)))
         rows = both.withColumnRenamed("rep", "doc_id").join(sets, "doc_id")
-        more = shared.cut(rows.groupBy("pivot", "block").applyInArrow(_across(percent), schema), "block-links")
+        more = shared.cut(rows.groupBy("pivot", "block").applyInArrow(_across(percent, block), schema), "block-links")
         found = components(links.union(more))
     return classes, found
 
@@ -285,7 +292,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_column
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``; kept is the smallest doc_id of its component."""
     signatures = shared.cut(signed(docs, size, id_column, text), "signatures")
     named = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
-    classes, found = linked_classes(named, signatures, size, percent)
+    classes, found = linked_classes(signatures, lambda wanted: sets_of(named, wanted, size), percent)
+    return labelled(signatures, classes, found)
+
+
+def labelled(signatures: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every signed row."""
     labels = classes.select("key_a", "key_b", "n", "rep").join(found, F.col("rep") == F.col("node"), "left").select("key_a", "key_b", "n", F.coalesce("component", "rep").alias("component_id"))
     rows = signatures.select("doc_id", "n", "key_a", "key_b").join(labels, ["key_a", "key_b", "n"], "left")
     label = F.coalesce("component_id", "doc_id")

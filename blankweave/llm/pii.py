@@ -242,8 +242,8 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, s
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.text_or_empty(text).alias("text"))
     ids = source.where(F.col("text").rlike("[0-9@]") & (F.char_length("text") <= sample_chars)).select("doc_id").where("doc_id is not null")
     chosen = F.broadcast(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).distinct())  # at most sample_docs numbers
-    rows = source.where(F.char_length("text") <= sample_chars).join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).collect()
-    return Field().train(labelled_lines([r["text"] for r in sorted(rows, key=lambda r: r["doc_id"])]))
+    rows = source.where(F.char_length("text") <= sample_chars).join(chosen, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return shared.learn_in_a_task(rows, lambda sample: Field().train(labelled_lines([r["text"] for r in sorted(sample, key=lambda r: r["doc_id"])])))
 
 
 def _field_spans(words: Words, tags: np.ndarray, scores: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:

@@ -186,10 +186,15 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = SAMPL
     rows = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.text_or_empty().alias("text"))
         .where(F.char_length("text") <= sample_chars).join(chosen, F.col("doc_id") == F.col("_id"))
-        .groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality")).collect()
+        .groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"))
     )
-    rows = sorted(rows, key=lambda r: r["doc_id"])
-    return fit([r["text"] for r in rows], [r["quality"] for r in rows], shares.get(1, 0) / max(1, sum(shares.values())))
+    share = shares.get(1, 0) / max(1, sum(shares.values()))
+
+    def fitted(sample: list[dict]) -> Model:
+        sample.sort(key=lambda r: r["doc_id"])
+        return fit([r["text"] for r in sample], [r["quality"] for r in sample], share)
+
+    return shared.learn_in_a_task(rows, fitted)
 
 
 def score_documents(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:

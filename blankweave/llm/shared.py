@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,17 @@ def drop_cut(df: DataFrame | None) -> None:
         place.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+def learn_in_a_task(rows: DataFrame, fit: Callable[[list[dict]], object]) -> object:
+    """What ``fit`` makes of a sample of bounded size, in one task; only the model comes to the driver."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = [row for batch in batches for row in batch.to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sample))], pa.binary())], names=["model"])
+
+    models = rows.repartition(1).mapInArrow(learn, fields(("model", T.BinaryType()))).collect()
+    return pickle.loads(models[0]["model"]) if models else fit([])
+
+
 def remainder(column: str, divisor: int) -> Column:
     """crc32 of an id as text, modulo ``divisor``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor

@@ -196,3 +196,52 @@ def test_fingerprints_of_awkward_rows(spark):
     assert got[1][0]["fingerprint"] == "" and got[4][0]["fingerprint"] == got[5][0]["fingerprint"]
     assert edit_fingerprint.report(documents(spark, [])).count() == 0
     assert edit_fingerprint.report(documents(spark, [(1, "alone here")])).first()["near_next"] == 1.0
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_edit_distance_equals_the_plain_one():
+    import random
+
+    rng = random.Random(8)
+    for _ in range(400):
+        a = [rng.randrange(3) for _ in range(rng.randint(0, 14))]
+        b = list(a) if rng.random() < 0.5 else [rng.randrange(3) for _ in range(rng.randint(0, 14))]
+        for _ in range(rng.randint(0, 3)):
+            if b:
+                b[rng.randrange(len(b))] = rng.randrange(3)
+        want = plain_distance(a, b)
+        for most in (0, 1, 3, 20):
+            assert edit_fingerprint.edit_distance(np.array(a, np.int64), np.array(b, np.int64), most) == (want if want <= most else None)
+
+
+def test_near_texts_equal_brute_force(spark):
+    import random
+
+    rng, rows = random.Random(6), [(0, None), (1, "")]
+    base = [sentences(40 + k, 70) for k in range(3)]
+    for i in range(2, 60):
+        text = list(base[i % 3]) if i % 4 else list(sentences(i, 70))
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randrange(len(text))
+            text[at : at + rng.randint(0, 2)] = rng.choice(["é", "x", ""])
+        rows.append((i, "".join(text)))
+    texts = {i: t or "" for i, t in rows}
+    parent = {i: i for i in texts}
+    for a in texts:
+        for b in texts:
+            longest = max(len(texts[a]), len(texts[b]))
+            if a < b and longest and plain_distance(texts[a], texts[b]) <= longest * 10 // 100:
+                x, y = parent[a], parent[b]
+                parent = {k: min(x, y) if v in (x, y) else v for k, v in parent.items()}
+    got = edit_fingerprint.near_texts(documents(spark, rows)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == parent
+    assert edit_fingerprint.near_texts(documents(spark, [])).count() == 0
