@@ -1,11 +1,14 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
 
-The patterns give the base spans. They also label a small table of lines, at most
-SAMPLE_DOCS documents of at most SAMPLE_CHARS characters, on which the field is trained
-(forward-backward and Adam in numpy). It then tags every line of every text by Viterbi,
-batched over the lines of a slice, and adds the runs it tags that touch neither a base
-span nor a match whose check failed (parts, Luhn, digits), if they hold a digit or an @
-and their tags stand out from plain text by MARGIN per word.
+The patterns give the base spans. A small table of lines, of at most SAMPLE_DOCS documents
+of at most SAMPLE_CHARS characters, is labelled with them and with the forms that they miss
+(local telephone numbers, IPv6, cards in other groups, masked or non-ASCII addresses): those
+that stand in the lines, and forms written in place of base spans, each of these places once
+with a number that is no personal data. The field is trained on it (forward-backward and Adam
+in numpy). It then tags every line of every text by Viterbi, batched over the lines of a slice.
+Of the runs it tags whose tags stand out from plain text by MARGIN per word it adds what
+passes its kind's check (``confirmed``), touches neither a base span nor a failed match of
+its own kind (parts, Luhn of 13 digits or more, digits) and lies in no card number that failed.
 
 Defined results: null or empty text has no spans; equal starts are ordered by kind, then
 end; rows of a repeated doc_id are searched row by row; without any labelled line the
@@ -14,6 +17,8 @@ field tags nothing; an empty table gives an empty result; other columns pass thr
 
 from __future__ import annotations
 
+import ipaddress
+import random
 import re
 from collections.abc import Iterator
 
@@ -27,8 +32,10 @@ from . import shared
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, SAMPLE_CHARS, LINE_WORDS = 600, 50_000, 200
+#: Forms written in place of base spans in the training table, and as many other numbers.
+FORMS = 2000
 MARGIN = 2.0
-_SHAPES, _FLAGS = 1024, 512
+_SHAPES, _FLAGS, _MARKS = 1024, 512, 64
 _TAGS = len(KINDS) + 1
 _PREFIX = "_pii_"
 
@@ -48,8 +55,67 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+# The forms that the patterns miss, wherever they stand: what the field's runs are held against.
+_AT, _DOT = r"\x20?[\[({<]\x20?at\x20?[\])}>]\x20?|\x20at\x20", r"\x20?[\[({<]\x20?(?:dot|\.)\x20?[\])}>]\x20?|\x20dot\x20|\."
+_PART = r"[^\s@<>()\[\]{}\"',;:.]+"
+_LOOSE = (
+    re.compile(rf"{_PART}(?:\.{_PART})*+(?:@|{_AT}){_PART}(?:(?:{_DOT}){_PART})*", re.IGNORECASE),
+    re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9A-Fa-f]{0,4})(?![0-9A-Fa-f:])|(?<![0-9.])[0-9]{1,3}(?:(?:[\[({]\.[\])}]|[\[({]dot[\])}]|\.)[0-9]{1,3}){3}(?![0-9.])"),
+    re.compile(r"[0-9](?:[\x20._/\u2013-]{0,3}[0-9])+"),
+    re.compile(r"(?:\+|\(\+?)?[0-9](?:[\x20()./\u2013-]{0,3}[0-9])+"),
+)
+# Forms surely of a kind, by which lines of the training table are labelled.
+_SURE = (
+    re.compile(rf"{_PART}(?:\.{_PART})*+(?:@{_PART}\.{_PART}(?:\.{_PART})*|\x20?[\[({{]at[\])}}]\x20?{_PART}(?:(?:{_DOT}){_PART})+)", re.IGNORECASE),
+    _LOOSE[1],
+    re.compile(r"(?<![0-9])[0-9]{4}(\x20-\x20|[._/\u2013])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])"),
+    re.compile(
+        r"(?<![\w+.:/-])(?:\([0-9]{2,5}\)\x20?[0-9]{3,4}[\x20./-]?[0-9]{3,5}|[0-9]{3}([./-])[0-9]{3}\1[0-9]{4}|0[0-9]{2,4}(?:[\x20./-][0-9]{3,4}){2}|00[0-9]{1,3}(?:[\x20./-][0-9]{2,4}){3,4})(?![\w/-]|\.[0-9])"
+    ),
+)
+
+
+def confirmed(kind: int, piece: str) -> bool:
+    """Whether what the field tagged passes the check of its kind."""
+    digits = "".join(c for c in piece if c in "0123456789")
+    if kind == 0:
+        return True
+    if kind == 1:
+        try:
+            return bool(ipaddress.ip_address(re.sub(r"[\[({](?:\.|dot)[\])}]", ".", piece))) and len(piece) > 3
+        except ValueError:
+            return False
+    if kind == 2:
+        return 13 <= len(digits) <= 19 and _luhn(digits)
+    return 9 <= len(digits) <= 15
+
+
+def loose(kind: int, text: str, patterns: tuple[re.Pattern, ...] = _LOOSE) -> list[tuple[int, int, int]]:
+    """The confirmed forms of one kind in a text."""
+    return [(kind, *m.span()) for m in patterns[kind].finditer(text) if confirmed(kind, m[0])]
+
+
+def _around(kind: int, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
+    """The confirmed forms in a run that the field tagged, or, as it may miss a word at an edge, those that reach into it."""
+    inside = [(k, start + s, start + e) for k, s, e in loose(kind, text[start:end])]
+    if inside and kind:
+        return inside
+    lo, hi = max(text.rfind("\n", 0, start) + 1, start - 64), text.find("\n", end)
+    hi = min(len(text) if hi < 0 else hi, end + 64)
+    return [(k, lo + s, lo + e) for k, s, e in loose(kind, text[lo:hi]) if lo + s < end and start < lo + e] or inside
+
+
+def allowed(span: tuple[int, int, int], base: list[tuple[int, int, int]], refused: list[tuple[int, int, int]]) -> bool:
+    kind, start, end = span
+    touches = any(s < end and start < e for _, s, e in base)
+    return not touches and not any(s < end and start < e and (k == kind or k == 2 and s <= start and end <= e) for k, s, e in refused)
+
+
 def matches(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-    """(kind number, start, end) by kind, then start, of the matches that pass their check and of those that fail it."""
+    """(kind number, start, end) by kind, then start, of the matches that pass their check and of those that fail it.
+
+    Fewer than 13 digits are no card that failed, but a number that was none.
+    """
     found, refused = [], []
     at, free = text.find("@"), 0
     while at >= 0:
@@ -66,7 +132,8 @@ def matches(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int,
         (found if small else refused).append((1, *m.span()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
-        (found if 13 <= len(digits) <= 19 and _luhn(digits) else refused).append((2, *m.span()))
+        if len(digits) >= 13:
+            (found if len(digits) <= 19 and _luhn(digits) else refused).append((2, *m.span()))
     for m in _PHONE.finditer(text):
         (found if 9 <= sum(c in "0123456789" for c in m[0]) <= 15 else refused).append((3, *m.span()))
     return found, refused
@@ -77,6 +144,8 @@ _KIND[ord("a") : ord("z") + 1] = 1
 _KIND[128:] = 1
 _KIND[ord("A") : ord("Z") + 1] = 2
 _KIND[ord("0") : ord("9") + 1] = 3
+_HEX = np.isin(np.arange(256), np.frombuffer(b"0123456789abcdefABCDEF:", np.uint8))
+_BRACKET = np.isin(np.arange(256), np.frombuffer(b"[](){}<>", np.uint8)).astype(np.int64)
 _DIGIT_BIN = np.minimum(np.searchsorted([1, 3, 5, 9, 13, 20], np.arange(64), "right"), 6)
 
 
@@ -118,10 +187,24 @@ class Words:
         if n:
             right[self.lines[1:] - 1] = edge
         size = np.minimum(self.ends - self.starts, 31)
-        self.features = np.stack([shape, left, right, flags, size], axis=1)
-
-
-_TABLES = (_SHAPES, _SHAPES + 1, _SHAPES + 1, _FLAGS, 32)
+        # Colons, words of hexadecimal digits and colons, a leading zero, and what is written for @.
+        colons = counted(data == ord(":"))
+        hexadecimal = counted(_HEX[data]) == self.ends - self.starts
+        zero = data[self.starts] == ord("0")
+        inner, outer = self.starts + _BRACKET[data[self.starts]], self.ends - _BRACKET[data[self.ends - 1]]
+        letter = lambda at: shared.LOWER[data[np.minimum(at, len(data) - 1)]]
+        self.signs = np.zeros(n, bool)
+        for spelt in (b"at", b"dot"):
+            same = outer - inner == len(spelt)
+            for i, c in enumerate(spelt):
+                same &= letter(inner + i) == c
+            self.signs |= same
+        bracketed = counted((data == ord("[")) | (data == ord("]"))) > 0
+        marks = np.minimum(colons, 3) + 4 * hexadecimal + 8 * zero + 16 * self.signs + 32 * bracketed
+        self.features = np.stack([shape, left, right, flags, size, marks], axis=1)
+
+
+_TABLES = (_SHAPES, _SHAPES + 1, _SHAPES + 1, _FLAGS, 32, _MARKS)
 _BASES = np.concatenate(([0], np.cumsum(_TABLES)[:-1]))
 
 
@@ -209,9 +292,6 @@ class Field:
         return tags, scores
 
 
-_EDGES = ".,;:!?()'\"<>[]{}*#&%$|"
-
-
 def _tags_of(words: Words, spans: list[tuple[int, int, int]], text: str, number: int) -> np.ndarray:
     """Tags of the words of one text, from its base spans."""
     a, b = words.first[number], words.first[number + 1]
@@ -223,16 +303,81 @@ def _tags_of(words: Words, spans: list[tuple[int, int, int]], text: str, number:
     return tags
 
 
+def known_spans(text: str) -> list[tuple[int, int, int]]:
+    """The base spans of a text and the sure forms that the patterns miss."""
+    base, refused = matches(text)
+    out = list(base)
+    for kind in range(len(KINDS)):
+        out += [x for x in loose(kind, text, _SURE) if allowed(x, out, refused)]
+    return out
+
+
+def _form(kind: int, rng: random.Random) -> str:
+    """A value of a kind in a form that the patterns miss."""
+    d = lambda n: "".join(rng.choices("0123456789", k=n))
+    w = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9)))
+    if kind == 0:
+        at, dot = rng.choice(((" [at] ", " [dot] "), ("[at]", "[dot]"), (" (at) ", " (dot) "), ("(at)", "."), (" at ", " dot "), (" [at] ", ".")))
+        return rng.choice((f"{w()}{rng.choice(('', '.' + w(), d(2)))}{at}{w()}{dot}{rng.choice(('com', 'org', 'net', 'de'))}", f"{w()}\u00e9@{w()}\u00fc.{w()}", f"{w()}@{w()}"))
+    if kind == 1:
+        h = lambda: f"{rng.randrange(1 << rng.choice((4, 8, 12, 16))):x}"
+        groups = [h() for _ in range(rng.randint(2, 7))]
+        cut = rng.randint(1, len(groups) - 1)
+        sign = rng.choice(("[.]", "(.)"))
+        return rng.choice((f"2001:{':'.join(groups[:cut][:5])}::{':'.join(groups[cut:][:2])}", ":".join(h() for _ in range(8)), f"fe80::{h()}:{h()}", sign.join(str(rng.randrange(256)) for _ in range(4))))
+    if kind == 2:
+        digits = d(15)
+        digits += next(c for c in "0123456789" if _luhn(digits + c))
+        return rng.choice((".", " - ", "_", "/", "\u2013")).join(digits[i : i + 4] for i in range(0, 16, 4))
+    return rng.choice((
+        f"({d(3)}) {d(3)}-{d(4)}", f"({d(3)}){d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"{d(3)}.{d(3)}.{d(4)}", f"0{d(3)} {d(3)} {d(3)}", f"0{d(3)} {d(3)} {d(3)}",
+        f"0{d(2)} {d(4)} {d(4)}", f"0{d(3)}-{d(3)}-{d(3)}", f"(0{d(2)}) {d(4)} {d(4)}", f"0{d(4)} {d(3)} {d(3)}", f"1-{d(3)}-{d(3)}-{d(4)}", f"00{d(2)} {d(2)} {d(3)} {d(4)}",
+    ))
+
+
+def _number(rng: random.Random) -> str:
+    """A number that is no personal data."""
+    d = lambda n: rng.choice("123456789") + "".join(rng.choices("0123456789", k=n - 1))
+    year, month, day = rng.randint(1900, 2040), rng.randint(1, 12), rng.randint(1, 28)
+    return rng.choice((
+        f"{year}-{month:02d}-{day:02d}", f"{day:02d}.{month:02d}.{year}", f"{month:02d}/{day:02d}/{year}", f"{year}-{year + 3}", f"{day:02d}:{month:02d}:{day:02d}", f"{year}-{month:02d}-{day:02d} {day:02d}:{month:02d}:{day:02d}",
+        f"{year}-{month:02d}-{day:02d}T{day:02d}:{month:02d}:{day:02d}", f"{day}.{month}.{d(2)}", f"v{month}.{day}.{month}", f"{d(3)} {d(3)} {d(3)}", f"{d(1)} {d(2)} {d(3)} {d(2)} {d(4)}", f"{d(3)},{d(3)},{d(3)}", f"${d(3)}.{d(2)}",
+        f"{d(rng.randint(1, 12))}", f"{d(3)}.{d(3)}.{d(3)}", f"{d(2)}-{d(2)}", f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}", f"{d(3)}.{d(5)}", f"at {d(2)}", f"{d(3)}.{rng.randint(256, 999)}.{d(2)}.{d(1)}", f"{d(4)}:{d(4)}",
+    ))
+
+
+def rewritten(texts: list[str], around: int = 12, forms: int = FORMS) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """The surroundings of base spans with another form of a kind in place of the span, or with some other number, and their spans.
+
+    About ``forms`` of each, at least one for every base span.
+    """
+    rng, out = random.Random(7), []
+    places = [(text, *span) for text in texts for span in matches(text)[0]]
+    for text, kind, start, end in places:
+        line, upto = text.rfind("\n", 0, start) + 1, text.find("\n", end)
+        left = " ".join(text[max(line, start - 30 * around) : start].split(" ")[-around - 1 :])
+        right = " ".join(text[end : min(upto if upto >= 0 else len(text), end + 30 * around)].split(" ")[: around + 1])
+        beside = [x for x in matches(left + "\n" + right)[0] if x[2] <= len(left)]
+        for _ in range(-(-forms // len(places))):
+            other = kind if rng.random() < 0.5 else rng.randrange(len(KINDS))
+            value = _form(other, rng)
+            out.append((left + value + right, [*beside, (other, len(left), len(left) + len(value))]))
+            out.append((left + _number(rng) + right, beside))
+    return out
+
+
 def labelled_lines(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Features and tags of every line that holds a base span, and of as many that hold none."""
-    column = pa.array(texts, pa.large_string())
-    marked, plain = [], []
-    for i in range(0, len(texts), 100):
-        words = Words(column.slice(i, 100))
-        tags = np.concatenate([_tags_of(words, matches(t)[0], t, j) for j, t in enumerate(texts[i : i + 100])])
-        for a, n in zip(words.lines, words.line_sizes, strict=True):
-            if n <= LINE_WORDS:
-                (marked if tags[a : a + n].any() else plain).append((words.features[a : a + n], tags[a : a + n]))
+    """Features and tags of every line that holds a span, of as many that hold none, and of the rewritten surroundings."""
+    marked, plain, more = [], [], rewritten(texts)
+    own = [(t, known_spans(t)) for t in texts]
+    for source, is_own in ((own, True), (more, False)):
+        for i in range(0, len(source), 100):
+            some = source[i : i + 100]
+            words = Words(pa.array([t for t, _ in some], pa.large_string()))
+            tags = np.concatenate([_tags_of(words, spans, t, j) for j, (t, spans) in enumerate(some)])
+            for a, n in zip(words.lines, words.line_sizes, strict=True):
+                if n <= LINE_WORDS:
+                    (marked if not is_own or tags[a : a + n].any() else plain).append((words.features[a : a + n], tags[a : a + n]))
     step = max(1, len(plain) // max(1, len(marked)))
     return marked + plain[::step][: max(len(marked), 1)]
 
@@ -246,6 +391,11 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS, s
     return shared.learn_in_a_task(rows, lambda sample: Field().train(labelled_lines([r["text"] for r in sorted(sample, key=lambda r: r["doc_id"])])))
 
 
+def _spelt(words: Words, a: int, b: int) -> bool:
+    """Whether a run may hold an address with its @ written as a word."""
+    return b"at" in words.data[words.starts[a] : words.ends[b - 1]].tobytes().lower()
+
+
 def _field_spans(words: Words, tags: np.ndarray, scores: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
     """Runs of one tag inside a line, by text: (kind number, first byte, end byte) within the text."""
     out: dict[int, list[tuple[int, int, int]]] = {}
@@ -257,7 +407,7 @@ def _field_spans(words: Words, tags: np.ndarray, scores: np.ndarray) -> dict[int
     hit = tags[begins] > 0
     for a, b in zip(begins[hit], finals[hit], strict=True):
         tag = tags[a]
-        if words.digits[a:b].sum() + words.ats[a:b].sum() == 0 or (scores[a:b, tag] - scores[a:b, 0]).mean() < MARGIN:
+        if words.digits[a:b].sum() + words.ats[a:b].sum() == 0 and not _spelt(words, a, b) or (scores[a:b, tag] - scores[a:b, 0]).mean() < MARGIN:
             continue
         number = int(np.searchsorted(words.first, a, "right")) - 1
         base = words.offsets[number]
@@ -286,13 +436,8 @@ def find_spans(column: pa.Array, model: Field) -> list[tuple[list, list]]:
         base, refused = matches(text) if may or i in added else ([], [])
         more = []
         for kind, lo, hi in added.get(i, ()):
-            start = len(raw[:lo].decode())
-            piece = raw[lo:hi].decode()
-            cut = piece.lstrip(_EDGES) if kind != KINDS.index("phone") else piece
-            start += len(piece) - len(cut)
-            end = start + len(cut.rstrip(_EDGES))
-            if end > start and not any(s < end and start < e for _, s, e in base + refused):
-                more.append((kind, start, end))
+            lo, hi = len(raw[:lo].decode()), len(raw[:hi].decode())
+            more += [x for x in _around(kind, text, lo, hi) if allowed(x, base + more, refused)]
         out.append((base, more))
     return out
 

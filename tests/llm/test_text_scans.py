@@ -126,6 +126,26 @@ def test_spans_and_masks_of_awkward_rows(spark):
     assert pii.mask_documents(documents(spark, [])).count() == 0 and pii.report(documents(spark, [])).count() == 0
 
 
+MISSED = [
+    ("phone", "(212) 555-0100"), ("phone", "212-555-0100"), ("phone", "0912 345 678"), ("phone", "555.867.5309"), ("ip", "2001:db8::ff00:42:8329"),
+    ("card", "4111.1111.1111.1111"), ("email", "jane.doe [at] example [dot] com"),
+]
+NO_DATA = ["2024-01-15", "1.2.3", "1,234.56", "12:30:45", "1990-2000", "4111 1111 1111 1112", "256.300.1.2", "100 200 300"]
+
+
+def test_the_field_adds_and_masks_what_the_patterns_miss(spark):
+    mails = [(200 + i, f"{sentences(i, 9)} m{i}@mail.example.com {sentences(i + 1, 9)} +1 ({212 + i}) 555-0{100 + i} {sentences(i + 2, 9)}") for i in range(80)]
+    rows = [(i, f"{sentences(i, 6)} {value} {sentences(i + 50, 6)}") for i, value in enumerate([*(v for _, v in MISSED), *NO_DATA], 1)]
+    docs = documents(spark, [*mails, *rows])
+    got, masked = by_id(pii.report(docs)), by_id(pii.mask_documents(docs))
+    for i, (kind, value) in enumerate(MISSED, 1):
+        start = rows[i - 1][1].index(value)
+        assert got[i][0]["spans"] == f"{kind}:{start}:{start + len(value)}", value
+        assert got[i][0]["base_sha256"] == hashlib.sha256(b"").hexdigest()
+        assert masked[i][0]["text"] == rows[i - 1][1].replace(value, f"[{kind.upper()}]")
+    assert [got[i][0]["spans"] for i in range(len(MISSED) + 1, len(rows) + 1)] == [""] * len(NO_DATA)
+
+
 # --- BPE ---------------------------------------------------------------------
 def vocabulary():
     public_tokenizers = pytest.importorskip("public_tokenizers")
