@@ -10,7 +10,8 @@ class and then inside its class; the VOCABULARY most frequent words have their o
 others share one, which hands on to the smoothed counts. So the probabilities of all words
 sum to 1. It is trained by backpropagation through WINDOW words, the state carried from window
 to window, in every partition on SHARE of its training documents per round; after each round
-the partitions' weights are averaged, by words trained. More input means more of all that.
+the partitions' weights are averaged, by words trained. The rounds take disjoint shares until
+every training document was used once. More input means more of all that.
 
 *Scoring.* The state runs through the whole document, whatever its length, and begins anew at
 the next one.
@@ -36,7 +37,7 @@ from . import shared
 
 CHUNK_BYTES = 16 << 20
 VOCABULARY, MEMBERS, HIDDEN, WINDOW = 1024, 32, 24, 32
-STREAMS, ROUNDS, SHARE = 128, 2, 1 / 16
+STREAMS, SHARE = 128, 1 / 2
 #: Words outside the vocabulary are read by their last two bytes.
 ENDINGS = 256
 #: Words scored at once, and words of a partition trained on at once.
@@ -164,10 +165,11 @@ class Network:
     def train(self, inputs: np.ndarray, fresh: np.ndarray, targets: np.ndarray, rate: float = 0.01) -> None:
         """One pass over a run of words, as up to STREAMS streams side by side, in windows; Adam on each window."""
         streams = int(np.clip(len(targets) // (WINDOW * 32), 4, STREAMS))
-        length = len(targets) // streams
+        length = -(-len(targets) // streams)
         if not length:
             return
-        fold = lambda x: x[: streams * length].reshape(streams, length).T
+        # The last stream is filled up with the first words, so that no word is left out.
+        fold = lambda x: np.resize(x, streams * length).reshape(streams, length).T
         inputs, fresh, targets = fold(inputs), fold(fresh).copy(), fold(targets)
         fresh[0] = True
         parts = [getattr(self, n) for n in self.NAMES]
@@ -300,11 +302,13 @@ def _averaged(trained: DataFrame) -> list:
     return some.withColumn("part", F.lit(0)).groupBy("slice").applyInArrow(add, schema).collect()
 
 
-def train(chunks: DataFrame, network: Network, rounds: int = ROUNDS, share: float = SHARE) -> Network:
+def train(chunks: DataFrame, network: Network, share: float = SHARE) -> Network:
+    """The network trained once on every training document, ``share`` of them in each round."""
     schema = shared.fields(("slice", T.IntegerType()), ("part", T.IntegerType()), ("words", T.DoubleType()), ("total", T.BinaryType()))
+    rounds = round(1 / share)
     for turn in range(rounds):
         sent = chunks.sparkSession.sparkContext.broadcast(network)
-        chosen = chunks.where("learned").where(F.pmod(F.xxhash64("doc_id"), F.lit(int(1 / share))) == turn)
+        chosen = chunks.where("learned").where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == turn)
 
         def learn(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             own, words, held = None, 0, []
@@ -343,7 +347,7 @@ def train(chunks: DataFrame, network: Network, rounds: int = ROUNDS, share: floa
     return network
 
 
-def report(docs: DataFrame, vocabulary: int = VOCABULARY, rounds: int = ROUNDS, share: float = SHARE) -> DataFrame:
+def report(docs: DataFrame, vocabulary: int = VOCABULARY, share: float = SHARE) -> DataFrame:
     """One row per document with both scores, in powers of ten."""
     chunks = chunked(docs)
     named = vocabularies(chunks)
@@ -357,7 +361,7 @@ def report(docs: DataFrame, vocabulary: int = VOCABULARY, rounds: int = ROUNDS,
     own = np.array([end_count[0] if end_count else 0, *(r["c"] for r in top)], float)
     all_mass = train_tokens + distinct + 1.0
     mass = max(1.0, all_mass - float((own + 1).sum()))
-    network = train(chunks, Network(keys, own, max(0.0, train_tokens - own.sum())), rounds, share)
+    network = train(chunks, Network(keys, own, max(0.0, train_tokens - own.sum())), share)
     sent = docs.sparkSession.sparkContext.broadcast(network)
     found = named.join(counts, "key").select("chunk", "key", "c")
     schema = shared.fields(("doc_id", T.LongType()), ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType()))

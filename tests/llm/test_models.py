@@ -139,6 +139,28 @@ def test_scores(spark):
     assert recurrent_lm.report(documents(spark, [])).count() == 0
 
 
+def test_the_network_learns_from_every_training_document(spark, monkeypatch):
+    """With the settings of the query all tokens of training documents are trained on, each once."""
+    words, averaged = [], recurrent_lm._averaged
+
+    def noted(trained):
+        rows = averaged(trained)
+        words.append(sum(r["words"] for r in rows if r["slice"] == 0))
+        return rows
+
+    monkeypatch.setattr(recurrent_lm, "_averaged", noted)
+    got = recurrent_lm.report(documents(spark, [(i, sentences(i, 1 + i % 9)) for i in range(300)])).first()
+    assert sum(words) == got["train_tokens"] == sum(2 + i % 9 for i in range(300) if zlib.crc32(str(i).encode()) % 7 != 2)
+
+
+def test_training_leaves_no_word_out(monkeypatch):
+    net, seen = recurrent_lm.Network(np.arange(1, 70, dtype=np.uint64), np.ones(69), 1.0), []
+    plain = net.gradients
+    monkeypatch.setattr(net, "gradients", lambda i, f, t, s: (seen.extend(t.reshape(-1).tolist()), plain(i, f, t, s))[1])
+    net.train(np.zeros(67, np.int32), np.zeros(67, bool), np.arange(1, 68, dtype=np.int32))
+    assert set(seen) == set(range(1, 68))
+
+
 def test_a_long_text_scores_like_its_words_in_turn():
     net = recurrent_lm.Network(np.arange(1, 70, dtype=np.uint64), np.arange(69, 0, -1).astype(float), 40.0)
     rng = np.random.default_rng(1)
