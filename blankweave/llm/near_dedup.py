@@ -14,7 +14,7 @@ smallest doc_id represents; only representatives go on, so copies never become p
 4. *Verification.* Each block compares its members with the pivot on their full sets,
    then those that the pivot doesn't link with all others that share a band. In groups
    of several blocks the members that stay apart from the pivot's component visit the
-   other blocks too, so no pair of a bucket is left out. Pairs are made inside numpy;
+   other blocks too, two blocks at a time, so no pair of a bucket is left out. Pairs are made inside numpy;
    only links leave, and in a block never more than a spanning forest.
 5. *Union-find* inside a block, connected components between blocks.
 
@@ -281,9 +281,12 @@ def linked_classes(signatures: DataFrame, items_of: Callable[[DataFrame], DataFr
     guests = at.where("component <> pivot_component")
     if not guests.isEmpty():
         visits = guests.withColumn("own", F.col("block")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).where("block <> own")
-        both = at.select("pivot", "block", "rep", "component", F.lit(False).alias("visitor")).union(visits.select("pivot", "block", "rep", "component", F.lit(True)))
+        # The visitors of a block come by the block they are from, each time to a copy of its members: a group is two blocks.
+        hosts = at.join(guests.select("pivot", F.col("block").alias("own")).distinct(), "pivot").where("block <> own")
+        columns = ["pivot", "block", "own", "rep", "component"]
+        both = hosts.select(*columns, F.lit(False).alias("visitor")).union(visits.select(*columns, F.lit(True)))
         rows = both.withColumnRenamed("rep", "doc_id").join(sets, "doc_id")
-        more = shared.cut(rows.groupBy("pivot", "block").applyInArrow(_across(percent, block), schema), "block-links")
+        more = shared.cut(rows.groupBy("pivot", "block", "own").applyInArrow(_across(percent, block), schema), "block-links")
         found = components(links.union(more))
     return classes, found
 

@@ -54,6 +54,28 @@ def test_blocks_of_a_large_group_lose_no_link(spark, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in got} == {i: c for i, (_, c) in brute(rows, 4).items()}
 
 
+def test_visitors_of_a_block_come_a_block_at_a_time(spark, monkeypatch):
+    """Documents that share boilerplate and are not linked: no group holds much more than two blocks."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    plain = near_dedup._across
+
+    def bounded(percent, kind):
+        links = plain(percent, kind)
+
+        def checked(rows):
+            if rows.num_rows > 32:
+                raise ValueError(f"a group of {rows.num_rows} rows")
+            return links(rows)
+
+        return checked
+
+    monkeypatch.setattr(near_dedup, "_across", bounded)
+    shared_words = sentences(5, 120)
+    rows = [(i, f"{shared_words} {sentences(1000 + i - i % 2, 35)}{' end' if i % 2 else ''}") for i in range(160)]
+    got = near_dedup.near_duplicates(documents(spark, rows), size=4).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: c for i, (_, c) in brute(rows, 4).items()}
+
+
 def test_awkward_rows(spark):
     got = by_id(near_dedup.near_duplicates(documents(spark, AWKWARD)))
     assert [r["n_shingles"] for r in got[1] + got[2] + got[3]] == [0, 0, 0]
