@@ -196,22 +196,19 @@ def status_message(
         return F.concat(F.array_join(F.slice(marks, 1, limit), ", "), more)
 
     changed, wanted = preview(corrected, corrected_shown), preview(missing, missing_shown)
-    kind = F.when(F.size(corrected) > 0, F.lit("corrected")).when(F.size(updated) > 0, F.lit("updated")).otherwise(F.lit("none"))
     ask = F.concat(F.lit(V.ASK_MORE), wanted, F.lit("."))
-    while_missing = {
-        "corrected": F.concat(F.lit(V.CORRECTED), changed, F.lit(". "), ask),
-        "updated": F.concat(F.lit(V.NOTED), ask),
-        "none": F.concat(F.lit(V.NOTHING_FOUND), wanted, F.lit(".")),
-    }
-    when_complete = {
-        "corrected": F.concat(F.lit(V.CORRECTED), changed, F.lit(V.NOW_COMPLETE)),
-        "updated": F.lit(V.COMPLETE_AFTER_UPDATE),
-        "none": F.lit(V.COMPLETE_BEFORE),
-    }
-    # One sentence for each pair of (something missing?, kind of change).
-    pairs = [F.lit(f"{lack} {name}") for lack in ("missing", "complete") for name in while_missing]
-    sentences = F.create_map(*[part for pair in zip(pairs, [*while_missing.values(), *when_complete.values()]) for part in pair])
-    return sentences[F.concat(F.when(F.size(missing) > 0, F.lit("missing ")).otherwise(F.lit("complete ")), kind)]
+    has_corrected, has_updated = F.size(corrected) > 0, F.size(updated) > 0
+    while_missing = (
+        F.when(has_corrected, F.concat(F.lit(V.CORRECTED), changed, F.lit(". "), ask))
+        .when(has_updated, F.concat(F.lit(V.NOTED), ask))
+        .otherwise(F.concat(F.lit(V.NOTHING_FOUND), wanted, F.lit(".")))
+    )
+    when_complete = (
+        F.when(has_corrected, F.concat(F.lit(V.CORRECTED), changed, F.lit(V.NOW_COMPLETE)))
+        .when(has_updated, F.lit(V.COMPLETE_AFTER_UPDATE))
+        .otherwise(F.lit(V.COMPLETE_BEFORE))
+    )
+    return F.when(F.size(missing) > 0, while_missing).otherwise(when_complete)
 
 
 def fill_status(states: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def test_docx_blocks(spark, tmp_path):
     (tmp_path / "D.DOCX").write_bytes(b"x")
     (tmp_path / "broken.docx").write_bytes(b"no zip")
     (tmp_path / "big.docx").write_bytes(b"0" * (10 * 1024 * 1024 + 1))
-    blocks, rejects = read_docx(spark, str(tmp_path))
+    blocks, rejects = read_docx(spark, str(tmp_path), max_bytes=10 * 1024 * 1024)
     rows = blocks.where(F.col("path").endswith("a.docx")).orderBy("block_index").collect()
     assert [(r.type, r.text) for r in rows] == [
         ("paragraph", "Mở đầu"), ("paragraph", "Tên: «ten»"), ("paragraph", "[EMPTY LINE]"), ("paragraph", "Lớp\tx"),

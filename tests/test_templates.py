@@ -54,7 +54,9 @@ def test_declared_names(spark):
         spark, "Tôi tên: ........ Số CMND: ........", "[Hà Nội], ngày... tháng... năm 20...", "□ Khác: ..................",
         "Đang học lớp: ...", "Lớp: ............ Trường: ............", "Mục 1 Về con chung", "........", "Ghi chú (nếu có): ...",
     )
-    got = [r.field_name for r in FL.rule_labels(forms).orderBy("block_index", "seg_index").collect()]
+    named = [r.field_name for r in FL.rule_labels(forms).orderBy("block_index", "seg_index").collect()]
+    assert named[10] == "muc_1_ve_con_chung"
+    got = [r.field_name for r in FL.rule_labels(forms, max_words=4).orderBy("block_index", "seg_index").collect()]
     assert got == [
         "toi_ten", "so_cmnd", "ngay", "thang", "nam", "field", "khac", "dang_hoc_lop", "lop", "truong",
         "1_ve_con_chung", "ghi_chu",
@@ -127,7 +129,10 @@ def test_status_messages(spark):
     many = [f"f{i}" for i in range(10)]
     rows = [(many, [], []), ([], many, []), ([], [], many), ([], [], []), (["a"], ["b"], []), (["a"], ["b"], ["c"])]
     df = spark.createDataFrame(rows, "m array<string>, u array<string>, c array<string>")
-    got = [r[0] for r in df.select(M.status_message(F.col("m"), F.col("u"), F.col("c"))).collect()]
+    whole = [r[0] for r in df.select(M.status_message(F.col("m"), F.col("u"), F.col("c"))).collect()]
+    assert whole[0].endswith("«f8», «f9».") and "«f9»" in whole[2]
+    limited = M.status_message(F.col("m"), F.col("u"), F.col("c"), missing_shown=8, corrected_shown=5)
+    got = [r[0] for r in df.select(limited).collect()]
     assert got[0].endswith("«f7» và 2 field khác.") and "«f8»" not in got[0]
     assert got[1].startswith("Đã đủ thông tin")
     assert "«f4» và 5 field khác" in got[2] and "«f5»" not in got[2]

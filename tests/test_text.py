@@ -67,13 +67,13 @@ def test_switch_and_title_equal_python(spark):
     assert column(spark, ["It's A-b C1d", "ßa"], T.title_py) == ["It'S A-B C1D", "Ssa"]
 
 
-def python_slug(text, limit=10):
+def python_slug(text, limit=None):
     if not text.strip():
         return None
     text = re.sub(r"\(ghi rõ.*?\)", " ", text, flags=re.IGNORECASE)
     text = re.sub(r"[:\-–—\._…□]", " ", text).replace("đ", "d").replace("Đ", "D")
     text = unicodedata.normalize("NFKD", text).encode("ascii", "ignore").decode()
-    slug = "_".join(re.findall(r"\w+|%", text.lower())[-limit:])
+    slug = "_".join(re.findall(r"\w+|%", text.lower())[-limit if limit else None :])
     return re.sub("_+", "_", slug.strip("_")) or None
 
 
@@ -83,6 +83,7 @@ def test_slug_equals_normalisation_form(spark):
     texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
     texts += ["Họ tên (ghi rõ chữ in hoa): ", "một hai ba bốn năm sáu bảy tám chín mười mười một", "   "]
     assert column(spark, texts, N.slugify) == [python_slug(t) for t in texts]
+    assert column(spark, texts, lambda c: N.slugify(c, 10)) == [python_slug(t, 10) for t in texts]
 
 
 def test_normalised_text(spark):
