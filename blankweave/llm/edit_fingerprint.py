@@ -183,6 +183,26 @@ class TextBlock(near_dedup._Block):
         return np.array(out, np.int64)
 
 
+def _text_keys(texts: list[str]) -> np.ndarray:
+    return np.frombuffer(b"".join(hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts), np.int64).reshape(-1, 2)
+
+
+def _characters(texts: DataFrame) -> DataFrame:
+    """(node, items): the code points of every text under its class."""
+    schema = shared.fields(("key_a", T.LongType()), ("key_b", T.LongType()), ("n", T.LongType()), ("items", T.ArrayType(T.LongType())))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in shared.slices(batches):
+            rows = part.column("text").to_pylist()
+            keys = _text_keys(rows)
+            items = [np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int64) for t in rows]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([len(t) for t in rows], pa.int64()), pa.array(items, pa.list_(pa.int64()))], names=schema.names
+            )
+
+    return texts.mapInArrow(read, schema).select(near_dedup.node_of().alias("node"), "items")
+
+
 def near_texts(docs: DataFrame, percent: int = 90) -> DataFrame:
     """(doc_id, n_chars, component_id, kept): texts of which at least ``percent`` of the longer one's characters stay under edits.
 
@@ -196,18 +216,14 @@ def near_texts(docs: DataFrame, percent: int = 90) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in shared.slices(batches, most=SLICE_CHARS):
             texts = part.column("text").to_pylist()
-            digests = [hashlib.blake2b(t.encode(), digest_size=16).digest() for t in texts]
-            keys = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            keys = _text_keys(texts)
             bands = [bands_of(p, int(k) & 0xFFFFFFFFFF).tolist() for p, k in zip(walk([letters_of(t) for t in texts]), keys[:, 0], strict=True)]
             yield pa.RecordBatch.from_arrays([
                 part.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(bands, pa.list_(pa.int64())),
             ], names=schema.names)
 
     signatures = shared.cut(source.mapInArrow(sign, schema), "edit-signatures")
-    characters = F.transform(F.split("text", ""), lambda c: F.ascii(c).cast("long"))
-    classes, found = near_dedup.linked_classes(
-        signatures, lambda wanted: near_dedup.texts_of(source, wanted).select("doc_id", characters.alias("items")), percent, TextBlock
-    )
+    classes, found = near_dedup.linked_classes(signatures, lambda wanted: _characters(near_dedup.texts_of(source, wanted)), percent, TextBlock)
     return near_dedup.labelled(signatures, classes, found).withColumnRenamed("n_shingles", "n_chars")
 
 

@@ -20,8 +20,9 @@ smallest doc_id represents; only representatives go on, so copies never become p
 
 Defined results: null or empty text has an empty set, is in no link and stays; a text
 with fewer words than a shingle has one shingle, all its words; repeated rows with one
-doc_id each get the component of their text; a null doc_id never represents a class
-that has another id; an empty table gives an empty result; other columns are ignored.
+doc_id each get the component of their own text, whatever texts share the id, because
+classes are told apart by their sets and not by ids; a null doc_id never represents a
+class that has another id; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -104,21 +105,25 @@ def band_keys(ranks: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def text_key(text: str) -> Column:
+    """Tells rows that share a doc_id apart by their texts."""
+    return F.xxhash64(shared.text_or_empty(text))
+
+
 def signed(docs: DataFrame, size: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n, key_a, key_b, bands) of every document; equal sets have equal keys."""
-    source = docs.select(F.col(id_column).cast("long").alias("doc_id"), shared.text_or_empty(text).alias("text"))
-    schema = shared.fields(("doc_id", T.LongType()), ("n", T.LongType()), ("key_a", T.LongType()), ("key_b", T.LongType()), ("bands", T.ArrayType(T.LongType())))
+    """(doc_id, text_key, n, key_a, key_b, bands) of every document; equal sets have equal keys."""
+    source = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_key(text).alias("text_key"), shared.text_or_empty(text).alias("text"))
+    schema = shared.fields(("doc_id", T.LongType()), ("text_key", T.LongType()), ("n", T.LongType()), ("key_a", T.LongType()), ("key_b", T.LongType()), ("bands", T.ArrayType(T.LongType())))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in shared.slices(batches):
             sets = shingle_sets(part.column("text"), size)
             n = np.array([len(s) for s in sets], np.int64)
             keys = band_keys(super_minhash(sets))
-            sums = [np.array([shared.mix(s ^ np.uint64(salt)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for salt in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)]
             used = n > 0
             ends = np.concatenate(([0], np.cumsum(np.where(used, BANDS, 0)))).astype(np.int32)
             bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[used].reshape(-1)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(sums[0]), pa.array(sums[1]), bands], names=["doc_id", "n", "key_a", "key_b", "bands"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(n), *class_keys(sets), bands], names=schema.names)
 
     return source.mapInArrow(sign, schema)
 
@@ -143,25 +148,37 @@ def texts_of(docs: DataFrame, wanted: DataFrame, id_column: str = "doc_id", text
     ).select("doc_id", "text")
 
 
+def class_keys(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Two 64-bit sums over each set, which with its size tell the class."""
+    salts = (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179)
+    return [pa.array(np.array([shared.mix(s ^ np.uint64(salt)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)) for salt in salts]
+
+
+def node_of() -> Column:
+    """A class as one number: node of groups and links."""
+    return F.xxhash64("key_a", "key_b", "n")
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(doc_id, items): the shingle sets of ``texts_of``."""
-    schema = shared.fields(("doc_id", T.LongType()), ("items", T.ArrayType(T.LongType())))
+    """(node, items): the shingle sets of ``texts_of``."""
+    schema = shared.fields(("key_a", T.LongType()), ("key_b", T.LongType()), ("n", T.LongType()), ("items", T.ArrayType(T.LongType())))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in shared.slices(batches):
             sets = shingle_sets(part.column("text"), size)
-            ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-            items = pa.array(np.concatenate(sets).view(np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), items)], names=["doc_id", "items"])
+            sizes = [len(s) for s in sets]
+            ends = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            items = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([*class_keys(sets), pa.array(sizes, pa.int64()), items], names=schema.names)
 
-    return texts_of(docs, wanted).mapInArrow(read, schema)
+    return texts_of(docs, wanted).mapInArrow(read, schema).select(node_of().alias("node"), "items")
 
 
 class _Block:
     """Members of a group in numpy: their sets end to end, sizes and bands."""
 
     def __init__(self, rows: pa.Table):
-        self.ids = rows["doc_id"].to_numpy()
+        self.ids = list(zip(rows["rep"].to_pylist(), rows["node"].to_pylist(), strict=True))
         items = rows["items"].combine_chunks()
         self.offsets = items.offsets.to_numpy() - items.offsets[0].as_py()
         self.items = items.flatten().to_numpy().view(np.uint64)
@@ -191,8 +208,20 @@ def _find(parent: list[int], i: int) -> int:
     return i
 
 
-def _edges(found: list[tuple[int, int]]) -> pa.Table:
-    return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+#: A link: both ends with their smallest doc_id and their class.
+_LINK = shared.fields(("a_id", T.LongType()), ("a_node", T.LongType()), ("b_id", T.LongType()), ("b_node", T.LongType()))
+
+
+def _edges(found: list[tuple[tuple[int, int], tuple[int, int]]]) -> pa.Table:
+    rows = [(*a, *b) for a, b in found]
+    return pa.table({name: pa.array([r[i] for r in rows], pa.int64()) for i, name in enumerate(_LINK.names)})
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """(node, component_node, component): what the links connect. Nodes are ordered by doc_id first."""
+    ends = links.select(F.struct(F.col("a_id").alias("id"), F.col("a_node").alias("node")).alias("a"), F.struct(F.col("b_id").alias("id"), F.col("b_node").alias("node")).alias("b"))
+    found = components(ends)
+    return found.select("node.node", F.col("component.node").alias("component_node"), F.col("component.id").alias("component"))
 
 
 def _within(percent: int, kind: type[_Block]):
@@ -206,7 +235,7 @@ def _within(percent: int, kind: type[_Block]):
         pivot = int(pivots[0])
         for j in block.linked(block.set(pivot), np.setdiff1d(np.arange(n), [pivot]), percent):
             parent[j] = pivot
-            found.append((int(block.ids[pivot]), int(block.ids[j])))
+            found.append((block.ids[pivot], block.ids[j]))
         open_to = np.arange(n) != pivot
         for i in range(n):
             if _find(parent, i) == _find(parent, pivot):
@@ -217,7 +246,7 @@ def _within(percent: int, kind: type[_Block]):
             for j in block.linked(block.set(i), others, percent):
                 if (a := _find(parent, int(j))) != (b := _find(parent, i)):
                     parent[b] = a
-                    found.append((int(block.ids[i]), int(block.ids[j])))
+                    found.append((block.ids[i], block.ids[j]))
         return _edges(found)
 
     return links
@@ -236,78 +265,78 @@ def _across(percent: int, kind: type[_Block]):
                 others = np.flatnonzero((own != theirs[i]) & (block.bands == guests.bands[i]).any(axis=1))
                 hits = block.linked(guests.set(i), others, percent)
                 _, at = np.unique(own[hits], return_index=True)
-                found += [(int(guests.ids[i]), int(block.ids[j])) for j in hits[at]]
+                found += [(guests.ids[i], block.ids[j]) for j in hits[at]]
         return _edges(found)
 
     return links
 
 
 def linked_classes(signatures: DataFrame, items_of: Callable[[DataFrame], DataFrame], percent: int, block: type[_Block] = _Block) -> tuple[DataFrame, DataFrame]:
-    """(key_a, key_b, n, rep) of every class of equal documents, and (node, component) of the linked representatives.
+    """(key_a, key_b, n, node, rep) of every class of equal documents, and (node, component) of the linked classes.
 
-    ``items_of`` gives (doc_id, items) for the ids of a table (id); ``block`` decides which items are linked.
+    ``items_of`` gives (node, items) at least for the documents whose ids are in a table (id); ``block`` decides which
+    items are linked.
     """
     classes = shared.cut(
-        signatures.where("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes"
+        signatures.where("n > 0").groupBy("key_a", "key_b", "n").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")).withColumn("node", node_of()), "classes"
     ).where("rep is not null")
-    in_bands = classes.select("rep", "n", F.explode("bands").alias("key"))
+    in_bands = classes.select("node", "n", F.explode("bands").alias("key"))
     full = in_bands.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     members = shared.cut(in_bands.join(full, "key"), "members")
-    centrality = members.groupBy("rep").agg(F.sum("members").alias("weight"))
-    pivots = members.join(centrality, "rep").groupBy("key").agg(F.max_by(F.struct(F.col("rep").alias("pivot"), F.col("n").alias("pivot_n")), F.struct("weight", -F.col("rep"))).alias("p"))
-    grouped = (
-        members.join(pivots, "key").select("p.pivot", "rep")
-        .where("rep <> pivot").distinct()
-    )
+    centrality = members.groupBy("node").agg(F.sum("members").alias("weight"))
+    pivots = members.join(centrality, "node").groupBy("key").agg(F.max_by(F.col("node"), F.struct("weight", "node")).alias("pivot"))
+    grouped = members.join(pivots, "key").select("pivot", "node").where("node <> pivot").distinct()
     grouped = shared.cut(grouped, "groups")
     shared.drop_cut(members)
     sizes = grouped.groupBy("pivot").agg(F.count("*").alias("group_size"))
     blocks = F.ceil(F.col("group_size") / BLOCK).cast("int")
-    dealt = grouped.join(sizes, "pivot").withColumn("blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
-    heads = sizes.withColumn("blocks", blocks).select("pivot", F.col("pivot").alias("rep"), "group_size", "blocks", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
-    dealt = dealt.select("pivot", "rep", "blocks", "block").unionByName(heads.select("pivot", "rep", "blocks", "block"))
-    wanted = grouped.select(F.col("rep").alias("id")).union(grouped.select("pivot")).distinct()
-    bands = classes.select(F.col("rep").alias("doc_id"), "bands")
-    sets = shared.cut(items_of(wanted).dropDuplicates(["doc_id"]).join(bands, "doc_id"), "sets")
-    rows = dealt.withColumnRenamed("rep", "doc_id").join(sets, "doc_id").withColumn("is_pivot", F.expr("doc_id = pivot"))
-    schema = shared.fields(("a", T.LongType()), ("b", T.LongType()))
-    links = shared.cut(rows.groupBy("pivot", "block").applyInArrow(_within(percent, block), schema), "pivot-links")
-    found = components(links)
+    dealt = grouped.join(sizes, "pivot").withColumn("blocks", blocks).withColumn("block", F.expr("cast(pmod(xxhash64(node), blocks) as int)"))
+    heads = sizes.withColumn("blocks", blocks).select("pivot", F.col("pivot").alias("node"), "group_size", "blocks", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
+    dealt = dealt.select("pivot", "node", "blocks", "block").unionByName(heads.select("pivot", "node", "blocks", "block"))
+    wanted = grouped.select("node").union(grouped.select("pivot")).distinct().join(classes.select("node", "rep", "bands"), "node")
+    sets = shared.cut(items_of(wanted.select(F.col("rep").alias("id"))).dropDuplicates(["node"]).join(wanted, "node"), "sets")
+    rows = dealt.join(sets, "node").withColumn("is_pivot", F.expr("node = pivot"))
+    links = shared.cut(rows.groupBy("pivot", "block").applyInArrow(_within(percent, block), _LINK), "pivot-links")
+    found = _joined(links)
 
     split = dealt.where("blocks > 1")
-    at = split.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    head = at.where("rep = pivot").select("pivot", F.col("component").alias("pivot_component")).distinct()
-    at = shared.cut(at.where("rep <> pivot").join(head, "pivot"), "split-groups")
+    at = split.join(found, "node", "left").select(*split.columns, F.coalesce("component_node", "node").alias("component"))
+    head = at.where("node = pivot").select("pivot", F.col("component").alias("pivot_component")).distinct()
+    at = shared.cut(at.where("node <> pivot").join(head, "pivot"), "split-groups")
     guests = at.where("component <> pivot_component")
     if not guests.isEmpty():
         visits = guests.withColumn("own", F.col("block")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).where("block <> own")
         # The visitors of a block come by the block they are from, each time to a copy of its members: a group is two blocks.
         hosts = at.join(guests.select("pivot", F.col("block").alias("own")).distinct(), "pivot").where("block <> own")
-        columns = ["pivot", "block", "own", "rep", "component"]
+        columns = ["pivot", "block", "own", "node", "component"]
         both = hosts.select(*columns, F.lit(False).alias("visitor")).union(visits.select(*columns, F.lit(True)))
-        rows = both.withColumnRenamed("rep", "doc_id").join(sets, "doc_id")
-        more = shared.cut(rows.groupBy("pivot", "block", "own").applyInArrow(_across(percent, block), schema), "block-links")
-        found = components(links.union(more))
-    return classes, found
+        more = shared.cut(both.join(sets, "node").groupBy("pivot", "block", "own").applyInArrow(_across(percent, block), _LINK), "block-links")
+        found = _joined(links.union(more))
+    return classes, found.select("node", "component")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of ``docs``; kept is the smallest doc_id of its component."""
+    """(doc_id, n_shingles, component_id, kept, text_key) of every row of ``docs``; kept is the smallest doc_id of its component."""
     signatures = shared.cut(signed(docs, size, id_column, text), "signatures")
     named = docs.select(F.col(id_column).alias("doc_id"), F.col(text).alias("text"))
     classes, found = linked_classes(signatures, lambda wanted: sets_of(named, wanted, size), percent)
-    return labelled(signatures, classes, found)
+    return labelled(signatures, classes, found, ("text_key",))
 
 
-def labelled(signatures: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every signed row."""
-    labels = classes.select("key_a", "key_b", "n", "rep").join(found, F.col("rep") == F.col("node"), "left").select("key_a", "key_b", "n", F.coalesce("component", "rep").alias("component_id"))
-    rows = signatures.select("doc_id", "n", "key_a", "key_b").join(labels, ["key_a", "key_b", "n"], "left")
+def labelled(signatures: DataFrame, classes: DataFrame, found: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) and the columns ``keep`` of every signed row."""
+    labels = classes.select("key_a", "key_b", "n", "rep", "node").join(found, "node", "left").select("key_a", "key_b", "n", F.coalesce("component", "rep").alias("component_id"))
+    rows = signatures.select("doc_id", "n", "key_a", "key_b", *keep).join(labels, ["key_a", "key_b", "n"], "left")
     label = F.coalesce("component_id", "doc_id")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), label.alias("component_id"), label.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), label.alias("component_id"), label.eqNullSafe(F.col("doc_id")).alias("kept"), *keep)
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The documents without those that reach one of smaller doc_id; rows that repeat a doc_id that stays, stay with it."""
-    spare = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("_spare_id"))
-    return docs.join(spare, F.col("doc_id") == F.col("_spare_id"), "left_anti")
+    """The documents without those that reach one of smaller doc_id.
+
+    A row goes by its id and its text, so another text under the same id stays. Rows that repeat id and text of
+    one that stays, stay with it; a row without id goes only if its class has a row with one.
+    """
+    spare = near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("_spare_id"), F.col("text_key").alias("_spare_key")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_spare_id")) & (text_key("text") == F.col("_spare_key"))
+    return docs.join(spare, same, "left_anti")

@@ -212,8 +212,8 @@ def score_documents(docs: DataFrame, model: Model, keep: list[str], text: str =
 
 
 def learned() -> Column:
-    """Rows that may be learned from; the others are held out."""
-    return shared.remainder("doc_id", HELD_OUT) != 0
+    """Rows that may be learned from; the others are held out. A null doc_id has no remainder: it counts as held out."""
+    return F.coalesce(shared.remainder("doc_id", HELD_OUT) != 0, F.lit(False))
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -86,6 +86,26 @@ def test_awkward_rows(spark):
     assert len(got[None]) == 1
 
 
+def test_repeated_ids_with_different_texts(spark):
+    """An id tells nothing about a text: each row has the component of its own text, and no text is lost."""
+    a, b = sentences(70, 60), sentences(71, 60)
+    a2, b2 = a + " end", b + " end"
+    for rows, want in [
+        ([(1, a), (5, a), (5, b), (7, b)], {(1, a): 1, (5, a): 1, (5, b): 5, (7, b): 5}),
+        ([(3, a2), (5, a), (5, b)], {(3, a2): 3, (5, a): 3, (5, b): 5}),
+        ([(5, a), (5, b), (7, b2), (8, a2)], {(5, a): 5, (5, b): 5, (7, b2): 5, (8, a2): 5}),
+    ]:
+        docs = documents(spark, rows)
+        key = {r["k"]: (r["doc_id"], r["text"]) for r in docs.select("doc_id", "text", near_dedup.text_key("text").alias("k")).collect()}
+        texts = {k: t for k, (_, t) in key.items()}
+        got = near_dedup.near_duplicates(docs).collect()
+        assert {(r["doc_id"], texts[r["text_key"]]): r["component_id"] for r in got} == want
+        stay = {(r["doc_id"], r["text"]) for r in near_dedup.one_of_each(docs).collect()}
+        assert stay == {pair for pair, component in want.items() if component == pair[0]}
+    nameless = documents(spark, [(None, a), (4, a), (None, b)])
+    assert {(r["doc_id"], r["text"]) for r in near_dedup.one_of_each(nameless).collect()} == {(4, a), (None, b)}
+
+
 def test_empty_table_and_stage(spark):
     none = documents(spark, [])
     assert near_dedup.near_duplicates(none).count() == 0
