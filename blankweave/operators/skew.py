@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SALTS = 16
+#: Rows of a key beyond which it is split, and the most keys that are; no other key holds more than 1 / HOT_KEYS of all rows.
+SLICE_ROWS, HOT_KEYS = 4096, 1024
 
 
 def salted_join(
@@ -20,3 +22,29 @@ def salted_join(
     spread = many.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def hot_keys(many: DataFrame, keys: list[str], slice_rows: int = SLICE_ROWS, most: int = HOT_KEYS) -> DataFrame:
+    """(keys, _slices) of the keys with the most rows: at most ``most`` of them, each with over ``slice_rows`` rows."""
+    counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > slice_rows)
+    return counts.orderBy(F.desc("_n"), *keys).limit(most).select(*keys, F.ceil(F.col("_n") / slice_rows).cast("int").alias("_slices"))
+
+
+def hot_join(
+    many: DataFrame, few: DataFrame, keys: list[str], spread_by: Column, how: str = "inner",
+    slice_rows: int = SLICE_ROWS, most: int = HOT_KEYS,
+) -> DataFrame:
+    """Equi-join whose hot keys, and only they, are spread over slices by their share of ``many``.
+
+    The rows of ``few`` repeat once per slice of a hot key; those of cold keys stay single. The list of hot keys has
+    ``most`` rows at most, so it may go to all tasks. Rows are those of the plain join (inner, left or left_semi);
+    rows of ``many`` without a key are spread, too.
+    """
+    hot = F.broadcast(hot_keys(many, keys, slice_rows, most))
+    spread = F.xxhash64(spread_by)
+    nameless = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
+    slice_of = F.when(nameless, F.pmod(spread, F.lit(4096))).otherwise(F.coalesce(F.pmod(spread, F.col("_slices")), F.lit(0)))
+    dealt = many.join(hot, keys, "left").withColumn("_slice", slice_of.cast("int")).drop("_slices")
+    slices = F.sequence(F.lit(0), F.coalesce(F.col("_slices"), F.lit(1)) - 1)
+    copies = few.join(hot, keys, "left").withColumn("_slice", F.explode(slices)).drop("_slices")
+    return dealt.join(copies, [*keys, "_slice"], how).drop("_slice")
