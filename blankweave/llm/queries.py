@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, edit_fingerprint, license_scan, near_dedup, packing, pii, quality_model, quality_rules, recurrent_lm, shared
+from . import bpe, chat_format, collocations, edit_fingerprint, license_scan, near_dedup, packing, pii, quality_model, quality_rules
+from . import recurrent_lm, repeated_passages, shared, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +79,18 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality_classifier")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.report(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))
+
+
+@query("op11_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(shared.table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_repeated_passages", repeated_passages.REPORT_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages.report(shared.table(spark, sf_dir, "documents"))
+
+
+@query("op13_collocations", collocations.REPORT_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(shared.table(spark, sf_dir, "documents"))
