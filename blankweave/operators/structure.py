@@ -382,8 +382,12 @@ def template_info(segments: DataFrame, cells: DataFrame | None = None) -> DataFr
 def validate_edits(edits: DataFrame, info: DataFrame) -> DataFrame:
     """First error of each edit against the state of its document, NULL when it may run.
 
-    One join per document; every test is then on the row.
+    One join per document; every test is then on the row. Rows and columns are compared with the size of their table;
+    edits without ``row_index`` or ``col_index`` columns name none.
     """
+    for name in ("row_index", "col_index"):
+        if name not in edits.columns:
+            edits = edits.withColumn(name, F.lit(None).cast("bigint"))
     joined = salted_join(edits, info, ["doc_id"], F.col("op_index"), how="left")
     kind, fields = F.col("type"), F.coalesce("fields", F.array().cast("array<string>"))
 
@@ -399,6 +403,9 @@ def validate_edits(edits: DataFrame, info: DataFrame) -> DataFrame:
     no_block = ~F.coalesce(F.col("block_index").between(0, F.col("n_blocks") - 1), F.lit(False))
     table = F.get(F.filter("tables", lambda t: t["table_index"] == F.col("table_index")), 0)
     table_kinds = ("add_table_row", "delete_table_row", "add_table_column", "delete_table_column", "format_table_cell")
+    row_kinds = ("add_table_row", "delete_table_row", "format_table_cell")
+    col_kinds = ("add_table_column", "delete_table_column", "format_table_cell")
+    in_cell = F.col("table_index").isNotNull() & F.col("row_index").isNotNull() & F.col("col_index").isNotNull()
     needs_block = (
         "add_placeholder", "add_placeholder_by_offset", "update_text", "delete_text_range", "format_text", "format_paragraph",
         "add_page_break", "add_table_at_cursor", "add_image_at_cursor", "add_hyperlink", "delete_paragraph",
@@ -436,8 +443,13 @@ def validate_edits(edits: DataFrame, info: DataFrame) -> DataFrame:
         F.when(among("add_hyperlink") & T.is_blank(F.col("url")), F.lit("no url")),
         F.when(among("add_hyperlink") & ~T.url_ok(F.col("url")), F.lit("bad url")),
         F.when(among(*table_kinds) & table.isNull(), F.lit("unknown table")),
+        F.when(among("add_paragraph", "delete_paragraph") & in_cell & table.isNull(), F.lit("unknown table")),
+        F.when(among("add_paragraph", "delete_paragraph") & in_cell & (F.col("row_index") >= table["n_rows"]), F.lit("unknown row")),
+        F.when(among("add_paragraph", "delete_paragraph") & in_cell & (F.col("col_index") >= table["n_cols"]), F.lit("unknown column")),
         F.when(among("delete_table_row") & (table["n_rows"] <= 1), F.lit("the last row stays")),
         F.when(among("delete_table_column") & (table["n_cols"] <= 1), F.lit("the last column stays")),
+        F.when(among(*row_kinds) & (F.col("row_index") >= table["n_rows"]), F.lit("unknown row")),
+        F.when(among(*col_kinds) & (F.col("col_index") >= table["n_cols"]), F.lit("unknown column")),
         F.when(among("format_table_cell") & empty("format_options"), F.lit("no settings")),
     )
     return joined.withColumn("error", error).drop("fields", "n_blocks", "tables")

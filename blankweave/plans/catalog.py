@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from blankweave.plans import (  # noqa: F401
+    batch_queries,
     block_queries,
     edit_queries,
     merge_queries,

@@ -594,7 +594,8 @@ def apply_suggestions(spark: SparkSession, d: str) -> DataFrame:
 
 _WIDE = """
   type STRING, block_index BIGINT, field_name STRING, old_name STRING, new_name STRING, start_offset BIGINT, end_offset BIGINT,
-  format_config MAP<STRING,STRING>, paragraph_format MAP<STRING,STRING>, format_options MAP<STRING,STRING>, table_index BIGINT, url STRING,
+  format_config MAP<STRING,STRING>, paragraph_format MAP<STRING,STRING>, format_options MAP<STRING,STRING>, table_index BIGINT, row_index BIGINT,
+  col_index BIGINT, url STRING,
   blocks ARRAY<MAP<STRING,BIGINT>>"""
 _CHECK_OPS = """CASE op_index WHEN 0 THEN concat('{"type":"rename_placeholder","old_name":"field_9999","new_name":"', CASE doc_id % 3 WHEN 0 THEN 'field_2' ELSE 'a' END, '"}')
   WHEN 1 THEN concat('{"type":"delete_placeholder","field_name":"', CASE doc_id % 2 WHEN 0 THEN 'mat' ELSE 'field' END, '"}')
@@ -602,7 +603,10 @@ _CHECK_OPS = """CASE op_index WHEN 0 THEN concat('{"type":"rename_placeholder","
   WHEN 3 THEN concat('{"type":"delete_text_range","block_index":0,"start_offset":4,"end_offset":', doc_id % 8, '}')
   WHEN 4 THEN concat('{"type":"add_hyperlink","block_index":0,"url":"', CASE doc_id % 3 WHEN 0 THEN 'http://a' WHEN 1 THEN ' ' ELSE 'ftp://a' END, '"}')
   WHEN 5 THEN concat('{"type":"delete_table_row","table_index":', doc_id % 3, '}')
-  ELSE concat('{"type":"format_text","block_index":0,"format_config":{', CASE doc_id % 2 WHEN 0 THEN '"bold":"true"' ELSE '' END, '}}') END"""
+  WHEN 6 THEN concat('{"type":"format_text","block_index":0,"format_config":{', CASE doc_id % 2 WHEN 0 THEN '"bold":"true"' ELSE '' END, '}}')
+  WHEN 7 THEN concat('{"type":"delete_table_row","table_index":0,"row_index":', doc_id % 5, '}')
+  WHEN 8 THEN concat('{"type":"format_table_cell","table_index":0,"row_index":', doc_id % 4, ',"col_index":', doc_id % 3, ',"format_options":{"bold":"true"}}')
+  ELSE concat('{"type":"add_paragraph","table_index":', doc_id % 3, ',"row_index":', doc_id % 4, ',"col_index":', doc_id % 3, '}') END"""
 
 
 @query("validate_edits", duck(r"""
@@ -613,14 +617,18 @@ _CHECK_OPS = """CASE op_index WHEN 0 THEN concat('{"type":"rename_placeholder","
       WHEN 3 THEN CASE WHEN doc_id % 8 <= 4 THEN 'bad range' END
       WHEN 4 THEN CASE doc_id % 3 WHEN 1 THEN 'no url' WHEN 2 THEN 'bad url' END
       WHEN 5 THEN CASE doc_id % 3 WHEN 2 THEN 'unknown table' WHEN 1 THEN 'the last row stays' END
-      ELSE CASE WHEN doc_id % 2 = 1 THEN 'no settings' END END AS error
-  FROM (SELECT d.doc_id, unnest(range(7)) AS op_index, n, coalesce(hf, false) AS has_field, coalesce(hs, false) AS has_second FROM documents d
+      WHEN 6 THEN CASE WHEN doc_id % 2 = 1 THEN 'no settings' END
+      WHEN 7 THEN CASE WHEN doc_id % 5 >= 3 THEN 'unknown row' END
+      WHEN 8 THEN CASE WHEN doc_id % 4 = 3 THEN 'unknown row' WHEN doc_id % 3 = 2 THEN 'unknown column' END
+      ELSE CASE WHEN doc_id % 3 = 2 THEN 'unknown table' WHEN doc_id % 4 >= CASE doc_id % 3 WHEN 0 THEN 3 ELSE 1 END THEN 'unknown row'
+        WHEN doc_id % 3 = 2 THEN 'unknown column' END END AS error
+  FROM (SELECT d.doc_id, unnest(range(10)) AS op_index, n, coalesce(hf, false) AS has_field, coalesce(hs, false) AS has_second FROM documents d
     JOIN (SELECT doc_id, max(block_index) + 1 AS n FROM tseg GROUP BY doc_id) USING (doc_id)
     LEFT JOIN (SELECT doc_id, bool_or(field_name = 'field') AS hf, bool_or(field_name = 'field_2') AS hs FROM tfields GROUP BY doc_id) USING (doc_id))
 """, "tseg", "tfields"))
 def validate_edits(spark: SparkSession, d: str) -> DataFrame:
     docs = _documents(spark, d)
-    ops = docs.withColumn("op_index", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(6).cast("bigint")))).withColumn(
+    ops = docs.withColumn("op_index", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(9).cast("bigint")))).withColumn(
         "op", F.from_json(F.expr(_CHECK_OPS), _WIDE)
     ).select("doc_id", "op_index", "op.*")
     # Table 0 has three rows, table 1 a single one.
