@@ -43,6 +43,8 @@ NO_LANG = "und"
 ROOM = 2
 #: n-grams of one hash partition, and bytes of text of one slice.
 PART_MASS, SLICE_TEXT = 4 << 20, 8 << 20
+#: Bytes of text that are cut into words, and bytes that are hashed, in one go.
+PIECE_TEXT = 1 << 20
 TOP_BUCKETS = 64
 
 _CUTS = np.zeros(256, bool)
@@ -88,35 +90,66 @@ def written_slices(docs: DataFrame) -> DataFrame:
     source = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), shared.text_or_empty().alias("text"))
     schema = shared.fields(("slice", T.StringType()), ("langs", T.ArrayType(T.StringType())), ("texts", T.ArrayType(T.StringType())), ("words", T.ArrayType(T.LongType())))
 
+    form = pa.schema([("slice", pa.string()), ("langs", pa.list_(pa.string())), ("texts", pa.list_(pa.string())), ("words", pa.list_(pa.int64()))])
+
+    def row(texts: dict[str, list[bytes]], words: dict[str, int]) -> pa.RecordBatch:
+        langs = sorted(texts)
+        return pa.RecordBatch.from_pydict({
+            "slice": [uuid.uuid4().hex], "langs": [langs], "texts": [[b"".join(texts[lang]).decode() for lang in langs]], "words": [[words[lang] for lang in langs]],
+        }, schema=form)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in shared.slices(batches, most=SLICE_TEXT):
+        texts: dict[str, list[bytes]] = {}
+        numbers: dict[str, int] = {}
+        held = 0
+        for part in shared.slices(batches, most=PIECE_TEXT):
             part = part.take(pc.sort_indices(part.column("lang")))
             names = part.column("lang").to_pylist()
             data, begins, words = _spread_texts(part.column("text"))
             edges = [i for i in range(len(names)) if not i or names[i] != names[i - 1]] + [len(names)]
-            runs = [(a, b) for a, b in zip(edges[:-1], edges[1:], strict=True) if words[b] > words[a]]
-            if runs:
-                yield pa.RecordBatch.from_pydict({
-                    "slice": [uuid.uuid4().hex], "langs": [[names[a] for a, _ in runs]],
-                    "texts": [[data[begins[a] : begins[b]].tobytes().decode() for a, b in runs]], "words": [[int(words[b] - words[a]) for a, b in runs]],
-                }, schema=pa.schema([("slice", pa.string()), ("langs", pa.list_(pa.string())), ("texts", pa.list_(pa.string())), ("words", pa.list_(pa.int64()))]))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if words[b] > words[a]:
+                    texts.setdefault(names[a], []).append(data[begins[a] : begins[b]].tobytes())
+                    numbers[names[a]] = numbers.get(names[a], 0) + int(words[b] - words[a])
+            held += len(data)
+            if held >= SLICE_TEXT:
+                yield row(texts, numbers)
+                texts, numbers, held = {}, {}, 0
+        if texts:
+            yield row(texts, numbers)
 
     return source.mapInArrow(write, schema)
 
 
-class Grams:
-    """The distinct n-grams of a slice by rising hash: how often each comes, and where it first stands."""
+def _word_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """``span_hashes`` of the words, a stretch of PIECE_TEXT bytes at a time."""
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        upto = max(at + 1, int(np.searchsorted(stop, start[at] + PIECE_TEXT, "right")))
+        low = start[at]
+        out[at:upto] = shared.span_hashes(data[low : stop[upto - 1]], start[at:upto] - low, stop[at:upto] - low)
+        at = upto
+    return out
 
-    def __init__(self, langs: list[str], texts: list[str]):
-        hashes, begins, ends, sizes, owners = [], [], [], [], []
-        self.data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
-        for owner, (lang, data) in enumerate(zip(langs, self.data, strict=True)):
+
+class Grams:
+    """The distinct n-grams of a slice, by size and by rising hash: how often each comes and, if asked for, a place of it."""
+
+    def __init__(self, langs: list[str], texts: list[str], places: bool = False):
+        hashes: list[list[np.ndarray]] = [[] for _ in range(LONGEST + 1)]
+        begins, ends = [[] for _ in range(LONGEST + 1)], [[] for _ in range(LONGEST + 1)]
+        encoded = [t.encode() for t in texts]
+        offsets = np.concatenate(([0], np.cumsum([len(t) for t in encoded])))
+        self.data, self.offsets = np.frombuffer(b"".join(encoded), np.uint8), offsets
+        for lang, low, high in zip(langs, offsets[:-1], offsets[1:], strict=True):
+            data = self.data[low:high]
             name = np.frombuffer(b"\x00" + lang.encode(), np.uint8)
             seed = shared.span_hashes(name, np.array([0]), np.array([len(name)]))[0]
             stop = np.flatnonzero((data == 0x20) | (data == 0x0A))
             start = np.concatenate(([0], stop[:-1] + 1))
             inside = data[stop] == 0x20
-            words = shared.span_hashes(data, start, stop)
+            words = _word_hashes(data, start, stop)
             joined = np.ones(len(words), bool)
             total = np.full(len(words), seed, np.uint64)
             for n in range(1, LONGEST + 1):
@@ -126,31 +159,43 @@ class Grams:
                 total = total[:rows] + words[n - 1 :] * _ROLE[n]
                 joined = joined[:rows] & inside[n - 2 : n - 2 + rows] if n > 1 else joined
                 at = np.flatnonzero(joined)
-                hashes.append(shared.mix(total[at] ^ _SIZE_MARKS[n]))
-                begins.append(start[at])
-                ends.append(stop[at + n - 1])
-                sizes.append(np.full(len(at), n, np.int32))
-                owners.append(np.full(len(at), owner, np.int32))
-        self.hashes, first, self.counts = np.unique(np.concatenate(hashes), return_index=True, return_counts=True)
-        self.begins, self.ends, self.sizes, self.owners = (np.concatenate(x)[first] for x in (begins, ends, sizes, owners))
-
-    def cuts(self, parts: int) -> np.ndarray:
-        """Where each hash partition begins among the n-grams; the partition is a range of hashes."""
-        part = (self.hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-        return np.searchsorted(part, np.arange(parts + 1))
+                hashes[n].append(shared.mix(total[at] ^ _SIZE_MARKS[n]))
+                if places:
+                    begins[n].append((low + start[at]).astype(np.uint32))
+                    ends[n].append((low + stop[at + n - 1]).astype(np.uint32))
+        found: list[tuple[np.ndarray, ...]] = []
+        for n in range(1, LONGEST + 1):
+            own = np.concatenate(hashes[n]) if hashes[n] else np.empty(0, np.uint64)
+            hashes[n] = []
+            order = np.argsort(own) if places else None
+            own = own[order] if places else np.sort(own)
+            heads = np.flatnonzero(np.concatenate((own[:1] == own[:1], own[1:] != own[:-1])))
+            counts = np.diff(np.append(heads, len(own)))
+            # Any place of an n-gram spells it.
+            spots = [np.concatenate(x[n])[order[heads]] for x in (begins, ends)] if places and len(own) else [np.empty(0, np.uint32)] * 2
+            found.append((own[heads], counts, np.full(len(heads), n, np.int32), *spots))
+        self.sizes_at = np.concatenate(([0], np.cumsum([len(f[0]) for f in found])))
+        self.hashes, self.counts, self.sizes, self.begins, self.ends = (np.concatenate(x) for x in zip(*found, strict=True))
+
+    def parts(self, number: int) -> list[np.ndarray]:
+        """Bounds of each hash partition among the n-grams of each size: begin and end, a row for each partition."""
+        out = []
+        for low, high in zip(self.sizes_at[:-1], self.sizes_at[1:], strict=True):
+            part = (self.hashes[low:high] >> np.uint64(32)) * np.uint64(number) >> np.uint64(32)
+            cuts = low + np.searchsorted(part, np.arange(number + 1))
+            out.append(np.stack([cuts[:-1], cuts[1:]], axis=1))
+        return out
+
+    def langs(self, chosen: np.ndarray) -> np.ndarray:
+        """The number of the language of each chosen n-gram."""
+        return np.searchsorted(self.offsets, self.begins[chosen], "right") - 1
 
     def spelled(self, chosen: np.ndarray) -> pa.Array:
         """The chosen n-grams as text."""
-        out: list[pa.Array] = []
-        order = np.argsort(self.owners[chosen], kind="stable")
-        for owner in np.unique(self.owners[chosen]):
-            own = chosen[order[self.owners[chosen][order] == owner]]
-            sizes = self.ends[own] - self.begins[own]
-            upto = np.concatenate(([0], np.cumsum(sizes)))
-            place = np.arange(upto[-1]) - np.repeat(upto[:-1] - self.begins[own], sizes)
-            text = pa.py_buffer(self.data[owner][place].tobytes())
-            out.append(pa.LargeStringArray.from_buffers(len(own), pa.py_buffer(upto.astype(np.int64).tobytes()), text).cast(pa.string()))
-        return pa.concat_arrays(out).take(pa.array(np.argsort(order, kind="stable")))
+        begins, sizes = self.begins[chosen].astype(np.int64), (self.ends[chosen] - self.begins[chosen]).astype(np.int64)
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        place = np.arange(upto[-1]) - np.repeat(upto[:-1] - begins, sizes)
+        return pa.LargeStringArray.from_buffers(len(chosen), pa.py_buffer(upto.tobytes()), pa.py_buffer(self.data[place].tobytes())).cast(pa.string())
 
 
 class Summary:
@@ -181,13 +226,13 @@ def _sent(slices: DataFrame, parts: int, threshold: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 grams = Grams(row["langs"], row["texts"])
-                cuts, keys = grams.cuts(parts), grams.hashes.astype(np.uint32)
-                counts = np.minimum(grams.counts, min(threshold, 255)).astype(np.uint8)
-                some = np.flatnonzero(np.diff(cuts))
+                keys, counts = grams.hashes.astype(np.uint32), np.minimum(grams.counts, min(threshold, 255)).astype(np.uint8)
+                bounds = grams.parts(parts)
+                together = [(i, *(b"".join(x[b[i, 0] : b[i, 1]].tobytes() for b in bounds) for x in (keys, counts))) for i in range(parts)]
+                some = [t for t in together if t[1]]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(some, pa.int32()), pa.array([row["slice"]] * len(some), pa.string()),
-                    pa.array([keys[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary()),
-                    pa.array([counts[cuts[i] : cuts[i + 1]].tobytes() for i in some], pa.binary()),
+                    pa.array([t[0] for t in some], pa.int32()), pa.array([row["slice"]] * len(some), pa.string()),
+                    pa.array([t[1] for t in some], pa.binary()), pa.array([t[2] for t in some], pa.binary()),
                 ], names=schema.names)
 
     return slices.select("slice", "langs", "texts").mapInArrow(send, schema)
@@ -217,14 +262,13 @@ def _spelled(parts: int):
     def spell(slices: pa.Table, answers: pa.Table) -> pa.Table:
         """(lang, phrase, size, f): the survivors of one slice with their counts in it."""
         row = slices.to_pylist()[0]
-        grams = Grams(row["langs"], row["texts"])
-        cuts, alive = grams.cuts(parts), np.zeros(len(grams.hashes), bool)
+        grams = Grams(row["langs"], row["texts"], places=True)
+        bounds, alive = grams.parts(parts), np.zeros(len(grams.hashes), bool)
         for part, bits in zip(answers["part"].to_pylist(), answers["bits"].to_pylist(), strict=True):
-            alive[cuts[part] : cuts[part + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(cuts[part + 1] - cuts[part]))
+            own = np.concatenate([np.arange(*b[part]) for b in bounds])
+            alive[own] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own))
         chosen = np.flatnonzero(alive)
-        if not len(chosen):
-            return pa.table({"lang": pa.array([], pa.string()), "phrase": pa.array([], pa.string()), "size": pa.array([], pa.int32()), "f": pa.array([], pa.int64())})
-        langs = pa.array(row["langs"], pa.string()).take(pa.array(grams.owners[chosen]))
+        langs = pa.array(row["langs"], pa.string()).take(pa.array(grams.langs(chosen)))
         return pa.table({"lang": langs, "phrase": grams.spelled(chosen), "size": pa.array(grams.sizes[chosen]), "f": pa.array(grams.counts[chosen], pa.int64())})
 
     return spell

@@ -48,8 +48,8 @@ DEPTH, CELLS_PER_WINDOW, MOST_BITS = 2, 4, 29
 RANGE_BITS, SHARD_WINDOWS = 20, 1 << 20
 #: Copies of a text that may meet its runs in one task.
 COPIES = 512
-#: Bytes of text in one slice.
-SLICE_TEXT = 16 << 20
+#: Windows that one slice gathers before it sends anything.
+SLICE_WINDOWS = 2 << 20
 _SALT = np.uint64(0xA0761D6478BD642F)
 _ROW_SALTS = [np.uint64(0xE7037ED1A0B428DB * (2 * row + 1) % (1 << 64)) for row in range(8)]
 
@@ -63,7 +63,7 @@ class Windows:
         self.words = shared.span_hashes(data, starts, ends)
         self.n_words = np.diff(first)
         counts = np.maximum(self.n_words - size + 1, 0)
-        text = np.repeat(np.arange(len(counts)), counts)
+        text = self.text = np.repeat(np.arange(len(counts)), counts)
         begins = np.concatenate(([0], np.cumsum(counts)))
         self.begins = begins
         self.at = first[:-1][text] + np.arange(begins[-1]) - begins[:-1][text]
@@ -94,22 +94,27 @@ def sketch(texts: DataFrame, size: int, bits: int) -> np.ndarray:
     """One bit for every cell that counts two windows or more, row after row."""
     parts = shared.fields(("range", T.IntegerType()), ("once", T.BinaryType()), ("more", T.BinaryType()))
 
+    def sent(hashes: np.ndarray) -> pa.RecordBatch:
+        rows, edges = [], np.arange((1 << (bits - RANGE_BITS)) + 1, dtype=np.uint64) << np.uint64(RANGE_BITS)
+        for row in range(DEPTH):
+            cell, times = np.unique(cells(hashes, row, bits), return_counts=True)
+            cuts = np.searchsorted(cell, edges)
+            within = (cell & np.uint64((1 << RANGE_BITS) - 1)).astype(np.uint32)
+            for i in np.flatnonzero(np.diff(cuts)):
+                own, n = within[cuts[i] : cuts[i + 1]], times[cuts[i] : cuts[i + 1]]
+                rows.append(((row << (bits - RANGE_BITS)) + int(i), _packed(own[n == 1]), _packed(own[n > 1])))
+        kinds = (pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=parts.names)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in shared.slices(batches, most=SLICE_TEXT):
-            hashes = Windows(part.column("text"), size).hashes
-            if not len(hashes):
-                continue
-            rows = []
-            for row in range(DEPTH):
-                cell, times = np.unique(cells(hashes, row, bits), return_counts=True)
-                edges = np.arange((1 << (bits - RANGE_BITS)) + 1, dtype=np.uint64) << np.uint64(RANGE_BITS)
-                cuts = np.searchsorted(cell, edges)
-                within = (cell & np.uint64((1 << RANGE_BITS) - 1)).astype(np.uint32)
-                for i in np.flatnonzero(np.diff(cuts)):
-                    own, n = within[cuts[i] : cuts[i + 1]], times[cuts[i] : cuts[i + 1]]
-                    rows.append(((row << (bits - RANGE_BITS)) + int(i), _packed(own[n == 1]), _packed(own[n > 1])))
-            kinds = (pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=parts.names)
+        waiting: list[np.ndarray] = []
+        for part in shared.slices(batches):
+            waiting.append(Windows(part.column("text"), size).hashes)
+            if sum(map(len, waiting)) >= SLICE_WINDOWS:
+                yield sent(np.concatenate(waiting))
+                waiting = []
+        if sum(map(len, waiting)):
+            yield sent(np.concatenate(waiting))
 
     def merge(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, place = np.zeros(1 << RANGE_BITS, np.uint8), None
@@ -154,6 +159,15 @@ def estimated_repeated(bitmap: np.ndarray, hashes: np.ndarray, bits: int) -> np.
     return chosen
 
 
+def _changes(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Where the keys of a sorted table differ from those of the row before; the first row does."""
+    new = np.zeros(len(sorted_keys[0]), bool)
+    new[:1] = True
+    for key in sorted_keys:
+        new[1:] |= key[1:] != key[:-1]
+    return new
+
+
 def _shard(hashes: np.ndarray, shards: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int32)
 
@@ -168,31 +182,44 @@ def _candidates(texts: DataFrame, bitmap: np.ndarray, size: int, bits: int, shar
     """One row a slice with its texts and what it has settled (shard -1), and one a slice and shard with its candidates."""
     sent = texts.sparkSession.sparkContext.broadcast(bitmap)
 
+    def rows_of(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        first, second, place, keys, counts = (np.concatenate(p) for p in zip(*parts, strict=True))
+        name = uuid.uuid4().hex
+        order = np.lexsort((place, second, first))
+        first, second, place = first[order], second[order], place[order]
+        heads = np.flatnonzero(_changes(first, second))
+        times = np.diff(np.append(heads, len(first)))
+        rows = [(-1, name, None, None, None, keys.tobytes(), counts.tobytes(), place[np.repeat(times > 1, times)].tobytes())]
+        # One window of each kind, with the mark that the slice holds several.
+        first, second, marked = first[heads], second[heads], place[heads] << np.uint32(1) | (times > 1)
+        cuts = np.searchsorted(_shard(first, shards), np.arange(shards + 1))
+        for i in np.flatnonzero(np.diff(cuts)):
+            own = slice(cuts[i], cuts[i + 1])
+            rows.append((int(i), name, first[own].tobytes(), second[own].tobytes(), marked[own].tobytes(), None, None, None))
+        kinds = [pa.int32(), pa.string(), *[pa.binary()] * 6]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=_SENT.names)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in shared.slices(batches, most=SLICE_TEXT):
+        waiting: list[tuple[np.ndarray, ...]] = []
+        base = 0
+        for part in shared.slices(batches):
             windows = Windows(part.column("text"), size)
             chosen = estimated_repeated(sent.value, windows.hashes, bits)
-            if not len(chosen):
-                continue
-            name = uuid.uuid4().hex
-            first, second = windows.hashes[chosen], windows.second_hashes(chosen).astype(np.uint16)
-            order = np.lexsort((chosen, second, first))
-            chosen, first, second = chosen[order], first[order], second[order]
-            new = np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
-            heads = np.flatnonzero(new)
-            times = np.diff(np.append(heads, len(first)))
-            settled = np.repeat(times > 1, times)
-            keys = np.stack([part.column(c).to_numpy() for c in ("key_a", "key_b")], axis=1)
-            rows = [(-1, name, None, None, None, keys.tobytes(), np.diff(windows.begins).astype(np.int32).tobytes(), chosen[settled].astype(np.uint32).tobytes())]
-            # One window of each kind, with the mark that the slice holds several.
-            first, second, place, several = first[heads], second[heads], chosen[heads].astype(np.uint32), times > 1
-            shard = _shard(first, shards)
-            cuts = np.searchsorted(shard, np.arange(shards + 1))
-            for i in np.flatnonzero(np.diff(cuts)):
-                own = slice(cuts[i], cuts[i + 1])
-                rows.append((int(i), name, first[own].tobytes(), second[own].tobytes(), (place[own] << np.uint32(1) | several[own]).tobytes(), None, None, None))
-            kinds = [pa.int32(), pa.string(), *[pa.binary()] * 6]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=_SENT.names)
+            if len(chosen):
+                # Texts without a candidate need no place in the slice.
+                held = np.unique(windows.text[chosen])
+                counts = np.diff(windows.begins)[held]
+                begins = np.zeros(len(windows.begins), np.int64)
+                begins[held] = np.cumsum(counts) - counts
+                place = base + begins[windows.text[chosen]] + chosen - windows.begins[windows.text[chosen]]
+                keys = np.stack([part.column(c).to_numpy()[held] for c in ("key_a", "key_b")], axis=1)
+                waiting.append((windows.hashes[chosen], windows.second_hashes(chosen).astype(np.uint16), place.astype(np.uint32), keys, counts.astype(np.int32)))
+                base += int(counts.sum())
+            if base >= SLICE_WINDOWS:
+                yield rows_of(waiting)
+                waiting, base = [], 0
+        if waiting:
+            yield rows_of(waiting)
 
     return texts.mapInArrow(send, _SENT)
 
@@ -205,8 +232,7 @@ def _answer(rows: pa.Table) -> pa.Table:
     owner = np.repeat(np.arange(len(names)), [len(p) for p in parts[0]])
     order = np.lexsort((second, first))
     first, second, places, owner = first[order], second[order], places[order], owner[order]
-    new = np.concatenate(([True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
-    times = np.diff(np.append(np.flatnonzero(new), len(first)))
+    times = np.diff(np.append(np.flatnonzero(_changes(first, second)), len(first)))
     # What a slice has settled itself needs no answer, but counts.
     told = np.repeat(times > 1, times) & (places & 1 == 0)
     places, owner = places[told] >> np.uint32(1), owner[told]
