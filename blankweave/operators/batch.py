@@ -143,7 +143,7 @@ def apply_edits(segments: DataFrame, edits: DataFrame, requests: DataFrame | Non
     spark = segments.sparkSession
     levelled = written(dependency_levels(segments, edits), "edit-levels")
     plan = {(r["level"], r["type"]) for r in levelled.select("level", "type").distinct().toLocalIterator()}
-    asked = levelled.select("doc_id").distinct()
+    asked = edits.select("doc_id").distinct()
     state = segments.join(asked, "doc_id", "left_semi")
     results = spark.createDataFrame([], "doc_id bigint, op_index bigint, type string, status string, error string")
     held: list[DataFrame] = []

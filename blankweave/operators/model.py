@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blankweave.functions import naming as N
@@ -71,38 +71,36 @@ def suggested_renames(replies: DataFrame) -> DataFrame:
     )
 
 
-def rule_extract(messages: DataFrame, fields: list[str]) -> DataFrame:
-    """``label: value`` pairs whose slug is a field, and the first date as day, month and year.
+def extracted_pairs(message: Column, fields: list[str]) -> Column:
+    """``label: value`` pairs whose slug is a field, and the first date as day, month and year, as an array on the row.
 
-    Output ``(message_id, field_name, value)``; the last pair of a message wins.
+    The last pair of a name wins, pairs win over the date; pairs without a value don't count.
     """
     pair = r"(?U)([^:;\n]+):[ \t]*([^;\n]*)"
-    labels = F.regexp_extract_all("message", F.lit(pair), F.lit(1))
-    values = F.regexp_extract_all("message", F.lit(pair), F.lit(2))
-    pairs = messages.select(
-        "message_id", F.posexplode(F.arrays_zip(labels.alias("label"), values.alias("value"))).alias("pos", "p")
-    ).select("message_id", "pos", N.slugify(F.col("p.label")).alias("field_name"), T.strip(F.col("p.value")).alias("value"))
+    labels = F.regexp_extract_all(message, F.lit(pair), F.lit(1))
+    values = F.regexp_extract_all(message, F.lit(pair), F.lit(2))
+
+    def entry(name: Column, value: Column) -> Column:
+        return F.struct(name.alias("field_name"), value.alias("value"))
 
+    pairs = F.zip_with(labels, values, lambda label, value: entry(N.slugify(label), T.strip(value)))
     day_first = r"(?:^|\D)(\d{1,2})[/-](\d{1,2})[/-](\d{4})(?!\d)"
     year_first = r"(?:^|\D)(\d{4})[/-](\d{1,2})[/-](\d{1,2})(?!\d)"
-    text = F.col("message")
-    iso = text.rlike(year_first)
-
-    def part(of_iso: int, of_day_first: int):
-        return F.when(iso, F.regexp_extract(text, year_first, of_iso)).otherwise(
-            F.regexp_extract(text, day_first, of_day_first)
-        )
-
-    dates = F.array(
-        F.struct(F.lit("ngay").alias("field_name"), part(3, 1).alias("value")),
-        F.struct(F.lit("thang").alias("field_name"), part(2, 2).alias("value")),
-        F.struct(F.lit("nam").alias("field_name"), part(1, 3).alias("value")),
-    )
-    dated = messages.select("message_id", F.lit(-1).alias("pos"), F.explode(dates).alias("d")).select(
-        "message_id", "pos", "d.field_name", "d.value"
-    )
-    return (
-        pairs.unionByName(dated)
-        .where(F.col("field_name").isin(*fields) & (F.col("value") != ""))
-        .groupBy("message_id", "field_name").agg(F.max_by("value", "pos").alias("value"))
-    )
+    iso = message.rlike(year_first)
+
+    def part(name: str, of_iso: int, of_day_first: int) -> Column:
+        return entry(F.lit(name), F.when(iso, F.regexp_extract(message, year_first, of_iso)).otherwise(F.regexp_extract(message, day_first, of_day_first)))
+
+    dates = F.array(part("ngay", 3, 1), part("thang", 2, 2), part("nam", 1, 3))
+    known = F.filter(F.concat(dates, pairs), lambda p: F.coalesce(p["field_name"].isin(*fields) & (p["value"] != ""), F.lit(False)))
+    last = F.filter(known, lambda p, i: ~F.exists(F.slice(known, i + 2, F.size(known)), lambda later: later["field_name"] == p["field_name"]))
+    return F.coalesce(last, F.array().cast("array<struct<field_name:string,value:string>>"))
+
+
+def rule_extract(messages: DataFrame, fields: list[str]) -> DataFrame:
+    """``extracted_pairs`` of ``messages(message_id, message)`` as rows ``(message_id, field_name, value)``.
+
+    Of messages with one id the greatest value of a field is kept.
+    """
+    pairs = messages.select("message_id", F.explode(extracted_pairs(F.col("message"), fields)).alias("p"))
+    return pairs.groupBy("message_id", "p.field_name").agg(F.max("p.value").alias("value"))

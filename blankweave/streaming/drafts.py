@@ -124,19 +124,27 @@ def state_values(changes: DataFrame) -> DataFrame:
     )
 
 
-def merge_finished_drafts(changes_path: str, segments: DataFrame, out_path: str, locks: DataFrame | None = None):
+def current_values(changes: DataFrame) -> DataFrame:
+    """The changes of one batch as rows of a table keyed by draft and field; NULL where the draft expired after them."""
+    expired = changes.where("kind = 'expired'").groupBy("draft_id").agg(F.max("ts").alias("_gone"))
+    last = changes.where("change IN ('explicit', 'updated', 'corrected', 'same')").groupBy("draft_id", "field_name").agg(
+        F.max_by(F.struct("value", "ts"), F.struct("ts", "seq")).alias("l")
+    )
+    alive = F.col("_gone").isNull() | (F.col("l.ts") > F.col("_gone"))
+    return last.join(expired, "draft_id", "left").select("draft_id", "field_name", F.when(alive, F.col("l.value")).alias("value"), F.col("l.ts").alias("ts"))
+
+
+def merge_finished_drafts(values_of, segments: DataFrame, out_path: str, locks: DataFrame | None = None):
     """``foreachBatch`` function: merge the drafts of a batch of ``(draft_id, template_id)`` requests.
 
-    Values are those ``draft_state`` wrote up to now. Each batch owns one
-    partition folder and overwrites it, so a batch that runs again after a
-    failure leaves no second copy. Missing fields are listed, not refused.
+    ``values_of(wanted)`` gives (draft_id, field_name, value) as they are now, for the drafts of the batch; a
+    ``KeyedTable`` reads only what holds those. Each batch owns one partition folder and overwrites it, so a batch that
+    runs again after a failure leaves no second copy. Missing fields are listed, not refused.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         wanted = batch.select(F.col("draft_id").alias("record_id"), "template_id").distinct()
-        changes = spark.read.parquet(changes_path).join(batch.select("draft_id").distinct(), "draft_id", "left_semi")
-        values = state_values(changes).withColumnRenamed("draft_id", "record_id")
+        values = values_of(batch.select("draft_id").distinct()).select(F.col("draft_id").alias("record_id"), "field_name", "value")
         fields = segments.where("kind = 'field'")
         lock_rows = locks if locks is not None else values.select("record_id", "field_name").where("false")
         missing = (

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blankweave.sources.paths import fresh_path
+from blankweave.sources.paths import fresh_path, remove_folder
+from blankweave.streaming.keyed import KeyedTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -24,16 +25,22 @@ def run_append(stream: DataFrame, name: str) -> DataFrame:
         .option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    remove_folder(spark, f"{path}/checkpoint")
     return spark.read.schema(stream.schema).parquet(f"{path}/table")
 
 
-def run_complete(stream: DataFrame, name: str) -> DataFrame:
-    """Run an aggregation to its end; each batch overwrites the table of totals."""
+def run_keyed(stream: DataFrame, name: str, keys: list[str], rows_of=lambda batch: batch, mode: str = "update") -> KeyedTable:
+    """Run a stream to its end into a table of current values: each batch writes the keys it changed.
+
+    ``rows_of`` makes at most one row per key of a micro-batch.
+    """
     spark = stream.sparkSession
     path = fresh_path(spark, name)
+    table = KeyedTable(spark, f"{path}/table", keys)
     query = (
-        stream.writeStream.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{path}/table"))
-        .option("checkpointLocation", f"{path}/checkpoint").outputMode("complete").trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(lambda batch, batch_id: table.upsert(rows_of(batch), batch_id))
+        .option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/table")
+    remove_folder(spark, f"{path}/checkpoint")
+    return table

@@ -1,6 +1,7 @@
 """Fill conversations as a stream."""
 
 import os
+import re
 import subprocess
 import sys
 from datetime import datetime, timedelta
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from blankweave.operators import drafts as D
 from blankweave.streaming import drafts as SD
+from blankweave.streaming import fill as SF
+from blankweave.streaming.keyed import KeyedTable
 from blankweave.streaming.runs import run_append
 
 MESSAGES = "draft_id bigint, seq bigint, ts timestamp, field_name string, value string, is_explicit boolean"
@@ -94,19 +97,81 @@ def test_merging_a_batch_twice_leaves_one_copy(spark, tmp_path):
     changes = spark.createDataFrame(
         [(1, "message", 1, START, "a", "x", "", "updated", [], ["a"], [])], SD.OUT_SCHEMA
     )
-    changes.write.parquet(str(tmp_path / "changes"))
+    held = KeyedTable(spark, str(tmp_path / "held"), ["draft_id", "field_name"])
+    held.upsert(SD.current_values(changes), 0)
     letter = spark.createDataFrame(
         [(5, 0, 0, "text", "Tên:", None, None, None), (5, 0, 1, "field", None, "a", "", "...."), (5, 0, 2, "field", None, "b", "", "....")],
         "template_id bigint, block_index bigint, seg_index bigint, kind string, text string, field_name string, switch string, original_text string",
     )
     requests = spark.createDataFrame([(1, 5)], "draft_id bigint, template_id bigint")
-    write = SD.merge_finished_drafts(str(tmp_path / "changes"), letter, str(tmp_path / "out"))
+    write = SD.merge_finished_drafts(lambda ids: held.current_of(ids, ["draft_id"]), letter, str(tmp_path / "out"))
     for _ in range(2):
         write(requests, 3)
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r.record_id, r.text, r.missing) for r in rows] == [(1, "Tên: x ....", ["b"])]
 
 
+def test_a_keyed_table_keeps_the_last_batch_of_each_key(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "t"), ["k"])
+    schema = "k bigint, v string"
+    table.upsert(spark.createDataFrame([(i, "old") for i in range(200)], schema), 0)
+    for _ in range(2):  # a batch that runs again overwrites its rows
+        table.upsert(spark.createDataFrame([(1, "new"), (2, None)], schema), 1)
+    got = {r.k: r.v for r in table.current().collect()}
+    assert len(got) == 200 and got[1] == "new" and got[2] is None and got[3] == "old"
+    written = [f for f in (tmp_path / "t" / "_batch=1").rglob("*.parquet")]
+    assert len(written) <= 2  # what a batch writes follows the keys it changed
+    wanted = spark.createDataFrame([(1,), (7,)], "k bigint")
+    few = table.current_of(wanted)
+    assert {(r.k, r.v) for r in few.collect()} == {(1, "new"), (7, "old")}
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    own = {r[0] for r in wanted.select(table._bucket()).collect()}
+    assert any(re.search(rf"PartitionFilters: .*_bucket#\d+ (?:IN \({','.join(map(str, order))}\)|= {order[0]}\b)", plan) for order in (sorted(own), sorted(own)[::-1]))
+    table.upsert(spark.createDataFrame([(1, "newest")], schema), 2)
+    table.compact(1)
+    table.compact(1)
+    again = {r.k: r.v for r in table.current().collect()}
+    assert again == {**got, 1: "newest"} and not (tmp_path / "t" / "_batch=0" / "_run=0").exists()
+
+
+FILL = "draft_id bigint, seq bigint, ts timestamp, message string, typed_names array<string>, typed_values array<string>"
+
+
+def fill(spark, folder, *files):
+    for i, rows in enumerate(files):
+        out = [(d, s, START + timedelta(hours=h), text, list(typed), list(typed.values())) for d, s, h, text, typed in rows]
+        spark.createDataFrame(out, FILL).coalesce(1).write.mode("append").parquet(f"{folder}/{i:03d}")
+    stream = spark.readStream.schema(FILL).option("maxFilesPerTrigger", 1).parquet(f"{folder}/*")
+    return SF.with_pairs(stream, ["a", "b", "ngay"])
+
+
+def test_messages_of_text_fill_drafts_whatever_the_batches(spark, tmp_path):
+    """One draft holds most messages; one batch or many give the same rows."""
+    rows = [(1, i, i * 0.01, f"A: x{i // 2}; B: {'' if i % 3 else i}; zz: no", {}) for i in range(60)]
+    rows += [(9, 1, 0, "b: locked\nA: first; A: last", {}), (9, 2, 1, "a: ; 3/4/2020", {"a": "typed", "c": "free"}), (2, 1, 0, None, {})]
+    lists = spark.createDataFrame([(1, ["a", "b"], []), (9, ["a", "b", "ngay"], ["b"]), (2, ["a"], None)], "draft_id bigint, fields array<string>, locked array<string>")
+    got = []
+    for name, files in (("one", [rows]), ("many", [rows[:20], rows[20:45], rows[45:]])):
+        out = run_append(SF.fill_state(fill(spark, tmp_path / name, *files), lists, ttl_ms=10**12), "test")
+        got.append({(r.draft_id, r.seq): (r.missing, r.updated, r.corrected) for r in out.where("kind = 'message'").collect()})
+        final = {r.draft_id: dict(zip(r.names, r.held)) for r in SF.states(out).collect()}
+        assert final[1] == {"a": "x29", "b": "57"} and final[9] == {"a": "typed", "c": "free", "ngay": "3"} and final[2] == {}
+    assert got[0] == got[1]
+    assert got[0][9, 1] == (["ngay"], ["a"], []) and got[0][9, 2] == ([], ["ngay"], []) and got[0][2, 1] == (["a"], [], [])
+    assert got[0][1, 0] == ([], ["a", "b"], []) and got[0][1, 2] == ([], [], ["a"]) and got[0][1, 3] == ([], [], ["b"])
+
+
+def test_a_silent_draft_begins_anew_inside_a_batch_and_between_batches(spark, tmp_path):
+    rows = [(1, 1, 0, "a: x", {}), (1, 2, 30, "a: x", {}), (1, 3, 31, "a: x", {}), (2, 1, 200, "a: y", {})]
+    lists = drafts(spark, 1, 2)
+    for name, files in (("one", [rows]), ("two", [rows[:1], rows[1:]]), ("four", [[r] for r in rows])):
+        out = run_append(SF.fill_state(fill(spark, tmp_path / name, *files), lists, late_by="2 hours"), "test")
+        told = {(r.seq, tuple(r.updated)) for r in out.where("kind = 'message' AND draft_id = 1").collect()}
+        assert told == {(1, ("a",)), (2, ("a",)), (3, ())}
+        gone = sorted(r.ts for r in out.where("kind = 'expired' AND draft_id = 1").collect())
+        assert gone == [START + timedelta(hours=24), START + timedelta(hours=55)]
+
+
 def test_usage_counts(spark):
     rows = [(1, "a", 2, 3, 0), (1, "a", 1, 0, 9), (1, "b", 0, 0, 0)]
     usage = spark.createDataFrame(rows, "template_id bigint, step string, prompt_tokens bigint, completion_tokens bigint, total_tokens bigint")
