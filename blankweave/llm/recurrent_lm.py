@@ -37,11 +37,13 @@ from . import shared
 
 CHUNK_BYTES = 16 << 20
 VOCABULARY, MEMBERS, HIDDEN, WINDOW = 1024, 32, 24, 32
-STREAMS, SHARE = 128, 1 / 2
+STREAMS, SHARE = 256, 1 / 2
 #: Words outside the vocabulary are read by their last two bytes.
 ENDINGS = 256
 #: Words scored at once, and words of a partition trained on at once.
-SCORED_WORDS, TRAINED_WORDS = 1 << 18, 1 << 20
+SCORED_WORDS, TRAINED_WORDS = 1 << 20, 1 << 20
+#: Rows whose probabilities are worked out in one go.
+_BLOCK = 8192
 HELD_OUT, DIVISOR = 2, 7
 END_KEY = np.uint64(0x5851F42D4C957F2D)
 _SLICE = 2000
@@ -101,16 +103,20 @@ class Network:
 
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logarithms of the targets' probabilities."""
-        logits = states @ self.to_class + self.class_bias
-        kind, member = targets // MEMBERS, targets % MEMBERS
-        rows = np.arange(len(targets))
-        out = logits[rows, kind] - _log_sum(logits)
-        order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(len(self.to_word) + 1))
-        for k in np.flatnonzero(bounds[1:] > bounds[:-1]):
-            own = order[bounds[k] : bounds[k + 1]]
-            inside = states[own] @ self.to_word[k] + self.word_bias[k]
-            out[own] += inside[np.arange(len(own)), member[own]] - _log_sum(inside)
+        out = np.empty(len(targets), np.float32)
+        for at in range(0, len(targets), _BLOCK):
+            flat, goal = states[at : at + _BLOCK], targets[at : at + _BLOCK]
+            kind, member = goal // MEMBERS, goal % MEMBERS
+            logits = self.to_class.T @ flat.T + self.class_bias[:, None]
+            own = logits[kind, np.arange(len(goal))] - _log_sum(logits)
+            order, bounds = _by_class(kind, len(self.to_word))
+            flat, member, inner = flat[order], member[order], np.empty(len(goal), np.float32)
+            for k in np.flatnonzero(bounds[1:] > bounds[:-1]):
+                low, high = bounds[k], bounds[k + 1]
+                inside = self.to_word[k].T @ flat[low:high].T + self.word_bias[k][:, None]
+                inner[low:high] = inside[member[low:high], np.arange(high - low)] - _log_sum(inside)
+            own[order] += inner
+            out[at : at + _BLOCK] = own
         return out
 
     def gradients(self, inputs: np.ndarray, fresh: np.ndarray, targets: np.ndarray, state: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -126,21 +132,23 @@ class Network:
             states[t] = state
         flat, goal, n = states.reshape(-1, HIDDEN), targets.reshape(-1), targets.size
         kind, member = goal // MEMBERS, goal % MEMBERS
-        chance = _softmax(flat @ self.to_class + self.class_bias)
-        chance[np.arange(n), kind] -= 1
+        # Classes and members are rows here, so that their sums run along long rows.
+        chance = _softmax(self.to_class.T @ flat.T + self.class_bias[:, None])
+        chance[kind, np.arange(n)] -= 1
         chance /= n
-        d_to_class, d_class_bias = flat.T @ chance, chance.sum(axis=0)
-        d_states = chance @ self.to_class.T
+        d_to_class, d_class_bias = (chance @ flat).T, chance.sum(axis=1)
+        d_states = chance.T @ self.to_class.T
         d_to_word, d_word_bias = np.zeros_like(self.to_word), np.zeros_like(self.word_bias)
-        order = np.argsort(kind, kind="stable")
-        bounds = np.searchsorted(kind[order], np.arange(len(self.to_word) + 1))
+        order, bounds = _by_class(kind, len(self.to_word))
+        flat, member, d_inner = flat[order], member[order], np.empty((n, HIDDEN), np.float32)
         for k in np.flatnonzero(bounds[1:] > bounds[:-1]):
-            own = order[bounds[k] : bounds[k + 1]]
-            inside = _softmax(flat[own] @ self.to_word[k] + self.word_bias[k])
-            inside[np.arange(len(own)), member[own]] -= 1
+            low, high = bounds[k], bounds[k + 1]
+            inside = _softmax(self.to_word[k].T @ flat[low:high].T + self.word_bias[k][:, None])
+            inside[member[low:high], np.arange(high - low)] -= 1
             inside /= n
-            d_to_word[k], d_word_bias[k] = flat[own].T @ inside, inside.sum(axis=0)
-            d_states[own] += inside @ self.to_word[k].T
+            d_to_word[k], d_word_bias[k] = (inside @ flat[low:high]).T, inside.sum(axis=1)
+            d_inner[low:high] = inside.T @ self.to_word[k].T
+        d_states[order] += d_inner
         d_states = d_states.reshape(steps, streams, HIDDEN)
         d_read = np.empty((steps, streams, 3 * HIDDEN), np.float32)
         d_again, ahead = np.zeros_like(self.again), np.zeros((streams, HIDDEN), np.float32)
@@ -208,7 +216,7 @@ class Network:
                 held.append(state)
                 rows.append((n, place))
                 filled += n
-                if filled >= SCORED_WORDS // 4:
+                if filled >= SCORED_WORDS // 8:
                     settle()
                     held, rows, filled = [], [], 0
             if filled:
@@ -218,14 +226,21 @@ class Network:
         return out
 
 
+def _by_class(kind: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of the rows by class, and where each class begins in it."""
+    order = np.argsort(kind, kind="stable")
+    return order, np.searchsorted(kind[order], np.arange(classes + 1))
+
+
 def _log_sum(x: np.ndarray) -> np.ndarray:
-    top = x.max(axis=1, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis=1)) + top[:, 0]
+    """Logarithms of the sums of exponentials, column by column."""
+    top = x.max(axis=0)
+    return np.log(np.exp(x - top).sum(axis=0)) + top
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=1, keepdims=True))
-    return x / x.sum(axis=1, keepdims=True)
+    x = np.exp(x - x.max(axis=0))
+    return x / x.sum(axis=0)
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
