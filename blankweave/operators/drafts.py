@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 
 from blankweave.functions import text as T
 from blankweave.operators.ranking import previous_value
-from blankweave.operators.skew import salted_join
+from blankweave.operators.skew import hot_join
+
+#: Bands of a draft with more messages than one task should hold, and that number.
+BANDS, BAND_ROWS = 128, 4096
 
 
 def effective_value() -> Column:
@@ -23,19 +26,33 @@ def effective_value() -> Column:
     return F.when(F.col("is_explicit"), value).when(F.col("_open") & ~T.is_blank(value), T.strip(value))
 
 
+def _open_to(messages: DataFrame, known: DataFrame) -> DataFrame:
+    """Messages joined to ``known(draft_id, _fields, _locked, ...)``; a draft may hold most of all messages and is split then."""
+    joined = hot_join(messages, known, ["draft_id"], F.col("seq"))
+    is_open = F.array_contains("_fields", F.col("field_name")) & ~F.array_contains("_locked", F.col("field_name"))
+    return joined.withColumn("_open", is_open).drop("_fields", "_locked")
+
+
+def _lists(drafts: DataFrame) -> DataFrame:
+    return drafts.select("draft_id", F.col("fields").alias("_fields"), F.coalesce("locked", F.array().cast("array<string>")).alias("_locked"))
+
+
 def with_open_fields(messages: DataFrame, drafts: DataFrame | None) -> DataFrame:
-    """Messages with ``_open``: whether their field may be extracted. Messages of unknown drafts go.
+    """Messages with ``_open``: whether their field may be extracted. Messages of unknown drafts go."""
+    return messages.withColumn("_open", F.lit(True)) if drafts is None else _open_to(messages, _lists(drafts))
 
-    A draft may hold most of all messages, so the join is salted.
+
+def time_bands(messages: DataFrame, depth: int = BAND_ROWS) -> DataFrame:
+    """``(draft_id, _edges)``: times that cut the messages of a draft into bands of about equal depth.
+
+    A draft of ``depth`` messages or less is one band; a larger one has BANDS, however its messages lie in time. Messages
+    of one instant stay together.
     """
-    if drafts is None:
-        return messages.withColumn("_open", F.lit(True))
-    lists = drafts.select("draft_id", F.col("fields").alias("_fields"), F.coalesce("locked", F.array().cast("array<string>")).alias("_locked"))
-    return (
-        salted_join(messages, lists, ["draft_id"], F.col("seq"))
-        .withColumn("_open", F.array_contains("_fields", F.col("field_name")) & ~F.array_contains("_locked", F.col("field_name")))
-        .drop("_fields", "_locked")
+    steps = [i / BANDS for i in range(1, BANDS)]
+    counted = messages.groupBy("draft_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), steps, 20 * BANDS).alias("_cuts")
     )
+    return counted.select("draft_id", F.when(F.col("_n") > depth, F.array_distinct("_cuts")).otherwise(F.array().cast("array<bigint>")).alias("_edges"))
 
 
 def latest_values(messages: DataFrame, drafts: DataFrame | None = None) -> DataFrame:
@@ -57,9 +74,15 @@ def classify(old: Column, value: Column, is_explicit: Column, is_open: Column) -
     )
 
 
-def message_changes(messages: DataFrame, drafts: DataFrame | None = None, band: str = "hour") -> DataFrame:
-    """Each message with the value before it and what it did; ``band`` is the unit of time that one task may hold of a draft."""
-    banded = with_open_fields(messages, drafts).withColumn("_band", F.date_trunc(band, "ts"))
+def message_changes(messages: DataFrame, drafts: DataFrame | None = None, depth: int = BAND_ROWS) -> DataFrame:
+    """Each message with the value before it and what it did; ``depth`` is about how many messages of a draft one task holds."""
+    bands = time_bands(messages, depth)
+    if drafts is None:
+        placed = hot_join(messages, bands, ["draft_id"], F.col("seq")).withColumn("_open", F.lit(True))
+    else:
+        placed = _open_to(messages, _lists(drafts).join(bands, "draft_id"))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    banded = placed.withColumn("_band", F.size(F.filter("_edges", lambda e: e < at))).drop("_edges")
     seen = previous_value(
         banded, ["draft_id", "field_name"], "_band", ["ts", "seq"], effective_value(), "old_value"
     ).drop("_band")

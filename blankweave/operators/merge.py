@@ -14,12 +14,16 @@ from pyspark.sql import functions as F
 
 from blankweave import fixed_values as V
 from blankweave.functions import text as T
-from blankweave.operators.skew import SALTS, salted_join
+from blankweave.operators.skew import SLICE_ROWS, hot_join
 
 
-def with_template(records: DataFrame, rows: DataFrame, salts: int = SALTS) -> DataFrame:
-    """Records joined to rows of their template; one popular template may serve most records."""
-    return salted_join(records, rows, ["template_id"], F.col("record_id"), salts)
+def with_template(records: DataFrame, rows: DataFrame, counted: DataFrame | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Records joined to rows of their template.
+
+    One popular template may serve most records: the hot ones, found by counting, are split by their share, and only
+    their rows are copied. ``counted`` are the records before they were joined to anything.
+    """
+    return hot_join(records, rows, ["template_id"], F.col("record_id"), slice_rows=slice_rows, counted=counted)
 
 
 def _value_order(values: DataFrame) -> Column:
@@ -133,7 +137,7 @@ def records_with_values(records: DataFrame, values: DataFrame, locks: DataFrame
 
 def render_blocks(records: DataFrame, segments: DataFrame, values: DataFrame, locks: DataFrame | None = None) -> DataFrame:
     """Merged text per record and block."""
-    rows = with_template(records_with_values(records, values, locks), template_bodies(segments))
+    rows = with_template(records_with_values(records, values, locks), template_bodies(segments), counted=records)
     return rows.select(
         "record_id", "template_id", "values", "locked", F.explode("blocks").alias("_b")
     ).select(
@@ -148,7 +152,7 @@ def render_documents(records: DataFrame, segments: DataFrame, values: DataFrame,
     Values are gathered per record once; the template arrives as one nested
     row, and rendering happens inside the row: no shuffle of rendered text.
     """
-    rows = with_template(records_with_values(records, values, locks), template_bodies(segments))
+    rows = with_template(records_with_values(records, values, locks), template_bodies(segments), counted=records)
     texts = F.transform(
         F.col("blocks"), lambda b: _render(b["segments"], F.col("values"), F.col("locked"))
     )

@@ -38,6 +38,17 @@ def numbered(df: DataFrame, keys: list[str], band: list[str], order: list[str],
     )
 
 
+def running_total(df: DataFrame, keys: list[str], band: Column, order: list[str], value: Column, name: str) -> DataFrame:
+    """Exact sum of ``value`` over the rows before each row of a key; ``band`` has to rise with the order."""
+    banded = df.withColumn("_band", band).withColumn("_value", value)
+    sums = banded.groupBy(*keys, "_band").agg(F.sum("_value").alias("_s"))
+    earlier = W.partitionBy(*keys).orderBy("_band").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select(*keys, "_band", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_skip"))
+    local = F.sum("_value").over(W.partitionBy(*keys, "_band").orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
+    total = (F.col("_skip") + F.coalesce(local, F.lit(0))).cast("bigint")
+    return banded.join(starts, [*keys, "_band"]).withColumn(name, total).drop("_skip", "_band", "_value")
+
+
 def previous_value(
     df: DataFrame, keys: list[str], band: str, order: list[str], value: Column, name: str
 ) -> DataFrame:

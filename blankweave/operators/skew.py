@@ -32,15 +32,16 @@ def hot_keys(many: DataFrame, keys: list[str], slice_rows: int = SLICE_ROWS, mos
 
 def hot_join(
     many: DataFrame, few: DataFrame, keys: list[str], spread_by: Column, how: str = "inner",
-    slice_rows: int = SLICE_ROWS, most: int = HOT_KEYS,
+    slice_rows: int = SLICE_ROWS, most: int = HOT_KEYS, counted: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join whose hot keys, and only they, are spread over slices by their share of ``many``.
 
     The rows of ``few`` repeat once per slice of a hot key; those of cold keys stay single. The list of hot keys has
     ``most`` rows at most, so it may go to all tasks. Rows are those of the plain join (inner, left or left_semi);
-    rows of ``many`` without a key are spread, too.
+    rows of ``many`` without a key are spread, too. Keys are counted in ``counted``, a table with the keys of ``many``
+    that is cheaper to read, or in ``many``.
     """
-    hot = F.broadcast(hot_keys(many, keys, slice_rows, most))
+    hot = F.broadcast(hot_keys(many if counted is None else counted, keys, slice_rows, most))
     spread = F.xxhash64(spread_by)
     nameless = F.greatest(*[F.col(k).isNull() for k in keys], F.lit(False))
     slice_of = F.when(nameless, F.pmod(spread, F.lit(4096))).otherwise(F.coalesce(F.pmod(spread, F.col("_slices")), F.lit(0)))

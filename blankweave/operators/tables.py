@@ -1,9 +1,9 @@
 """Tables inside documents: structure, growth and grid edits.
 
 ``cells(table_id, row, col, text)``, one row per visible cell. Counting and
-planning aggregate with map-side combine, so a very large table never has to
-sit in one task; only texts of one table (summary, grid) are gathered, and a
-table is part of one document of bounded size.
+planning aggregate with map-side combine, and lines of text are rows with their
+place in the whole, so a very large table never has to sit in one task. Only who
+asks for the text of a table as one value (summary, grid) gathers its lines.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from blankweave.functions import naming as N
 from blankweave.functions import text as T
-from blankweave.operators.ranking import numbered, with_op_index
+from blankweave.operators.ranking import numbered, running_total, with_op_index
 from blankweave.operators.skew import salted_join
 
 ROW_BAND = 4096
@@ -46,31 +46,43 @@ def _rows(cells: DataFrame) -> DataFrame:
     )
 
 
-def table_summary(cells: DataFrame) -> DataFrame:
-    """Cells joined by `` | ``, rows by newline; rows without text are dropped."""
+def summary_lines(cells: DataFrame) -> DataFrame:
+    """``(table_id, row, line, spoken)``: the cells of a row joined by `` | ``; ``spoken`` if any shows something."""
     trimmed = cells.withColumn("text", T.strip(F.coalesce("text", F.lit(""))))
-    rows = _rows(trimmed).select(
-        "table_id", "row", F.array_join(F.col("_c.text"), " | ").alias("line"), "_spoken"
-    )
-    parts = F.array_sort(F.collect_list(F.when(F.col("_spoken"), F.struct("row", "line"))))
-    return rows.groupBy("table_id").agg(parts.alias("_r"), F.max("_spoken").alias("has_content")).select(
-        "table_id", F.array_join(F.col("_r.line"), "\n").alias("summary"), "has_content"
-    )
+    return _rows(trimmed).select("table_id", "row", F.array_join(F.col("_c.text"), " | ").alias("line"), F.col("_spoken").alias("spoken"))
 
 
-def table_grid_text(cells: DataFrame) -> DataFrame:
-    """``Row i: "a" | [EMPTY] | ...`` per table."""
-    shown = F.when(T.is_blank(F.col("text")), F.lit("[EMPTY]")).otherwise(
-        F.concat(F.lit('"'), T.strip(F.col("text")), F.lit('"'))
-    )
-    rows = _rows(cells.withColumn("text", shown)).select(
-        "table_id", "row",
-        F.concat(F.lit("Row "), F.col("row").cast("string"), F.lit(": "), F.array_join(F.col("_c.text"), " | ")).alias("line"),
-    )
+def grid_lines(cells: DataFrame) -> DataFrame:
+    """``(table_id, row, line)`` with lines ``Row i: "a" | [EMPTY] | ...``."""
+    shown = F.when(T.is_blank(F.col("text")), F.lit("[EMPTY]")).otherwise(F.concat(F.lit('"'), T.strip(F.col("text")), F.lit('"')))
+    line = F.concat(F.lit("Row "), F.col("row").cast("string"), F.lit(": "), F.array_join(F.col("_c.text"), " | "))
+    return _rows(cells.withColumn("text", shown)).select("table_id", "row", line.alias("line"))
+
+
+def with_line_starts(lines: DataFrame) -> DataFrame:
+    """Lines with ``start_pos``, their place in the text that the lines of a table make when joined by newlines.
+
+    A table may hold any share of all rows: starts are prefix sums in two levels, and no table is gathered.
+    """
+    return running_total(lines, ["table_id"], F.floor(F.col("row") / ROW_BAND), ["row"], F.length("line") + 1, "start_pos")
+
+
+def _joined(lines: DataFrame, name: str) -> DataFrame:
+    """The lines of each table as one text, which the caller asks for: it has to fit a row."""
     parts = F.array_sort(F.collect_list(F.struct("row", "line")))
-    return rows.groupBy("table_id").agg(parts.alias("_r")).select(
-        "table_id", F.array_join(F.col("_r.line"), "\n").alias("grid")
-    )
+    return lines.groupBy("table_id").agg(F.array_join(parts["line"], "\n").alias(name))
+
+
+def table_summary(cells: DataFrame) -> DataFrame:
+    """``summary_lines`` of each table as one text without the rows that show nothing, and ``has_content``."""
+    lines = summary_lines(cells)
+    shown = F.array_sort(F.collect_list(F.when(F.col("spoken"), F.struct("row", "line"))))
+    return lines.groupBy("table_id").agg(F.array_join(shown["line"], "\n").alias("summary"), F.max("spoken").alias("has_content"))
+
+
+def table_grid_text(cells: DataFrame) -> DataFrame:
+    """``grid_lines`` of each table as one text."""
+    return _joined(grid_lines(cells), "grid")
 
 
 def table_structure(cells: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blankweave.operators import drafts as D
+from blankweave.operators import fields as FL
 from blankweave.operators import merge as M
 from blankweave.plans.duck import duck, merged
 from blankweave.plans.registry import query
@@ -65,6 +66,33 @@ def render_documents(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# Forms converted from documents serve as templates; one of them serves two thirds of all records.
+_FORM_RECORDS = "CASE WHEN o_orderkey % 3 <> 0 THEN 0 ELSE o_orderkey % 1009 END"
+_FORM_VALUES = "CASE {f} WHEN 'field' THEN c_name WHEN 'field_2' THEN o_orderstatus WHEN 'ck_field' THEN CASE WHEN o_orderstatus = 'F' THEN 'x' ELSE '' END ELSE lower(c_mktsegment) END"
+_FORM_NAMES = ("field", "field_2", "ck_field", "field_7", "no_such_field")
+
+
+@query("render_forms", duck(
+    "SELECT record_id, template_id, count(*) AS blocks, md5(string_agg(text, chr(10) ORDER BY block_index)) AS text_md5 FROM block_texts GROUP BY ALL", "tseg",
+    records=f"SELECT o_orderkey AS record_id, {_FORM_RECORDS} AS template_id FROM orders",
+    letters="SELECT doc_id AS template_id, block_index, seg_index, kind, text, field_name, switch, original_text FROM tseg",
+    merge_values=f"""SELECT o_orderkey AS record_id, f.field_name, {_FORM_VALUES.format(f='f.field_name')} AS value FROM orders JOIN customer ON o_custkey = c_custkey
+      CROSS JOIN (VALUES {', '.join(f"('{n}')" for n in _FORM_NAMES)}) AS f(field_name)""",
+    locks="SELECT record_id, 'field_7' AS field_name FROM records WHERE record_id % 10 = 0", **MERGED_SQL, **PADDED_SQL))
+def render_forms(spark: SparkSession, d: str) -> DataFrame:
+    orders, customer = X.table(spark, d, "orders"), X.table(spark, d, "customer")
+    records = orders.selectExpr("o_orderkey AS record_id", f"{_FORM_RECORDS} AS template_id")
+    names = F.explode(F.array(*map(F.lit, _FORM_NAMES))).alias("field_name")
+    values = orders.join(customer, orders.o_custkey == customer.c_custkey).select("*", names).selectExpr(
+        "o_orderkey AS record_id", "field_name", f"{_FORM_VALUES.format(f='field_name')} AS value"
+    )
+    forms = FL.convert_blocks(X.form_blocks(spark, d)).withColumnRenamed("doc_id", "template_id")
+    locks = records.where("record_id % 10 = 0").select("record_id", F.lit("field_7").alias("field_name"))
+    rows = M.render_documents(records, forms, values, locks)
+    lines = (F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("bigint")
+    return rows.select("record_id", "template_id", lines.alias("blocks"), F.md5("text").alias("text_md5"))
+
+
 _WANTED = dict(wanted="""SELECT DISTINCT r.record_id, r.template_id, l.field_name FROM records r JOIN letters l USING (template_id)
   WHERE l.kind = 'field'""")
 

@@ -33,6 +33,24 @@ def table_grid_text(spark: SparkSession, d: str) -> DataFrame:
     return G.table_grid_text(X.table_cells(spark, d).withColumn("text", F.when(blank, F.lit(" ")).otherwise(F.col("text"))))
 
 
+# Lines as rows: the same lines, and where each begins in the joined text.
+@query("table_summary_lines", duck(r"""
+  SELECT table_id, "row", line, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY table_id ORDER BY "row" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_pos
+  FROM (SELECT table_id, "row", string_agg(trim(text), ' | ' ORDER BY col) AS line, bool_or(trim(text) <> '') AS spoken FROM cells GROUP BY ALL) WHERE spoken""", "table_cells",
+    cells="""SELECT table_id, "row", col, CASE WHEN "row" % 3 = 1 THEN ' ' ELSE text END AS text FROM table_cells"""))
+def table_summary_lines(spark: SparkSession, d: str) -> DataFrame:
+    cells = X.table_cells(spark, d).withColumn("text", F.when(F.col("row") % 3 == 1, F.lit(" ")).otherwise(F.col("text")))
+    return G.with_line_starts(G.summary_lines(cells).where("spoken")).drop("spoken")
+
+
+@query("table_grid_lines", duck(r"""
+  SELECT table_id, "row", line, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY table_id ORDER BY "row" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_pos
+  FROM (SELECT table_id, "row", 'Row ' || "row" || ': ' || shown AS line FROM (
+    SELECT table_id, "row", string_agg(CASE WHEN trim(text) = '' THEN '[EMPTY]' ELSE '"' || trim(text) || '"' END, ' | ' ORDER BY col) AS shown FROM table_cells GROUP BY ALL))""", "table_cells"))
+def table_grid_lines(spark: SparkSession, d: str) -> DataFrame:
+    return G.with_line_starts(G.grid_lines(X.table_cells(spark, d)))
+
+
 @query("table_structure", duck("""
   SELECT table_id, max("row") AS data_rows, true AS has_header, max(col) + 1 AS columns FROM table_cells GROUP BY table_id""", "table_cells"))
 def table_structure(spark: SparkSession, d: str) -> DataFrame:

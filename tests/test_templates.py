@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from blankweave.operators import blocks as B
 from blankweave.operators import context as C
+from blankweave.operators import drafts as D
 from blankweave.operators import fields as FL
 from blankweave.operators import merge as M
 from blankweave.operators import spans as S
-from blankweave.operators.ranking import numbered, previous_value
-from blankweave.operators.skew import salted_join
+from blankweave.operators.ranking import numbered, previous_value, running_total
+from blankweave.operators.skew import hot_join, hot_keys, salted_join
 from blankweave.plans.merge_queries import letter_fields
 from blankweave.sources import fixtures as X
 
@@ -140,6 +141,38 @@ def test_status_messages(spark):
     assert got[4].startswith("Đã ghi nhận") and got[5].startswith("Đã sửa «c». ")
 
 
+def test_hot_joins_split_hot_keys_and_no_others(spark):
+    """One key holds two thirds of the rows, others few; some rows have no key."""
+    many = spark.range(9000).selectExpr("id", "CASE WHEN id % 50 = 7 THEN NULL WHEN id % 3 < 2 THEN 1 ELSE id % 700 END AS k", "id % 5 AS v")
+    few = spark.range(400).selectExpr("id AS k", "id * 10 AS w").unionByName(spark.createDataFrame([(1, -1)], "k bigint, w bigint"))
+    for how in ("inner", "left", "left_semi"):
+        ours = hot_join(many, few, ["k"], F.col("id"), how, slice_rows=500)
+        plain = many.join(few, ["k"], how)
+        assert sorted(ours.columns) == sorted(plain.columns)
+        assert ours.select(plain.columns).exceptAll(plain).count() == 0 and ours.count() == plain.count()
+    hot = hot_keys(many, ["k"], slice_rows=500)
+    assert [(r.k, r._slices > 8) for r in hot.collect()] == [(1, True)]
+    assert hot_keys(many, ["k"], slice_rows=3, most=20).count() == 20
+    copies = few.join(hot, "k", "left").selectExpr("explode(sequence(1, coalesce(_slices, 1)))")
+    assert copies.count() < few.count() + 40
+
+
+def test_running_totals_and_bands_of_a_hot_key(spark):
+    rows = spark.range(6000).selectExpr("CASE WHEN id % 3 < 2 THEN 1 ELSE id % 9 END AS k", "id AS n", "id % 13 AS v").cache()
+    ours = running_total(rows, ["k"], F.floor(F.col("n") / 100), ["n"], F.col("v"), "before").select("k", "n", "before")
+    plain = rows.selectExpr("k", "n", "coalesce(sum(v) OVER (PARTITION BY k ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before")
+    assert ours.exceptAll(plain).count() == 0 and ours.count() == 6000
+    # A busy minute holds most messages of one draft; bands follow the messages, not the clock.
+    messages = rows.selectExpr(
+        "k AS draft_id", "n AS seq", "timestamp_micros(1700000000000000 + CASE WHEN n < 5000 THEN n * 10000 DIV 30 * 30 ELSE n * 60000000 END) AS ts",
+        "concat('f', v % 3) AS field_name", "CASE WHEN v = 5 THEN '' ELSE string(v) END AS value", "v = 7 AS is_explicit",
+    )
+    whole, cut = (D.message_changes(messages, depth=depth).select("draft_id", "seq", "old_value", "change") for depth in (10**6, 100))
+    assert whole.exceptAll(cut).count() == 0 and cut.count() == 6000
+    edges = D.time_bands(messages, 100).where("draft_id = 1").join(messages, "draft_id").selectExpr("size(filter(_edges, e -> e < unix_micros(ts))) AS b")
+    assert edges.groupBy("b").count().agg(F.max("count")).first()[0] < 4000 * 4 / D.BANDS
+
+
 def test_hot_keys_give_the_same_rows_as_plain_operators(spark):
     """One key holds most rows: numbering, carried values and salted joins stay exact."""
     rows = spark.range(5000).selectExpr(
