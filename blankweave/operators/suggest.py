@@ -17,11 +17,6 @@ RULES = (
 )
 
 
-def rules_as_case(part: int) -> str:
-    """The rule table as a SQL CASE over ``text``, for comparison queries."""
-    return "CASE " + " ".join(f"WHEN regexp_matches(text, '{r[2]}') THEN '{r[part]}'" for r in RULES) + " END"
-
-
 def first_rule(text: Column, part: int) -> Column:
     """Field type (0) or cue (1) of the first rule that fires, NULL without one."""
     result = None

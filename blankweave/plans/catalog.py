@@ -5,6 +5,7 @@ from __future__ import annotations
 from blankweave.plans import (  # noqa: F401
     batch_queries,
     block_queries,
+    cell_queries,
     edit_queries,
     merge_queries,
     stream_queries,

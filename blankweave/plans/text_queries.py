@@ -13,6 +13,7 @@ from blankweave.operators import suggest
 from blankweave.plans.duck import BLANK, HEADING, HEADING_NO, blank, duck, normalize, slug, strip, switch_of, title
 from blankweave.plans.registry import query
 from blankweave.sources import fixtures as X
+from blankweave.sources import readers as R
 
 @query("detect_blanks", duck(f"""
   SELECT doc_id, block_index, CAST(i AS BIGINT) AS blank_index, blanks[i + 1] AS blank
@@ -333,14 +334,53 @@ _CUES = """concat(regexp_replace(text, '[._□■]', ''), CASE block_index % 9 W
 
 
 @query("rule_suggestions", duck(f"""
-  SELECT doc_id, block_index, field_type, cue FROM (
-    SELECT doc_id, block_index, {suggest.rules_as_case(0)} AS field_type, {suggest.rules_as_case(1)} AS cue
-    FROM cues WHERE NOT regexp_matches(text, '«[^»]+»')) WHERE cue IS NOT NULL""", "form_blocks",
-  cues=f"SELECT doc_id, block_index, {_CUES.replace("'[._□■]', ''", "'[._□■]', '', 'g'")} AS text FROM form_blocks"))
+  SELECT doc_id, block_index, CASE WHEN box THEN 'checkbox' WHEN dated THEN 'date' WHEN counted THEN 'number' ELSE 'text' END AS field_type,
+    CASE WHEN box THEN 'box' WHEN dated THEN 'date words' WHEN counted THEN 'number label' WHEN person THEN 'name label' WHEN place THEN 'address label' WHEN dots THEN 'dots' ELSE 'gap' END AS cue
+  FROM found WHERE box OR dated OR counted OR person OR place OR dots OR gap""", "form_blocks",
+  cues=f"SELECT doc_id, block_index, {_CUES.replace("'[._□■]', ''", "'[._□■]', '', 'g'")} AS text FROM form_blocks",
+  # What a reader would look for, in words of its own: the words in lower case, bounded by what is no letter.
+  found=r"""SELECT doc_id, block_index, strpos(text, '[ ]') > 0 OR strpos(text, '□') > 0 AS box,
+      regexp_matches(t, 'ngày\s') AND regexp_matches(regexp_extract(t, 'ngày\s(.*)$', 1), 'tháng') OR regexp_matches(t, 'tháng\s') AND regexp_matches(regexp_extract(t, 'tháng\s(.*)$', 1), 'năm') AS dated,
+      list_contains(['số', 'mã', 'cmnd', 'cccd', 'id'], regexp_extract(regexp_replace(t, '\s*:?\s*$', ''), '([\pL]*)$', 1)) OR regexp_matches(' ' || t, '[^\pL](mã số|số điện thoại)') AS counted,
+      strpos(t, 'tôi tên') + strpos(t, 'họ và tên') + strpos(t, 'họ tên') + strpos(t, 'người ký') > 0 AS person,
+      strpos(t, 'địa chỉ') + strpos(t, 'đơn vị') + strpos(t, 'công ty') > 0 AS place, strpos(text, '__') + strpos(text, '...') > 0 AS dots,
+      regexp_matches(text, '[^\s.,:;!?]  +[^\s]') AS gap
+    FROM (SELECT *, lower(text) AS t FROM cues WHERE NOT (strpos(text, '«') > 0 AND strpos(substring(text, strpos(text, '«') + 2), '»') > 0))"""))
 def rule_suggestions(spark: SparkSession, d: str) -> DataFrame:
     return suggest.rule_suggestions(X.form_lines(spark, d).withColumn("text", F.expr(_CUES)))
 
 
+# Files as a folder scan gives them, derived from documents: names, lengths and the properties of a saved file.
+_FILES = """doc_id, concat('s3a://forms/', doc_id, CASE doc_id % 5 WHEN 0 THEN '.txt' WHEN 1 THEN '.DOCX' ELSE '.docx' END) AS path, octet_length({text}) AS length,
+  concat('<Properties><', CASE doc_id % 3 WHEN 0 THEN 'Pages>' ELSE 'ap:Pages>' END, CASE doc_id % 7 WHEN 3 THEN 'many' WHEN 4 THEN '99999999999' ELSE concat(' ', doc_id % 50) END,
+    CASE doc_id % 3 WHEN 0 THEN '</Pages>' ELSE '</ap:Pages>' END, '</Properties>') AS app_xml"""
+
+
+@query("scan_templates", duck(f"""
+  SELECT path, length, CASE WHEN right(path, 5) <> '.docx' THEN 'not a .docx file' WHEN length > 4000 THEN 'file is too large' END AS reason
+  FROM (SELECT {_FILES.format(text="encode(coalesce(text, ''))")} FROM documents)"""))
+def scan_templates(spark: SparkSession, d: str) -> DataFrame:
+    files = X.table(spark, d, "documents").selectExpr(*_split(_FILES.format(text="coalesce(text, '')"))).select(
+        "path", F.col("length").cast("bigint").alias("length"), F.lit(b"").alias("content")
+    )
+    good, bad = R.scan_templates(files, max_bytes=4000)
+    return good.select("path", "length", F.lit(None).cast("string").alias("reason")).unionByName(bad)
+
+
+@query("page_count", duck(f"""
+  SELECT path, TRY_CAST(nullif(regexp_extract(app_xml, 'Pages>[ ]*([0-9]+)<', 1), '') AS INTEGER) AS page_count FROM (SELECT {_FILES.format(text="encode(coalesce(text, ''))")} FROM documents)"""))
+def page_count(spark: SparkSession, d: str) -> DataFrame:
+    files = X.table(spark, d, "documents").selectExpr(*_split(_FILES.format(text="coalesce(text, '')")))
+    return files.select("path", R.page_count(F.col("app_xml")).alias("page_count"))
+
+
+def _split(columns: str) -> list[str]:
+    """The four expressions of ``_FILES``, each with its name."""
+    first, path, rest = columns.split(", ", 1)[0], *columns.split(", ", 1)[1].split(" AS path, ")
+    length, xml = rest.split(" AS length,\n")
+    return [first, f"{path} AS path", f"{length} AS length", xml]
+
+
 @query("usage_value", duck("""
   SELECT prompt_id, coalesce(TRY_CAST(k AS BIGINT), TRY_CAST(mod_text AS BIGINT), 0) AS prompt_tokens,
     coalesce(TRY_CAST(mod_text AS BIGINT), 0) AS completion_tokens,

@@ -19,11 +19,12 @@ _BREAK = "\x1e"
 
 
 def decode_entities(text: Column) -> Column:
-    """Named and decimal characters; the ampersand last, so that nothing is decoded twice."""
-    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d{1,7});"), F.lit(1)))
+    """Named, decimal and hexadecimal characters; the ampersand last, so that nothing is decoded twice."""
+    numbers = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(\d{1,7}|[xX][0-9A-Fa-f]{1,6});"), F.lit(1)))
 
     def put(done: Column, number: Column) -> Column:
-        char = F.decode(F.unhex(F.lpad(F.hex(number.cast("int")), F.lit(8), F.lit("0"))), "UTF-32")
+        digits = F.when(F.lower(F.left(number, F.lit(1))) == "x", F.substring(number, 2, 6)).otherwise(F.hex(number.try_cast("int")))
+        char = F.decode(F.unhex(F.lpad(digits, F.lit(8), F.lit("0"))), "UTF-32")
         return F.replace(done, F.concat(F.lit("&#"), number, F.lit(";")), char)
 
     text = F.when(text.contains("&#"), F.aggregate(numbers, text, put)).otherwise(text)
