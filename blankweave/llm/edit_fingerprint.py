@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +38,8 @@ STEPS, PLACES = 8, 64
 BANDS, BAND_PLACES = 32, 2
 #: Rows that are read together, in characters, and rows of one range of ids.
 SLICE_CHARS, RANGE_ROWS = 12 << 20, 4000
+#: Ranges at most: what the driver holds and all tasks get is one number for each.
+MOST_RANGES = 16384
 _ALPHABET = 64
 _TURNS = 4096
 
@@ -235,17 +238,29 @@ def edited(text: str, following: str) -> str:
 
 def next_in_order(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """(bucket, halo, doc_id, text): documents dealt out by ranges of ids, each range in one partition, sorted, in
-    descending order of id, and followed by the first document of the next range as its halo."""
+    descending order of id, and followed by the first document of the next range as its halo.
+
+    There are MOST_RANGES ranges at most, whatever the size; a row finds its range by binary search."""
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), shared.text_or_empty().alias("text"))
     rows = source.select("doc_id").where("doc_id is not null").count()
-    parts = max(1, -(-rows // range_rows))
+    parts = min(max(1, -(-rows // range_rows)), MOST_RANGES)
     edges = source.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
-    edges = sorted({int(e) for e in edges})
-    # Ranges of descending ids: bucket 0 has the greatest. One number for each range.
-    bucket = F.lit(len(edges)) - F.expr(f"cast(array_size(filter(array({', '.join(f'{e}L' for e in edges)}), e -> e < doc_id)) as int)") if edges else F.lit(0)
-    placed = source.withColumn("bucket", F.coalesce(bucket, F.lit(len(edges))).cast("int"))
-    heads = {r["bucket"]: r["head"] for r in placed.groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()}
+    edges = np.unique(np.array(edges, np.float64).astype(np.int64))
+
+    def place(rows: DataFrame) -> DataFrame:
+        """Rows with their ``bucket``; ranges are of descending ids, bucket 0 has the greatest, the last one those without id."""
+        schema = T.StructType([*rows.schema, T.StructField("bucket", T.IntegerType())])
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column("doc_id")
+                below = np.searchsorted(edges, pc.fill_null(ids, np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), "left")
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array((len(edges) - below).astype(np.int32))], names=schema.names)
+
+        return rows.mapInArrow(deal, schema)
+
+    heads = {r["bucket"]: r["head"] for r in place(source.select("doc_id")).groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()}
     buckets = sorted(heads)
     goes_to = {heads[b]: buckets[i - 1] for i, b in enumerate(buckets)}
     layout = spark.createDataFrame(list(goes_to.items()) or [(None, None)], shared.fields(("head_id", T.LongType()), ("target", T.IntegerType())))
@@ -254,7 +269,7 @@ def next_in_order(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
         .groupBy("target", "doc_id").agg(F.min("text").alias("text"))
         .select(F.col("target").alias("bucket"), F.lit(1).alias("halo"), "doc_id", "text")
     )
-    both = placed.select("bucket", F.lit(0).alias("halo"), "doc_id", "text").unionByName(halo)
+    both = place(source).select("bucket", F.lit(0).alias("halo"), "doc_id", "text").unionByName(halo)
     return both.repartition(max(1, parts), "bucket").sortWithinPartitions("bucket", "halo", F.col("doc_id").desc_nulls_last(), "text")
 
 
