@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from blankweave.functions import text as T
 from blankweave.operators.ranking import previous_value
-from blankweave.operators.skew import hot_join
+from blankweave.operators.skew import salted_join
 
 #: Bands of a draft with more messages than one task should hold, and that number.
 BANDS, BAND_ROWS = 128, 4096
@@ -27,8 +27,8 @@ def effective_value() -> Column:
 
 
 def _open_to(messages: DataFrame, known: DataFrame) -> DataFrame:
-    """Messages joined to ``known(draft_id, _fields, _locked, ...)``; a draft may hold most of all messages and is split then."""
-    joined = hot_join(messages, known, ["draft_id"], F.col("seq"))
+    """Messages joined to ``known(draft_id, _fields, _locked, ...)``, one small row per draft; a draft may hold most of all messages."""
+    joined = salted_join(messages, known, ["draft_id"], F.col("seq"))
     is_open = F.array_contains("_fields", F.col("field_name")) & ~F.array_contains("_locked", F.col("field_name"))
     return joined.withColumn("_open", is_open).drop("_fields", "_locked")
 
@@ -78,7 +78,7 @@ def message_changes(messages: DataFrame, drafts: DataFrame | None = None, depth:
     """Each message with the value before it and what it did; ``depth`` is about how many messages of a draft one task holds."""
     bands = time_bands(messages, depth)
     if drafts is None:
-        placed = hot_join(messages, bands, ["draft_id"], F.col("seq")).withColumn("_open", F.lit(True))
+        placed = salted_join(messages, bands, ["draft_id"], F.col("seq")).withColumn("_open", F.lit(True))
     else:
         placed = _open_to(messages, _lists(drafts).join(bands, "draft_id"))
     at = F.unix_micros(F.col("ts").cast("timestamp"))

@@ -203,58 +203,81 @@ def add_field(segments: DataFrame, adds: DataFrame) -> tuple[DataFrame, DataFram
     return settle(renumbered).select(*segments.columns), status
 
 
+def _by_request(segments: DataFrame, edits: DataFrame, *columns: str) -> DataFrame:
+    """One row per document: ``_blocks`` with their segments in order, the names in use, and its ``_edits`` in the order of
+    the request. Blocks, names and edits meet once, so the corpus is passed once and so are the edits."""
+    segment = F.struct("seg_index", "kind", "text", *FIELD_PROPS, "start_pos", "end_pos")
+    blocks = segments.groupBy(*BLOCK).agg(F.array_sort(F.collect_list(segment)).alias("segs"), F.max("end_pos").alias("length"))
+    documents = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_index", "segs", "length"))).alias("_blocks"))
+    edit = F.struct("op_index", *[F.col(c) for c in columns])
+    requests = with_op_index(edits).groupBy("doc_id").agg(F.array_sort(F.collect_list(edit)).alias("_edits"))
+    names = F.array_distinct(F.flatten(F.transform("_blocks", lambda b: F.filter(b["segs"]["field_name"], lambda n: n.isNotNull()))))
+    return documents.join(requests, "doc_id", "full").withColumn("_numbers", F.col("_blocks.block_index")).withColumn("_taken", names)
+
+
 def add_field_at(segments: DataFrame, adds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``adds(doc_id, op_index, block_index, field_name, offset, insert_after)``.
 
     The point is a character offset, or the end of the first ``insert_after``
     in the shown text. It has to touch a text segment; fields at one point stand
-    in the order of the request.
+    in the order of the request. A document's adds are judged and made inside its row.
     """
-    texts = shown_blocks(segments).select(*BLOCK, F.col("text").alias("_shown"))
-    found = F.instr(F.col("_shown"), F.col("insert_after"))
-    after = F.when(found > 0, found - 1 + F.length("insert_after"))
-    placed = _name_errors(with_op_index(adds), segments).join(texts, BLOCK, "left").withColumn(
-        "_point", F.when(F.col("insert_after").isNotNull(), after).otherwise(F.col("offset")).cast("bigint")
-    ).drop("_shown")
-    good = placed.where("error IS NULL AND _point >= 0").select(*BLOCK, "op_index", F.col("field_name").alias("_name"), "_point", "_length")
-    touches = F.col("_point").between(F.col("start_pos"), F.col("end_pos")) | (F.col("_length") == 0)
-    # The first text segment at the point of each add; names are unique among them by now.
-    hits = (
-        segments.where("kind = 'text'").select(*BLOCK, "seg_index", "start_pos", "end_pos").join(good, BLOCK).where(touches)
-        .groupBy(*BLOCK, "_name").agg(
-            F.min(F.struct("seg_index", F.greatest(F.col("_point") - F.col("start_pos"), F.lit(0)).alias("local"), "op_index")).alias("_h")
+    requests = _by_request(segments, adds, "block_index", "field_name", "offset", "insert_after")
+
+    def placed(a: Column) -> Column:
+        """An add with what is wrong with it alone, the first text segment at its point and the place in that."""
+        at = F.array_position(F.col("_numbers"), a["block_index"])
+        block = F.when(at > 0, F.get("_blocks", (at - 1).cast("int")))
+        shown = F.array_join(block["segs"]["text"], "")
+        found = F.instr(shown, a["insert_after"])
+        point = F.when(a["insert_after"].isNotNull(), F.when(found > 0, found - 1 + F.length(a["insert_after"]))).otherwise(a["offset"]).cast("bigint")
+        alone = F.when(block.isNull(), F.lit("unknown block")).when(T.is_blank(a["field_name"]), F.lit("no field name")).when(
+            F.array_contains("_taken", a["field_name"]), F.lit("name in use")
+        )
+        hit = F.get(F.filter(block["segs"], lambda s: (s["kind"] == "text") & (point.between(s["start_pos"], s["end_pos"]) | (block["length"] == 0)) & (point >= 0)), 0)
+        return F.struct(
+            a["op_index"].alias("op_index"), a["block_index"].alias("block_index"), a["field_name"].alias("name"), alone.alias("alone"),
+            F.when(point.isNull(), F.lit("text not found")).when(hit.isNull(), F.lit("offset not found")).alias("missed"),
+            hit["seg_index"].alias("seg_index"), F.greatest(point - hit["start_pos"], F.lit(0)).cast("int").alias("local"),
         )
+
+    # Of two good adds with one name the earlier holds, whether or not its point is found.
+    good_names = F.transform("_placed", lambda a: F.when(a["alone"].isNull(), a["name"]))
+    judged = F.transform(
+        F.col("_placed"),
+        lambda a, i: a.withField("error", F.coalesce(a["alone"], F.when(F.array_position("_names", a["name"]) <= i, F.lit("name in use")), a["missed"])),
     )
-    inserts = hits.groupBy(*BLOCK, F.col("_h.seg_index").alias("seg_index")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_h.local").cast("int").alias("local"), F.col("_h.op_index").alias("op_index"), F.col("_name").alias("name")))).alias("_ins")
+    done = requests.withColumn("_placed", F.transform("_edits", placed)).withColumn("_names", good_names).withColumn("_judged", judged)
+    status = done.select("doc_id", F.explode("_judged").alias("a")).select(
+        "doc_id", "a.block_index", "a.op_index", F.col("a.name").alias("field_name"),
+        F.when(F.col("a.error").isNull(), F.lit("executed")).otherwise(F.lit("failed")).alias("status"), "a.error",
     )
-    joined = segments.join(inserts, [*BLOCK, "seg_index"], "left")
-    props = [F.col(c) for c in FIELD_PROPS]
-
-    def around(i: Column) -> Column:
-        """Text before insert i, and the field it inserts; after the last one only the rest of the text."""
-        low = F.when(i == 0, F.lit(0)).otherwise(F.get("_ins", i - 1)["local"])
-        high = F.coalesce(F.get("_ins", i)["local"], F.length("text"))
-        piece = F.struct(F.col("kind"), F.substring(F.col("text"), low + 1, high - low).alias("text"), *props)
-        field = F.struct(*_new_field(F.get("_ins", i)["name"], F.lit("")))
-        return F.when(i == F.size("_ins"), F.array(piece)).otherwise(F.array(piece, field))
-
-    whole = F.array(F.struct(F.col("kind"), F.col("text"), *props))
-    parts = F.when(F.col("_ins").isNull(), whole).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.size("_ins")), around)))
-    split = joined.select(*BLOCK, "seg_index", F.posexplode(parts).alias("_part", "_p")).select(*BLOCK, "seg_index", "_part", "_p.*")
-    status = placed.join(hits.select(*BLOCK, F.col("_name").alias("field_name"), F.lit(True).alias("_done")), [*BLOCK, "field_name"], "left").withColumn(
-        "error",
-        F.coalesce(
-            F.col("error"),
-            F.when(F.col("_point").isNull(), F.lit("text not found")).when(
-                F.col("_done").isNull(), F.lit("offset not found")
-            ),
-        ),
-    ).select(
-        *BLOCK, "op_index", "field_name",
-        F.when(F.col("error").isNull(), F.lit("executed")).otherwise(F.lit("failed")).alias("status"), "error",
+    inserts = F.filter("_judged", lambda a: a["error"].isNull())
+    per_block = done.withColumn("_inserts", inserts).select("doc_id", "_inserts", F.explode("_blocks").alias("b")).select(
+        "doc_id", "b.block_index", "b.segs", F.filter("_inserts", lambda a: a["block_index"] == F.col("b.block_index")).alias("_own")
     )
-    return settle(split, "seg_index", "_part").select(*segments.columns), status
+    props = [F.lit(None).cast("string").alias(c) for c in FIELD_PROPS]
+
+    def grown(s: Column) -> Column:
+        """A segment, cut where fields come into it."""
+        here = F.array_sort(F.transform(F.filter("_own", lambda a: a["seg_index"] == s["seg_index"]), lambda a: F.struct(a["local"].alias("local"), a["op_index"].alias("op_index"), a["name"].alias("name"))))
+
+        def around(a: Column, i: Column) -> Column:
+            low = F.when(i > 0, F.get(here, i - 1)["local"]).otherwise(F.lit(0))
+            piece = F.struct(F.lit("text").alias("kind"), F.substring(s["text"], low + 1, a["local"] - low).alias("text"), *props)
+            return F.array(piece, F.struct(*_new_field(a["name"], F.lit(""))))
+
+        rest = F.struct(F.lit("text").alias("kind"), F.substring(s["text"], F.element_at(here, -1)["local"] + 1, F.length(s["text"])).alias("text"), *props)
+        whole = F.array(F.struct(s["kind"].alias("kind"), s["text"].alias("text"), *[s[c].alias(c) for c in FIELD_PROPS]))
+        return F.when(F.size(here) == 0, whole).otherwise(F.concat(F.flatten(F.transform(here, around)), F.array(rest)))
+
+    same = F.transform("segs", lambda s: F.struct(s["kind"].alias("kind"), s["text"].alias("text"), *[s[c].alias(c) for c in FIELD_PROPS]))
+    pieces = F.when(F.coalesce(F.size("_own"), F.lit(0)) <= 0, same).otherwise(F.flatten(F.transform("segs", grown)))
+    spoken = F.filter("_pieces", lambda p: p["text"] != "")
+    settled = F.when(F.size(spoken) > 0, spoken).otherwise(F.slice("_pieces", 1, 1))
+    rows = per_block.withColumn("_pieces", pieces).select(*BLOCK, F.posexplode(settled).alias("_at", "p"))
+    out = rows.select(*BLOCK, F.col("_at").cast("bigint").alias("seg_index"), "p.*")
+    return FL.with_offsets(out).select(*segments.columns), status
 
 
 def apply_suggestions(segments: DataFrame, suggestions: DataFrame) -> tuple[DataFrame, DataFrame]:
