@@ -77,7 +77,9 @@ def test_python_runs_only_where_it_must(spark, data_dir):
 
 
 @pytest.mark.parametrize(
-    "name, most", [("rename_field", 4), ("update_text", 2), ("field_context", 2), ("overlay_span_attrs", 4)]
+    "name, most",
+    [("rename_field", 4), ("update_text", 2), ("field_context", 2), ("overlay_span_attrs", 4), ("add_field_at", 4), ("apply_suggestions", 11),
+     ("delete_range", 3), ("message_changes", 9)],
 )
 def test_edits_scan_the_corpus_a_few_times(spark, data_dir, name, most):
     assert len(re.findall(r"^\(\d+\) Scan parquet", plan_of(name, spark, data_dir), re.M)) <= most
