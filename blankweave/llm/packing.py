@@ -1,21 +1,29 @@
 """Batches of documents of like length, with optimal bucket boundaries.
 
-The lengths of all documents are counted in a histogram whose cells are exact up to
-256 tokens and then keep 128 steps per octave, so it has at most about 5,000 cells
-whatever the corpus. Dynamic programming over these cells finds the boundaries with
-the least padding; that is optimal among all boundaries on cell edges. In a bucket a
-batch takes as many documents as fit the token budget at the bucket's padded length.
-A bucket is numbered in parts of about PART_ROWS rows, so none is gathered in one task;
-each part may leave one batch unfilled.
-
-Defined results: null or empty text has 0 tokens and lies in the first bucket; a document
-longer than the budget is a batch of its own; ties in length are ordered by doc_id, repeated
-rows each take a slot; an empty table gives an empty result; other columns are ignored.
+The lengths of all documents are counted in a histogram with a cell for every length that
+occurs, which the driver reads: n different lengths need texts of n * n / 2 tokens together,
+so 16 TB of words hold at most some 2 million. Dynamic programming over the cells finds the
+boundaries with the least padding of all choices, in whole numbers. As the cost of a cell is
+a line over its length, the best line of each round comes from their lower envelope, and a
+round takes time linear in the cells. In a bucket a batch takes as many documents as fit the
+token budget at the bucket's padded length. A bucket is numbered in parts of about PART_ROWS
+rows, so none is gathered in one task; each part may leave one batch unfilled.
+
+Lengths are words unless ``length`` gives another column, such as the count of tokens that
+``bpe.encode_documents`` returns.
+
+Defined results: null or empty text, or a null length, has 0 tokens and lies in the first bucket; a document
+longer than the budget is a batch of its own; ties in length are ordered by doc_id; rows of
+a repeated doc_id with different texts, and rows without doc_id, spread over the parts;
+repeated rows each take a slot; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from bisect import bisect_left
+from collections import deque
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +32,6 @@ from pyspark.sql import Window as W
 from . import shared
 
 BUCKETS, BUDGET, PART_ROWS = 8, 32768, 50_000
-_EXACT, _STEP_BITS = 256, 7
 
 
 def token_count(text: str = "text") -> Column:
@@ -32,58 +39,73 @@ def token_count(text: str = "text") -> Column:
     return F.regexp_count(shared.text_or_empty(text), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
 
-def cell(length: str) -> Column:
-    """The upper edge of the histogram cell of a length."""
-    return F.expr(
-        f"CASE WHEN {length} <= {_EXACT} THEN {length} ELSE "
-        f"shiftleft(shiftright({length} + shiftleft(1L, length(bin({length})) - 1 - {_STEP_BITS}) - 1, length(bin({length})) - 1 - {_STEP_BITS}), length(bin({length})) - 1 - {_STEP_BITS}) END"
-    )
-
-
-def boundaries(edges: list[int], counts: list[int], most: int = BUCKETS) -> list[int]:
-    """At most ``most`` bucket boundaries out of ``edges`` (ascending) that minimise the padding of all documents."""
-    n = len(edges)
+def boundaries(lengths: list[int], counts: list[int], most: int = BUCKETS) -> list[int]:
+    """At most ``most`` bucket boundaries out of ``lengths`` (ascending) that minimise the padding of all documents."""
+    n = len(lengths)
     if not n:
         return []
-    edge, count = np.array(edges, float), np.concatenate(([0.0], np.cumsum(np.array(counts, float))))
+    docs = [0, *accumulate(counts)]
     # cost[j]: padded tokens of the cells 0..j-1; what the texts hold themselves is the same for all choices.
-    cost, back = np.concatenate(([0.0], edge * count[1:])), []
+    cost, back = [0, *(length * d for length, d in zip(lengths, docs[1:], strict=True))], []
     for _ in range(min(most, n) - 1):
-        new, come = np.empty(n + 1), np.zeros(n + 1, np.int64)
-        new[0] = 0.0
-        for j in range(1, n + 1):
-            total = cost[:j] + edge[j - 1] * (count[j] - count[:j])
-            come[j] = int(np.argmin(total))
-            new[j] = total[come[j]]
-        cost = new
+        cost, come = _one_more(lengths, docs, cost)
         back.append(come)
     chosen, j = [], n
     for come in reversed(back):
-        if j <= 0:
-            break
-        chosen.append(edges[j - 1])
-        j = int(come[j])
-    if j > 0:
-        chosen.append(edges[j - 1])
-    return sorted(chosen)
+        if j:
+            chosen.append(lengths[j - 1])
+            j = come[j]
+    if j:
+        chosen.append(lengths[j - 1])
+    return chosen[::-1]
+
+
+def _one_more(lengths: list[int], docs: list[int], cost: list[int]) -> tuple[list[int], list[int]]:
+    """Costs with one more bucket, and the number of cells before the last one: the least of cost[i] + length * (docs[j] - docs[i]).
+
+    Over the length, cell i is a line of slope -docs[i] and height cost[i]. Slopes fall and lengths grow, so the
+    lines that are best somewhere form a queue, whose first one is left behind for good once the second is as low.
+    """
+    new, come, queue = [0], [0], deque()
+    for j, length in enumerate(lengths, 1):
+        i = j - 1
+        while len(queue) > 1:
+            a, b = queue[-2], queue[-1]
+            # b is best nowhere if line i meets a no later than b does.
+            if (cost[i] - cost[a]) * (docs[b] - docs[a]) > (cost[b] - cost[a]) * (docs[i] - docs[a]):
+                break
+            queue.pop()
+        queue.append(i)
+        while len(queue) > 1 and cost[queue[1]] - length * docs[queue[1]] <= cost[queue[0]] - length * docs[queue[0]]:
+            queue.popleft()
+        new.append(cost[queue[0]] + length * (docs[j] - docs[queue[0]]))
+        come.append(queue[0])
+    return new, come
 
 
 def pack(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS, budget: int = BUDGET, part_rows: int = PART_ROWS) -> DataFrame:
     """(doc_id, n_tokens, bucket, batch_id, slot, padding) of every row; ``bucket`` is the padded length of its batch."""
-    sized = shared.cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), (token_count() if length is None else length.cast("long")).alias("n_tokens")), "lengths")
-    histogram = sized.groupBy(cell("n_tokens").alias("edge")).agg(F.count("*").alias("docs")).orderBy("edge").collect()
-    edges = [r["edge"] for r in histogram]
-    bounds = boundaries(edges, [r["docs"] for r in histogram], buckets)
-    held = {b: 0 for b in bounds}
+    number = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    sized = shared.cut(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            (token_count() if length is None else F.coalesce(length.cast("long"), F.lit(0))).alias("n_tokens"),
+            F.xxhash64("doc_id", *(c for c in ("text",) if c in docs.columns), number).alias("spread"),
+        ),
+        "lengths",
+    )
+    histogram = sized.groupBy("n_tokens").agg(F.count("*").alias("docs")).orderBy("n_tokens").collect()
+    bounds = boundaries([r["n_tokens"] for r in histogram], [r["docs"] for r in histogram], buckets)
+    held = dict.fromkeys(bounds, 0)
     for r in histogram:
-        held[next(b for b in bounds if b >= r["edge"])] += r["docs"]
+        held[bounds[bisect_left(bounds, r["n_tokens"])]] += r["docs"]
     layout = docs.sparkSession.createDataFrame(
         [(b, i, max(1, -(-held[b] // part_rows)), max(1, budget // max(1, b))) for i, b in enumerate(bounds)],
         shared.fields(("bucket", T.LongType()), ("number", T.LongType()), ("parts", T.LongType()), ("capacity", T.LongType())),
     )
     limits = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else F.array().cast("array<bigint>")
     placed = sized.withColumn("bucket", F.array_min(F.filter(limits, lambda b: b >= F.col("n_tokens"))))
-    dealt = placed.join(layout, "bucket").withColumn("part", F.expr("pmod(xxhash64(doc_id), parts)"))
+    dealt = placed.join(layout, "bucket").withColumn("part", F.expr("pmod(spread, parts)"))
     rank = F.row_number().over(W.partitionBy("bucket", "part").orderBy("n_tokens", "doc_id")) - 1
     return dealt.withColumn("rank", rank).select(
         "doc_id", "n_tokens", "bucket",

@@ -208,9 +208,38 @@ def test_batches_hold_their_budget(spark):
     assert {r["n_tokens"] for r in got if r["doc_id"] in (1, 2, 3)} == {0}
 
 
-def test_cells_cover_their_lengths(spark):
-    for r in spark.range(0, 5000).select("id", packing.cell("id").alias("e")).collect():
-        assert r["id"] <= r["e"] <= r["id"] + max(0, r["id"] // 128)
+def test_boundaries_of_many_lengths_are_exact():
+    rng = np.random.default_rng(9)
+    lengths = sorted(set(rng.lognormal(6, 1.2, 700).astype(int).tolist()))
+    counts = rng.integers(1, 1 << 50, len(lengths)).tolist()
+    docs = np.array([0, *itertools.accumulate(counts)], object)
+    cost = [0, *(x * d for x, d in zip(lengths, docs[1:]))]
+    for _ in range(4):
+        cost = [0, *(min(cost[i] + lengths[j - 1] * (docs[j] - docs[i]) for i in range(j)) for j in range(1, len(lengths) + 1))]
+    bounds = packing.boundaries(lengths, counts, 5)
+    assert sum(c * next(b for b in bounds if b >= x) for x, c in zip(lengths, counts)) == cost[-1]
+
+
+def test_packed_rows_have_the_least_padding(spark):
+    rows = [(i, sentences(i, 1 + i * i % 900)) for i in range(20, 200)] + AWKWARD
+    got = packing.pack(documents(spark, rows), buckets=3).collect()
+    lengths = sorted(r["n_tokens"] for r in got)
+    best = min(
+        sum(next(b for b in (*inner, lengths[-1]) if b >= x) - x for x in lengths)
+        for inner in itertools.combinations(sorted(set(lengths))[:-1], 2)
+    )
+    assert sum(r["padding"] for r in got) == best
+
+
+def test_hot_ids_spread_over_the_parts(spark):
+    rows = [(None, f"w{i} word") for i in range(300)] + [(None, "same text") for _ in range(300)] + [(7, f"v{i} word") for i in range(300)]
+    got = packing.pack(documents(spark, rows), part_rows=100, budget=20).collect()
+    sizes = {}
+    for r in got:
+        sizes.setdefault(r["doc_id"], {}).setdefault(r["batch_id"].split("-")[1], []).append(r)
+    assert len(got) == 900
+    for parts in sizes.values():
+        assert len(parts) == 9 and max(map(len, parts.values())) < 2 * sum(map(len, parts.values())) / 9
 
 
 # --- chat format --------------------------------------------------------------
