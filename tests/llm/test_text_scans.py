@@ -25,7 +25,7 @@ def test_base_places(text):
     words = words_of(text)
     want = sorted((i, label) for phrase, label in license_scan.BASE for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split())
     n, places = license_scan.scan(text)
-    assert n == len(words) and [(f, label) for f, _, label, _, base in places if base] == want
+    assert n == len(words) and [(f, label) for f, _, label, _, base, _ in places if base] == want
 
 
 @pytest.mark.parametrize("text, label, edits", [
@@ -37,13 +37,48 @@ def test_misspelt_places(text, label, edits):
     assert [(x[2], x[3]) for x in places] == [(label, edits)]
 
 
-def test_fuzzy_places_equal_a_search_without_seeds():
-    for seed in range(60):
-        text = sentences(seed, 30, "abehilmnrstu") + " uder the mi license " * (seed % 3) + sentences(seed + 99, 10)
+def edit_counts(phrase, words):
+    """Edits, start and end of every run of whole words that is as near to the phrase as its notice allows, in ``" word word "``."""
+    out, starts = [], [i + 1 for i, c in enumerate(words[:-1]) if c == " "]
+    for s in starts:
+        for e in (i for i in range(s + 1, min(len(words), s + len(phrase) + 6)) if words[i] == " "):
+            row = list(range(e - s + 1))
+            for i, c in enumerate(phrase, 1):
+                last, row[0] = row[0], i
+                for j in range(1, len(row)):
+                    last, row[j] = row[j], min(last + (words[s + j - 1] != c), row[j] + 1, row[j - 1] + 1)
+            out.append((row[-1], s, e))
+    return out
+
+
+def test_fuzzy_places_equal_edit_distances():
+    for seed in range(12):
+        phrases = ["under the mit license", "gnu genral public licence", "mozila public license", "cc by nc sa", "sil open font licenses", "gnu general public license version 3"]
+        text = " ".join(f"{sentences(seed * 9 + i, 4, 'abehilmnrstu')} {phrases[(seed + i) % 6]}" for i in range(3)).replace("mit" if seed % 2 else "i", "mt" if seed % 3 else "y", 1)
         joined = b" " + b" ".join(w.encode() for w in words_of(text)) + b" "
         for notice in license_scan.NOTICES:
-            found = bool(notice.edits and notice.fuzzy.search(joined))
-            assert bool(notice.near(joined)) == found
+            near = [x for x in edit_counts(notice.phrase.decode(), joined.decode()) if x[0] <= notice.edits]
+            want = sorted((s, e, edits) for edits, s, e in license_scan.apart(sorted(near)))
+            got = sorted((s, e, edits) for s, e, edits, _ in license_scan.Finder((notice,)).places(joined))
+            assert [x[2] for x in got] == [x[2] for x in want], (notice.phrase, text)
+            assert all(a[0] < b[1] and b[0] < a[1] for a, b in zip(got, want))
+
+
+@pytest.mark.parametrize("text, labels", [
+    ("MIT License", "mit"), ("SPDX-License-Identifier: Apache-2.0", "apache-2"), ("GPL v3", "gpl-3"), ("GNU Lesser General Public License", "lgpl"),
+    ("Creative Commons Attribution 4.0", "cc-by"), ("CC BY-NC-SA", "cc-by-nc,cc-by-nc-sa"), ("GNU General Public License, version 3", "gpl,gpl-3"),
+    ("gnu genral public license version 3", "gpl-3"), ("Mozila Public Licence", "mpl"), ("BSD-3-Clause licence", "bsd-3"), ("the exit license of a limit license", ""),
+    ("a public license for commons", ""), ("general license", ""), ("under teh mit license, under the mit license", "mit"),
+])
+def test_labels_of_short_notices(text, labels):
+    _, places = license_scan.scan(f"words {text} words")
+    assert ",".join(sorted({p[2] for p in places})) == labels
+
+
+def test_many_places_in_one_text():
+    text = "under teh mit license x " * 20000
+    n, places = license_scan.scan(text)
+    assert n == 100000 and len(places) == 20000 and all(p[1] - p[0] == 3 for p in places)
 
 
 def test_license_rows(spark):
