@@ -1,18 +1,21 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
 
-The patterns give the base spans. A small table of lines, of at most SAMPLE_DOCS documents
-of at most SAMPLE_CHARS characters, is labelled with them and with the forms that they miss
-(local telephone numbers, IPv6, cards in other groups, masked or non-ASCII addresses): those
-that stand in the lines, and forms written in place of base spans, each of these places once
-with a number that is no personal data. The field is trained on it (forward-backward and Adam
-in numpy). It then tags every line of every text by Viterbi, batched over the lines of a slice.
-Of the runs it tags whose tags stand out from plain text by MARGIN per word it adds what
-passes its kind's check (``confirmed``), touches neither a base span nor a failed match of
-its own kind (parts, Luhn of 13 digits or more, digits) and lies in no card number that failed.
+The patterns give the base spans. The training table has three parts: lines labelled by hand
+(``pii_lines``, each HAND_TIMES times); lines of at most SAMPLE_DOCS documents of at most
+SAMPLE_CHARS characters, labelled with the base spans and with sure forms that the patterns
+miss (local telephone numbers, IPv6, cards in other groups, masked or non-ASCII addresses);
+and the surroundings of base spans with such a form, or a number that is no personal data,
+in their place. The field is trained on it (forward-backward and Adam in numpy). It then tags
+every line of every text by Viterbi, batched over the lines of a slice. The runs of one tag are
+the spans it adds, without the punctuation at their ends; a run that isn't one value is cut
+between words into values, the longest first from the left (``values``). What it adds must
+pass its kind's check (``is_value``), touch neither a base span nor a failed match of its own
+kind (parts, Luhn of 13 digits or more, digits) and lie in no card number that failed. No
+pattern searches for it, and nothing beyond the words that the field tagged is taken.
 
 Defined results: null or empty text has no spans; equal starts are ordered by kind, then
-end; rows of a repeated doc_id are searched row by row; without any labelled line the
-field tags nothing; an empty table gives an empty result; other columns pass through.
+end; rows of a repeated doc_id, or without one, are searched row by row; an empty table gives
+an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -28,16 +31,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import shared
+from . import pii_lines, shared
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS, SAMPLE_CHARS, LINE_WORDS = 600, 50_000, 200
 #: Forms written in place of base spans in the training table, and as many other numbers.
 FORMS = 2000
-MARGIN = 2.0
+#: Words that one value may have.
+VALUE_WORDS = 12
+#: How often each line labelled by hand is in the training table.
+HAND_TIMES = 20
 _SHAPES, _FLAGS, _MARKS = 1024, 512, 64
 _TAGS = len(KINDS) + 1
-_PREFIX = "_pii_"
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 # The four patterns, with possessive repeats where these can't change a match.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -55,19 +62,20 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-# The forms that the patterns miss, wherever they stand: what the field's runs are held against.
+# What a value may look like from its first to its last character: what the field tagged is held against it.
 _AT, _DOT = r"\x20?[\[({<]\x20?at\x20?[\])}>]\x20?|\x20at\x20", r"\x20?[\[({<]\x20?(?:dot|\.)\x20?[\])}>]\x20?|\x20dot\x20|\."
 _PART = r"[^\s@<>()\[\]{}\"',;:.]+"
-_LOOSE = (
+_IPS = r"(?:[0-9A-Fa-f]{0,4}:){2,7}(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9A-Fa-f]{0,4})", r"[0-9]{1,3}(?:(?:[\[({]\.[\])}]|[\[({]dot[\])}]|\.)[0-9]{1,3}){3}"
+_VALUE = (
     re.compile(rf"{_PART}(?:\.{_PART})*+(?:@|{_AT}){_PART}(?:(?:{_DOT}){_PART})*", re.IGNORECASE),
-    re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:[0-9]{1,3}(?:\.[0-9]{1,3}){3}|[0-9A-Fa-f]{0,4})(?![0-9A-Fa-f:])|(?<![0-9.])[0-9]{1,3}(?:(?:[\[({]\.[\])}]|[\[({]dot[\])}]|\.)[0-9]{1,3}){3}(?![0-9.])"),
-    re.compile(r"[0-9](?:[\x20._/\u2013-]{0,3}[0-9])+"),
-    re.compile(r"(?:\+|\(\+?)?[0-9](?:[\x20()./\u2013-]{0,3}[0-9])+"),
+    re.compile(rf"{_IPS[0]}|{_IPS[1]}"),
+    re.compile(r"[0-9](?:[\x20._/–-]{0,3}[0-9])+"),
+    re.compile(r"(?:\+|\(\+?)?[0-9](?:[\x20()./–-]{0,3}[0-9])+"),
 )
 # Forms surely of a kind, by which lines of the training table are labelled.
 _SURE = (
     re.compile(rf"{_PART}(?:\.{_PART})*+(?:@{_PART}\.{_PART}(?:\.{_PART})*|\x20?[\[({{]at[\])}}]\x20?{_PART}(?:(?:{_DOT}){_PART})+)", re.IGNORECASE),
-    _LOOSE[1],
+    re.compile(rf"(?<![0-9A-Fa-f:.]){_IPS[0]}(?![0-9A-Fa-f:])|(?<![0-9.]){_IPS[1]}(?![0-9.])"),
     re.compile(r"(?<![0-9])[0-9]{4}(\x20-\x20|[._/\u2013])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])"),
     re.compile(
         r"(?<![\w+.:/-])(?:\([0-9]{2,5}\)\x20?[0-9]{3,4}[\x20./-]?[0-9]{3,5}|[0-9]{3}([./-])[0-9]{3}\1[0-9]{4}|0[0-9]{2,4}(?:[\x20./-][0-9]{3,4}){2}|00[0-9]{1,3}(?:[\x20./-][0-9]{2,4}){3,4})(?![\w/-]|\.[0-9])"
@@ -90,19 +98,48 @@ def confirmed(kind: int, piece: str) -> bool:
     return 9 <= len(digits) <= 15
 
 
-def loose(kind: int, text: str, patterns: tuple[re.Pattern, ...] = _LOOSE) -> list[tuple[int, int, int]]:
-    """The confirmed forms of one kind in a text."""
-    return [(kind, *m.span()) for m in patterns[kind].finditer(text) if confirmed(kind, m[0])]
-
-
-def _around(kind: int, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
-    """The confirmed forms in a run that the field tagged, or, as it may miss a word at an edge, those that reach into it."""
-    inside = [(k, start + s, start + e) for k, s, e in loose(kind, text[start:end])]
-    if inside and kind:
-        return inside
-    lo, hi = max(text.rfind("\n", 0, start) + 1, start - 64), text.find("\n", end)
-    hi = min(len(text) if hi < 0 else hi, end + 64)
-    return [(k, lo + s, lo + e) for k, s, e in loose(kind, text[lo:hi]) if lo + s < end and start < lo + e] or inside
+def sure_forms(kind: int, text: str) -> list[tuple[int, int, int]]:
+    """The confirmed forms of one kind in a text, by which the training table is labelled."""
+    return [(kind, *m.span()) for m in _SURE[kind].finditer(text) if confirmed(kind, m[0])]
+
+
+def is_value(kind: int, piece: str) -> bool:
+    return _VALUE[kind].fullmatch(piece) is not None and confirmed(kind, piece)
+
+
+def trimmed(kind: int, text: str, start: int, end: int) -> tuple[int, int]:
+    """A run of words without what stands around a value in its first and last word."""
+    if kind < 2:
+        outside = "\"'`<>()[]{},;.!?“”‘’" + (":" if kind == 0 else "")
+        while start < end and text[start] in outside:
+            start += 1
+        while start < end and text[end - 1] in outside:
+            end -= 1
+        return start, end
+    while start < end and text[start] not in "0123456789":
+        start += 1
+    while start < end and text[end - 1] not in "0123456789":
+        end -= 1
+    if kind == 3 and start < end:
+        start -= text[start - 1 : start] == "+"
+        start -= text[start - 1 : start] == "(" and ")" in text[start:end]
+    return start, end
+
+
+def values(kind: int, text: str, start: int, end: int) -> list[tuple[int, int, int]]:
+    """The values that a tagged run consists of: from each word on the longest piece that passes the check."""
+    words = [m.span() for m in _WORD.finditer(text, start, end)]
+    out, i = [], 0
+    while i < len(words):
+        for j in range(min(len(words), i + VALUE_WORDS), i, -1):
+            lo, hi = trimmed(kind, text, words[i][0], words[j - 1][1])
+            if lo >= words[i][0] and is_value(kind, text[lo:hi]):
+                out.append((kind, lo, hi))
+                break
+        else:
+            j = i + 1
+        i = j
+    return out
 
 
 def allowed(span: tuple[int, int, int], base: list[tuple[int, int, int]], refused: list[tuple[int, int, int]]) -> bool:
@@ -308,7 +345,7 @@ def known_spans(text: str) -> list[tuple[int, int, int]]:
     base, refused = matches(text)
     out = list(base)
     for kind in range(len(KINDS)):
-        out += [x for x in loose(kind, text, _SURE) if allowed(x, out, refused)]
+        out += [x for x in sure_forms(kind, text) if allowed(x, out, refused)]
     return out
 
 
@@ -367,10 +404,11 @@ def rewritten(texts: list[str], around: int = 12, forms: int = FORMS) -> list[tu
 
 
 def labelled_lines(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Features and tags of every line that holds a span, of as many that hold none, and of the rewritten surroundings."""
+    """Features and tags of the lines labelled by hand, of every line that holds a span, of as many that hold none, and of the rewritten surroundings."""
     marked, plain, more = [], [], rewritten(texts)
     own = [(t, known_spans(t)) for t in texts]
-    for source, is_own in ((own, True), (more, False)):
+    hand = [(t, [(KINDS.index(k), a, b) for k, a, b in spans]) for t, spans in pii_lines.labelled()]
+    for source, is_own in ((own, True), (more, False), (hand * HAND_TIMES, False)):
         for i in range(0, len(source), 100):
             some = source[i : i + 100]
             words = Words(pa.array([t for t, _ in some], pa.large_string()))
@@ -396,7 +434,7 @@ def _spelt(words: Words, a: int, b: int) -> bool:
     return b"at" in words.data[words.starts[a] : words.ends[b - 1]].tobytes().lower()
 
 
-def _field_spans(words: Words, tags: np.ndarray, scores: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+def _field_spans(words: Words, tags: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
     """Runs of one tag inside a line, by text: (kind number, first byte, end byte) within the text."""
     out: dict[int, list[tuple[int, int, int]]] = {}
     new = np.ones(len(tags), bool)
@@ -407,7 +445,7 @@ def _field_spans(words: Words, tags: np.ndarray, scores: np.ndarray) -> dict[int
     hit = tags[begins] > 0
     for a, b in zip(begins[hit], finals[hit], strict=True):
         tag = tags[a]
-        if words.digits[a:b].sum() + words.ats[a:b].sum() == 0 and not _spelt(words, a, b) or (scores[a:b, tag] - scores[a:b, 0]).mean() < MARGIN:
+        if words.digits[a:b].sum() + words.ats[a:b].sum() == 0 and not _spelt(words, a, b):
             continue
         number = int(np.searchsorted(words.first, a, "right")) - 1
         base = words.offsets[number]
@@ -423,8 +461,7 @@ def find_spans(column: pa.Array, model: Field) -> list[tuple[list, list]]:
     held = [x[words.offsets[1:]] - x[words.offsets[:-1]] for x in (digits, ats, pluses)]
     added = {}
     if model.trained and len(words.starts):
-        tags, scores = model.viterbi(words)
-        added = _field_spans(words, tags, scores)
+        added = _field_spans(words, model.viterbi(words)[0])
     out = []
     for i in range(len(words.offsets) - 1):
         may = held[0][i] >= 4 or held[1][i]
@@ -437,7 +474,7 @@ def find_spans(column: pa.Array, model: Field) -> list[tuple[list, list]]:
         more = []
         for kind, lo, hi in added.get(i, ()):
             lo, hi = len(raw[:lo].decode()), len(raw[:hi].decode())
-            more += [x for x in _around(kind, text, lo, hi) if allowed(x, base + more, refused)]
+            more += [x for x in values(kind, text, lo, hi) if allowed(x, base + more, refused)]
         out.append((base, more))
     return out
 
