@@ -35,6 +35,17 @@ def dropped(df: DataFrame) -> None:
     remove_folder(spark, df._written_path)
 
 
+def _on_store(spark: SparkSession, path: str):
+    """A path and the file system it lies in."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def is_folder(spark: SparkSession, path: str) -> bool:
+    place, store = _on_store(spark, path)
+    return store.getFileStatus(place).isDirectory()
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
-    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+    place, store = _on_store(spark, folder)
+    store.delete(place, True)

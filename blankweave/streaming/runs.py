@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from blankweave.sources.paths import fresh_path, remove_folder
+from blankweave.sources.paths import fresh_path, is_folder, remove_folder
 from blankweave.streaming.keyed import KeyedTable
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables as a file stream with the schema of its files."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """One of the given tables as a file stream with the schema of its files; a table is one file or a folder of part files."""
+    path = f"{sf_dir}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    # A stream reads folders only: the folder of the table, or the one that its file lies in and of that the file alone.
+    return reader.parquet(path) if is_folder(spark, path) else reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
 def run_append(stream: DataFrame, name: str) -> DataFrame:

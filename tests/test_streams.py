@@ -177,3 +177,19 @@ def test_usage_counts(spark):
     usage = spark.createDataFrame(rows, "template_id bigint, step string, prompt_tokens bigint, completion_tokens bigint, total_tokens bigint")
     got = {(r.template_id, r.step): r.total_tokens for r in D.usage_rollup(usage).collect()}
     assert got == {(1, "a"): 14, (1, None): 14, (None, None): 14}
+
+
+def test_a_stream_reads_a_table_of_one_file_and_of_part_files(spark, data_dir, tmp_path):
+    from blankweave.plans.catalog import QUERIES
+
+    text = "Anna Nguyen wrote back."
+    rows = [(conv, turn, "user" if turn % 2 == 0 else "assistant", f"{text} {conv} {turn}") for conv in range(6) for turn in range(5)]
+    table = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    parts, single = tmp_path / "parts", tmp_path / "single"
+    table.repartition(3).write.parquet(f"{parts}/conversations.parquet")
+    table.coalesce(1).write.parquet(f"{tmp_path}/one")
+    single.mkdir()
+    next((tmp_path / "one").glob("part-*.parquet")).rename(single / "conversations.parquet")
+    for name in ("conversation_values", "fill_conversation"):
+        of_parts, of_file = (sorted(QUERIES[name](spark, str(d)).collect()) for d in (parts, single))
+        assert of_parts and of_parts == of_file
