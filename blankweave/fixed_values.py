@@ -15,10 +15,13 @@ BLANK_RE2 = r"([._…‥⋯]*[…‥⋯][._…‥⋯]*|\s*[._](?:\s*[._])+\s*|[
 # The same language for java.util.regex. The quantifiers are possessive: a
 # greedy group would recurse once per dot and overflow the stack on long rows
 # of dots; the look-behind tries each white space run once, and the look-ahead
-# passes over most letters without trying an alternative. Leader marks count
-# as white space next to dots and as a blank alone.
+# passes over most letters, and spaces in front of them, without trying an
+# alternative: its characters are spelled out, so Java tests them by one table
+# and not range by range. Leader marks count as white space next to dots and as
+# a blank alone.
+_PLAIN = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789,"
 BLANK = (
-    r"(?U)(?![A-Za-z0-9,])([._…‥⋯]*[…‥⋯][._…‥⋯]*"
+    r"(?U)(?! ?[" + _PLAIN + r"])([._…‥⋯]*[…‥⋯][._…‥⋯]*"
     r"|(?<![\s" + LEADER_MARK + r"])[\s" + LEADER_MARK + r"]*+[._](?:[\s" + LEADER_MARK + r"]*+[._])++[\s" + LEADER_MARK + r"]*+"
     r"|[□■]+"
     r"|" + LEADER_MARK + r"+)"

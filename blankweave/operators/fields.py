@@ -65,20 +65,29 @@ def cut_at_blanks(blocks: DataFrame) -> DataFrame:
     ends_in_break = r"(?U)[:\-–—\._…□■]\s*$"
     speaks = r"(?U)[^:\-–—\._…□■\s]"
 
+    def opened(row: Column) -> Column:
+        """The row with ``starts``: pieces that say something right behind a break, where the search for a label ends at the latest."""
+        closed = lambda i: (i == 0) | F.coalesce(F.get(row["blanks"], i - 1).rlike(ends_in_break), F.lit(False))
+        starts = F.transform(row["pieces"], lambda piece, i: closed(i) & piece.rlike(speaks))
+        return F.struct(row["pieces"].alias("pieces"), row["blanks"].alias("blanks"), starts.alias("starts"))
+
     def segments_of(row: Column) -> Column:
-        pieces, blanks = row["pieces"], row["blanks"]
+        pieces, blanks, starts = row["pieces"], row["blanks"], row["starts"]
 
         def label_context(piece: Column, i: Column) -> Column:
-            # The blank before this piece normally ends the search for a label;
-            # only otherwise is the whole text in front needed.
-            closed = (i == 0) | F.coalesce(F.get(blanks, i - 1).rlike(ends_in_break), F.lit(False))
-            whole = F.array_join(
-                F.transform(
-                    F.slice(pieces, 1, i + 1), lambda p, j: F.concat(p, F.when(j < i, F.get(blanks, j)).otherwise(""))
-                ),
-                "",
-            )
-            return F.when(closed & piece.rlike(speaks), piece).otherwise(whole)
+            # The piece itself, or the text from the last start before it: what lies in front of that never tells a label,
+            # so a long block isn't copied once for each of its blanks.
+            back = F.when(F.get(starts, i - 1), F.lit(1).cast("bigint")).otherwise(F.array_position(F.reverse(F.slice(starts, 1, i)), F.lit(True)))
+
+            def text_from(first: Column) -> Column:
+                parts = F.transform(
+                    F.slice(pieces, first + 1, i - first + 1),
+                    lambda p, j: F.concat(p, F.when(first + j < i, F.get(blanks, first + j)).otherwise("")),
+                )
+                return F.array_join(parts, "")
+
+            reached = F.transform(F.array(back), lambda b: text_from(F.when(b > 0, i - b.cast("int")).otherwise(0)))
+            return F.when(F.get(starts, i), piece).otherwise(F.get(reached, 0))
 
         def pair(piece: Column, i: Column) -> Column:
             blank = F.get(blanks, i)
@@ -105,7 +114,7 @@ def cut_at_blanks(blocks: DataFrame) -> DataFrame:
 
     cut = F.struct(F.split(marked, V.BLANK, -1).alias("pieces"), T.detect_blanks(marked).alias("blanks"))
     exploded = blocks.withColumn("_marked", marked).select(
-        *blocks.columns, F.posexplode(F.flatten(F.transform(F.array(cut), segments_of))).alias("seg_index", "_seg")
+        *blocks.columns, F.posexplode(F.flatten(F.transform(F.transform(F.array(cut), opened), segments_of))).alias("seg_index", "_seg")
     )
     kept = [c for c in blocks.columns if c not in ("text", "tab_leaders")]
     labelled = exploded.withColumn("_label", T.last_label(F.col("_seg.label_context")))
