@@ -93,7 +93,12 @@ def extracted_pairs(message: Column, fields: list[str]) -> Column:
 
     dates = F.array(part("ngay", 3, 1), part("thang", 2, 2), part("nam", 1, 3))
     known = F.filter(F.concat(dates, pairs), lambda p: F.coalesce(p["field_name"].isin(*fields) & (p["value"] != ""), F.lit(False)))
-    last = F.filter(known, lambda p, i: ~F.exists(F.slice(known, i + 2, F.size(known)), lambda later: later["field_name"] == p["field_name"]))
+
+    def last_of(pairs: Column) -> Column:
+        return F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda later: later["field_name"] == p["field_name"]))
+
+    # The pairs are made once a message, and not again for each of them that is compared with those after it.
+    last = F.get(F.transform(F.array(known), last_of), 0)
     return F.coalesce(last, F.array().cast("array<struct<field_name:string,value:string>>"))
 
 

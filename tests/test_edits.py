@@ -154,3 +154,23 @@ def test_read_edits_rejects(spark):
         (1, 1): "unknown type fly", (1, 2): "field_name is required", (1, 3): "rows is out of bounds",
         (1, 4): "unknown position", (2, None): "no operation",
     }
+
+
+def test_adds_of_one_name_in_two_blocks_and_adds_to_no_block(spark):
+    from blankweave.operators import fields as FL
+    from blankweave.operators import spans as S
+
+    blocks = spark.createDataFrame([(1, 0, "A ...."), (1, 1, "B"), (None, 0, "C")], "doc_id bigint, block_index bigint, text string")
+    adds = spark.createDataFrame(
+        [(1, 2, 0, "x", 0, None), (1, 1, 1, "x", 99, None), (1, 3, 1, "y", 1, None), (1, 4, 7, "z", 0, None), (1, 5, 1, "field", 0, None), (None, 1, 0, "w", 0, None), (2, 1, 0, "v", 0, None)],
+        "doc_id bigint, op_index bigint, block_index bigint, field_name string, offset bigint, insert_after string",
+    )
+    out, status = S.add_field_at(FL.convert_blocks(blocks), adds)
+    got = {(r.doc_id, r.op_index): r.error for r in status.collect()}
+    # The earlier add holds its name though its point is missed; null is no document.
+    assert got == {
+        (1, 1): "offset not found", (1, 2): "name in use", (1, 3): None, (1, 4): "unknown block", (1, 5): "name in use",
+        (None, 1): "unknown block", (2, 1): "unknown block",
+    }
+    texts = sorted((r.doc_id or 0, r.block_index, r.seg_index, r.text) for r in out.collect())
+    assert texts == [(0, 0, 0, "C"), (1, 0, 0, "A"), (1, 0, 1, "«field»"), (1, 1, 0, "B"), (1, 1, 1, "«y»")]

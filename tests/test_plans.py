@@ -83,3 +83,18 @@ def test_python_runs_only_where_it_must(spark, data_dir):
 )
 def test_edits_scan_the_corpus_a_few_times(spark, data_dir, name, most):
     assert len(re.findall(r"^\(\d+\) Scan parquet", plan_of(name, spark, data_dir), re.M)) <= most
+
+
+def test_pairs_of_a_message_are_made_once(spark, data_dir):
+    # The pattern of a pair: once for labels and once for values, however often the pairs are compared.
+    text = plan_of("rule_extract", spark, data_dir)
+    assert 0 < text.count("([^:;\\n]+)") + text.count("([^:;\n]+)") <= 4 * 2
+
+
+def test_adds_meet_segments_by_block_and_not_as_whole_documents(spark, data_dir):
+    text = plan_of("add_field_at", spark, data_dir)
+    assert "FullOuter" not in text and "Join" not in text
+
+
+def test_mixed_edits_cut_their_segments_once(spark, data_dir):
+    assert "posexplode" not in plan_of("apply_edits", spark, data_dir)
