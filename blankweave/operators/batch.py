@@ -141,6 +141,8 @@ def apply_edits(segments: DataFrame, edits: DataFrame, requests: DataFrame | Non
     """
     columns = segments.columns
     spark = segments.sparkSession
+    # Read by the levels, by the first state and by the result: cut once.
+    segments = written(segments, "edit-segments")
     levelled = written(dependency_levels(segments, edits), "edit-levels")
     plan = {(r["level"], r["type"]) for r in levelled.select("level", "type").distinct().toLocalIterator()}
     asked = edits.select("doc_id").distinct()

@@ -203,16 +203,30 @@ def add_field(segments: DataFrame, adds: DataFrame) -> tuple[DataFrame, DataFram
     return settle(renumbered).select(*segments.columns), status
 
 
-def _by_request(segments: DataFrame, edits: DataFrame, *columns: str) -> DataFrame:
-    """One row per document: ``_blocks`` with their segments in order, the names in use, and its ``_edits`` in the order of
-    the request. Blocks, names and edits meet once, so the corpus is passed once and so are the edits."""
+def _blocks_with_adds(segments: DataFrame, adds: DataFrame, *columns: str) -> DataFrame:
+    """One row per block, asked or there: ``_segs`` in order, ``_length`` and ``_adds`` in the order of the request, each with what is
+    wrong with it ``alone`` and whether an earlier good add has its ``name``.
+
+    Segments and adds meet in one exchange by document. Names are compared by windows over (document, name), so the work grows
+    with the rows of a document and not with the square of them.
+    """
+    numbered = with_op_index(adds).select(*BLOCK, "field_name", F.struct("op_index", *[F.col(c) for c in columns]).alias("_add"))
     segment = F.struct("seg_index", "kind", "text", *FIELD_PROPS, "start_pos", "end_pos")
-    blocks = segments.groupBy(*BLOCK).agg(F.array_sort(F.collect_list(segment)).alias("segs"), F.max("end_pos").alias("length"))
-    documents = blocks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("block_index", "segs", "length"))).alias("_blocks"))
-    edit = F.struct("op_index", *[F.col(c) for c in columns])
-    requests = with_op_index(edits).groupBy("doc_id").agg(F.array_sort(F.collect_list(edit)).alias("_edits"))
-    names = F.array_distinct(F.flatten(F.transform("_blocks", lambda b: F.filter(b["segs"]["field_name"], lambda n: n.isNotNull()))))
-    return documents.join(requests, "doc_id", "full").withColumn("_numbers", F.col("_blocks.block_index")).withColumn("_taken", names)
+    shown = segments.select(*BLOCK, F.col("field_name").alias("_name"), segment.alias("_seg"))
+    both = shown.unionByName(numbered.withColumnRenamed("field_name", "_name"), allowMissingColumns=True).repartition("doc_id")
+    there = F.coalesce(F.max(F.col("_seg").isNotNull()).over(W.partitionBy(*BLOCK)) & F.col("doc_id").isNotNull() & F.col("block_index").isNotNull(), F.lit(False))
+    # Adds to blocks come in the order of the request; segments and adds to no block don't count among them.
+    asks = F.col("_add").isNotNull() & F.col("_there")
+    named = W.partitionBy("doc_id", "_name").orderBy(F.desc("_asks"), "_add.op_index", "block_index", *[f"_add.{c}" for c in columns])
+    judged = both.withColumn("_there", there).withColumn("_asks", asks).withColumn("_nth", F.row_number().over(named)).withColumn(
+        "_taken", F.max(F.col("_seg").isNotNull()).over(named.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    )
+    alone = F.when(~F.col("_there"), F.lit("unknown block")).when(T.is_blank(F.col("_name")), F.lit("no field name")).when(F.col("_taken"), F.lit("name in use"))
+    add = F.struct("_add.op_index", *[F.col(f"_add.{c}") for c in columns], F.col("_name").alias("name"), alone.alias("alone"), (F.col("_nth") > 1).alias("late"))
+    return judged.groupBy(*BLOCK).agg(
+        F.array_sort(F.collect_list("_seg")).alias("_segs"), F.max("_seg.end_pos").alias("_length"),
+        F.array_sort(F.collect_list(F.when(F.col("_add").isNotNull(), add))).alias("_adds"),
+    )
 
 
 def add_field_at(segments: DataFrame, adds: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -220,42 +234,34 @@ def add_field_at(segments: DataFrame, adds: DataFrame) -> tuple[DataFrame, DataF
 
     The point is a character offset, or the end of the first ``insert_after``
     in the shown text. It has to touch a text segment; fields at one point stand
-    in the order of the request. A document's adds are judged and made inside its row.
+    in the order of the request. A block's adds are made inside its row.
     """
-    requests = _by_request(segments, adds, "block_index", "field_name", "offset", "insert_after")
+    blocks = _blocks_with_adds(segments, adds, "offset", "insert_after")
 
-    def placed(a: Column) -> Column:
-        """An add with what is wrong with it alone, the first text segment at its point and the place in that."""
-        at = F.array_position(F.col("_numbers"), a["block_index"])
-        block = F.when(at > 0, F.get("_blocks", (at - 1).cast("int")))
-        shown = F.array_join(block["segs"]["text"], "")
+    def pointed(a: Column) -> Column:
+        shown = F.array_join(F.col("_segs.text"), "")
         found = F.instr(shown, a["insert_after"])
-        point = F.when(a["insert_after"].isNotNull(), F.when(found > 0, found - 1 + F.length(a["insert_after"]))).otherwise(a["offset"]).cast("bigint")
-        alone = F.when(block.isNull(), F.lit("unknown block")).when(T.is_blank(a["field_name"]), F.lit("no field name")).when(
-            F.array_contains("_taken", a["field_name"]), F.lit("name in use")
-        )
-        hit = F.get(F.filter(block["segs"], lambda s: (s["kind"] == "text") & (point.between(s["start_pos"], s["end_pos"]) | (block["length"] == 0)) & (point >= 0)), 0)
-        return F.struct(
-            a["op_index"].alias("op_index"), a["block_index"].alias("block_index"), a["field_name"].alias("name"), alone.alias("alone"),
-            F.when(point.isNull(), F.lit("text not found")).when(hit.isNull(), F.lit("offset not found")).alias("missed"),
+        return a.withField("point", F.when(a["insert_after"].isNotNull(), F.when(found > 0, found - 1 + F.length(a["insert_after"]))).otherwise(a["offset"]).cast("bigint"))
+
+    def placed(a: Column) -> Column:
+        """An add with its error, the first text segment at its point and the place in that."""
+        point = a["point"]
+        at = F.filter("_segs", lambda s: (s["kind"] == "text") & (point.between(s["start_pos"], s["end_pos"]) | (F.col("_length") == 0)) & (point >= 0))
+        return F.get(F.transform(F.array(F.get(at, 0)), lambda hit: F.struct(
+            a["op_index"].alias("op_index"), a["name"].alias("name"),
+            F.coalesce(
+                a["alone"], F.when(a["late"], F.lit("name in use")), F.when(point.isNull(), F.lit("text not found")),
+                F.when(hit.isNull(), F.lit("offset not found")),
+            ).alias("error"),
             hit["seg_index"].alias("seg_index"), F.greatest(point - hit["start_pos"], F.lit(0)).cast("int").alias("local"),
-        )
+        )), 0)
 
-    # Of two good adds with one name the earlier holds, whether or not its point is found.
-    good_names = F.transform("_placed", lambda a: F.when(a["alone"].isNull(), a["name"]))
-    judged = F.transform(
-        F.col("_placed"),
-        lambda a, i: a.withField("error", F.coalesce(a["alone"], F.when(F.array_position("_names", a["name"]) <= i, F.lit("name in use")), a["missed"])),
-    )
-    done = requests.withColumn("_placed", F.transform("_edits", placed)).withColumn("_names", good_names).withColumn("_judged", judged)
-    status = done.select("doc_id", F.explode("_judged").alias("a")).select(
-        "doc_id", "a.block_index", "a.op_index", F.col("a.name").alias("field_name"),
+    done = blocks.withColumn("_judged", F.transform(F.transform("_adds", pointed), placed))
+    status = done.select(*BLOCK, F.explode("_judged").alias("a")).select(
+        *BLOCK, "a.op_index", F.col("a.name").alias("field_name"),
         F.when(F.col("a.error").isNull(), F.lit("executed")).otherwise(F.lit("failed")).alias("status"), "a.error",
     )
-    inserts = F.filter("_judged", lambda a: a["error"].isNull())
-    per_block = done.withColumn("_inserts", inserts).select("doc_id", "_inserts", F.explode("_blocks").alias("b")).select(
-        "doc_id", "b.block_index", "b.segs", F.filter("_inserts", lambda a: a["block_index"] == F.col("b.block_index")).alias("_own")
-    )
+    per_block = done.select(*BLOCK, F.col("_segs").alias("segs"), F.filter("_judged", lambda a: a["error"].isNull()).alias("_own"))
     props = [F.lit(None).cast("string").alias(c) for c in FIELD_PROPS]
 
     def grown(s: Column) -> Column:
