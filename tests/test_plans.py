@@ -88,7 +88,7 @@ def test_edits_scan_the_corpus_a_few_times(spark, data_dir, name, most):
 def test_pairs_of_a_message_are_made_once(spark, data_dir):
     # The pattern of a pair: once for labels and once for values, however often the pairs are compared.
     text = plan_of("rule_extract", spark, data_dir)
-    assert 0 < text.count("([^:;\\n]+)") + text.count("([^:;\n]+)") <= 4 * 2
+    assert 0 < text.count("([^:;\\n]+)") + text.count("([^:;\n]+)") <= 2
 
 
 def test_adds_meet_segments_by_block_and_not_as_whole_documents(spark, data_dir):
