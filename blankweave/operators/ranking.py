@@ -1,9 +1,11 @@
 """Ordered computations over keys that may hold any share of all rows.
 
-A plain window puts all rows of a key into one task. Here the caller names
-leading order columns as a band: rows are aggregated per (key, band) with
-map-side combine, the small band table is scanned per key, and its result comes
-back by an equi-join on (key, band). The remaining window is per (key, band).
+A plain window puts all rows of a key into one task. Where some key has too many
+for that, the leading order columns that the caller names are a band: rows are
+aggregated per (key, band) with map-side combine, the small band table is scanned
+per key, and its result comes back by an equi-join on (key, band). The remaining
+window is per (key, band). Where no key has, ``numbered`` and ``running_total``
+need the plain window alone.
 """
 
 from __future__ import annotations
@@ -12,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from blankweave.operators.skew import SLICE_ROWS, counted_keys, dealt_by
+
 
 def with_op_index(edits: DataFrame) -> DataFrame:
     """Edits with their place in the request, ``op_index``; without one all count as simultaneous."""
@@ -25,8 +29,18 @@ def by_op_index(edits: Column) -> Column:
     )
 
 
-def numbered(df: DataFrame, keys: list[str], band: list[str], order: list[str], name: str) -> DataFrame:
-    """Exact 1-based row number per key; ``order`` has to start with the band order."""
+def _whole(columns: list[str]) -> Column:
+    """Every one of the columns has a value."""
+    return ~F.greatest(*[F.col(c).isNull() for c in columns], F.lit(False))
+
+
+def numbered(df: DataFrame, keys: list[str], band: list[str], order: list[str], name: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Exact 1-based row number per key; ``order`` has to start with the band order. Rows without a key or band count but go."""
+    df = df.where(_whole(keys))
+    rows, most = counted_keys(df, keys)
+    if most <= slice_rows:
+        place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
+        return dealt_by(df, keys, rows).withColumn(name, place.cast("bigint")).where(_whole(band))
     sizes = df.groupBy(*keys, *band).agg(F.count(F.lit(1)).alias("_n"))
     earlier = W.partitionBy(*keys).orderBy(*band).rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select(*keys, *band, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_skip"))
@@ -38,9 +52,20 @@ def numbered(df: DataFrame, keys: list[str], band: list[str], order: list[str],
     )
 
 
-def running_total(df: DataFrame, keys: list[str], band: Column, order: list[str], value: Column, name: str) -> DataFrame:
-    """Exact sum of ``value`` over the rows before each row of a key; ``band`` has to rise with the order."""
-    banded = df.withColumn("_band", band).withColumn("_value", value)
+def running_total(
+    df: DataFrame, keys: list[str], band: Column, order: list[str], value: Column, name: str,
+    slice_rows: int = SLICE_ROWS, counted: DataFrame | None = None,
+) -> DataFrame:
+    """Exact sum of ``value`` over the rows before each row of a key; ``band`` has to rise with the order.
+
+    Rows without a key or band count but go. Keys are counted in ``counted``, a table with those of ``df`` that is cheaper
+    to read, or in ``df``.
+    """
+    banded = df.withColumn("_band", band).withColumn("_value", value).where(_whole(keys))
+    if counted_keys(df if counted is None else counted, keys)[1] <= slice_rows:
+        earlier = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        total = F.coalesce(F.sum("_value").over(earlier), F.lit(0)).cast("bigint")
+        return banded.withColumn(name, total).where(_whole(["_band"])).drop("_band", "_value")
     sums = banded.groupBy(*keys, "_band").agg(F.sum("_value").alias("_s"))
     earlier = W.partitionBy(*keys).orderBy("_band").rowsBetween(W.unboundedPreceding, -1)
     starts = sums.select(*keys, "_band", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_skip"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 SALTS = 16
 #: Rows of a key beyond which it is split, and the most keys that are; no other key holds more than 1 / HOT_KEYS of all rows.
 SLICE_ROWS, HOT_KEYS = 4096, 1024
+#: Rows that a task gets of a table dealt by its keys.
+TASK_ROWS = 2**18
 
 
 def salted_join(
@@ -30,6 +32,32 @@ def hot_keys(many: DataFrame, keys: list[str], slice_rows: int = SLICE_ROWS, mos
     return counts.orderBy(F.desc("_n"), *keys).limit(most).select(*keys, F.ceil(F.col("_n") / slice_rows).cast("int").alias("_slices"))
 
 
+def counted_keys(many: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """All rows, and those of the key that has most. Counted at once, as plans depend on it."""
+    counts = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.sum("_n"), F.max("_n")).first()
+    return counts[0] or 0, counts[1] or 0
+
+
+def dealt_by(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """``df`` of so many rows dealt out by its keys, about TASK_ROWS to a task at most however large it is.
+
+    What follows per key needs no other exchange, and as rows may be exploded and sorted there, their number counts, not
+    their size in the files of the exchange.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+    return df.repartition(parts, *keys)
+
+
+def even_join(
+    many: DataFrame, few: DataFrame, keys: list[str], spread_by: Column, how: str = "inner",
+    slice_rows: int = SLICE_ROWS, counted: DataFrame | None = None,
+) -> DataFrame:
+    """The plain join, which leaves rows where they are dealt by their keys; ``hot_join`` if a key has more than ``slice_rows`` rows."""
+    if counted_keys(many if counted is None else counted, keys)[1] > slice_rows:
+        return hot_join(many, few, keys, spread_by, how, slice_rows, counted=counted)
+    return many.join(few, keys, how)
+
+
 def hot_join(
     many: DataFrame, few: DataFrame, keys: list[str], spread_by: Column, how: str = "inner",
     slice_rows: int = SLICE_ROWS, most: int = HOT_KEYS, counted: DataFrame | None = None,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from blankweave.functions import naming as N
 from blankweave.functions import text as T
 from blankweave.operators.ranking import numbered, running_total, with_op_index
-from blankweave.operators.skew import salted_join
+from blankweave.operators.skew import even_join, salted_join
 
 ROW_BAND = 4096
 
@@ -59,12 +59,15 @@ def grid_lines(cells: DataFrame) -> DataFrame:
     return _rows(cells.withColumn("text", shown)).select("table_id", "row", line.alias("line"))
 
 
-def with_line_starts(lines: DataFrame) -> DataFrame:
+def with_line_starts(lines: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """Lines with ``start_pos``, their place in the text that the lines of a table make when joined by newlines.
 
-    A table may hold any share of all rows: starts are prefix sums in two levels, and no table is gathered.
+    A table may hold any share of all rows: starts of such are prefix sums in two levels, and no table is gathered.
+    ``counted`` are the cells that the lines were made of.
     """
-    return running_total(lines, ["table_id"], F.floor(F.col("row") / ROW_BAND), ["row"], F.length("line") + 1, "start_pos")
+    return running_total(
+        lines, ["table_id"], F.floor(F.col("row") / ROW_BAND), ["row"], F.length("line") + 1, "start_pos", counted=counted
+    )
 
 
 def _joined(lines: DataFrame, name: str) -> DataFrame:

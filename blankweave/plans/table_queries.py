@@ -40,7 +40,7 @@ def table_grid_text(spark: SparkSession, d: str) -> DataFrame:
     cells="""SELECT table_id, "row", col, CASE WHEN "row" % 3 = 1 THEN ' ' ELSE text END AS text FROM table_cells"""))
 def table_summary_lines(spark: SparkSession, d: str) -> DataFrame:
     cells = X.table_cells(spark, d).withColumn("text", F.when(F.col("row") % 3 == 1, F.lit(" ")).otherwise(F.col("text")))
-    return G.with_line_starts(G.summary_lines(cells).where("spoken")).drop("spoken")
+    return G.with_line_starts(G.summary_lines(cells).where("spoken"), cells).drop("spoken")
 
 
 @query("table_grid_lines", duck(r"""
@@ -48,7 +48,8 @@ def table_summary_lines(spark: SparkSession, d: str) -> DataFrame:
   FROM (SELECT table_id, "row", 'Row ' || "row" || ': ' || shown AS line FROM (
     SELECT table_id, "row", string_agg(CASE WHEN trim(text) = '' THEN '[EMPTY]' ELSE '"' || trim(text) || '"' END, ' | ' ORDER BY col) AS shown FROM table_cells GROUP BY ALL))""", "table_cells"))
 def table_grid_lines(spark: SparkSession, d: str) -> DataFrame:
-    return G.with_line_starts(G.grid_lines(X.table_cells(spark, d)))
+    cells = X.table_cells(spark, d)
+    return G.with_line_starts(G.grid_lines(cells), cells)
 
 
 @query("table_structure", duck("""

@@ -183,17 +183,12 @@ def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         lines.withColumn("part_band", F.floor(F.col("l_partkey") / 65536)),
         ["l_orderkey"], ["l_linenumber", "part_band"], order, "row_number",
     ).withColumn("row", F.col("row_number") - 1)
-    cells = F.array(
-        F.struct(F.lit(0).cast("bigint").alias("col"), F.col("l_linenumber").cast("string").alias("text")),
-        F.struct(F.lit(1).cast("bigint").alias("col"), F.col("l_returnflag").alias("text")),
-        F.struct(
-            F.lit(2).cast("bigint").alias("col"),
-            F.when(F.col("row") % 2 == 0, F.lit(" .. ")).otherwise(F.col("l_linestatus")).alias("text"),
-        ),
-    )
-    return rows.select(F.col("l_orderkey").alias("table_id"), "row", F.explode(cells).alias("c")).select(
-        "table_id", "row", "c.col", "c.text"
+    text = (
+        F.when(F.col("col") == 0, F.col("l_linenumber").cast("string")).when(F.col("col") == 1, F.col("l_returnflag"))
+        .when(F.col("row") % 2 == 0, F.lit(" .. ")).otherwise(F.col("l_linestatus"))
     )
+    columns = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(2).cast("bigint")))
+    return rows.withColumn("col", columns).select(F.col("l_orderkey").alias("table_id"), "row", "col", text.alias("text"))
 
 
 def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:

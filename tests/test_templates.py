@@ -202,3 +202,13 @@ def test_date_line(spark):
     fields = spark.createDataFrame([(1, n) for n in ("a", "b", "c", "d")], "doc_id bigint, field_name string")
     got = {r.old_name: r.new_name for r in FL.date_line_renames(forms, fields).collect()}
     assert got == {"a": "dia_diem_lam_don", "b": "dia_diem_lam_don", "c": "thang_lam_don", "d": "nam_lam_don"}
+
+
+def test_skewed_and_even_keys_count_alike(spark):
+    from blankweave.operators.ranking import numbered, running_total
+
+    rows = spark.range(600).selectExpr("CASE WHEN id < 500 THEN 1 WHEN id < 590 THEN id END AS k", "CASE WHEN id % 50 <> 7 THEN id DIV 20 END AS band", "id AS at", "id % 5 AS v")
+    sliced, plain = (numbered(rows, ["k"], ["band"], ["band", "at"], "n", most).collect() for most in (10, 4096))
+    assert sorted(map(tuple, sliced)) == sorted(map(tuple, plain)) and len(plain) == 578
+    sliced, plain = (running_total(rows, ["k"], F.floor(F.col("at") / 20), ["at"], F.col("v"), "n", most).select("at", "n").collect() for most in (10, 4096))
+    assert sorted(sliced) == sorted(plain) and len(plain) == 590
