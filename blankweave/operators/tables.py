@@ -227,23 +227,23 @@ def best_matching_cell(cells: DataFrame, hints: DataFrame) -> DataFrame:
 
     Every paragraph of a cell counts by itself.
 
-    The pieces of a hint stay an array on the row, so no pairs are emitted; the
-    pick is a max over a struct, combined before the shuffle.
+    The pieces of a hint stay an array on the row, so no pairs are emitted; whole cells meet their hint and fall into words
+    there. The pick is a max over a struct, combined before the shuffle.
     """
     pieces = F.transform(F.split("hint", r" \| ", -1), T.strip)
     prepared = hints.select(
-        "table_id", F.transform(pieces, _words).alias("_pieces"), F.split(F.lower("name"), "_", -1).alias("_parts")
+        "table_id", F.transform(pieces, _words).alias("_pieces"), F.array_distinct(F.split(F.lower("name"), "_", -1)).alias("_parts")
     )
-    lines = cells.select("table_id", "row", "col", F.posexplode(F.split("text", "\n", -1)).alias("para_in_cell", "text"))
+    paired = even_join(cells.select("table_id", "row", "col", "text"), prepared, ["table_id"], F.struct("row", "col"), counted=cells)
+    lines = paired.select("table_id", "row", "col", "_pieces", "_parts", F.posexplode(F.split("text", "\n", -1)).alias("para_in_cell", "text"))
     spoken = lines.where(~T.is_blank(F.col("text"))).withColumn("_words", _words(F.col("text")))
-    paired = salted_join(spoken, prepared, ["table_id"], F.struct("row", "col", "para_in_cell"))
-    bonus = F.size(F.array_intersect(F.array_distinct("_parts"), "_words")) * F.lit(0.2)
+    bonus = F.size(F.array_intersect("_parts", "_words")) * F.lit(0.2)
     usable = F.filter(F.col("_pieces"), lambda piece: F.size(piece) > 0)
     scores = F.transform(
         usable, lambda piece: F.size(F.array_intersect(piece, F.col("_words"))) / F.size(piece) + F.col("_bonus")
     )
     scored = (
-        paired.where(F.size("_words") > 0).withColumn("_bonus", bonus).withColumn("score", F.array_max(scores)).where("score > 0")
+        spoken.where(F.size("_words") > 0).withColumn("_bonus", bonus).withColumn("score", F.array_max(scores)).where("score > 0")
     )
     return scored.groupBy("table_id").agg(
         F.max(F.struct("score", (-F.col("row")).alias("r"), (-F.col("col")).alias("c"), (-F.col("para_in_cell")).alias("p"))).alias("_b")
