@@ -288,23 +288,26 @@ def _edit_lines(cells: DataFrame, edits: DataFrame, axis: str, other: str, after
     status = planned.select("table_id", F.explode("_done").alias("e")).select(
         "table_id", "e.op_index", F.when(F.col("e.error").isNull(), F.lit("executed")).otherwise(F.lit("failed")).alias("status"), "e.error"
     )
-    good = planned.select("table_id", "_others", F.filter("_done", lambda e: e["error"].isNull()).alias("_good")).where(F.size("_good") > 0)
+    steps = F.transform(
+        F.filter("_done", lambda e: e["error"].isNull()), lambda e: F.struct(e["target"].alias("target"), (e["action"] == "insert").alias("grows"))
+    )
+    good = planned.select("table_id", "_others", steps.alias("_good")).where(F.size("_good") > 0)
 
     def moved(position: Column, edit: Column) -> Column:
         target = edit["target"]
         return (
-            F.when(edit["action"] == "insert", F.when(position >= target, position + 1).otherwise(position))
+            F.when(edit["grows"], F.when(position >= target, position + 1).otherwise(position))
             .when(position > target, position - 1).when(position < target, position)
         )
 
-    joined = salted_join(cells, good.select("table_id", "_good"), ["table_id"], F.struct("row", "col"), how="left")
+    joined = even_join(cells, good.select("table_id", "_good"), ["table_id"], F.struct("row", "col"), how="left")
     start = F.col(axis).cast("bigint")
     kept = joined.withColumn(axis, F.when(F.col("_good").isNull(), start).otherwise(F.aggregate("_good", start, moved))).where(
         F.col(axis).isNotNull()
     ).select("table_id", "row", "col", "text")
     later = F.slice("_good", F.col("_i") + 2, F.size("_good"))
     fresh = (
-        good.select("table_id", "_others", "_good", F.posexplode("_good").alias("_i", "e")).where("e.action = 'insert'")
+        good.select("table_id", "_others", "_good", F.posexplode("_good").alias("_i", "e")).where("e.grows")
         .withColumn(axis, F.aggregate(later, F.col("e.target"), moved)).where(F.col(axis).isNotNull())
         .select("table_id", axis, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_others") - 1)).alias(other), F.lit("").alias("text"))
         .select("table_id", "row", "col", "text")
