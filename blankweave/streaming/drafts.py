@@ -12,6 +12,7 @@ from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -47,31 +48,32 @@ class DraftProcessor(StatefulProcessor):
         self.handle.registerTimer(ms + self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows, ignore_index=True).sort_values(["ts", "seq"])
+        frames = list(rows)
+        batch = (frames[0] if len(frames) == 1 else pd.concat(frames, ignore_index=True)).sort_values(["ts", "seq"])
         out = []
         # The state is read once for all messages, and written once for each field that changed.
-        values = {name: value for (name,), (value,) in self.values.iterator()}
-        touched = set()
-        for row in batch.to_dict("records"):
-            name, value = row["field_name"], row["value"]
+        before = {name: value for (name,), (value,) in self.values.iterator()}
+        values = dict(before)
+        columns = ("seq", "ts", "field_name", "value", "is_explicit", "fields", "locked")
+        for seq, ts, name, value, is_explicit, fields, held in zip(*(batch[c].tolist() for c in columns), strict=True):
             value = "" if value is None or value != value else str(value)
             old, change = values.get(name, ""), "ignored"
-            locked = set(row["locked"]) if row["locked"] is not None else set()
-            if row["is_explicit"]:
+            locked = held if held is not None else ()
+            if is_explicit:
                 change = "explicit"
-            elif value.strip() and name not in locked and name in set(row["fields"]):
+            elif value.strip() and name not in locked and name in fields:
                 change = "updated" if not old.strip() else "corrected" if old.strip() != value.strip() else "same"
                 value = value.strip()
             if change != "ignored":
                 values[name] = value
-                touched.add(name)
-            missing = [f for f in row["fields"] if f not in locked and not values.get(f, "").strip()]
+            missing = [f for f in fields if f not in locked and not values.get(f, "").strip()]
             out.append((
-                key[0], "message", row["seq"], row["ts"], name, value, old, change, missing,
+                key[0], "message", seq, ts, name, value, old, change, missing,
                 [name] if change == "updated" else [], [name] if change == "corrected" else [],
             ))
-        for name in touched:
-            self.values.updateValue((name,), (values[name],))
+        for name, value in values.items():
+            if before.get(name) != value:
+                self.values.updateValue((name,), (value,))
         self._touch(int(batch["ts"].iloc[-1].value // 1_000_000))
         yield _frame(out)
 
@@ -88,7 +90,7 @@ class DraftProcessor(StatefulProcessor):
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
     names = [part.strip().split(" ")[0] for part in OUT_SCHEMA.split(",")]
-    frame = pd.DataFrame({name: pd.Series([row[i] for row in rows], dtype=object) for i, name in enumerate(names)})
+    frame = pd.DataFrame(rows, columns=names, dtype=object)
     frame["ts"] = pd.to_datetime(frame["ts"])
     return frame
 
@@ -125,13 +127,20 @@ def state_values(changes: DataFrame) -> DataFrame:
 
 
 def current_values(changes: DataFrame) -> DataFrame:
-    """The changes of one batch as rows of a table keyed by draft and field; NULL where the draft expired after them."""
-    expired = changes.where("kind = 'expired'").groupBy("draft_id").agg(F.max("ts").alias("_gone"))
-    last = changes.where("change IN ('explicit', 'updated', 'corrected', 'same')").groupBy("draft_id", "field_name").agg(
-        F.max_by(F.struct("value", "ts"), F.struct("ts", "seq")).alias("l")
+    """The changes of one batch as rows of a table keyed by draft and field; NULL where the draft expired after them.
+
+    The batch is read once: a second use would run its messages through the state again.
+    """
+    counts, order = F.col("change").isin("explicit", "updated", "corrected", "same"), F.struct("ts", "seq")
+    groups = changes.groupBy("draft_id", "field_name").agg(
+        F.max_by(F.when(counts, F.struct("value", "ts")), F.when(counts, order)).alias("l"),
+        F.max(F.when(F.col("kind") == "expired", F.col("ts"))).alias("_gone"),
     )
+    gone = F.max("_gone").over(W.partitionBy("draft_id"))
     alive = F.col("_gone").isNull() | (F.col("l.ts") > F.col("_gone"))
-    return last.join(expired, "draft_id", "left").select("draft_id", "field_name", F.when(alive, F.col("l.value")).alias("value"), F.col("l.ts").alias("ts"))
+    return groups.withColumn("_gone", gone).where("l IS NOT NULL").select(
+        "draft_id", "field_name", F.when(alive, F.col("l.value")).alias("value"), F.col("l.ts").alias("ts")
+    )
 
 
 def merge_finished_drafts(values_of, segments: DataFrame, out_path: str, locks: DataFrame | None = None):
