@@ -558,34 +558,37 @@ def effective_borders(cells: DataFrame, tables: DataFrame) -> DataFrame:
 
     ``tables(table_id, table_borders MAP, max_row, max_col)``.
     """
-    sides = {
-        "top": F.when(F.col("row") == 0, F.lit("top")).otherwise(F.lit("insideH")),
-        "bottom": F.when(F.col("row") == F.col("max_row"), F.lit("bottom")).otherwise(F.lit("insideH")),
-        "left": F.when(F.col("col") == 0, F.lit("left")).otherwise(F.lit("insideV")),
-        "right": F.when(F.col("col") == F.col("max_col"), F.lit("right")).otherwise(F.lit("insideV")),
-    }
-    none = F.struct(F.lit("none").alias("style"), F.lit(0).cast("bigint").alias("size"), F.lit("#000000").alias("color"))
-
-    def visible(border: Column) -> Column:
-        style = border["style"]
-        return F.when(
-            border.isNotNull() & ~F.coalesce(style, F.lit("single")).isin("none", "nil", ""),
-            F.struct(
-                F.coalesce(style, F.lit("single")).alias("style"),
-                F.coalesce(border["size"], F.lit(4)).cast("bigint").alias("size"),
-                F.concat(F.lit("#"), F.coalesce(F.nullif(border["color"], F.lit("")), F.lit("000000"))).alias("color"),
-            ),
-        )
-
-    resolved = F.array(*[
-        F.struct(
-            F.lit(side).alias("side"),
-            F.coalesce(
-                visible(F.try_element_at("borders", F.lit(side))), visible(F.try_element_at("table_borders", outer)), none
-            ).alias("b"),
-        )
-        for side, outer in sides.items()
+    def hidden(border: Column) -> Column:
+        return border.isNull() | F.coalesce(border["style"], F.lit("single")).isin("none", "nil", "")
+
+    def parts(border: Column) -> dict[str, Column]:
+        return {
+            "style": F.coalesce(border["style"], F.lit("single")), "size": F.coalesce(border["size"], F.lit(4)).cast("bigint"),
+            "color": F.concat(F.lit("#"), F.coalesce(F.nullif(border["color"], F.lit("")), F.lit("000000"))),
+        }
+
+    # What the borders of a table show is made once a table; a cell's sides become rows before theirs are looked up.
+    edges = ("top", "bottom", "left", "right", "insideH", "insideV")
+    edge = {name: F.col(f"_{name}") for name in edges}
+    given = tables.select("table_id", "max_row", "max_col", *[F.try_element_at("table_borders", F.lit(name)).alias(f"_{name}") for name in edges])
+    shown = given.select("table_id", "max_row", "max_col", *[
+        F.when(~hidden(b), F.struct(*[c.alias(part) for part, c in parts(b).items()])).alias(f"_{name}") for name, b in edge.items()
     ])
-    return cells.join(tables, "table_id").select("table_id", "row", "col", F.explode(resolved).alias("_s")).select(
-        "table_id", "row", "col", "_s.side", "_s.b.style", "_s.b.size", "_s.b.color"
+    side = F.col("side")
+    outer = (
+        F.when((side == "top") & (F.col("row") == 0), edge["top"])
+        .when((side == "bottom") & (F.col("row") == F.col("max_row")), edge["bottom"])
+        .when((side == "left") & (F.col("col") == 0), edge["left"])
+        .when((side == "right") & (F.col("col") == F.col("max_col")), edge["right"])
+        .when(side.isin("top", "bottom"), edge["insideH"]).otherwise(edge["insideV"])
+    )
+    found = (
+        cells.join(shown, "table_id").withColumn("side", F.explode(F.array(*[F.lit(name) for name in edges[:4]])))
+        .select("table_id", "row", "col", "side", F.try_element_at("borders", side).alias("_own"), outer.alias("_outer"))
     )
+    none = {"style": F.lit("none"), "size": F.lit(0).cast("bigint"), "color": F.lit("#000000")}
+    own = parts(F.col("_own"))
+    return found.select("table_id", "row", "col", "side", *[
+        F.when(~hidden(F.col("_own")), own[name]).when(F.col("_outer").isNotNull(), F.col("_outer")[name]).otherwise(none[name]).alias(name)
+        for name in none
+    ])
