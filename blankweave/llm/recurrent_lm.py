@@ -23,11 +23,13 @@ documents every word is unknown; an empty table gives an empty result; other col
 
 from __future__ import annotations
 
+import itertools
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +49,8 @@ _BLOCK = 8192
 HELD_OUT, DIVISOR = 2, 7
 END_KEY = np.uint64(0x5851F42D4C957F2D)
 _SLICE = 2000
+# Bytes of the texts cut into words at once: what is made of them stays in a core's cache.
+PIECE_BYTES = 1 << 17
 
 
 class Network:
@@ -84,91 +88,123 @@ class Network:
 
     def places(self, keys: np.ndarray) -> np.ndarray:
         """The vocabulary places of words."""
-        if not len(self.sorted_keys):
-            return np.zeros(len(keys), np.int32)
-        at = np.minimum(np.searchsorted(self.sorted_keys, keys), len(self.sorted_keys) - 1)
-        return np.where(self.sorted_keys[at] == keys, self.sorted_places[at], 0).astype(np.int32)
+        at = _looked_up(keys, self.sorted_keys)
+        return np.append(self.sorted_places, 0)[at].astype(np.int32)
 
     def inputs(self, places: np.ndarray, endings: np.ndarray) -> np.ndarray:
         return np.where(places > 0, places, len(self.sorted_keys) + 1 + endings).astype(np.int32)
 
     def step(self, read: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(new state, gates, candidate, recurrent part of the candidate) for inputs already looked up."""
-        again = state @ self.again
-        gates = np.tanh(0.5 * (read[:, : 2 * HIDDEN] + again[:, : 2 * HIDDEN])) * 0.5 + 0.5
-        inner = again[:, 2 * HIDDEN :]
-        candidate = np.tanh(read[:, 2 * HIDDEN :] + gates[:, HIDDEN:] * inner)
-        update = gates[:, :HIDDEN]
-        return candidate + update * (state - candidate), gates, candidate, inner
+        """(new state, gates, candidate, recurrent part of the candidate) for inputs already looked up.
+
+        All have a row for each text; inside, texts are columns, so that gates and candidate are whole runs of memory."""
+        read, state, again = read.T, state.T, self.again.T @ state.T
+        gates, inner = again[: 2 * HIDDEN], again[2 * HIDDEN :]
+        gates += read[: 2 * HIDDEN]
+        gates *= 0.5
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5
+        candidate = gates[HIDDEN:] * inner
+        candidate += read[2 * HIDDEN :]
+        np.tanh(candidate, out=candidate)
+        new = np.subtract(state, candidate, out=np.empty_like(candidate))
+        new *= gates[:HIDDEN]
+        new += candidate
+        return new.T, gates.T, candidate.T, inner.T
 
     def log_probabilities(self, states: np.ndarray, targets: np.ndarray) -> np.ndarray:
         """Natural logarithms of the targets' probabilities."""
         out = np.empty(len(targets), np.float32)
         for at in range(0, len(targets), _BLOCK):
             flat, goal = states[at : at + _BLOCK], targets[at : at + _BLOCK]
-            kind, member = goal // MEMBERS, goal % MEMBERS
-            logits = self.to_class.T @ flat.T + self.class_bias[:, None]
-            own = logits[kind, np.arange(len(goal))] - _log_sum(logits)
-            order, bounds = _by_class(kind, len(self.to_word))
-            flat, member, inner = flat[order], member[order], np.empty(len(goal), np.float32)
-            for k in np.flatnonzero(bounds[1:] > bounds[:-1]):
-                low, high = bounds[k], bounds[k + 1]
-                inside = self.to_word[k].T @ flat[low:high].T + self.word_bias[k][:, None]
-                inner[low:high] = inside[member[low:high], np.arange(high - low)] - _log_sum(inside)
+            kind, member = np.divmod(goal, MEMBERS)
+            logits = self.to_class.T @ flat.T
+            logits += self.class_bias[:, None]
+            own = logits[kind, np.arange(len(goal))]
+            own -= _log_sum(logits)
+            order, _, inside, runs = self._inside(flat, kind)
+            inner = inside[member[order], np.arange(len(goal))]
+            inner -= _log_sum(inside, runs)
             own[order] += inner
             out[at : at + _BLOCK] = own
         return out
 
+    def _inside(self, flat: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+        """An order of the rows ``flat`` by class, the rows in it, the logits of their classes' members as columns, and the run of each class."""
+        order = _order(kind, len(self.to_word))
+        bounds = np.searchsorted(kind[order], np.arange(len(self.to_word) + 1)).tolist()
+        runs = [(k, slice(low, high)) for k, (low, high) in enumerate(itertools.pairwise(bounds)) if high > low]
+        flat, inside = np.take(flat, order, axis=0), np.empty((MEMBERS, len(kind)), np.float32)
+        for k, run in runs:
+            np.matmul(self.to_word[k].T, flat[run].T, out=inside[:, run])
+            inside[:, run] += self.word_bias[k][:, None]
+        return order, flat, inside, runs
+
     def gradients(self, inputs: np.ndarray, fresh: np.ndarray, targets: np.ndarray, state: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """Gradients of the mean loss over one window (words by streams) and the state after it; ``fresh`` words begin a text."""
         steps, streams = inputs.shape
-        read = self.read[inputs]
-        kept, states = [], np.empty((steps, streams, HIDDEN), np.float32)
+        n = targets.size
+        # Streams are columns in each step, and words in the logits, so that all passes run along long rows.
+        kept, states, state = [], np.empty((steps, streams, HIDDEN), np.float32), state.T
+        live = [None if not row.any() else ~row for row in fresh]
         for t in range(steps):
-            state = state * ~fresh[t][:, None]
-            before = state
-            state, gates, candidate, inner = self.step(read[t], before)
+            before = state if live[t] is None else state * live[t]
+            after = self.step(np.take(self.read, inputs[t], axis=0), before.T)
+            state, gates, candidate, inner = (x.T for x in after)
             kept.append((before, gates, candidate, inner))
-            states[t] = state
-        flat, goal, n = states.reshape(-1, HIDDEN), targets.reshape(-1), targets.size
-        kind, member = goal // MEMBERS, goal % MEMBERS
-        # Classes and members are rows here, so that their sums run along long rows.
-        chance = _softmax(self.to_class.T @ flat.T + self.class_bias[:, None])
-        chance[kind, np.arange(n)] -= 1
-        chance /= n
+            states[t] = state.T
+        flat, goal = states.reshape(-1, HIDDEN), targets.reshape(-1)
+        kind, member = np.divmod(goal, MEMBERS)
+        chance = self.to_class.T @ flat.T
+        chance += self.class_bias[:, None]
+        _error(chance, kind)
         d_to_class, d_class_bias = (chance @ flat).T, chance.sum(axis=1)
         d_states = chance.T @ self.to_class.T
         d_to_word, d_word_bias = np.zeros_like(self.to_word), np.zeros_like(self.word_bias)
-        order, bounds = _by_class(kind, len(self.to_word))
-        flat, member, d_inner = flat[order], member[order], np.empty((n, HIDDEN), np.float32)
-        for k in np.flatnonzero(bounds[1:] > bounds[:-1]):
-            low, high = bounds[k], bounds[k + 1]
-            inside = _softmax(self.to_word[k].T @ flat[low:high].T + self.word_bias[k][:, None])
-            inside[member[low:high], np.arange(high - low)] -= 1
-            inside /= n
-            d_to_word[k], d_word_bias[k] = (inside @ flat[low:high]).T, inside.sum(axis=1)
-            d_inner[low:high] = inside.T @ self.to_word[k].T
-        d_states[order] += d_inner
+        order, flat, inside, of_class = self._inside(flat, kind)
+        _error(inside, member[order], of_class)
+        d_inner = np.empty((n, HIDDEN), np.float32)
+        for k, run in of_class:
+            d_to_word[k], d_word_bias[k] = (inside[:, run] @ flat[run]).T, inside[:, run].sum(axis=1)
+            np.matmul(inside[:, run].T, self.to_word[k].T, out=d_inner[run])
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
+        d_states += np.take(d_inner, back, axis=0)
         d_states = d_states.reshape(steps, streams, HIDDEN)
         d_read = np.empty((steps, streams, 3 * HIDDEN), np.float32)
-        d_again, ahead = np.zeros_like(self.again), np.zeros((streams, HIDDEN), np.float32)
+        d_again, ahead = np.zeros_like(self.again), np.zeros((HIDDEN, streams), np.float32)
+        through = np.empty((3 * HIDDEN, streams), np.float32)
+        d_gates, d_inside = through[: 2 * HIDDEN], through[2 * HIDDEN :]
         for t in range(steps - 1, -1, -1):
             before, gates, candidate, inner = kept[t]
-            update, reset = gates[:, :HIDDEN], gates[:, HIDDEN:]
-            d = d_states[t] + ahead
-            d_candidate = d * (1 - update) * (1 - candidate * candidate)
-            d_update = d * (before - candidate) * update * (1 - update)
-            d_reset = d_candidate * inner * reset * (1 - reset)
-            d_read[t] = np.concatenate((d_update, d_reset, d_candidate), axis=1)
-            through = np.concatenate((d_update, d_reset, d_candidate * reset), axis=1)
-            d_again += before.T @ through
-            ahead = (d * update + through @ self.again.T) * ~fresh[t][:, None]
+            update, reset = gates[:HIDDEN], gates[HIDDEN:]
+            rest = 1 - gates
+            d = ahead
+            d += d_states[t].T
+            np.subtract(before, candidate, out=d_gates[:HIDDEN])
+            d_gates[:HIDDEN] *= d
+            d_candidate = d * rest[:HIDDEN]
+            candidate *= candidate
+            d_candidate *= np.subtract(1, candidate, out=candidate)
+            np.multiply(d_candidate, inner, out=d_gates[HIDDEN:])
+            d_gates *= gates
+            d_gates *= rest
+            np.multiply(d_candidate, reset, out=d_inside)
+            d_again += before @ through.T
+            d_read[t] = through.T
+            d *= update
+            d += (d_read[t] @ self.again.T).T
+            d_read[t, :, 2 * HIDDEN :] = d_candidate.T
+            if live[t] is not None:
+                d *= live[t]
         d_table = np.zeros_like(self.read)
-        flat_in, flat_d = inputs.reshape(-1), d_read.reshape(-1, 3 * HIDDEN)
-        order = np.argsort(flat_in, kind="stable")
-        own, begins = np.unique(flat_in[order], return_index=True)
-        d_table[own] = np.add.reduceat(flat_d[order], begins, axis=0)
-        return [d_table, d_again, d_to_class, d_class_bias, d_to_word, d_word_bias], state
+        flat_in = inputs.reshape(-1)
+        order = _order(flat_in, len(self.read))
+        own = flat_in[order]
+        begins = np.flatnonzero(np.diff(own, prepend=-1))
+        d_table[own[begins]] = np.add.reduceat(np.take(d_read.reshape(-1, 3 * HIDDEN), order, axis=0), begins, axis=0)
+        return [d_table, d_again, d_to_class, d_class_bias, d_to_word, d_word_bias], state.T
 
     def train(self, inputs: np.ndarray, fresh: np.ndarray, targets: np.ndarray, rate: float = 0.01) -> None:
         """One pass over a run of words, as up to STREAMS streams side by side, in windows; Adam on each window."""
@@ -187,10 +223,19 @@ class Network:
             gradients, state = self.gradients(inputs[at : at + WINDOW], fresh[at : at + WINDOW], targets[at : at + WINDOW], state)
             scale = min(1.0, 1.0 / (1e-9 + math.sqrt(sum(float((g * g).sum()) for g in gradients))))
             for w, g, m, v in zip(parts, gradients, first, second, strict=True):
-                g = g * np.float32(scale)
+                g *= np.float32(scale)
                 m += 0.1 * (g - m)
-                v += 0.01 * (g * g - v)
-                w -= rate * (m / (1 - 0.9**number)) / (np.sqrt(v / (1 - 0.99**number)) + 1e-8)
+                g *= g
+                g -= v
+                g *= 0.01
+                v += g
+                root = np.divide(v, 1 - 0.99**number, out=g)
+                np.sqrt(root, out=root)
+                root += 1e-8
+                move = m / (1 - 0.9**number)
+                move *= rate
+                move /= root
+                w -= move
 
     def score(self, inputs: np.ndarray, targets: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Sum of natural log-probabilities of each text; ``bounds`` cut the words into texts, none of them empty."""
@@ -203,48 +248,71 @@ class Network:
             begin, size = bounds[:-1][own], sizes[own]
             live = np.searchsorted(-size, -np.arange(size[0]), "left")
             total = np.zeros(len(own))
-            state = np.zeros((len(own), HIDDEN), np.float32)
-            held, rows, filled = [], [], 0
-
-            def settle() -> None:
-                np.add.at(total, np.concatenate([np.arange(n) for n, _ in rows]), self.log_probabilities(np.concatenate(held), targets[np.concatenate([p for _, p in rows])]).astype(float))
-
-            for t in range(len(live)):
-                n = int(live[t])
+            state = np.zeros((HIDDEN, len(own)), np.float32)
+            held, places, filled = [], [], 0
+            for t, n in enumerate(live.tolist()):
                 place = begin[:n] + t
-                state, *_ = self.step(self.read[inputs[place]], state[:n])
+                state = self.step(np.take(self.read, inputs[place], axis=0), state[:, :n].T)[0].T
                 held.append(state)
-                rows.append((n, place))
+                places.append(place)
                 filled += n
-                if filled >= SCORED_WORDS // 8:
-                    settle()
-                    held, rows, filled = [], [], 0
-            if filled:
-                settle()
+                if filled >= SCORED_WORDS // 8 or t + 1 == len(live):
+                    texts = np.concatenate([np.arange(len(p)) for p in places])
+                    found = self.log_probabilities(np.concatenate(held, axis=1).T, targets[np.concatenate(places)])
+                    total += np.bincount(texts, found, len(own))
+                    held, places, filled = [], [], 0
             out[own] = total
             at = upto
         return out
 
 
-def _by_class(kind: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order of the rows by class, and where each class begins in it."""
-    order = np.argsort(kind, kind="stable")
-    return order, np.searchsorted(kind[order], np.arange(classes + 1))
+def _order(numbers: np.ndarray, most: int) -> np.ndarray:
+    """A stable order of numbers below ``most``; of small types it is found by radix."""
+    return np.argsort(numbers.astype(np.min_scalar_type(most)), kind="stable")
+
+
+def _looked_up(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Where each key is ``among`` distinct ones, or -1, by a table of hashes."""
+    found = pc.index_in(pa.array(keys), value_set=pa.array(among))
+    return pc.fill_null(found, -1).to_numpy(zero_copy_only=False)
 
 
-def _log_sum(x: np.ndarray) -> np.ndarray:
-    """Logarithms of the sums of exponentials, column by column."""
+def _sums(x: np.ndarray, runs: Sequence[tuple[int, slice]]) -> np.ndarray:
+    """Sums of the columns; a run of a single column is summed by itself, which numpy rounds as a column on its own."""
+    out = x.sum(axis=0)
+    for _, run in runs:
+        if run.stop - run.start == 1:
+            out[run] = x[:, run.start].sum()
+    return out
+
+
+def _log_sum(x: np.ndarray, runs: Sequence[tuple[int, slice]] = ()) -> np.ndarray:
+    """Logarithms of the sums of exponentials, column by column; ``x`` is overwritten."""
     top = x.max(axis=0)
-    return np.log(np.exp(x - top).sum(axis=0)) + top
+    x -= top
+    np.exp(x, out=x)
+    out = np.log(_sums(x, runs))
+    out += top
+    return out
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(axis=0))
-    return x / x.sum(axis=0)
+def _error(x: np.ndarray, rows: np.ndarray, runs: Sequence[tuple[int, slice]] = ()) -> None:
+    """Turns logits, column by column, into the gradients of the mean loss if ``rows`` were right."""
+    x -= x.max(axis=0)
+    np.exp(x, out=x)
+    x /= _sums(x, runs)
+    x[rows, np.arange(len(rows))] -= 1
+    x /= len(rows)
 
 
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys and endings of all tokens of a slice, each text's words and then its end; and where each text begins."""
+    pieces = shared.slices(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), most=PIECE_BYTES)
+    keys, endings, first = zip((np.empty(0, np.uint64), np.empty(0, np.int32), np.zeros(1, np.int64)), *(_tokens(p.column("text")) for p in pieces), strict=True)
+    return np.concatenate(keys), np.concatenate(endings), np.cumsum(np.concatenate([first[0], *(np.diff(f) for f in first[1:])]))
+
+
+def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = shared.text_bytes(column)
     data = shared.LOWER[data]
     starts, ends, first = shared.word_bounds(data, offsets)
@@ -278,9 +346,9 @@ def vocabularies(chunks: DataFrame) -> DataFrame:
     schema = shared.fields(("chunk", T.LongType()), ("key", T.LongType()), ("n", T.LongType()))
 
     def emit(chunk: int, keys: list[np.ndarray], marks: list[np.ndarray]) -> pa.RecordBatch:
-        own, at = np.unique(np.concatenate(keys), return_inverse=True)
-        n = np.bincount(at, np.concatenate(marks), len(own)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(own), chunk)), pa.array(own.view(np.int64)), pa.array(n)], names=schema.names)
+        named = pa.array(np.concatenate(keys).view(np.int64)).dictionary_encode()
+        n = np.bincount(named.indices.to_numpy(), np.concatenate(marks), len(named.dictionary)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), chunk)), named.dictionary, pa.array(n)], names=schema.names)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Rows of a chunk follow each other; a chunk cut by a split of its file is named twice, which the sums take.
@@ -383,20 +451,19 @@ def report(docs: DataFrame, vocabulary: int = VOCABULARY, share: float = SHARE)
 
     def score(texts: pa.Table, words: pa.Table) -> pa.Table:
         net = sent.value
-        all_keys = words["key"].to_numpy().view(np.uint64)
-        order = np.argsort(all_keys, kind="stable")
-        all_keys, count = all_keys[order], words["c"].to_numpy()[order]
+        all_keys, count = words["key"].to_numpy().view(np.uint64), words["c"].to_numpy()
         base = np.log10((count + 1.0) / all_mass)
         place = net.places(all_keys)
-        at, endings, bounds = [], [], [np.zeros(1, np.int64)]
+        keys, endings, bounds = [], [], [np.zeros(1, np.int64)]
         for part in shared.slices(iter(texts.select(["text"]).to_batches())):
-            keys, tail, first = tokens(part.column("text"))
-            at.append(np.searchsorted(all_keys, keys).astype(np.int32))
+            own, tail, first = tokens(part.column("text"))
+            keys.append(own)
             endings.append(tail)
             bounds.append(first[1:] + bounds[-1][-1])
-        if not at:
+        if not keys:
             return pa.table({f.name: pa.array([], t) for f, t in zip(schema, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)})
-        at, endings, bounds = np.concatenate(at), np.concatenate(endings), np.concatenate(bounds)
+        # One look for the whole chunk: the table of hashes is made anew for each.
+        at, endings, bounds = _looked_up(np.concatenate(keys), all_keys), np.concatenate(endings), np.concatenate(bounds)
         begin = bounds[:-1]
         targets = place[at]
         reads = net.inputs(targets, endings)

@@ -161,6 +161,40 @@ def test_training_leaves_no_word_out(monkeypatch):
     assert set(seen) == set(range(1, 68))
 
 
+def test_classes_share_the_passes_over_their_members(monkeypatch):
+    """Exponentials are taken once for all classes and once for the members of all, not class by class."""
+    net = recurrent_lm.Network(np.arange(1, 1024, dtype=np.uint64), np.ones(1023), 1.0)
+    rng, calls, plain = np.random.default_rng(5), [], np.exp
+    monkeypatch.setattr(np, "exp", lambda *a, **k: (calls.append(1), plain(*a, **k))[1])
+    inputs, targets = rng.integers(0, 1023, (8, 256)), rng.integers(0, 1024, (8, 256))
+    net.gradients(inputs, np.zeros((8, 256), bool), targets, np.zeros((256, recurrent_lm.HIDDEN), np.float32))
+    assert len(set((targets // recurrent_lm.MEMBERS).reshape(-1))) == 32 and len(calls) == 2
+    got = net.log_probabilities(rng.normal(0, 1, (2048, recurrent_lm.HIDDEN)).astype(np.float32), targets.reshape(-1))
+    assert len(calls) == 4 and got.shape == (2048,)
+
+
+def test_units_of_a_step_are_whole_runs_of_memory():
+    net = recurrent_lm.Network(np.arange(1, 70, dtype=np.uint64), np.ones(69), 1.0)
+    rng = np.random.default_rng(6)
+    read, state = net.read[rng.integers(0, 60, 5)], rng.normal(0, 1, (5, recurrent_lm.HIDDEN)).astype(np.float32)
+    new, gates, candidate, inner = net.step(read, state)
+    assert all(x.T.flags.c_contiguous for x in (new, gates, candidate, inner))
+    size = recurrent_lm.HIDDEN
+    for i in range(5):
+        again = state[i].astype(float) @ net.again
+        gate = 1 / (1 + np.exp(-(read[i, : 2 * size] + again[: 2 * size])))
+        inside = np.tanh(read[i, 2 * size :] + gate[size:] * again[2 * size :])
+        assert np.allclose(new[i], gate[:size] * state[i] + (1 - gate[:size]) * inside, atol=1e-5)
+
+
+def test_places_are_looked_up_without_a_search(monkeypatch):
+    keys = np.array([9, 3, 2**64 - 1, 5], np.uint64)
+    net, none = recurrent_lm.Network(keys, np.ones(4), 1.0), recurrent_lm.Network(keys[:0], np.ones(0), 1.0)
+    monkeypatch.setattr(np, "searchsorted", None)
+    assert net.places(np.array([5, 4, 2**64 - 1, 9, 9, 0, 3], np.uint64)).tolist() == [4, 0, 3, 1, 1, 0, 2]
+    assert net.places(keys[:0]).tolist() == [] and none.places(keys).tolist() == [0, 0, 0, 0]
+
+
 def test_a_long_text_scores_like_its_words_in_turn():
     net = recurrent_lm.Network(np.arange(1, 70, dtype=np.uint64), np.arange(69, 0, -1).astype(float), 40.0)
     rng = np.random.default_rng(1)
