@@ -1,16 +1,18 @@
-"""Ordered requests of mixed edits, in rounds over all documents at once.
+"""Ordered requests of mixed edits, each folded over its document inside one row.
 
 Each edit is checked against the state that the edits before it in its request left, and
-then applied. Edits that touch nothing in common don't have to wait for each other, so a
-request is not walked through edit by edit: every edit has a footprint of names and blocks,
-and its level is one more than the highest level of an earlier edit that shares part of its
-footprint. All edits of a level, of all documents, are one round of the set-based operators.
-There are as many rounds as the longest chain of dependent edits is long, whatever the
-number of documents or edits; each round's state is a written table.
+then applied. Edits that touch nothing in common don't depend on each other: every edit has
+a footprint of names and blocks, and its level is one more than the highest level of an earlier
+edit that shares part of its footprint. The edits of a level are checked against one state and
+applied together, kind by kind.
+
+A document meets its request in one equi-join on ``doc_id`` and passes through all levels in that row
+(``in_row``), so segments clustered by document need no further exchange, however many levels there
+are, and no state is written. Both results are lazy: who reads both passes the documents twice.
 
 Edits that move blocks or may put fields anywhere (``update_text`` looks ahead) depend on all
-before them, and all after them wait in turn; text updates that follow one another are one round, as
-their operator folds them in order itself.
+before them, and all after them wait in turn; text updates that follow one another are one level, as
+they are folded in order themselves.
 
 A request is all or nothing: any failed check leaves its document as it was; so does a failed
 execution under ``stop_on_error``, which also ends the request there. Without it, the edits that
@@ -20,41 +22,57 @@ worked are kept.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from blankweave.functions import naming as N
-from blankweave.operators import spans as S
+from blankweave.operators import in_row as I
 from blankweave.operators import structure as ST
-from blankweave.sources.paths import dropped, written
-
-# The kinds that change segments and what their operators read of an edit, in the order in which a round applies them.
-NEEDS = {
-    "rename_placeholder": ("old_name", "new_name", "occurrence_index"),
-    "delete_placeholder": ("field_name",),
-    "add_placeholder_by_offset": ("block_index", "field_name", "offset"),
-    "delete_text_range": ("block_index", "start_offset", "end_offset"),
-    "add_placeholder": ("block_index", "field_name", "position"),
-    "update_text": ("block_index", "old_text", "new_text"),
-    "delete_paragraph": ("block_index",),
-    "add_paragraph": ("block_index", "position", "text"),
-}
+from blankweave.operators.structure import let
+
 #: Kinds that move blocks or may put fields anywhere.
 WHOLE = ("add_placeholder", "update_text", "delete_paragraph", "add_paragraph")
 
 _NO_MAP = "cast(map() as map<string,{}>)"
+_TABLES = "array<struct<table_index:bigint,n_rows:bigint,n_cols:bigint>>"
+_TOLD = "array<struct<op_index:bigint,type:string,status:string,error:string>>"
+
+
+def _asked(edits: DataFrame) -> DataFrame:
+    """One row per document with its ``_edits`` in order."""
+    for name in ("row_index", "col_index"):
+        if name not in edits.columns:
+            edits = edits.withColumn(name, F.lit(None).cast("bigint"))
+    edit = F.struct(*[c for c in edits.columns if c != "doc_id"])
+    listed = edits.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_list(edit).alias("_edits"))
+    order = F.array_sort(F.transform("_edits", lambda e, i: F.struct(e["op_index"].alias("op_index"), i.alias("i"))))
+    return listed.withColumn("_edits", let(order, lambda order: F.transform(order, lambda o: F.get("_edits", o["i"]))))
+
+
+def _footprint(e: Column) -> Column:
+    names = F.array_compact(F.array(e["old_name"], N.strip_suffix(e["old_name"]), e["new_name"], e["field_name"], N.strip_suffix(e["field_name"])))
+    return F.struct(
+        e["op_index"].alias("op_index"), e["type"].alias("type"), F.array_distinct(names).alias("names"), e["block_index"].alias("block"),
+        e["type"].isin(*WHOLE).alias("whole"),
+    )
 
 
-def dependency_levels(segments: DataFrame, edits: DataFrame) -> DataFrame:
-    """``edits`` with their ``level``, from 1; one fold over the footprints of each request."""
-    names = F.array_compact(F.array("old_name", N.strip_suffix(F.col("old_name")), "new_name", "field_name", N.strip_suffix(F.col("field_name"))))
-    footprint = F.struct(
-        "op_index", "type", F.array_distinct(names).alias("names"), F.col("block_index").alias("block"),
-        F.col("type").isin(*WHOLE).alias("whole"), F.col("new_name").alias("given"),
-    )
-    requests = edits.groupBy("doc_id").agg(F.array_sort(F.collect_list(footprint)).alias("_edits"))
-    fields = segments.where("kind = 'field'").groupBy("doc_id", "field_name").agg(F.collect_set("block_index").alias("b"))
-    known = fields.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("field_name", "b"))).alias("_places"))
+def _places(blocks: Column, names: Column) -> Column:
+    """The blocks in which fields of these names stand, by name."""
+    def wanted(b: Column) -> Column:
+        own = F.filter(b["segs"], lambda s: (s["kind"] == "field") & F.array_contains(names, s["field_name"]))
+        return F.transform(own, lambda s: F.struct(s["field_name"].alias("name"), b["block_index"].alias("block")))
+
+    def placed(fields: Column) -> Column:
+        known = F.array_distinct(fields["name"])
+        return F.map_from_entries(F.transform(known, lambda n: F.struct(n, F.array_distinct(F.filter(fields, lambda f: f["name"] == n)["block"]))))
+
+    fields = F.flatten(F.transform(blocks, wanted))
+    return F.coalesce(let(fields, placed), F.expr(_NO_MAP.format("array<bigint>")))
+
+
+def _levels(edits: Column, blocks: Column) -> Column:
+    """``op_index`` and ``level``, from 1, of the edits of a document; one fold over their footprints."""
+    footprints = F.array_sort(F.transform(edits, _footprint))
 
     def put(old: Column, keys: Column, value: Column) -> Column:
         """``old`` with all ``keys`` set to ``value``."""
@@ -78,58 +96,102 @@ def dependency_levels(segments: DataFrame, edits: DataFrame) -> DataFrame:
             F.concat(state["done"], F.array(F.struct(e["op_index"].alias("op_index"), level.alias("level")))).alias("done"),
         )
 
-    start = F.struct(
-        F.lit(0).alias("top"), F.lit(0).alias("floor"), F.expr(_NO_MAP.format("int")).alias("last"),
-        F.coalesce("_places", F.expr(_NO_MAP.format("array<bigint>"))).alias("places"), F.lit(False).alias("moved"), F.lit("").alias("kind"),
-        F.array().cast("array<struct<op_index:bigint,level:int>>").alias("done"),
-    )
-    levels = requests.join(known, "doc_id", "left").select("doc_id", F.explode(F.aggregate("_edits", start, step)["done"]).alias("d"))
+    def folded(footprints: Column) -> Column:
+        start = F.struct(
+            F.lit(0).alias("top"), F.lit(0).alias("floor"), F.expr(_NO_MAP.format("int")).alias("last"),
+            let(F.array_distinct(F.flatten(footprints["names"])), lambda names: _places(blocks, names)).alias("places"), F.lit(False).alias("moved"), F.lit("").alias("kind"),
+            F.array().cast("array<struct<op_index:bigint,level:int>>").alias("done"),
+        )
+        return F.aggregate(footprints, start, step)["done"]
+
+    return let(footprints, folded)
+
+
+def dependency_levels(segments: DataFrame, edits: DataFrame) -> DataFrame:
+    """``edits`` with their ``level``."""
+    known = _asked(edits).join(I.documents(segments), "doc_id", "left")
+    levels = known.select("doc_id", F.explode(_levels(F.col("_edits"), F.col("_blocks"))).alias("d"))
     return edits.join(levels.select("doc_id", "d.*"), ["doc_id", "op_index"])
 
 
-def _round(segments: DataFrame, checked: DataFrame, kinds: set[str]) -> tuple[DataFrame, DataFrame]:
-    """One level: the edits that passed their checks, applied kind by kind, and (doc_id, op_index, error) of those that failed."""
-    failed = checked.select("doc_id", "op_index", F.lit("").alias("error")).where("false")
-    for kind in (k for k in NEEDS if k in kinds):
-        own = checked.where(F.col("type") == kind).select("doc_id", "op_index", *NEEDS[kind])
-        if kind == "rename_placeholder":
-            segments, status = S.rename_field(segments, own)
-        elif kind == "delete_placeholder":
-            segments, status = S.delete_field(segments, own)[0], None
-        elif kind == "add_placeholder":
-            segments, status = S.add_field(segments, own)
-        elif kind == "add_placeholder_by_offset":
-            segments, status = S.add_field_at(segments, own.withColumn("insert_after", F.lit(None).cast("string")))
-        elif kind == "delete_text_range":
-            segments, found = S.delete_ranges(segments, own.drop("op_index"))
-            # In a level only one edit of a document touches a block.
-            status = own.select("doc_id", "op_index", "block_index").join(found.drop("start_offset", "end_offset"), S.BLOCK).withColumn("error", F.lit("range not found"))
-        elif kind == "update_text":
-            segments, found = ST.update_text(segments, own)
-            status = found.withColumn("status", F.when(F.col("how") == "failed", "failed")).withColumn("error", F.lit("text not found"))
-        elif kind == "delete_paragraph":
-            none = F.lit(None).cast("bigint")
-            segments, status = S.delete_blocks(segments, own.select(*S.BLOCK, none.alias("start_offset"), none.alias("end_offset"))), None
-        else:
-            segments, status = _add_paragraphs(segments, own), None
-        if status is not None:
-            failed = failed.unionByName(status.where("status = 'failed'").select("doc_id", "op_index", "error"))
-    return segments, failed
-
-
-def _add_paragraphs(segments: DataFrame, adds: DataFrame) -> DataFrame:
-    """``adds(doc_id, block_index, position, text)``: a block of text before or after one, or at the end of the document."""
-    none = F.lit(None).cast("string")
-    at_end = (F.col("position") == "end") | F.col("block_index").isNull()
-    fresh = adds.select(
-        "doc_id", F.when(at_end, F.lit(2**60)).otherwise(F.col("block_index")).cast("bigint").alias("block_index"),
-        F.when(~at_end & (F.col("position") == "before"), -1).otherwise(1).alias("_sub"),
-        F.lit(0).cast("bigint").alias("seg_index"), F.lit("text").alias("kind"), F.coalesce("text", F.lit("")).alias("text"),
-        none.alias("field_name"), none.alias("switch"), none.alias("original_text"), F.lit(0).cast("bigint").alias("start_pos"), F.length(F.coalesce("text", F.lit(""))).cast("bigint").alias("end_pos"),
-    )
-    both = segments.withColumn("_sub", F.lit(0)).unionByName(fresh)
-    number = F.dense_rank().over(W.partitionBy("doc_id").orderBy("block_index", "_sub")) - 1
-    return both.withColumn("block_index", number.cast("bigint")).select(*segments.columns)
+def _levelled(edits: Column, levels: Column) -> Column:
+    """Edits with their level; those that share an ``op_index`` have each level of it, those without one none."""
+    def met(levels: Column) -> Column:
+        single = (F.size(F.array_distinct(levels["op_index"])) == F.size(levels)) & ~F.exists(levels["op_index"], lambda i: i.isNull())
+        many = F.flatten(F.transform(edits, lambda e: F.transform(F.filter(levels, lambda d: d["op_index"] == e["op_index"]), lambda d: F.struct(d["level"].alias("level"), e.alias("edit")))))
+        return F.when(single, F.transform(edits, lambda e, i: F.struct(F.get(levels, i)["level"].alias("level"), e.alias("edit")))).otherwise(many)
+
+    return let(levels, met)
+
+
+def _applied(blocks: Column, checked: Column, clean: Column) -> Column:
+    """One level: the edits that passed their checks applied kind by kind, and those that failed."""
+    def step(state: Column, kind: Column) -> Column:
+        own = F.filter(checked, lambda c: c["error"].isNull() & (c["edit"]["type"] == kind))["edit"]
+
+        def after(own: Column) -> Column:
+            done = I.done(state["blocks"])
+            for name, apply in I.KINDS.items():
+                done = F.when(kind == name, apply(state["blocks"], own, clean)).otherwise(done)
+            return let(done, lambda o: F.struct(o["blocks"].alias("blocks"), F.concat(state["failed"], o["failed"]).alias("failed")))
+
+        return let(own, after)
+
+    asked = F.filter(F.array(*[F.lit(kind) for kind in I.KINDS]), lambda kind: F.exists(checked, lambda c: c["error"].isNull() & (c["edit"]["type"] == kind)))
+    return F.aggregate(asked, I.done(blocks), step)
+
+
+def _by_level(levelled: Column) -> Column:
+    """The edits of each level, in order."""
+    numbers = F.array_sort(F.array_distinct(levelled["level"]))
+    return F.transform(numbers, lambda n: F.filter(levelled, lambda e: e["level"] == n)["edit"])
+
+
+def _folded(levels: Column, blocks: Column, tables: Column, clean: Column) -> Column:
+    """The blocks of a document after all levels, and what became of each edit."""
+    def step(state: Column, edits: Column) -> Column:
+        def told(c: Column, failed: Column) -> Column:
+            def outcome(why: Column) -> Column:
+                status = F.when(c["error"].isNotNull(), "validation_failed").when(why.isNotNull(), "failed").otherwise("executed")
+                return F.struct(
+                    c["edit"]["op_index"].alias("op_index"), c["edit"]["type"].alias("type"), status.alias("status"),
+                    F.coalesce(c["error"], why["error"]).alias("error"),
+                )
+
+            return let(F.get(F.filter(failed, lambda f: f["op_index"] == c["edit"]["op_index"]), 0), outcome)
+
+        def after(checked: Column) -> Column:
+            return let(_applied(state["blocks"], checked, clean), lambda o: F.struct(
+                o["blocks"].alias("blocks"), F.concat(state["done"], F.transform(checked, lambda c: told(c, o["failed"]))).alias("done")
+            ))
+
+        checked = let(I.info(state["blocks"]), lambda known: F.transform(edits, lambda e: F.struct(
+            e.alias("edit"), ST.edit_error(e.__getitem__, known["fields"], known["n_blocks"], tables).alias("error")
+        )))
+        return let(checked, after)
+
+    return F.aggregate(levels, F.struct(blocks.alias("blocks"), F.array().cast(_TOLD).alias("done")), step)
+
+
+def _reached(done: Column, option: Column) -> Column:
+    """What is told of the edits under an option, up to the one that ends the request."""
+    bad = F.filter(done, lambda d: d["status"] != "executed")
+    last = F.when(option["stops"], F.array_min(bad["op_index"]))
+
+    def final(d: Column) -> Column:
+        status = d["status"]
+        return d.withField("status", F.when(option["dry"] & (status == "executed"), "validated").when(option["dry"] & (status == "failed"), "validation_failed").otherwise(status))
+
+    return let(last, lambda last: F.struct(
+        last.alias("last"), F.transform(F.filter(done, lambda d: last.isNull() | (d["op_index"] <= last)), final).alias("told")
+    ))
+
+
+def _undone(done: Column, options: Column) -> Column:
+    def undone(option: Column) -> Column:
+        return let(_reached(done, option), lambda r: option["dry"] | r["last"].isNotNull() | F.exists(r["told"], lambda d: d["status"] == "validation_failed"))
+
+    return F.exists(options, undone)
 
 
 def apply_edits(segments: DataFrame, edits: DataFrame, requests: DataFrame | None = None, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -139,43 +201,32 @@ def apply_edits(segments: DataFrame, edits: DataFrame, requests: DataFrame | Non
     stop_on_error)`` has options (default: false, true). Status is executed, validated, failed or validation_failed. Of
     kinds that change no segments (formats, tables, images, links) only the checks are made, in the same order.
     """
-    columns = segments.columns
-    spark = segments.sparkSession
-    # Read by the levels, by the first state and by the result: cut once.
-    segments = written(segments, "edit-segments")
-    levelled = written(dependency_levels(segments, edits), "edit-levels")
-    plan = {(r["level"], r["type"]) for r in levelled.select("level", "type").distinct().toLocalIterator()}
-    asked = edits.select("doc_id").distinct()
-    state = segments.join(asked, "doc_id", "left_semi")
-    results = spark.createDataFrame([], "doc_id bigint, op_index bigint, type string, status string, error string")
-    held: list[DataFrame] = []
-    for level in sorted({level for level, _ in plan}):
-        own = levelled.where(F.col("level") == level).drop("level")
-        checked = written(ST.validate_edits(own, ST.template_info(state, cells)), "edit-checks")
-        after, failed = _round(state, checked.where("error IS NULL"), {kind for at, kind in plan if at == level})
-        failed = failed.withColumnRenamed("error", "_why").dropDuplicates(["doc_id", "op_index"])
-        status = F.when(F.col("error").isNotNull(), "validation_failed").when(F.col("_why").isNotNull(), "failed").otherwise("executed")
-        outcome = checked.join(failed, ["doc_id", "op_index"], "left").select("doc_id", "op_index", "type", status.alias("status"), F.coalesce("error", "_why").alias("error"))
-        outcome = written(outcome, "edit-results")
-        after = written(after, "edit-state")
-        dropped(checked)
-        if held:
-            dropped(held[-1])
-        results, state = results.unionByName(outcome), after
-        held.append(after)
-    dropped(levelled)
-    options = requests if requests is not None else asked.select("doc_id", F.lit(False).alias("validate_only"), F.lit(True).alias("stop_on_error"))
-    bad = F.col("status") != "executed"
-    told = results.groupBy("doc_id").agg(F.min(F.when(bad, F.col("op_index"))).alias("_first_bad")).join(options, "doc_id", "left")
-    stops = F.coalesce("stop_on_error", F.lit(True))
-    told = told.select("doc_id", F.coalesce("validate_only", F.lit(False)).alias("_dry"), F.when(stops, F.col("_first_bad")).alias("_last"))
-    reached = results.join(told, "doc_id").where("_last IS NULL OR op_index <= _last")
-    final = F.when(F.col("_dry") & (F.col("status") == "executed"), "validated").when(F.col("_dry") & (F.col("status") == "failed"), "validation_failed").otherwise(F.col("status"))
-    reached = reached.withColumn("status", final)
-    kept = reached.groupBy("doc_id").agg(
-        (F.max(F.col("_dry")) | (F.count_if(F.col("status") == "validation_failed") > 0) | (F.max("_last").isNotNull())).alias("_undone")
-    )
-    done = kept.where("NOT _undone").select("doc_id")
-    out = segments.join(done, "doc_id", "left_anti").select(*columns).unionByName(state.join(done, "doc_id", "left_semi").select(*columns))
-    return out, reached.select("doc_id", "op_index", "type", "status", "error")
+    documents, asked = I.documents(segments), _asked(edits)
+    plain = F.struct(F.lit(False).alias("dry"), F.lit(True).alias("stops"))
+    if requests is None:
+        asked = asked.withColumn("_options", F.array(plain))
+    else:
+        option = F.struct(F.coalesce("validate_only", F.lit(False)).alias("dry"), F.coalesce("stop_on_error", F.lit(True)).alias("stops"))
+        options = requests.groupBy("doc_id").agg(F.collect_list(option).alias("_options"))
+        asked = asked.join(options, "doc_id", "left").withColumn("_options", F.coalesce("_options", F.array(plain)))
+    if cells is None:
+        asked = asked.withColumn("_tables", F.array().cast(_TABLES))
+    else:
+        asked = asked.join(ST.table_sizes(cells).withColumnRenamed("tables", "_tables"), "doc_id", "left")
+
+    def folded(rows: DataFrame) -> DataFrame:
+        """With ``_end``; a step a column, as the analyzer resolves only so many nested functions in one."""
+        asks = F.col("_edits").isNotNull()
+        return (
+            rows.withColumn("_levels", F.when(asks, _levels(F.col("_edits"), F.col("_blocks"))))
+            .withColumn("_levels", F.when(asks, _by_level(_levelled(F.col("_edits"), F.col("_levels")))))
+            .withColumn("_clean", F.when(asks, I.settled(F.col("_blocks"))))
+            .withColumn("_end", F.when(asks, _folded(F.col("_levels"), F.col("_blocks"), F.col("_tables"), F.col("_clean"))))
+        )
 
+    passed = folded(documents.join(asked, "doc_id", "left"))
+    kept = F.col("_edits").isNotNull() & ~_undone(F.col("_end.done"), F.col("_options"))
+    out = I.rows_of(passed, F.when(kept, F.col("_end.blocks")).otherwise(F.col("_blocks")), *segments.columns)
+    judged = folded(asked.join(documents, "doc_id", "left"))
+    told = F.flatten(F.transform("_options", lambda option: _reached(F.col("_end.done"), option)["told"]))
+    return out, judged.select("doc_id", F.explode(told).alias("t")).select("doc_id", "t.*")

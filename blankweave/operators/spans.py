@@ -69,21 +69,11 @@ def overlap_segments(segments: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 # --- fields -----------------------------------------------------------------
-def rename_field(segments: DataFrame, renames: DataFrame, keep_switch: bool = False) -> tuple[DataFrame, DataFrame]:
-    """``renames(doc_id, op_index, old_name, new_name, occurrence_index)`` -> segments and a status per rename.
-
-    All occurrences, or only the given one. The name falls back to its base
-    without a number. Of two renames to one new name, or of one occurrence, the
-    earlier holds. A single rename resets the case switch, the bulk path keeps it.
-    """
-    names = segments.where("kind = 'field'").groupBy("doc_id").agg(F.collect_list("field_name").alias("_names"))
-    requests = with_op_index(renames).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("op_index", "old_name", "new_name", F.col("occurrence_index").cast("bigint").alias("nth")))).alias("_edits")
-    )
-
+def judged_renames(edits: Column, names: Column) -> Column:
+    """``edits<op_index, old_name, new_name, nth>`` in order, each with the field it ``matched`` and an ``error``, decided from the names
+    of the document's fields and the edits before it."""
     def judged(done: Column, edit: Column) -> Column:
-        """The edit with the field it matches and an error, decided from the document's names and the edits before it."""
-        has = lambda name: F.array_contains(F.col("_names"), name)
+        has = lambda name: F.array_contains(names, name)
         base = N.strip_suffix(edit["old_name"])
         matched = F.when(has(edit["old_name"]), edit["old_name"]).when(has(base), base)
         same_name = F.exists(done, lambda e: e["error"].isNull() & (e["new_name"] == edit["new_name"]))
@@ -91,7 +81,7 @@ def rename_field(segments: DataFrame, renames: DataFrame, keep_switch: bool = Fa
         error = (
             F.when(matched.isNull(), F.lit("unknown field"))
             .when(has(edit["new_name"]) & (edit["new_name"] != edit["old_name"]), F.lit("name in use"))
-            .when(edit["nth"] >= F.size(F.filter("_names", lambda n: n == matched)), F.lit("no such occurrence"))
+            .when(edit["nth"] >= F.size(F.filter(names, lambda n: n == matched)), F.lit("no such occurrence"))
             .when(same_name, F.lit("name in use"))
             .when(same_place, F.lit("renamed before"))
         )
@@ -99,8 +89,23 @@ def rename_field(segments: DataFrame, renames: DataFrame, keep_switch: bool = Fa
         return F.concat(done, F.array(F.struct(*fields, matched.alias("matched"), error.alias("error"))))
 
     nothing = F.array().cast("array<struct<op_index:bigint,old_name:string,new_name:string,nth:bigint,matched:string,error:string>>")
+    return F.aggregate(edits, nothing, judged)
+
+
+def rename_field(segments: DataFrame, renames: DataFrame, keep_switch: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``renames(doc_id, op_index, old_name, new_name, occurrence_index)`` -> segments and a status per rename.
+
+    All occurrences, or only the given one. The name falls back to its base
+    without a number. Of two renames to one new name, or of one occurrence, the
+    earlier holds. A single rename resets the case switch, the bulk path keeps it.
+    """
+    names = segments.where("kind = 'field'").groupBy("doc_id").agg(F.collect_list("field_name").alias("_names"))
+    requests = with_op_index(renames).groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("op_index", "old_name", "new_name", F.col("occurrence_index").cast("bigint").alias("nth")))).alias("_edits")
+    )
+
     outcome = requests.join(names, "doc_id", "left").withColumn("_names", F.coalesce("_names", F.array().cast("array<string>"))).select(
-        "doc_id", F.aggregate("_edits", nothing, judged).alias("_done")
+        "doc_id", judged_renames(F.col("_edits"), F.col("_names")).alias("_done")
     )
     status = outcome.select("doc_id", F.explode("_done").alias("e")).select(
         "doc_id", "e.op_index", "e.old_name", "e.new_name", "e.matched",
@@ -229,6 +234,42 @@ def _blocks_with_adds(segments: DataFrame, adds: DataFrame, *columns: str) -> Da
     )
 
 
+def placed_add(a: Column, segs: Column, length: Column) -> Column:
+    """An add with its error, the first text segment at its point and the place in that."""
+    point = a["point"]
+    at = F.filter(segs, lambda s: (s["kind"] == "text") & (point.between(s["start_pos"], s["end_pos"]) | (length == 0)) & (point >= 0))
+    return F.get(F.transform(F.array(F.get(at, 0)), lambda hit: F.struct(
+        a["op_index"].alias("op_index"), a["name"].alias("name"),
+        F.coalesce(
+            a["alone"], F.when(a["late"], F.lit("name in use")), F.when(point.isNull(), F.lit("text not found")),
+            F.when(hit.isNull(), F.lit("offset not found")),
+        ).alias("error"),
+        hit["seg_index"].alias("seg_index"), F.greatest(point - hit["start_pos"], F.lit(0)).cast("int").alias("local"),
+    )), 0)
+
+
+def _piece(s: Column) -> Column:
+    return F.struct(s["kind"].alias("kind"), s["text"].alias("text"), *[s[c].alias(c) for c in FIELD_PROPS])
+
+
+def grown_pieces(segs: Column, adds: Column) -> Column:
+    """The segments of a block, without numbers, cut where the fields of its placed ``adds`` come into them."""
+    props = [F.lit(None).cast("string").alias(c) for c in FIELD_PROPS]
+
+    def grown(s: Column) -> Column:
+        here = F.array_sort(F.transform(F.filter(adds, lambda a: a["seg_index"] == s["seg_index"]), lambda a: F.struct(a["local"].alias("local"), a["op_index"].alias("op_index"), a["name"].alias("name"))))
+
+        def around(a: Column, i: Column) -> Column:
+            low = F.when(i > 0, F.get(here, i - 1)["local"]).otherwise(F.lit(0))
+            piece = F.struct(F.lit("text").alias("kind"), F.substring(s["text"], low + 1, a["local"] - low).alias("text"), *props)
+            return F.array(piece, F.struct(*_new_field(a["name"], F.lit(""))))
+
+        rest = F.struct(F.lit("text").alias("kind"), F.substring(s["text"], F.element_at(here, -1)["local"] + 1, F.length(s["text"])).alias("text"), *props)
+        return F.when(F.size(here) == 0, F.array(_piece(s))).otherwise(F.concat(F.flatten(F.transform(here, around)), F.array(rest)))
+
+    return F.flatten(F.transform(segs, grown))
+
+
 def add_field_at(segments: DataFrame, adds: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``adds(doc_id, op_index, block_index, field_name, offset, insert_after)``.
 
@@ -243,42 +284,13 @@ def add_field_at(segments: DataFrame, adds: DataFrame) -> tuple[DataFrame, DataF
         found = F.instr(shown, a["insert_after"])
         return a.withField("point", F.when(a["insert_after"].isNotNull(), F.when(found > 0, found - 1 + F.length(a["insert_after"]))).otherwise(a["offset"]).cast("bigint"))
 
-    def placed(a: Column) -> Column:
-        """An add with its error, the first text segment at its point and the place in that."""
-        point = a["point"]
-        at = F.filter("_segs", lambda s: (s["kind"] == "text") & (point.between(s["start_pos"], s["end_pos"]) | (F.col("_length") == 0)) & (point >= 0))
-        return F.get(F.transform(F.array(F.get(at, 0)), lambda hit: F.struct(
-            a["op_index"].alias("op_index"), a["name"].alias("name"),
-            F.coalesce(
-                a["alone"], F.when(a["late"], F.lit("name in use")), F.when(point.isNull(), F.lit("text not found")),
-                F.when(hit.isNull(), F.lit("offset not found")),
-            ).alias("error"),
-            hit["seg_index"].alias("seg_index"), F.greatest(point - hit["start_pos"], F.lit(0)).cast("int").alias("local"),
-        )), 0)
-
-    done = blocks.withColumn("_judged", F.transform(F.transform("_adds", pointed), placed))
+    done = blocks.withColumn("_judged", F.transform(F.transform("_adds", pointed), lambda a: placed_add(a, F.col("_segs"), F.col("_length"))))
     status = done.select(*BLOCK, F.explode("_judged").alias("a")).select(
         *BLOCK, "a.op_index", F.col("a.name").alias("field_name"),
         F.when(F.col("a.error").isNull(), F.lit("executed")).otherwise(F.lit("failed")).alias("status"), "a.error",
     )
     per_block = done.select(*BLOCK, F.col("_segs").alias("segs"), F.filter("_judged", lambda a: a["error"].isNull()).alias("_own"))
-    props = [F.lit(None).cast("string").alias(c) for c in FIELD_PROPS]
-
-    def grown(s: Column) -> Column:
-        """A segment, cut where fields come into it."""
-        here = F.array_sort(F.transform(F.filter("_own", lambda a: a["seg_index"] == s["seg_index"]), lambda a: F.struct(a["local"].alias("local"), a["op_index"].alias("op_index"), a["name"].alias("name"))))
-
-        def around(a: Column, i: Column) -> Column:
-            low = F.when(i > 0, F.get(here, i - 1)["local"]).otherwise(F.lit(0))
-            piece = F.struct(F.lit("text").alias("kind"), F.substring(s["text"], low + 1, a["local"] - low).alias("text"), *props)
-            return F.array(piece, F.struct(*_new_field(a["name"], F.lit(""))))
-
-        rest = F.struct(F.lit("text").alias("kind"), F.substring(s["text"], F.element_at(here, -1)["local"] + 1, F.length(s["text"])).alias("text"), *props)
-        whole = F.array(F.struct(s["kind"].alias("kind"), s["text"].alias("text"), *[s[c].alias(c) for c in FIELD_PROPS]))
-        return F.when(F.size(here) == 0, whole).otherwise(F.concat(F.flatten(F.transform(here, around)), F.array(rest)))
-
-    same = F.transform("segs", lambda s: F.struct(s["kind"].alias("kind"), s["text"].alias("text"), *[s[c].alias(c) for c in FIELD_PROPS]))
-    pieces = F.when(F.coalesce(F.size("_own"), F.lit(0)) <= 0, same).otherwise(F.flatten(F.transform("segs", grown)))
+    pieces = F.when(F.coalesce(F.size("_own"), F.lit(0)) <= 0, F.transform("segs", _piece)).otherwise(grown_pieces(F.col("segs"), F.col("_own")))
     spoken = F.filter("_pieces", lambda p: p["text"] != "")
     settled = F.when(F.size(spoken) > 0, spoken).otherwise(F.slice("_pieces", 1, 1))
     rows = per_block.withColumn("_pieces", pieces).select(*BLOCK, F.posexplode(settled).alias("_at", "p"))
@@ -315,6 +327,27 @@ def apply_suggestions(segments: DataFrame, suggestions: DataFrame) -> tuple[Data
 
 
 # --- text --------------------------------------------------------------------
+def cut_text(text: Column, start_pos: Column, ranges: Column) -> Column:
+    """The text of a segment without ``ranges``, which come in descending order."""
+    def cut(text: Column, r: Column) -> Column:
+        low = F.greatest(r["start_offset"] - start_pos, F.lit(0)).cast("int")
+        high = F.greatest(r["end_offset"] - start_pos, F.lit(0)).cast("int")
+        return F.when(high <= low, text).otherwise(
+            F.concat(F.left(text, low), F.substring(text, high + 1, F.length(text)))
+        )
+
+    # From the last range to the first, ends clipped to the start of the one after it.
+    clipped = F.transform(
+        ranges,
+        lambda r, i: F.struct(
+            r["start_offset"].alias("start_offset"),
+            F.when(i > 0, F.least(r["end_offset"], F.get(ranges, i - 1)["start_offset"]))
+            .otherwise(r["end_offset"]).alias("end_offset"),
+        ),
+    )
+    return F.aggregate(clipped, text, cut)
+
+
 def delete_ranges(segments: DataFrame, ranges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Cut [start, end) ranges from blocks; a touched field goes as a whole.
 
@@ -331,23 +364,7 @@ def delete_ranges(segments: DataFrame, ranges: DataFrame) -> tuple[DataFrame, Da
         lambda r: (F.col("end_pos") > r["start_offset"]) & (F.col("start_pos") < r["end_offset"]),
     )
 
-    def cut(text: Column, r: Column) -> Column:
-        low = F.greatest(r["start_offset"] - F.col("start_pos"), F.lit(0)).cast("int")
-        high = F.greatest(r["end_offset"] - F.col("start_pos"), F.lit(0)).cast("int")
-        return F.when(high <= low, text).otherwise(
-            F.concat(F.left(text, low), F.substring(text, high + 1, F.length(text)))
-        )
-
-    # From the last range to the first, ends clipped to the start of the one after it.
-    clipped = F.transform(
-        F.col("_ranges"),
-        lambda r, i: F.struct(
-            r["start_offset"].alias("start_offset"),
-            F.when(i > 0, F.least(r["end_offset"], F.get(F.col("_ranges"), i - 1)["start_offset"]))
-            .otherwise(r["end_offset"]).alias("end_offset"),
-        ),
-    )
-    shortened = F.aggregate(clipped, F.col("text"), cut)
+    shortened = cut_text(F.col("text"), F.col("start_pos"), F.col("_ranges"))
     marked = joined.withColumn("_hit", hit)
     cleared = clear_when(marked, F.col("_hit") & (F.col("kind") == "field"))
     out = cleared.withColumn(

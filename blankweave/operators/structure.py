@@ -45,22 +45,25 @@ def _spliced(text: Column, start: Column, end: Column, new: Column) -> Column:
     return F.concat(F.when(before.rlike("«[^»]*$") & text.rlike("«[^»]+»"), head).otherwise(before), new, tail)
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
     """``body`` of a value that is evaluated once."""
     return F.get(F.transform(F.array(value), body), 0)
 
 
 def _prepared(edits: DataFrame) -> DataFrame:
     """One array per document: its edits in order, each with the patterns it searches for."""
-    old = F.coalesce("old_text", F.lit(""))
-    search, bare = T.normalize_text(old), T.normalize_without_fields(old)
-    rows = with_op_index(edits).withColumn("_search", search).withColumn("_bare", bare)
-    edit = F.struct(
-        "op_index", "block_index", F.coalesce("new_text", F.lit("")).alias("new"), (F.col("_search") == "").alias("sets"),
-        F.when(F.col("_search") != "", search_pattern(F.col("_search"))).alias("pattern"),
-        F.when((F.col("_search") != "") & (F.col("_bare") != ""), search_pattern(F.col("_bare"))).alias("loose"),
-    )
-    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(edit)).alias("_edits"))
+    rows = with_op_index(edits).withColumn("_e", F.struct("op_index", "block_index", "old_text", "new_text"))
+    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(prepared_update(F.col("_e")))).alias("_edits"))
+
+
+def prepared_update(e: Column) -> Column:
+    old = F.coalesce(e["old_text"], F.lit(""))
+    texts = F.struct(T.normalize_text(old).alias("search"), T.normalize_without_fields(old).alias("bare"))
+    return let(texts, lambda t: F.struct(
+        e["op_index"].alias("op_index"), e["block_index"].alias("block_index"), F.coalesce(e["new_text"], F.lit("")).alias("new"), (t["search"] == "").alias("sets"),
+        F.when(t["search"] != "", search_pattern(t["search"])).alias("pattern"),
+        F.when((t["search"] != "") & (t["bare"] != ""), search_pattern(t["bare"])).alias("loose"),
+    ))
 
 
 def _set_text(text: Column, new: Column) -> Column:
@@ -74,7 +77,7 @@ def _set_text(text: Column, new: Column) -> Column:
 
 
 def _replaced(text: Column, hit: Column, new: Column) -> Column:
-    return _let(F.instr(text, hit) - 1, lambda at: _spliced(text, at, at + F.length(hit), new))
+    return let(F.instr(text, hit) - 1, lambda at: _spliced(text, at, at + F.length(hit), new))
 
 
 def _loosely_replaced(text: Column, hit: Column, new: Column) -> Column:
@@ -86,23 +89,14 @@ def _loosely_replaced(text: Column, hit: Column, new: Column) -> Column:
         stretched = F.when(text.rlike("«[^»]+»") & (last_mark >= at), F.greatest(end, last_close)).otherwise(end)
         return _spliced(text, at, stretched, new)
 
-    return _let(F.instr(text, hit) - 1, spliced)
+    return let(F.instr(text, hit) - 1, spliced)
 
 
-def updated_texts(texts: DataFrame, edits: DataFrame, look_ahead: int | None = None) -> DataFrame:
-    """Per document ``_blocks`` as given and ``_end``: their texts after all edits, and the outcome of each edit.
+_UPDATES = "array<struct<op_index:bigint,block_index:bigint,target_block:bigint,how:string>>"
 
-    ``texts(doc_id, block_index, text, ...)``; ``edits(doc_id, op_index,
-    block_index, old_text, new_text)``, any number per block. The edits of a
-    document are one request and are applied one after the other inside its row,
-    so the corpus is passed once. An edit reads its own block, and later ones
-    only where it isn't found there.
-    """
-    documents = texts.groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct("block_index", *[c for c in texts.columns if c not in BLOCK]))).alias("_blocks")
-    )
-    requests = documents.join(_prepared(edits), "doc_id", "left").withColumn("_numbers", F.col("_blocks.block_index"))
 
+def folded_updates(numbers: Column, texts: Column, edits: Column, look_ahead: int | None = None) -> Column:
+    """``texts`` of a document's blocks, whose ``numbers`` go with them, after all prepared ``edits``, and what was ``done`` by each."""
     def outcome(ahead: Column, how: str, updated: Column) -> Column:
         return F.struct(ahead.cast("int").alias("ahead"), F.lit(how).alias("how"), updated.alias("updated"))
 
@@ -111,7 +105,7 @@ def updated_texts(texts: DataFrame, edits: DataFrame, look_ahead: int | None = N
         loose = F.regexp_substr(text, edit["loose"])
         hits = F.transform(later, lambda t, i: F.struct(i.alias("i"), t.alias("text"), F.regexp_substr(t, edit["pattern"]).alias("hit")))
         ahead = F.get(F.filter(hits, lambda h: h["hit"].isNotNull()), 0)
-        elsewhere = _let(ahead, lambda found: (
+        elsewhere = let(ahead, lambda found: (
             F.when(found.isNotNull(), outcome(found["i"] + 1, "exact", _replaced(found["text"], found["hit"], edit["new"])))
             .when(loose.isNotNull(), outcome(F.lit(0), "without fields", _loosely_replaced(text, loose, edit["new"])))
             .when(~text.rlike("«[^»]+»"), outcome(F.lit(0), "rewrite", edit["new"]))
@@ -125,23 +119,38 @@ def updated_texts(texts: DataFrame, edits: DataFrame, look_ahead: int | None = N
             reach = F.size(state["texts"]) if look_ahead is None else F.lit(look_ahead)
             later = F.slice(state["texts"], at + 2, reach)
             found = F.when(at >= 0, judged(F.get(state["texts"], at), later, edit))
-            return _let(found, lambda o: F.struct(
+            return let(found, lambda o: F.struct(
                 F.when(o.isNull(), state["texts"]).otherwise(
                     F.transform(state["texts"], lambda t, i: F.when(i == at + o["ahead"], o["updated"]).otherwise(t))
                 ).alias("texts"),
                 F.concat(state["done"], F.array(F.struct(
                     edit["op_index"].alias("op_index"), edit["block_index"].alias("block_index"),
-                    F.when(o.isNotNull(), F.get("_numbers", at + o["ahead"])).alias("target_block"), F.coalesce(o["how"], F.lit("failed")).alias("how"),
+                    F.when(o.isNotNull(), F.get(numbers, at + o["ahead"])).alias("target_block"), F.coalesce(o["how"], F.lit("failed")).alias("how"),
                 ))).alias("done"),
             ))
 
-        return _let((F.array_position("_numbers", edit["block_index"]) - 1).cast("int"), applied)
+        return let((F.array_position(numbers, edit["block_index"]) - 1).cast("int"), applied)
+
+    return F.aggregate(edits, F.struct(texts.alias("texts"), F.array().cast(_UPDATES).alias("done")), step)
+
+
+def updated_texts(texts: DataFrame, edits: DataFrame, look_ahead: int | None = None) -> DataFrame:
+    """Per document ``_blocks`` as given and ``_end``: their texts after all edits, and the outcome of each edit.
 
-    start = F.struct(
-        F.col("_blocks.text").alias("texts"),
-        F.array().cast("array<struct<op_index:bigint,block_index:bigint,target_block:bigint,how:string>>").alias("done"),
+    ``texts(doc_id, block_index, text, ...)``; ``edits(doc_id, op_index,
+    block_index, old_text, new_text)``, any number per block. The edits of a
+    document are one request and are applied one after the other inside its row,
+    so the corpus is passed once. An edit reads its own block, and later ones
+    only where it isn't found there.
+    """
+    documents = texts.groupBy("doc_id").agg(
+        F.array_sort(F.collect_list(F.struct("block_index", *[c for c in texts.columns if c not in BLOCK]))).alias("_blocks")
     )
-    end = F.when(F.col("_edits").isNull(), start).otherwise(F.aggregate("_edits", start, step))
+    requests = documents.join(_prepared(edits), "doc_id", "left").withColumn("_numbers", F.col("_blocks.block_index"))
+
+    texts = F.col("_blocks.text")
+    start = F.struct(texts.alias("texts"), F.array().cast(_UPDATES).alias("done"))
+    end = F.when(F.col("_edits").isNull(), start).otherwise(folded_updates(F.col("_numbers"), texts, F.col("_edits"), look_ahead))
     return requests.withColumn("_end", end).select("doc_id", "_blocks", "_end")
 
 
@@ -172,37 +181,44 @@ def update_text(segments: DataFrame, edits: DataFrame, look_ahead: int | None =
     updated = updated_texts(nested, edits, look_ahead)
     pairs = F.zip_with("_blocks", F.col("_end.texts"), lambda b, text: F.struct(b.alias("b"), F.nullif(text, b["text"]).alias("_text")))
     changed = updated.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.b.block_index", "p.b.segs", "p._text")
-    fields = F.filter("segs", lambda s: s["kind"] == "field")
-    first_switch = F.coalesce(F.get(fields, 0)["switch"], F.lit(V.SWITCH_KEEP))
+    rows = F.when(F.col("_text").isNull(), F.transform("segs", _piece)).otherwise(rebuilt_pieces(F.col("segs"), F.col("_text")))
+    exploded = changed.select(*BLOCK, F.posexplode(rows).alias("pos", "_s")).select(
+        *BLOCK, F.col("pos").cast("bigint").alias("seg_index"), "_s.kind", "_s.text", "_s.field_name", "_s.switch", "_s.original_text"
+    )
+    return FL.with_offsets(exploded).select(*segments.columns), _outcomes(updated, edits)
+
+
+def _piece(s: Column) -> Column:
+    return F.struct(*[s[c].alias(c) for c in ("kind", "text", "field_name", "switch", "original_text")])
+
+
+def rebuilt_pieces(segs: Column, text: Column) -> Column:
+    """The segments, without numbers, of a block that had ``segs`` and has a new ``text``."""
     none = F.lit(None).cast("string")
 
-    def pair(piece: Column, i: Column) -> Column:
-        name = F.get(F.col("_names"), i)
-        own = F.get(F.filter("_fields", lambda s: s["field_name"] == name), 0)
-        return F.array(
-            F.struct(F.lit(0).cast("bigint").alias("seg_index"), F.lit("text").alias("kind"), piece.alias("text"),
-                     none.alias("field_name"), none.alias("switch"), none.alias("original_text")),
-            F.struct(F.lit(0).cast("bigint").alias("seg_index"), F.lit("field").alias("kind"),
-                     T.field_mark(name).alias("text"), name.alias("field_name"),
-                     F.coalesce(own["switch"], F.col("_switch")).alias("switch"),
-                     F.coalesce(own["original_text"], F.lit("")).alias("original_text")),
+    def made(b: Column) -> Column:
+        def pair(piece: Column, i: Column) -> Column:
+            def field(name: Column) -> Column:
+                own = F.get(F.filter(b["fields"], lambda s: s["field_name"] == name), 0)
+                return F.struct(
+                    F.lit("field").alias("kind"), T.field_mark(name).alias("text"), name.alias("field_name"),
+                    F.coalesce(own["switch"], F.get(b["fields"], 0)["switch"], F.lit(V.SWITCH_KEEP)).alias("switch"),
+                    F.coalesce(own["original_text"], F.lit("")).alias("original_text"),
+                )
+
+            before = F.struct(F.lit("text").alias("kind"), piece.alias("text"), none.alias("field_name"), none.alias("switch"), none.alias("original_text"))
+            return F.array(before, let(F.get(b["names"], i), field))
+
+        # Texts between fields may be empty; a block left without any text keeps one empty segment.
+        return F.filter(
+            F.flatten(F.transform(b["parts"], pair)),
+            lambda s: F.coalesce((s["text"] != "") | ((b["text"] == "") & (s["kind"] == "text")), F.lit(False)),
         )
 
-    # Texts between fields may be empty; a block left without any text keeps one empty segment.
-    rebuilt = F.filter(
-        F.flatten(F.transform("_parts", pair)),
-        lambda s: F.coalesce((s["text"] != "") | ((F.col("_text") == "") & (s["kind"] == "text")), F.lit(False)),
-    )
-    prepared = (
-        changed.withColumn("_fields", fields).withColumn("_switch", first_switch)
-        .withColumn("_parts", F.split("_text", "«[^»]+»", -1))
-        .withColumn("_names", F.regexp_extract_all("_text", F.lit("«([^»]+)»"), F.lit(1)))
-    )
-    rows = F.when(F.col("_text").isNull(), F.col("segs")).otherwise(rebuilt)
-    exploded = prepared.select(*BLOCK, F.posexplode(rows).alias("pos", "_s")).select(
-        *BLOCK, F.col("pos").cast("bigint").alias("seg_index"), "_s.kind", "_s.text", "_s.field_name", "_s.switch", "_s.original_text"
-    )
-    return FL.with_offsets(exploded).select(*segments.columns), _outcomes(updated, edits)
+    return let(F.struct(
+        text.alias("text"), F.filter(segs, lambda s: s["kind"] == "field").alias("fields"),
+        F.split(text, "«[^»]+»", -1).alias("parts"), F.regexp_extract_all(text, F.lit("«([^»]+)»"), F.lit(1)).alias("names"),
+    ), made)
 
 
 def nested_blocks(segments: DataFrame) -> DataFrame:
@@ -370,13 +386,17 @@ def template_info(segments: DataFrame, cells: DataFrame | None = None) -> DataFr
     if cells is None:
         empty = F.array().cast("array<struct<table_index:bigint,n_rows:bigint,n_cols:bigint>>")
         return info.withColumn("tables", empty)
+    return info.join(table_sizes(cells), "doc_id", "left")
+
+
+def table_sizes(cells: DataFrame) -> DataFrame:
+    """The ``tables`` of each document with their sizes."""
     sizes = cells.groupBy("doc_id", "table_index").agg(
         (F.max("row") + 1).alias("n_rows"), (F.max("col") + 1).alias("n_cols")
     )
-    tables = sizes.groupBy("doc_id").agg(
+    return sizes.groupBy("doc_id").agg(
         F.array_sort(F.collect_list(F.struct("table_index", "n_rows", "n_cols"))).alias("tables")
     )
-    return info.join(tables, "doc_id", "left")
 
 
 def validate_edits(edits: DataFrame, info: DataFrame) -> DataFrame:
@@ -389,70 +409,75 @@ def validate_edits(edits: DataFrame, info: DataFrame) -> DataFrame:
         if name not in edits.columns:
             edits = edits.withColumn(name, F.lit(None).cast("bigint"))
     joined = salted_join(edits, info, ["doc_id"], F.col("op_index"), how="left")
-    kind, fields = F.col("type"), F.coalesce("fields", F.array().cast("array<string>"))
+    error = edit_error(F.col, F.col("fields"), F.col("n_blocks"), F.col("tables"))
+    return joined.withColumn("error", error).drop("fields", "n_blocks", "tables")
+
+
+def edit_error(of, fields: Column, n_blocks: Column, tables: Column) -> Column:
+    """First error of an edit, whose columns ``of`` gives by name, against the state of its document."""
+    kind, fields = of("type"), F.coalesce(fields, F.array().cast("array<string>"))
 
     def known(name: str) -> Column:
-        return F.coalesce(F.array_contains(fields, F.col(name)) | F.array_contains(fields, N.strip_suffix(F.col(name))), F.lit(False))
+        return F.coalesce(F.array_contains(fields, of(name)) | F.array_contains(fields, N.strip_suffix(of(name))), F.lit(False))
 
     def used(name: str) -> Column:
-        return F.coalesce(F.array_contains(fields, F.col(name)), F.lit(False))
+        return F.coalesce(F.array_contains(fields, of(name)), F.lit(False))
 
     def among(*kinds: str) -> Column:
         return kind.isin(*kinds)
 
-    no_block = ~F.coalesce(F.col("block_index").between(0, F.col("n_blocks") - 1), F.lit(False))
-    table = F.get(F.filter("tables", lambda t: t["table_index"] == F.col("table_index")), 0)
+    no_block = ~F.coalesce(of("block_index").between(0, n_blocks - 1), F.lit(False))
+    table = F.get(F.filter(tables, lambda t: t["table_index"] == of("table_index")), 0)
     table_kinds = ("add_table_row", "delete_table_row", "add_table_column", "delete_table_column", "format_table_cell")
     row_kinds = ("add_table_row", "delete_table_row", "format_table_cell")
     col_kinds = ("add_table_column", "delete_table_column", "format_table_cell")
-    in_cell = F.col("table_index").isNotNull() & F.col("row_index").isNotNull() & F.col("col_index").isNotNull()
+    in_cell = of("table_index").isNotNull() & of("row_index").isNotNull() & of("col_index").isNotNull()
     needs_block = (
         "add_placeholder", "add_placeholder_by_offset", "update_text", "delete_text_range", "format_text", "format_paragraph",
         "add_page_break", "add_table_at_cursor", "add_image_at_cursor", "add_hyperlink", "delete_paragraph",
     )
     bad_targets = F.exists(
-        F.coalesce("blocks", F.array().cast("array<map<string,bigint>>")),
-        lambda b: ~F.coalesce(F.try_element_at(b, F.lit("block_index")).between(0, F.col("n_blocks") - 1), F.lit(False)),
+        F.coalesce(of("blocks"), F.array().cast("array<map<string,bigint>>")),
+        lambda b: ~F.coalesce(F.try_element_at(b, F.lit("block_index")).between(0, n_blocks - 1), F.lit(False)),
     )
     part = lambda b, key: F.try_element_at(b, F.lit(key))
     bad_cells = F.exists(
-        F.coalesce("blocks", F.array().cast("array<map<string,bigint>>")),
+        F.coalesce(of("blocks"), F.array().cast("array<map<string,bigint>>")),
         lambda b: (part(b, "table_index").isNotNull() | part(b, "row_index").isNotNull() | part(b, "col_index").isNotNull())
         & (
             part(b, "table_index").isNull() | part(b, "row_index").isNull() | part(b, "col_index").isNull()
             | part(b, "para_in_cell").isNull()
         ),
     )
-    empty = lambda name: F.coalesce(F.size(name), F.lit(0)) <= 0
-    error = F.coalesce(
-        F.when(F.col("n_blocks").isNull(), F.lit("unknown document")),
+    empty = lambda name: F.coalesce(F.size(of(name)), F.lit(0)) <= 0
+    return F.coalesce(
+        F.when(n_blocks.isNull(), F.lit("unknown document")),
         F.when(among("rename_placeholder") & ~known("old_name"), F.lit("unknown field")),
-        F.when(among("rename_placeholder") & used("new_name") & (F.col("new_name") != F.col("old_name")), F.lit("name in use")),
+        F.when(among("rename_placeholder") & used("new_name") & (of("new_name") != of("old_name")), F.lit("name in use")),
         F.when(among("delete_placeholder") & ~known("field_name"), F.lit("unknown field")),
         F.when(among(*needs_block) & no_block, F.lit("unknown block")),
-        F.when(among("add_paragraph") & F.col("block_index").isNotNull() & no_block, F.lit("unknown block")),
+        F.when(among("add_paragraph") & of("block_index").isNotNull() & no_block, F.lit("unknown block")),
         F.when(among("add_placeholder", "add_placeholder_by_offset") & used("field_name"), F.lit("name in use")),
         F.when(
-            among("delete_text_range") & ((F.col("start_offset") < 0) | (F.col("end_offset") <= F.col("start_offset"))),
+            among("delete_text_range") & ((of("start_offset") < 0) | (of("end_offset") <= of("start_offset"))),
             F.lit("bad range"),
         ),
         F.when(among("format_text") & empty("format_config"), F.lit("no settings")),
         F.when(among("format_paragraph") & empty("paragraph_format"), F.lit("no settings")),
         F.when(among("delete_multiple_paragraphs") & bad_targets, F.lit("unknown block")),
         F.when(among("delete_multiple_paragraphs") & bad_cells, F.lit("cell address is incomplete")),
-        F.when(among("add_hyperlink") & T.is_blank(F.col("url")), F.lit("no url")),
-        F.when(among("add_hyperlink") & ~T.url_ok(F.col("url")), F.lit("bad url")),
+        F.when(among("add_hyperlink") & T.is_blank(of("url")), F.lit("no url")),
+        F.when(among("add_hyperlink") & ~T.url_ok(of("url")), F.lit("bad url")),
         F.when(among(*table_kinds) & table.isNull(), F.lit("unknown table")),
         F.when(among("add_paragraph", "delete_paragraph") & in_cell & table.isNull(), F.lit("unknown table")),
-        F.when(among("add_paragraph", "delete_paragraph") & in_cell & (F.col("row_index") >= table["n_rows"]), F.lit("unknown row")),
-        F.when(among("add_paragraph", "delete_paragraph") & in_cell & (F.col("col_index") >= table["n_cols"]), F.lit("unknown column")),
+        F.when(among("add_paragraph", "delete_paragraph") & in_cell & (of("row_index") >= table["n_rows"]), F.lit("unknown row")),
+        F.when(among("add_paragraph", "delete_paragraph") & in_cell & (of("col_index") >= table["n_cols"]), F.lit("unknown column")),
         F.when(among("delete_table_row") & (table["n_rows"] <= 1), F.lit("the last row stays")),
         F.when(among("delete_table_column") & (table["n_cols"] <= 1), F.lit("the last column stays")),
-        F.when(among(*row_kinds) & (F.col("row_index") >= table["n_rows"]), F.lit("unknown row")),
-        F.when(among(*col_kinds) & (F.col("col_index") >= table["n_cols"]), F.lit("unknown column")),
+        F.when(among(*row_kinds) & (of("row_index") >= table["n_rows"]), F.lit("unknown row")),
+        F.when(among(*col_kinds) & (of("col_index") >= table["n_cols"]), F.lit("unknown column")),
         F.when(among("format_table_cell") & empty("format_options"), F.lit("no settings")),
     )
-    return joined.withColumn("error", error).drop("fields", "n_blocks", "tables")
 
 
 def batch_outcome(results: DataFrame) -> DataFrame:

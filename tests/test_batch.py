@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from blankweave.operators import batch as B
 from blankweave.operators import context as C
 from blankweave.operators import fields as FL
+from blankweave.operators import spans as S
+from blankweave.operators import structure as ST
+from blankweave.sources import paths
 from blankweave.sources.readers import EDIT_SCHEMA
 
 SEGMENTS = "doc_id bigint, block_index bigint, seg_index bigint, kind string, text string, field_name string, switch string, original_text string"
@@ -120,3 +123,62 @@ def test_one_document_with_most_edits(spark):
 def test_no_edits(spark):
     out, status = B.apply_edits(forms(spark, {1: ["a"]}), requests(spark, {1: [rename("a", "b")]}).where("false"))
     assert out.count() == 1 and status.count() == 0
+
+
+def test_a_request_passes_its_document_once(spark, monkeypatch):
+    """A chain of dependent edits is folded inside the row: nothing is written, and no level has an exchange."""
+    def no_table(*_):
+        raise AssertionError("a state was written")
+
+    monkeypatch.setattr(paths, "fresh_path", no_table)
+    names = "abcdefghij"
+    documents = {i: ["x «a» y", "z"] for i in range(4)}
+    edits = {i: [rename(x, y) for x, y in zip(names, names[1:])] for i in range(4)}
+    out, status = B.apply_edits(forms(spark, documents).repartition("doc_id"), requests(spark, edits))
+    for df in (out, status):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") <= 3, plan
+    assert {r.text for r in C.shown_blocks(out).collect()} == {"x «j» y", "z"}
+    assert status.where("status = 'executed'").count() == 4 * 9
+
+
+def test_edits_in_the_row_do_what_the_operators_do(spark):
+    """One kind of edit per document against the operator on all segments."""
+    block = ["«a» one «b» .. «a»", "text ....", "two «a»«c_2»", "", "««b» tail _____"]
+    rest = {"position": "right"}
+    cases = {
+        1: ("rename", [{**rename("a", "n"), "occurrence_index": 1}]),
+        2: ("rename", [{**rename("a_7", "n"), "occurrence_index": None}]),
+        3: ("delete", [delete("a")]),
+        4: ("delete", [delete("a_3")]),
+        5: ("at", [add(1, "n", 3)]),
+        6: ("at", [add(0, "n", 1)]),
+        7: ("cut", [cut(0, 2, 9)]),
+        8: ("cut", [cut(1, 0, 50)]),
+        9: ("add", [{"type": "add_placeholder", "block_index": 1, "field_name": "n", **rest}]),
+        10: ("add", [{"type": "add_placeholder", "block_index": 4, "field_name": "n", "position": "new_line"}]),
+        11: ("add", [{"type": "add_placeholder", "block_index": 3, "field_name": "n", "position": "left"}]),
+        12: ("update", [update(0, "one «b»", "1 «b» «m»"), update(1, "two", "2"), update(3, "", "new")]),
+        13: ("paragraph", [{"type": "delete_paragraph", "block_index": 2}]),
+    }
+    asked = requests(spark, {doc: edits for doc, (_, edits) in cases.items()})
+    documents = {doc: block for doc in cases}
+    segments = forms(spark, documents)
+    out, status = B.apply_edits(segments, asked)
+    found = sorted(map(repr, out.select(*segments.columns).collect()))
+    expected = []
+    none = F.lit(None).cast("bigint")
+    for kind, apply in {
+        "rename": lambda s, e: S.rename_field(s, e.select("doc_id", "op_index", "old_name", "new_name", "occurrence_index"))[0],
+        "delete": lambda s, e: S.delete_field(s, e)[0],
+        "at": lambda s, e: S.add_field_at(s, e.withColumn("insert_after", F.lit(None).cast("string")))[0],
+        "cut": lambda s, e: S.delete_ranges(s, e.select("doc_id", "block_index", "start_offset", "end_offset"))[0],
+        "add": lambda s, e: S.add_field(s, e)[0],
+        "update": lambda s, e: ST.update_text(s, e)[0],
+        "paragraph": lambda s, e: S.delete_blocks(s, e.select("doc_id", "block_index", none.alias("start_offset"), none.alias("end_offset"))),
+    }.items():
+        own = F.col("doc_id").isin(*[doc for doc, (k, _) in cases.items() if k == kind])
+        expected += map(repr, apply(segments.where(own), asked.where(own)).select(*segments.columns).collect())
+    failed = {r.doc_id: r.error for r in status.where("status <> 'executed'").collect()}
+    assert failed == {6: "offset not found"}
+    assert found == sorted(expected)
