@@ -32,6 +32,10 @@ VISIBLE_LEADERS = ("dot", "middleDot", "heavy", "underscore")
 
 # Characters that end a label in front of a blank.
 LABEL_BREAKS = r"[:\-–—\._…□■\n]"
+LABEL_BREAK_CHARS = (".", ":", "…", "_", "-", "–", "—", "□", "■", "\n")
+
+# What (?U)\s matches in java.util.regex.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 CHECKBOX_CHARS = ("□", "■")
 CHECKED_WORDS = ("x", "1", "true", "checked", "v")

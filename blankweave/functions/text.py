@@ -97,12 +97,13 @@ def is_blank_only(text: Column, tab_leaders: Column | None = None) -> Column:
 def last_label(text_before: Column) -> Column:
     """Last non-empty piece between label breaks, trimmed; empty when there is none.
 
-    Read from the end: the pattern is anchored on the reversed text, so it looks
-    at the label alone and never at the text in front of it.
+    Read from the end, by plain searches for the single breaks: a pattern would test each character of a long label
+    against all of them.
     """
-    breaks = V.LABEL_BREAKS[1:-1]
-    backwards = F.regexp_extract(F.reverse(text_before), rf"(?U)^[{breaks}\s]*+([^{breaks}]*+)", 1)
-    return F.regexp_replace(F.reverse(backwards), r"(?U)^\s++", "")
+    label = F.rtrim(text_before, F.lit("".join(V.LABEL_BREAK_CHARS) + V.WHITE_SPACE))
+    for char in V.LABEL_BREAK_CHARS:
+        label = F.substring_index(label, char, -1)
+    return F.ltrim(label, F.lit(V.WHITE_SPACE))
 
 
 def switch_for(label: Column) -> Column:

@@ -8,7 +8,7 @@ applied together, kind by kind.
 
 A document meets its request in one equi-join on ``doc_id`` and passes through all levels in that row
 (``in_row``), so segments clustered by document need no further exchange, however many levels there
-are, and no state is written. Both results are lazy: who reads both passes the documents twice.
+are. What comes out is written once, as a row per document, and both results are read from there.
 
 Edits that move blocks or may put fields anywhere (``update_text`` looks ahead) depend on all
 before them, and all after them wait in turn; text updates that follow one another are one level, as
@@ -28,6 +28,7 @@ from blankweave.functions import naming as N
 from blankweave.operators import in_row as I
 from blankweave.operators import structure as ST
 from blankweave.operators.structure import let
+from blankweave.sources.paths import written
 
 #: Kinds that move blocks or may put fields anywhere.
 WHOLE = ("add_placeholder", "update_text", "delete_paragraph", "add_paragraph")
@@ -194,13 +195,8 @@ def _undone(done: Column, options: Column) -> Column:
     return F.exists(options, undone)
 
 
-def apply_edits(segments: DataFrame, edits: DataFrame, requests: DataFrame | None = None, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Requests of mixed edits -> segments, and (doc_id, op_index, type, status, error) of every edit that was reached.
-
-    ``edits`` has the columns of ``readers.EDIT_SCHEMA`` behind ``doc_id, op_index``; ``requests(doc_id, validate_only,
-    stop_on_error)`` has options (default: false, true). Status is executed, validated, failed or validation_failed. Of
-    kinds that change no segments (formats, tables, images, links) only the checks are made, in the same order.
-    """
+def _outcome(segments: DataFrame, edits: DataFrame, requests: DataFrame | None, cells: DataFrame | None) -> DataFrame:
+    """One row per document: its ``blocks`` as they are in the end, and what is ``told`` of its edits."""
     documents, asked = I.documents(segments), _asked(edits)
     plain = F.struct(F.lit(False).alias("dry"), F.lit(True).alias("stops"))
     if requests is None:
@@ -213,20 +209,37 @@ def apply_edits(segments: DataFrame, edits: DataFrame, requests: DataFrame | Non
         asked = asked.withColumn("_tables", F.array().cast(_TABLES))
     else:
         asked = asked.join(ST.table_sizes(cells).withColumnRenamed("tables", "_tables"), "doc_id", "left")
+    # A step a column, as the analyzer resolves only so many nested functions in one.
+    asks = F.col("_edits").isNotNull()
+    passed = (
+        documents.join(asked, "doc_id", "full")
+        .withColumn("_levels", F.when(asks, _levels(F.col("_edits"), F.col("_blocks"))))
+        .withColumn("_levels", F.when(asks, _by_level(_levelled(F.col("_edits"), F.col("_levels")))))
+        .withColumn("_clean", F.when(asks, I.settled(F.col("_blocks"))))
+        .withColumn("_end", F.when(asks, _folded(F.col("_levels"), F.col("_blocks"), F.col("_tables"), F.col("_clean"))))
+    )
+    kept = asks & ~_undone(F.col("_end.done"), F.col("_options"))
+    told = F.flatten(F.transform("_options", lambda option: _reached(F.col("_end.done"), option)["told"]))
+    return passed.select(
+        "doc_id", F.when(kept, F.col("_end.blocks")).otherwise(F.col("_blocks")).alias("blocks"), F.when(asks, told).alias("told")
+    )
 
-    def folded(rows: DataFrame) -> DataFrame:
-        """With ``_end``; a step a column, as the analyzer resolves only so many nested functions in one."""
-        asks = F.col("_edits").isNotNull()
-        return (
-            rows.withColumn("_levels", F.when(asks, _levels(F.col("_edits"), F.col("_blocks"))))
-            .withColumn("_levels", F.when(asks, _by_level(_levelled(F.col("_edits"), F.col("_levels")))))
-            .withColumn("_clean", F.when(asks, I.settled(F.col("_blocks"))))
-            .withColumn("_end", F.when(asks, _folded(F.col("_levels"), F.col("_blocks"), F.col("_tables"), F.col("_clean"))))
-        )
 
-    passed = folded(documents.join(asked, "doc_id", "left"))
-    kept = F.col("_edits").isNotNull() & ~_undone(F.col("_end.done"), F.col("_options"))
-    out = I.rows_of(passed, F.when(kept, F.col("_end.blocks")).otherwise(F.col("_blocks")), *segments.columns)
-    judged = folded(asked.join(documents, "doc_id", "left"))
-    told = F.flatten(F.transform("_options", lambda option: _reached(F.col("_end.done"), option)["told"]))
-    return out, judged.select("doc_id", F.explode(told).alias("t")).select("doc_id", "t.*")
+def _told(outcome: DataFrame) -> DataFrame:
+    return outcome.select("doc_id", F.explode("told").alias("t")).select("doc_id", "t.*")
+
+
+def apply_edits(segments: DataFrame, edits: DataFrame, requests: DataFrame | None = None, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Requests of mixed edits -> segments, and (doc_id, op_index, type, status, error) of every edit that was reached.
+
+    ``edits`` has the columns of ``readers.EDIT_SCHEMA`` behind ``doc_id, op_index``; ``requests(doc_id, validate_only,
+    stop_on_error)`` has options (default: false, true). Status is executed, validated, failed or validation_failed. Of
+    kinds that change no segments (formats, tables, images, links) only the checks are made, in the same order.
+    """
+    outcome = written(_outcome(segments, edits, requests, cells), "edit-outcome")
+    return I.rows_of(outcome, F.col("blocks"), *segments.columns), _told(outcome)
+
+
+def edit_status(segments: DataFrame, edits: DataFrame, requests: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
+    """The second result of ``apply_edits`` alone: all edits are applied, but the segments are not written."""
+    return _told(_outcome(segments, edits, requests, cells))

@@ -115,17 +115,17 @@ def _requests(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return edits, documents.selectExpr("doc_id", f"{_STOPS} AS stop_on_error", f"{_DRY} AS validate_only")
 
 
-def _applied(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return B.apply_edits(FL.convert_blocks(X.form_blocks(spark, d)), *_requests(spark, d))
+def _inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return FL.convert_blocks(X.form_blocks(spark, d)), *_requests(spark, d)
 
 
 @query("apply_edits", duck(f"""
   SELECT doc_id, block_index, seg_index, kind, text, {_KEEP}, start_pos, end_pos FROM s{len(_REQUEST)} WHERE doc_id IN (FROM kept)
   UNION ALL SELECT doc_id, block_index, seg_index, kind, text, {_KEEP}, start_pos, end_pos FROM s0 WHERE doc_id NOT IN (FROM kept)""", "tseg", **_BATCH_SQL))
 def apply_edits(spark: SparkSession, d: str) -> DataFrame:
-    return _applied(spark, d)[0]
+    return B.apply_edits(*_inputs(spark, d))[0]
 
 
 @query("apply_edits_status", duck("SELECT doc_id, op_index, type, status, error FROM reached", "tseg", **_BATCH_SQL))
 def apply_edits_status(spark: SparkSession, d: str) -> DataFrame:
-    return _applied(spark, d)[1]
+    return B.edit_status(*_inputs(spark, d))

@@ -126,18 +126,26 @@ def test_no_edits(spark):
 
 
 def test_a_request_passes_its_document_once(spark, monkeypatch):
-    """A chain of dependent edits is folded inside the row: nothing is written, and no level has an exchange."""
-    def no_table(*_):
-        raise AssertionError("a state was written")
+    """A chain of dependent edits is folded inside the row: one table is written, and the results are read from it as they are."""
+    tables, plans, write = [], [], paths.written
 
-    monkeypatch.setattr(paths, "fresh_path", no_table)
+    def counted(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        tables.append(name)
+        return write(df, name)
+
+    monkeypatch.setattr(B, "written", counted)
     names = "abcdefghij"
     documents = {i: ["x «a» y", "z"] for i in range(4)}
     edits = {i: [rename(x, y) for x, y in zip(names, names[1:])] for i in range(4)}
     out, status = B.apply_edits(forms(spark, documents).repartition("doc_id"), requests(spark, edits))
+    assert len(tables) == 1
+    # Of the segments of forms(), of documents and of edits; none for a level.
+    assert plans[0].count("Exchange hashpartitioning") <= 3, plans[0]
     for df in (out, status):
-        plan = df._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("Exchange hashpartitioning") <= 3, plan
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    alone = B.edit_status(forms(spark, documents), requests(spark, edits))
+    assert alone.exceptAll(status).count() == 0 and status.exceptAll(alone).count() == 0 and len(tables) == 1
     assert {r.text for r in C.shown_blocks(out).collect()} == {"x «j» y", "z"}
     assert status.where("status = 'executed'").count() == 4 * 9
 
