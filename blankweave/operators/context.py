@@ -16,11 +16,12 @@ from blankweave.operators import blocks as B
 from blankweave.operators import fields as FL
 
 
-def shown_blocks(segments: DataFrame) -> DataFrame:
-    """Segments -> blocks with the text a reader sees, fields as ``«name»``."""
+def shown_blocks(segments: DataFrame, **gathered: Column) -> DataFrame:
+    """Segments -> blocks with the text a reader sees, fields as ``«name»``, and what else is ``gathered`` of their segments."""
     parts = F.array_sort(F.collect_list(F.struct("seg_index", "text")))
-    return segments.groupBy("doc_id", "block_index").agg(parts.alias("_p")).select(
-        "doc_id", "block_index", F.array_join(F.col("_p.text"), "").alias("text")
+    others = [value.alias(name) for name, value in gathered.items()]
+    return segments.groupBy("doc_id", "block_index").agg(parts.alias("_p"), *others).select(
+        "doc_id", "block_index", F.array_join(F.col("_p.text"), "").alias("text"), *gathered
     )
 
 
@@ -265,17 +266,31 @@ def intro_context(blocks: DataFrame, paragraphs: int | None = None) -> DataFrame
     return lines_by_document(blocks.where(~T.is_blank(F.col("text"))), T.strip(F.col("text")), "intro", " | ")
 
 
-def attach_suggestions(suggestions: DataFrame, blocks: DataFrame) -> DataFrame:
+def attach_suggestions(suggestions: DataFrame | Column, blocks: DataFrame) -> DataFrame:
     """Keep suggestions whose index is a number of an existing block; context comes from that block.
 
-    ``suggestions(doc_id, raw_index STRING, ...)``; ``blocks`` with neighbour columns.
+    ``suggestions(doc_id, raw_index STRING, ...)``; ``blocks`` with neighbour columns. A column holds suggestions that the rows
+    of ``blocks`` carry for blocks of their document, as arrays of structs. They and the blocks, each of which is there once,
+    meet in a window of the document, so blocks clustered by document need no exchange.
     """
+    context = ["context", "before_context", "after_context"]
+    if isinstance(suggestions, Column):
+        met = blocks.where("doc_id IS NOT NULL").select(
+            "doc_id", "block_index", F.struct(F.col("text").alias("context"), *context[1:]).alias("_context"),
+            suggestions.alias("_own"),
+        )
+        # A row for the block itself, and one for each suggestion; one without a number goes with no block.
+        met = met.select("doc_id", "block_index", "_context", F.explode(F.concat(
+            F.transform(F.array(F.lit(True)), lambda _: F.get("_own", F.lit(-1))), "_own"
+        )).alias("_s"))
+        at = F.when(F.col("_s").isNull(), F.col("block_index")).otherwise(F.col("_s.raw_index").try_cast("bigint"))
+        met = met.select("doc_id", at.alias("block_index"), F.when(F.col("_s").isNull(), F.col("_context")).alias("_context"), "_s")
+        there = F.first("_context", ignorenulls=True).over(W.partitionBy("doc_id", "block_index"))
+        kept = met.withColumn("_context", there).where("_s IS NOT NULL AND block_index >= 0 AND _context IS NOT NULL")
+        return kept.select("doc_id", "block_index", "_s.*", "_context.*").drop("raw_index")
     placed = suggestions.withColumn("block_index", F.col("raw_index").try_cast("bigint")).where("block_index >= 0")
-    context = blocks.select(
-        "doc_id", "block_index", F.col("text").alias("context"), "before_context", "after_context"
-    )
-    kept = placed.drop("context", "before_context", "after_context", "raw_index")
-    return kept.join(context, ["doc_id", "block_index"])
+    kept = placed.drop(*context, "raw_index")
+    return kept.join(blocks.select("doc_id", "block_index", F.col("text").alias("context"), *context[1:]), ["doc_id", "block_index"])
 
 
 def suggestion_key(context: str = "context") -> Column:
@@ -291,26 +306,29 @@ def suggestion_key(context: str = "context") -> Column:
     return F.sha2(joined, 256)
 
 
-def dedup_suggestions(suggestions: DataFrame, edits: DataFrame | None = None) -> DataFrame:
+def dedup_suggestions(suggestions: DataFrame, edits: DataFrame | Column | None = None) -> DataFrame:
     """One suggestion per key (the lowest ``suggestion_id``); user edits of name and position overlay it.
 
     The pick is an aggregate with map-side combine, so a key shared by very
-    many suggestions never gathers in one task.
+    many suggestions never gathers in one task. Suggestions may bring their ``suggestion_key``, and then need no contexts.
+    ``edits(doc_id, suggestion_key, suggested_name, position)``, or a column of ``suggestions`` with the edit of each row's key,
+    a struct of name and position, which is then gathered beside the pick.
     """
-    keyed = suggestions.withColumn("suggestion_key", suggestion_key())
+    keyed = suggestions if "suggestion_key" in suggestions.columns else suggestions.withColumn("suggestion_key", suggestion_key())
     payload = [c for c in keyed.columns if c not in ("doc_id", "suggestion_key")]
-    single = (
-        keyed.groupBy("doc_id", "suggestion_key")
-        .agg(F.min_by(F.struct(*payload), "suggestion_id").alias("_s"))
-        .select("doc_id", "suggestion_key", "_s.*")
-    )
-    if edits is None:
-        return single
-    overlay = edits.select(
-        "doc_id", "suggestion_key", F.col("suggested_name").alias("_name"), F.col("position").alias("_position")
-    )
+    pick = F.min_by(F.struct(*payload), "suggestion_id").alias("_s")
+    overlay = [F.col("suggested_name").alias("_name"), F.col("position").alias("_position")]
+    if isinstance(edits, Column):
+        picked = keyed.withColumn("_edit", edits).groupBy("doc_id", "suggestion_key").agg(pick, F.collect_set("_edit").alias("_edits"))
+        edited = picked.select("doc_id", "suggestion_key", "_s.*", F.explode_outer("_edits").alias("_e"))
+        edited = edited.withColumn("_name", F.col("_e.suggested_name")).withColumn("_position", F.col("_e.position")).drop("_e")
+    else:
+        edited = keyed.groupBy("doc_id", "suggestion_key").agg(pick).select("doc_id", "suggestion_key", "_s.*")
+        if edits is None:
+            return edited
+        edited = edited.join(edits.select("doc_id", "suggestion_key", *overlay), ["doc_id", "suggestion_key"], "left")
     return (
-        single.join(overlay, ["doc_id", "suggestion_key"], "left")
+        edited
         .withColumn("suggested_name", F.coalesce(F.nullif("_name", F.lit("")), "suggested_name"))
         .withColumn("position", F.coalesce(F.nullif("_position", F.lit("")), "position"))
         .drop("_name", "_position")

@@ -212,3 +212,37 @@ def test_skewed_and_even_keys_count_alike(spark):
     assert sorted(map(tuple, sliced)) == sorted(map(tuple, plain)) and len(plain) == 578
     sliced, plain = (running_total(rows, ["k"], F.floor(F.col("at") / 20), ["at"], F.col("v"), "n", most).select("at", "n").collect() for most in (10, 4096))
     assert sorted(sliced) == sorted(plain) and len(plain) == 590
+
+
+def test_suggestions_in_rows_are_attached_and_deduped_as_others(spark):
+    """Suggestions and edits that travel in the rows of blocks, against those in tables of their own."""
+    rows = [(doc, i, f"text {doc} {i}") for doc in (1, 2, None) for i in range(5)]
+    around = B.with_neighbours(spark.createDataFrame(rows, BLOCKS))
+    made = [("0", "a", 3), ("0", "b", 1), ("3", "c", 2), ("9", "far", 1), ("x", "none", 1), ("-1", "less", 1), (None, "null", 0)]
+    own = F.array(*[F.struct(F.lit(r).cast("string").alias("raw_index"), F.concat(F.lit(n), F.col("block_index")).alias("suggested_name"), (F.lit(i) * 10 + F.col("block_index")).alias("suggestion_id")) for r, n, i in made])
+    carried = around.withColumn("own", F.when(F.col("block_index") < 3, own).otherwise(F.array().cast("array<struct<raw_index:string,suggested_name:string,suggestion_id:bigint>>")))
+    table = carried.select("doc_id", F.explode("own").alias("s")).select("doc_id", "s.*")
+    other = lambda df: df.withColumn("insert_after", F.lit(None).cast("string")).withColumn("position", F.lit("right"))
+    by_rows, by_table = other(C.attach_suggestions(F.col("own"), carried)), other(C.attach_suggestions(table, around))
+    columns = sorted(by_table.columns)
+    assert by_table.count() == 2 * 9
+    assert sorted(map(repr, by_rows.select(columns).collect())) == sorted(map(repr, by_table.select(columns).collect()))
+    edit = F.when(F.col("block_index") == 0, F.struct(F.lit("neu").alias("suggested_name"), F.lit(None).cast("string").alias("position")))
+    edits = by_table.select("doc_id", C.suggestion_key().alias("suggestion_key"), edit.alias("e")).where("e IS NOT NULL").select("doc_id", "suggestion_key", "e.*").distinct()
+    names = ["doc_id", "block_index", "suggested_name", "suggestion_id", "position"]
+    single = C.dedup_suggestions(by_table, edits).select(names)
+    short = by_rows.withColumn("suggestion_key", C.suggestion_key()).drop("context", "before_context", "after_context")
+    assert sorted(C.dedup_suggestions(short, edit).select(names).collect()) == sorted(single.collect())
+    assert {(r.block_index, r.suggested_name) for r in single.collect()} == {(0, "neu"), (3, "c0")}
+
+
+def test_empty_cells_of_small_and_large_tables_are_numbered(spark):
+    from blankweave.operators import tables as G
+
+    cells = [(1, 0, 0, ""), (2, 0, 0, ""), (2, 1, 0, " .. "), (2, 1, 1, "a"), (2, 2, 1, None), (None, 1, 0, "")]
+    cells += [(3, i, 0, "x" if i % 3 else "") for i in range(6000)]
+    df = spark.createDataFrame(cells, "table_id bigint, row bigint, col bigint, text string")
+    found = {(r.table_id, r.row, r.col): r.field_name for r in G.fill_empty_cells(df.where("table_id < 3 OR table_id IS NULL")).collect()}
+    assert found == {(2, 1, 0): "field", (2, 2, 1): "field_2"}
+    large = {(r.table_id, r.row): r.field_name for r in G.fill_empty_cells(df).where("table_id = 3").collect()}
+    assert large == {(3, i): "field" if i == 3 else f"field_{i // 3}" for i in range(3, 6000, 3)}
