@@ -34,13 +34,20 @@ def _whole(columns: list[str]) -> Column:
     return ~F.greatest(*[F.col(c).isNull() for c in columns], F.lit(False))
 
 
-def numbered(df: DataFrame, keys: list[str], band: list[str], order: list[str], name: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Exact 1-based row number per key; ``order`` has to start with the band order. Rows without a key or band count but go."""
+def numbered(
+    df: DataFrame, keys: list[str], band: list[str], order: list[str], name: str,
+    slice_rows: int = SLICE_ROWS, counted: DataFrame | None = None,
+) -> DataFrame:
+    """Exact 1-based row number per key; ``order`` has to start with the band order. Rows without a key or band count but go.
+
+    Keys are counted in ``df``, whose rows are then dealt out by them, or in ``counted``: a table that holds the rows of ``df``
+    and others, is cheaper to read, and was dealt by its keys, as ``df`` then is.
+    """
     df = df.where(_whole(keys))
-    rows, most = counted_keys(df, keys)
+    rows, most = counted_keys(df if counted is None else counted.where(_whole(keys)), keys)
     if most <= slice_rows:
         place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-        return dealt_by(df, keys, rows).withColumn(name, place.cast("bigint")).where(_whole(band))
+        return (dealt_by(df, keys, rows) if counted is None else df).withColumn(name, place.cast("bigint")).where(_whole(band))
     sizes = df.groupBy(*keys, *band).agg(F.count(F.lit(1)).alias("_n"))
     earlier = W.partitionBy(*keys).orderBy(*band).rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select(*keys, *band, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_skip"))

@@ -199,13 +199,10 @@ def merge_with_expansion(
 # --- filling empty cells ----------------------------------------------------------
 def fill_empty_cells(cells: DataFrame) -> DataFrame:
     """Every empty cell below the header of a table with two rows or more becomes a field."""
-    sized = cells.groupBy("table_id").agg(F.max("row").alias("last_row")).where("last_row >= 1").select("table_id")
-    targets = salted_join(
-        cells.where((F.col("row") >= 1) & T.is_cell_empty(F.col("text"))).select("table_id", "row", "col"),
-        sized, ["table_id"], F.col("row"),
-    )
+    # A cell below the header shows that its table has two rows.
+    targets = cells.where((F.col("row") >= 1) & T.is_cell_empty(F.col("text"))).select("table_id", "row", "col")
     ranked = numbered(
-        targets.withColumn("_band", F.floor(F.col("row") / ROW_BAND)), ["table_id"], ["_band"], ["row", "col"], "_nth"
+        targets.withColumn("_band", F.floor(F.col("row") / ROW_BAND)), ["table_id"], ["_band"], ["row", "col"], "_nth", counted=cells
     )
     name = F.when(F.col("_nth") == 1, F.lit("field")).otherwise(F.concat(F.lit("field_"), F.col("_nth").cast("string")))
     return ranked.select("table_id", "row", "col", name.alias("field_name"))
