@@ -195,7 +195,7 @@ def _undone(done: Column, options: Column) -> Column:
     return F.exists(options, undone)
 
 
-def _outcome(segments: DataFrame, edits: DataFrame, requests: DataFrame | None, cells: DataFrame | None) -> DataFrame:
+def _outcome(segments: DataFrame, edits: DataFrame, requests: DataFrame | None, cells: DataFrame | None, how: str = "full") -> DataFrame:
     """One row per document: its ``blocks`` as they are in the end, and what is ``told`` of its edits."""
     documents, asked = I.documents(segments), _asked(edits)
     plain = F.struct(F.lit(False).alias("dry"), F.lit(True).alias("stops"))
@@ -212,7 +212,7 @@ def _outcome(segments: DataFrame, edits: DataFrame, requests: DataFrame | None,
     # A step a column, as the analyzer resolves only so many nested functions in one.
     asks = F.col("_edits").isNotNull()
     passed = (
-        documents.join(asked, "doc_id", "full")
+        documents.join(asked, "doc_id", how)
         .withColumn("_levels", F.when(asks, _levels(F.col("_edits"), F.col("_blocks"))))
         .withColumn("_levels", F.when(asks, _by_level(_levelled(F.col("_edits"), F.col("_levels")))))
         .withColumn("_clean", F.when(asks, I.settled(F.col("_blocks"))))
@@ -226,7 +226,9 @@ def _outcome(segments: DataFrame, edits: DataFrame, requests: DataFrame | None,
 
 
 def _told(outcome: DataFrame) -> DataFrame:
-    return outcome.select("doc_id", F.explode("told").alias("t")).select("doc_id", "t.*")
+    # Not a bare column: Spark would test that for being empty first, and so run the fold three times.
+    told = F.coalesce("told", F.array().cast(_TOLD))
+    return outcome.select("doc_id", F.explode(told).alias("t")).select("doc_id", "t.*")
 
 
 def apply_edits(segments: DataFrame, edits: DataFrame, requests: DataFrame | None = None, cells: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -242,4 +244,4 @@ def apply_edits(segments: DataFrame, edits: DataFrame, requests: DataFrame | Non
 
 def edit_status(segments: DataFrame, edits: DataFrame, requests: DataFrame | None = None, cells: DataFrame | None = None) -> DataFrame:
     """The second result of ``apply_edits`` alone: all edits are applied, but the segments are not written."""
-    return _told(_outcome(segments, edits, requests, cells))
+    return _told(_outcome(segments, edits, requests, cells, "right"))
